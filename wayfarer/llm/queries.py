@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfarer.llm import exact_dedup, mixing, toxicity
+from wayfarer.llm import exact_dedup, mixing, packing, tokens, toxicity
 from wayfarer.llm.common import documents, session
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(session(spark), sf_dir))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(documents(session(spark), sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(session(spark), sf_dir))
 
@@ -23,6 +31,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_packing": op3_packing,
+        "op4_token_counts": op4_token_counts,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_mix_sources": op9_mix_sources,
         "op10_toxicity": op10_toxicity,
