@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfarer.llm import exact_dedup, mixing, packing, tokens, toxicity
+from wayfarer.llm import exact_dedup, mixing, ngram_join, packing, tokens, toxicity
 from wayfarer.llm.common import documents, session
 
 
@@ -20,6 +20,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(session(spark), sf_dir))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(documents(session(spark), sf_dir))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(session(spark), sf_dir))
 
@@ -34,6 +38,7 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op4_token_counts": op4_token_counts,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_ngram_join": op8_ngram_join,
         "op9_mix_sources": op9_mix_sources,
         "op10_toxicity": op10_toxicity,
     }
