@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfarer.llm import exact_dedup, mixing, ngram_join, packing, tokens, toxicity
+from wayfarer.llm import exact_dedup, mixing, ngram_join, packing, recompression, tokens, toxicity
 from wayfarer.llm.common import documents, session
 
 
+def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.drop_repeated_windows(documents(session(spark), sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(session(spark), sf_dir))
 
@@ -35,6 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_recompression": op2_recompression,
         "op3_packing": op3_packing,
         "op4_token_counts": op4_token_counts,
         "op6_exact_dedup": op6_exact_dedup,
