@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import exact_dedup, mixing, ngram_join, packing, recompression, tokens, toxicity
+from wayfarer.llm import exact_dedup, mixing, ngram_join, packing, recompression, suffix_dedup, tokens, toxicity
 from wayfarer.llm.common import documents, session
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.drop_repeated_bytes(documents(session(spark), sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recompression.drop_repeated_windows(documents(session(spark), sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -41,6 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_recompression": op2_recompression,
         "op3_packing": op3_packing,
         "op4_token_counts": op4_token_counts,

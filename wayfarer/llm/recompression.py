@@ -116,14 +116,14 @@ def runs_of(width: int = WIDTH, rounds: int = ROUNDS):
     def of(text: str):
         words = words_of(text)
         if len(words) < width:
-            return (np.zeros(0, np.int64),) * 4
+            return (np.zeros(0, np.int64),) * 5
         hashes = word_hashes(words)
         found = anchors(hashes, width, rounds)
         at = np.flatnonzero(repeats.group_starts(found))
         n = np.diff(np.append(at, len(found)))
         raw = hashes.tobytes()
         content = [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * (a + k + width - 1)]) for a, k in zip(at.tolist(), n.tolist())]
-        return found[at].view(np.int64), np.array(content, np.uint64).view(np.int64), at, n
+        return found[at].view(np.int64), np.array(content, np.uint64).view(np.int64), at, n, np.zeros(len(at), bool)
 
     return of
 
@@ -216,7 +216,7 @@ def _finish_batches(batches, width):
 
 def drop_repeated_windows(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the remaining words joined by one space, as UTF-8 bytes."""
-    spans = repeats.decide(docs, runs_of(width, rounds), everywhere=False, single_limit=1 << 30)
+    spans = repeats.decide(docs, runs_of(width, rounds), everywhere=False)
     partial = repeats.per_document(spans.filter("partial"))
     windows = (
         repeats.by_document(docs)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from wayfarer.llm.common import cut
 
-RUN_SCHEMA = "settled boolean, anchor long, content long, doc_id long, at int, n int, twice boolean"
-_RUN_NAMES = ["settled", "anchor", "content", "doc_id", "at", "n", "twice"]
+RUN_SCHEMA = "settled boolean, anchor long, content long, doc_id long, at int, n int, twice boolean, inner boolean"
+_RUN_NAMES = ["settled", "anchor", "content", "doc_id", "at", "n", "twice", "inner"]
 SPAN_SCHEMA = "doc_id long, at int, n int, anchor long, partial boolean"
 
 
@@ -47,7 +47,8 @@ def group_starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def run_batches(batches, runs_of, everywhere: bool):
-    """Runs of each batch's texts; ``runs_of(text)`` gives arrays anchor, content, at, n.
+    """Runs of each batch's texts; ``runs_of(text)`` gives arrays anchor, content, at, n and
+    inner: whether the run may hold one window twice.
 
     Of equal runs in a batch the first stays open; the others are settled, if they may be:
     with ``everywhere`` any other occurrence counts, else only one in a smaller document.
@@ -57,10 +58,10 @@ def run_batches(batches, runs_of, everywhere: bool):
         found = [(d, r) for d, r in found if len(r[0])]
         if not found:
             continue
-        anchor, content, at, n = (np.concatenate([r[i] for _, r in found]) for i in range(4))
+        anchor, content, at, n, inner = (np.concatenate([r[i] for _, r in found]) for i in range(5))
         doc = np.repeat(np.array([d for d, _ in found], np.int64), [len(r[0]) for _, r in found])
         order = np.lexsort((at, doc, content, anchor))
-        anchor, content, doc, at, n = anchor[order], content[order], doc[order], at[order], n[order]
+        anchor, content, doc, at, n, inner = (x[order] for x in (anchor, content, doc, at, n, inner))
         first = group_starts(anchor, content)
         group = np.cumsum(first) - 1
         twice = np.bincount(group)[group] > 1
@@ -73,6 +74,7 @@ def run_batches(batches, runs_of, everywhere: bool):
             pa.array(at.astype(np.int32)),
             pa.array(n.astype(np.int32)),
             pa.array(twice & first & everywhere),
+            pa.array(inner),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=_RUN_NAMES)
 
@@ -84,7 +86,7 @@ def _spans(doc, at, n, anchor, partial):
     )
 
 
-def decide_batches(batches, everywhere: bool, single_limit: int):
+def decide_batches(batches, everywhere: bool):
     """Settled and partial runs from a stream sorted by (settled, anchor, content, doc_id, at).
 
     Held between batches: the leading runs (those of the smallest document) of the first
@@ -101,16 +103,16 @@ def decide_batches(batches, everywhere: bool, single_limit: int):
             continue
         if held is not None:
             now = {k: np.concatenate([held[k], now[k]]) for k in now}
-        out, held = _decided(now, everywhere, single_limit, last=False)
+        out, held = _decided(now, everywhere, last=False)
         if out is not None:
             yield out
     if held is not None:
-        out, _ = _decided(held, everywhere, single_limit, last=True)
+        out, _ = _decided(held, everywhere, last=True)
         if out is not None:
             yield out
 
 
-def _decided(now, everywhere, single_limit, last):
+def _decided(now, everywhere, last):
     anchors = group_starts(now["anchor"])
     contents = anchors | group_starts(now["content"])
     anchor_no, content_no = np.cumsum(anchors) - 1, np.cumsum(contents) - 1
@@ -124,7 +126,7 @@ def _decided(now, everywhere, single_limit, last):
     else:
         full = now["doc_id"] > now["doc_id"][contents][content_no]
         lead = ~full
-    partial = lead & ~now["done"] & ((n_contents > 1) | ((now["n"] > single_limit) & ~open_anchor))
+    partial = lead & ~now["done"] & ((n_contents > 1) | (now["inner"] & ~open_anchor))
     out = None
     if full.any() or partial.any():
         pick = np.concatenate([np.flatnonzero(full), np.flatnonzero(partial)])
@@ -140,13 +142,13 @@ def _decided(now, everywhere, single_limit, last):
     return out, held
 
 
-def decide(docs: DataFrame, runs_of, everywhere: bool, single_limit: int) -> DataFrame:
+def decide(docs: DataFrame, runs_of, everywhere: bool) -> DataFrame:
     """doc_id, at, n, anchor, partial: settled windows, and the runs still to be compared."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = texts.mapInArrow(lambda batches: run_batches(batches, runs_of, everywhere), RUN_SCHEMA)
     dealt = runs.repartition(F.when(F.col("settled"), F.xxhash64("doc_id", "at")).otherwise(F.col("anchor")))
     ordered = dealt.sortWithinPartitions("settled", "anchor", "content", "doc_id", "at")
-    return cut(ordered.mapInArrow(lambda batches: decide_batches(batches, everywhere, single_limit), SPAN_SCHEMA))
+    return cut(ordered.mapInArrow(lambda batches: decide_batches(batches, everywhere), SPAN_SCHEMA))
 
 
 def covered(length: int, at: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
