@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import exact_dedup, mixing, ngram_join, packing, recompression, suffix_dedup, tokens, toxicity
+from wayfarer.llm import (
+    exact_dedup,
+    fingerprints,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    recompression,
+    suffix_dedup,
+    tokens,
+    toxicity,
+)
 from wayfarer.llm.common import documents, session
 
 
@@ -27,10 +38,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(session(spark), sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_chunks(documents(session(spark), sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(session(spark), sf_dir))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints_with_next(documents(session(spark), sf_dir))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(documents(session(spark), sf_dir))
 
@@ -50,7 +70,9 @@ def queries() -> dict:
         "op2_recompression": op2_recompression,
         "op3_packing": op3_packing,
         "op4_token_counts": op4_token_counts,
+        "op5_line_dedup": op5_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_fingerprints": op7_fingerprints,
         "op8_ngram_join": op8_ngram_join,
         "op9_mix_sources": op9_mix_sources,
         "op10_toxicity": op10_toxicity,
