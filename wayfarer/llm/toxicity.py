@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams with naive Bayes log-count ratios.
 
 Every text gives the set of its hashed character n-grams. Training counts each
-feature in toxic and in other texts, takes the log ratio of the smoothed, normalised
-counts, scales the (binary) features by it, brings each text to unit length and fits
+feature in toxic and in other texts, takes the log ratio of the smoothed shares of texts
+that have it, scales the (binary) features by it, brings each text to unit length and fits
 a logistic regression on the result. Scoring is one vectorised pass over the texts.
 
 The classifier is fitted on a bounded sample: ``TRAIN_ROWS`` labelled rows in hash
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from wayfarer.llm.common import text_or_empty
 
 BITS = 18
-ORDERS = (4,)
+ORDERS = (3, 4)
 TRAIN_ROWS = 6000
-EPOCHS = 8
+EPOCHS = 20
+RATE = 0.1
 FOLDS = 5
 
 
@@ -58,7 +59,7 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, orders: tuple = O
     toxic, other = np.ones(1 << bits), np.ones(1 << bits)
     for x, label in zip(rows, y):
         (toxic if label else other)[x] += 1
-    ratio = np.log(toxic / toxic.sum()) - np.log(other / other.sum())
+    ratio = np.log(toxic / (y.sum() + 2)) - np.log(other / (len(y) - y.sum() + 2))
     values = [ratio[x] / (np.linalg.norm(ratio[x]) or 1.0) for x in rows]
     weights, square = zero.copy(), np.full(1 << bits, 1e-6)
     bias, bias_square = float(np.log(y.mean() / (1 - y.mean()))), 1e-6
@@ -69,9 +70,9 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, orders: tuple = O
             slope = 1 / (1 + np.exp(-(bias + weights[x] @ v))) - y[i]
             step = slope * v + 1e-6 * weights[x]
             square[x] += step * step
-            weights[x] -= 0.5 * step / np.sqrt(square[x])
+            weights[x] -= RATE * step / np.sqrt(square[x])
             bias_square += slope * slope
-            bias -= 0.5 * slope / np.sqrt(bias_square)
+            bias -= RATE * slope / np.sqrt(bias_square)
     return weights, ratio, bias
 
 
