@@ -167,7 +167,7 @@ def walk_minutes(miles) -> Column:
 
 
 def arrival(now, miles) -> Column:
-    return F.timestampadd("MINUTE", walk_minutes(miles), _c(now))
+    return _c(now) + F.make_dt_interval(mins=walk_minutes(miles))
 
 
 #: The part of a full page that the shown image keeps.
@@ -247,7 +247,7 @@ def alert_minutes(kind) -> Column:
 
 
 def alert_expiry(kind, ts) -> Column:
-    return F.timestampadd("MINUTE", alert_minutes(kind), _c(ts))
+    return _c(ts) + F.make_dt_interval(mins=alert_minutes(kind))
 
 
 def profile_display_name(*names, email, fallback: str = "User") -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["social_queries"]
+MODULES = ["social_queries", "text_queries"]
 
 
 def load():

@@ -83,6 +83,7 @@ class Fixtures:
     def sql(self, text: str) -> DataFrame:
         full = with_views(text)
         frames = {t: self.spark.read.parquet(f"{self.folder}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", full)}
+        full = full.replace("{", "{{").replace("}", "}}")
         for t in frames:
             full = re.sub(rf"(?i)\b(from|join|,)(\s+){t}\b(?!\s*\()", rf"\1\2{{{t}}} as {t}", full)
         return self.spark.sql(full, **frames)
