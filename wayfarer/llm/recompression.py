@@ -6,7 +6,8 @@ halves and replaces each pair (left half, right half) by a name for the pair. Na
 halves come from hashes of what is named, so all documents agree on them in every round
 without exchanging tables, and equal substrings get equal symbols in their interior.
 Each symbol keeps the span of words that decided it; a window uses only symbols whose
-deciding span lies inside it. The smallest of its highest such symbols is its anchor.
+deciding span lies inside it. Of its highest such symbols the one for most words, then
+the one with the smallest name, is its anchor.
 
 Runs of windows with one anchor are shuffled by it (see repeats.py). Equal run contents
 settle all documents but the first; runs that share an anchor and differ are verified
@@ -60,13 +61,18 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def recompress(words: np.ndarray, rounds: int = ROUNDS):
-    """(symbols, first, last) of every level: names, and the span of words that decided each."""
+    """(rank, first, last) of every level: the order of its symbols, and the span of words that decided each.
+
+    Symbols for more words rank lower, then those with smaller names: long ones are rare.
+    """
     symbols, first, last = _mix(words), np.arange(len(words)), np.arange(len(words))
-    levels = [(symbols, first, last)]
+    held = np.ones(len(words), np.int64)  # words in each symbol
+    levels = [(symbols >> np.uint64(6), first, last)]
     for level in range(rounds):
         starts = np.flatnonzero(repeats.group_starts(symbols))
         counts = np.diff(np.append(starts, len(symbols)))
         ends = starts + counts - 1
+        held = np.add.reduceat(held, starts)
         run = symbols[starts]
         symbols = np.where(counts > 1, _name(level, 1, run, counts.astype(np.uint64)), run)
         first = np.where(starts > 0, first[starts - 1], -_FAR)
@@ -80,10 +86,12 @@ def recompress(words: np.ndarray, rounds: int = ROUNDS):
         after, before = np.append(last[1:], _FAR), np.append(-_FAR, first[:-1])
         named = _name(level, 3, symbols, np.append(symbols[1:], np.uint64(0)))
         symbols = np.where(pair, named, symbols)
+        held = np.where(pair, held + np.append(held[1:], 0), held)[~second]
         new_first = np.where(left, first, before)
         new_last = np.where(left, after, last)
         symbols, first, last = symbols[~second], new_first[~second], new_last[~second]
-        levels.append((symbols, first, last))
+        short = np.uint64(63) - np.minimum(held, 63).astype(np.uint64)
+        levels.append((short << np.uint64(58) | symbols >> np.uint64(6), first, last))
     return levels
 
 
@@ -91,7 +99,7 @@ def anchors(words: np.ndarray, width: int = WIDTH, rounds: int = ROUNDS) -> np.n
     """The anchor of each window of ``width`` words."""
     n = len(words) - width + 1
     out, open_ = np.zeros(n, np.uint64), np.arange(n)
-    for symbols, first, last in reversed(recompress(words, rounds)):
+    for rank, first, last in reversed(recompress(words, rounds)):
         if not len(open_):
             break
         lo = np.searchsorted(first, open_, "left")
@@ -100,7 +108,7 @@ def anchors(words: np.ndarray, width: int = WIDTH, rounds: int = ROUNDS) -> np.n
         at, lo, hi = open_[some], lo[some], hi[some]
         if len(at):
             depth = np.frexp((hi - lo).astype(np.float64))[1] - 1
-            table, low = symbols, np.zeros(len(at), np.uint64)
+            table, low = rank, np.zeros(len(at), np.uint64)
             for d in range(int(depth.max()) + 1):
                 if d:
                     half = 1 << (d - 1)
@@ -129,7 +137,10 @@ def runs_of(width: int = WIDTH, rounds: int = ROUNDS):
 
 
 def _window_batches(batches, width):
-    """(hash_a, hash_b, doc_id, at) of each window of the partial runs."""
+    """(settled, hash_a, hash_b, doc_id, at, n) of the windows of the partial runs.
+
+    Windows that a smaller document of the batch has too are settled here, as stretches.
+    """
     for batch in batches:
         parts = []
         for doc, text, (at, n) in zip(
@@ -158,23 +169,25 @@ def _window_batches(batches, width):
         a, b, doc, at = a[order], b[order], doc[order], at[order]
         first = repeats.group_starts(a, b)
         later = doc > doc[first][np.cumsum(first) - 1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(later),
-                pa.array(a.view(np.int64)),
-                pa.array(b.view(np.int64)),
-                pa.array(doc),
-                pa.array(at.astype(np.int32)),
-            ],
-            names=["settled", "a", "b", "doc_id", "at"],
-        )
+        done, at_done, n_done = repeats.merged(doc[later], at[later])
+        open_ = ~later
+        size = int(open_.sum())
+        columns = [
+            np.concatenate([np.zeros(size, bool), np.ones(len(done), bool)]),
+            np.concatenate([a[open_].view(np.int64), done]),
+            np.concatenate([b[open_].view(np.int64), at_done]),
+            np.concatenate([doc[open_], done]),
+            np.concatenate([at[open_], at_done]).astype(np.int32),
+            np.concatenate([np.ones(size, np.int64), n_done]).astype(np.int32),
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["settled", "a", "b", "doc_id", "at", "n"])
 
 
 def _later_windows(batches):
     """Windows of a sorted stream that started in a smaller document, as (doc_id, at, n)."""
     key = None
     for batch in batches:
-        settled, a, b, doc, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        settled, a, b, doc, at, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         if not len(a):
             continue
         first = repeats.group_starts(settled, a, b)
@@ -188,7 +201,7 @@ def _later_windows(batches):
         key = (settled[-1], a[-1], b[-1], low[-1])
         if pick.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[pick]), pa.array(at[pick]), pa.array(np.ones(int(pick.sum()), np.int32))],
+                [pa.array(doc[pick]), pa.array(at[pick]), pa.array(n[pick])],
                 names=["doc_id", "at", "n"],
             )
 
@@ -219,10 +232,9 @@ def drop_repeated_windows(docs: DataFrame, width: int = WIDTH, rounds: int = ROU
     spans = repeats.decide(docs, runs_of(width, rounds), everywhere=False)
     partial = repeats.per_document(spans.filter("partial"))
     windows = (
-        repeats.by_document(docs)
-        .join(partial, "doc_id")
-        .mapInArrow(lambda b: _window_batches(b, width), "settled boolean, a long, b long, doc_id long, at int")
-        .repartition(F.when(F.col("settled"), F.xxhash64("doc_id", "at")).otherwise(F.col("a")))
+        repeats.fetch(docs, partial)
+        .mapInArrow(lambda b: _window_batches(b, width), "settled boolean, a long, b long, doc_id long, at int, n int")
+        .repartition("a")
         .sortWithinPartitions("settled", "a", "b", "doc_id", "at")
         .mapInArrow(_later_windows, "doc_id long, at int, n int")
     )
