@@ -29,12 +29,15 @@ _RUN_NAMES = ["settled", "anchor", "content", "doc_id", "at", "n", "twice", "inn
 SPAN_SCHEMA = "doc_id long, at int, n int, anchor long, partial boolean"
 
 
+#: Stands for a null doc_id where texts are dealt: a key that cannot be null takes no filter, so all joins share one exchange.
+NO_ID = -(2**63)
+
+
 def by_document(docs: DataFrame) -> DataFrame:
-    """doc_id and text, dealt by doc_id; equal calls give one exchange, which Spark reuses."""
+    """key (doc_id, never null) and text, dealt by key; equal calls give one exchange, which Spark reuses."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartition(
-        n, "doc_id"
-    )
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key")
+    return docs.select(key, F.col("text").cast("string").alias("text")).repartition(n, "key")
 
 
 def group_starts(*columns: np.ndarray) -> np.ndarray:
@@ -180,10 +183,27 @@ def window_spans(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[starts].astype(np.int32), (ends - starts).astype(np.int32)
 
 
+def merged(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (doc, at) as stretches (doc, at, n) of consecutive windows."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    starts = np.ones(len(doc), bool)
+    starts[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
+    places = np.flatnonzero(starts)
+    return doc[places], at[places], np.diff(np.append(places, len(doc)))
+
+
 def per_document(spans: DataFrame, *more: str) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", *more)).alias("spans"))
 
 
 def finish(docs: DataFrame, settled: DataFrame, of, schema: str) -> DataFrame:
     """Join settled windows to the texts and let ``of(batches)`` make the result rows."""
-    return by_document(docs).join(per_document(settled), "doc_id", "left").mapInArrow(of, schema)
+    joined = by_document(docs).join(per_document(settled), F.col("key") == F.col("doc_id"), "left")
+    doc_id = F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id")
+    return joined.select(doc_id, "text", "spans").mapInArrow(of, schema)
+
+
+def fetch(docs: DataFrame, partial: DataFrame) -> DataFrame:
+    """doc_id, text, spans of the documents that have partial runs."""
+    return by_document(docs).join(partial, F.col("key") == F.col("doc_id")).select("doc_id", "text", "spans")

@@ -231,14 +231,34 @@ def repeated_windows(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]
     return [np.flatnonzero(twice[a : a + max(0, len(t) - width + 1)]) for a, t in zip(starts.tolist(), texts)]
 
 
-_PIECE_SCHEMA = "window boolean, a long, b long, doc_id long, at int, piece binary"
-_PIECE_NAMES = ["window", "a", "b", "doc_id", "at", "piece"]
+#: kind 0: text of a run; 1: window of a crowded anchor, n 0 once it is settled; 2: settled windows.
+_PIECE_SCHEMA = "kind int, a long, b long, doc_id long, at int, n int, piece binary"
+_PIECE_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+_PIECE_NAMES = ["kind", "a", "b", "doc_id", "at", "n", "piece"]
+
+
+def _pieces(kind, a, b, doc, at, n, piece=None):
+    columns = [np.full(len(a), kind), a, b, doc, at, n, piece or [None] * len(a)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE_TYPES)], names=_PIECE_NAMES)
+
+
+def _crowd_rows(windows):
+    """Windows of crowded anchors: those met twice in the batch are settled as stretches, one of each hash travels."""
+    a, b, doc, at = (np.concatenate([w[i] for w in windows]) for i in range(4))
+    order = np.lexsort((at, doc, b, a))
+    a, b, doc, at = a[order], b[order], doc[order], at[order]
+    first = repeats.group_starts(a, b)
+    group = np.cumsum(first) - 1
+    twice = np.bincount(group)[group] > 1
+    yield _pieces(1, a[first], b[first], doc[first], at[first], (~twice[first]).astype(int))
+    done, at_done, n_done = repeats.merged(doc[twice], at[twice])
+    yield _pieces(2, done, at_done, done, at_done, n_done)
 
 
 def _piece_batches(batches, width):
     """Texts of partial runs by anchor; for crowded anchors their windows by hash."""
     for batch in batches:
-        rows = ([], [], [], [], [], [])
+        rows, windows = ([], [], [], []), []
         lists = batch.column("spans").flatten()
         anchor = lists.field("anchor").to_numpy(zero_copy_only=False)
         crowded = lists.field("crowded").to_numpy(zero_copy_only=False)
@@ -251,18 +271,19 @@ def _piece_batches(batches, width):
                 if i + j + width - 1 > len(data):
                     continue
                 if not crowded[k]:
-                    new = [[False], [anchor[k]], [0], [doc], [i], [data[i : i + j + width - 1]]]
-                else:
-                    if hashes is None:
-                        raw = np.frombuffer(data, np.uint8)
-                        hashes = [window_hashes(raw, width, f).view(np.int64) for f in (_P, _Q)]
-                    new = [[True] * j, hashes[0][i : i + j], hashes[1][i : i + j], [doc] * j, range(i, i + j), [None] * j]
-                for column, values in zip(rows, new):
-                    column.extend(values)
+                    for column, value in zip(rows, (anchor[k], doc, i, data[i : i + j + width - 1])):
+                        column.append(value)
+                    continue
+                if hashes is None:
+                    raw = np.frombuffer(data, np.uint8)
+                    hashes = [window_hashes(raw, width, f).view(np.int64) for f in (_P, _Q)]
+                windows.append((hashes[0][i : i + j], hashes[1][i : i + j], np.full(j, doc), np.arange(i, i + j)))
             place += len(at)
         if rows[0]:
-            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=_PIECE_NAMES)
+            a, doc, at, piece = rows
+            yield _pieces(0, a, np.zeros(len(a), int), doc, at, np.zeros(len(a), int), piece)
+        if windows:
+            yield from _crowd_rows(windows)
 
 
 def _span_batch(doc, at, n):
@@ -272,7 +293,7 @@ def _span_batch(doc, at, n):
 
 
 def _shard_batches(batches, width, shard):
-    """Repeated windows of a stream sorted by (window, a, b): shard arrays, then equal window hashes."""
+    """Repeated windows of a stream sorted by (kind, a, b): shard arrays, then equal window hashes."""
     texts, size, key, held = [], 0, None, None
 
     def sorted_out():
@@ -285,9 +306,8 @@ def _shard_batches(batches, width, shard):
         return _span_batch(*found)
 
     for batch in batches:
-        window = batch.column("window").to_numpy(zero_copy_only=False)
-        split = int(np.searchsorted(window, True))
-        plain = batch.slice(0, split)
+        kind = batch.column("kind").to_numpy(zero_copy_only=False)
+        plain = batch.slice(0, int(np.searchsorted(kind, 1)))
         for anchor, doc, at, piece in zip(*(plain.column(c).to_pylist() for c in ("a", "doc_id", "at", "piece"))):
             if size >= shard and anchor != key:
                 yield sorted_out()
@@ -295,15 +315,19 @@ def _shard_batches(batches, width, shard):
             texts.append((doc, at, piece))
             size += len(piece)
             key = anchor
-        if split < len(window):
-            a, b, doc, at = (batch.column(c).to_numpy(zero_copy_only=False)[split:] for c in ("a", "b", "doc_id", "at"))
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "doc_id", "at", "n")]
+        a, b, doc, at, n = (c[kind == 1] for c in columns)
+        if len(a):
             if held is not None:
-                a, b, doc, at = (np.append(x, y) for x, y in zip(held, (a, b, doc, at)))
+                a, b, doc, at, n = (np.append(x, y) for x, y in zip(held, (a, b, doc, at, n)))
             again = ~repeats.group_starts(a, b)
-            pick = again | np.append(again[1:], False)
+            pick = (again | np.append(again[1:], False)) & (n > 0)
             if pick.any():
-                yield _span_batch(doc[pick], at[pick], np.ones(int(pick.sum()), np.int32))
-            held = tuple(x[-1:] for x in (a, b, doc, at))
+                yield _span_batch(doc[pick], at[pick], n[pick])
+            held = tuple(x[-1:] for x in (a, b, doc, at, np.where(pick, 0, n)))
+        done = kind == 2
+        if done.any():
+            yield _span_batch(*(c[done] for c in columns[2:]))
     if texts:
         yield sorted_out()
 
@@ -339,11 +363,10 @@ def drop_repeated_bytes(
     crowds = cut(crowds.select("anchor", F.lit(True).alias("crowded")))
     marked = partial.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     shards = (
-        repeats.by_document(docs)
-        .join(repeats.per_document(marked, "anchor", "crowded"), "doc_id")
+        repeats.fetch(docs, repeats.per_document(marked, "anchor", "crowded"))
         .mapInArrow(lambda b: _piece_batches(b, width), _PIECE_SCHEMA)
-        .repartition("window", "a", "b")
-        .sortWithinPartitions("window", "a", "b")
+        .repartition("kind", "a", "b")
+        .sortWithinPartitions("kind", "a", "b")
         .mapInArrow(lambda b: _shard_batches(b, width, shard), "doc_id long, at int, n int")
     )
     settled = spans.filter("not partial").select("doc_id", "at", "n").unionAll(shards)
