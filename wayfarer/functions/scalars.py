@@ -202,27 +202,40 @@ def date_label(day, today) -> Column:
 def quarter_arc(p0, p1, p2, p3, tolerance: float = 0.25) -> Column:
     """Struct (cx, cy, r) when a cubic curve of points (x, y) is a quarter circle, else null."""
     p0, p1, p2, p3 = map(_c, (p0, p1, p2, p3))
-    t0x, t0y = p1.x - p0.x, p1.y - p0.y
-    t3x, t3y = p3.x - p2.x, p3.y - p2.y
-    n0x, n0y, n3x, n3y = -t0y, t0x, -t3y, t3x
-    det = n3x * n0y - n0x * n3y
-    t = ((p3.x - p0.x) * -n3y + (p3.y - p0.y) * n3x) / F.when(F.abs(det) >= 1e-9, det)
-    cx, cy = p0.x + t * n0x, p0.y + t * n0y
-    r0, r3 = F.hypot(p0.x - cx, p0.y - cy), F.hypot(p3.x - cx, p3.y - cy)
-    r = (r0 + r3) / 2
-    cosine = ((p0.x - cx) * (p3.x - cx) + (p0.y - cy) * (p3.y - cy)) / F.when(r != 0, r * r)
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
-    quarter = F.pi() / 2
-    handle = lambda x, y: F.abs(F.hypot(x, y) / F.when(r != 0, r) - 0.5523)
-    good = (
-        (r0 >= 4)
-        & (r3 >= 4)
-        & (F.abs(r0 - r3) / F.when(r0 != 0, r0) <= tolerance)
-        & (F.abs(angle - quarter) <= tolerance * quarter)
-        & (handle(t0x, t0y) <= tolerance)
-        & (handle(t3x, t3y) <= tolerance)
+    named = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    then = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # names a value once, for small plans
+    ends = named(
+        x0=p0.x, y0=p0.y, x3=p3.x, y3=p3.y, t0x=p1.x - p0.x, t0y=p1.y - p0.y, t3x=p3.x - p2.x, t3y=p3.y - p2.y
     )
-    return F.when(good, F.struct(cx.alias("cx"), cy.alias("cy"), r.alias("r")))
+
+    def centre(e):
+        det = e.t0y * -e.t3x + e.t0x * e.t3y
+        t = ((e.x3 - e.x0) * -e.t3x + (e.y3 - e.y0) * -e.t3y) / F.when(F.abs(det) >= 1e-9, -det)
+        return named(e=e, t=t)
+
+    def radii(c):
+        cx, cy = c.e.x0 - c.t * c.e.t0y, c.e.y0 + c.t * c.e.t0x
+        return named(e=c.e, cx=cx, cy=cy)
+
+    def sizes(c):
+        return named(e=c.e, cx=c.cx, cy=c.cy, r0=F.hypot(c.e.x0 - c.cx, c.e.y0 - c.cy), r3=F.hypot(c.e.x3 - c.cx, c.e.y3 - c.cy))
+
+    def verdict(c):
+        r = (c.r0 + c.r3) / 2
+        cosine = ((c.e.x0 - c.cx) * (c.e.x3 - c.cx) + (c.e.y0 - c.cy) * (c.e.y3 - c.cy)) / F.when(r != 0, r * r)
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+        handle = lambda x, y: F.abs(F.hypot(x, y) / F.when(r != 0, r) - 0.5523)
+        good = (
+            (c.r0 >= 4)
+            & (c.r3 >= 4)
+            & (F.abs(c.r0 - c.r3) / F.when(c.r0 != 0, c.r0) <= tolerance)
+            & (F.abs(angle - F.pi() / 2) <= tolerance * F.pi() / 2)
+            & (handle(c.e.t0x, c.e.t0y) <= tolerance)
+            & (handle(c.e.t3x, c.e.t3y) <= tolerance)
+        )
+        return F.when(good, named(cx=c.cx, cy=c.cy, r=r))
+
+    return then(then(then(then(ends, centre), radii), sizes), verdict)
 
 
 def zoom_from_span(span, width) -> Column:
