@@ -205,7 +205,8 @@ def _cross(cells: DataFrame, erode: bool) -> DataFrame:
 def skeleton_nodes(skeleton: DataFrame) -> DataFrame:
     """(floor_id, x, y, kind): cells with one neighbour are ends, with three or more junctions."""
     around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
-    n = _moved(skeleton, around).groupBy("floor_id", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    skeleton = cut(skeleton)
+    n = cut(_moved(skeleton, around).groupBy("floor_id", "x", "y").agg(F.count(F.lit(1)).alias("n")))
     kind = F.when(F.col("n") == 1, "end").when(F.col("n") >= 3, "junction")
     return skeleton.join(n, ["floor_id", "x", "y"]).withColumn("kind", kind).filter("kind is not null").select("floor_id", "x", "y", "kind")
 
@@ -221,7 +222,7 @@ def multi_source_regions(cells: DataFrame, sources: DataFrame) -> DataFrame:
     done = cut(start.select("floor_id", "x", "y", "source_id", F.lit(0).alias("steps"), none.alias("px"), none.alias("py")))
     frontier, n = done, 0
     parts = [done]
-    seen = done.select("floor_id", "x", "y")
+    seen = cut(done.select("floor_id", "x", "y"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in CROSS[1:]])
     while True:
         n += 1

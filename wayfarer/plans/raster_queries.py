@@ -62,14 +62,14 @@ def trace(t):
     return ra.trace_region_paths(r, ra.region_boundary_edges(r)).select("floor_id", "a", "b", F.size("path").alias("cells"))
 
 
-query("gra18_exterior_cells")(lambda t: ra.exterior_cells(few(t), 3, 1, 3, 1, 1.0))
-query("gra19_corridor_network")(lambda t: ra.corridor_network(few(t), t.sql(NOD), 3))
+query("gra18_exterior_cells")(lambda t: ra.exterior_cells(few(t).withColumn("passable", F.when((F.col("x") == 0) | (F.col("y") == 0), 1).otherwise(F.col("passable"))), 1, 1, 3, 1, 0.5))
+query("gra19_corridor_network")(lambda t: ra.corridor_network(few(t), t.sql(NOD), 1))
 query("gra20_corridor_skeleton")(lambda t: ra.corridor_skeleton(few(t), 0, 3, 4, 1.5, 3000))
 query("gra21_skeleton_nodes")(lambda t: ra.skeleton_nodes(ra.corridor_skeleton(few(t), 0, 3, 4, 1.5, 3000)))
 PTH = "SELECT floor_id AS path_id, floor_id, x AS seq, x, y FROM f_cells WHERE y=1 AND x>0 AND x<47"
 query("gra8_greedy_visibility_simplify")(lambda t: ra.greedy_visibility_simplify(t.sql(PTH), t("f_cells")).select("path_id", "seq"))
 query("gra24_rdp_simplify")(lambda t: ra.rdp_simplify(t.sql("SELECT route_id AS path_id, seq, x, y FROM f_waypoints"), 0.1).select("path_id", "seq"))
-GP = "SELECT s.source_id AS pair_id, s.floor_id, s.x AS x0, s.y AS y0, e.x AS x1, e.y AS y1 FROM ({s}) s JOIN ({s}) e ON e.source_id=s.source_id+1"
+GP = "SELECT s.source_id AS pair_id, s.floor_id, s.x AS x0, s.y AS y0, e.x AS x1, e.y AS y1 FROM ({s}) s JOIN ({s}) e ON e.source_id=s.source_id+1 WHERE s.source_id<3"
 query("gra6_grid_shortest_paths")(lambda t: ra.grid_shortest_paths(t.sql(GP.format(s=SRC)), part(t)).select("pair_id", "cost", F.size("path").alias("cells")))
 query("src2_decode_grid_cells", "SELECT floor_id::VARCHAR AS floor_id, x, y, passable FROM f_cells")(lambda t: io.decode_grid_cells(io.encode_grid_cells(t("f_cells"))).drop("dist"))
 query("src3_write_grid_cells")(lambda t: io.encode_grid_cells(t("f_cells")).select("floorId", "width", "height", "data"))
