@@ -23,7 +23,7 @@ def duck():
 
 
 def shown(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return "NULL"
     if isinstance(v, bool) or type(v).__name__ == "bool":
         return str(bool(v))

@@ -85,9 +85,9 @@ def nearest_node(points: DataFrame, nodes: DataFrame, key: str = "floor_id", kin
 
 
 def nearest_candidates(nodes: DataFrame, isolated: DataFrame, k: int = 5, key: str = "floor_id") -> DataFrame:
-    """(node_id, other_id, place): the k nearest other nodes of each isolated one."""
+    """(node_id, other_id, place): the k nearest other nodes of each isolated one; equal to nine places, the smaller id."""
     other = nodes.select(key, F.col("node_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    dist = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
+    dist = F.round(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")), 9)
     order = Window.partitionBy("node_id").orderBy("dist", "other_id")
     pairs = isolated.join(other, key).filter("node_id <> other_id").withColumn("dist", dist)
     return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("node_id", "other_id", "place")

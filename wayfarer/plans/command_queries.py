@@ -9,7 +9,7 @@ from wayfarer.operators.places import building_keys
 from wayfarer.plans.registry import now, query
 from wayfarer.plans.text_queries import BUILD, dictionary
 
-A1 = "SELECT o_orderkey AS command_id, CASE WHEN o_orderkey%11=0 THEN NULL ELSE o_custkey END AS caller_id, CASE WHEN o_orderkey%7=0 THEN '  ' WHEN o_orderkey%7=1 THEN repeat('x',130) ELSE ' Group ' END AS name, CASE WHEN o_orderkey%5=0 THEN 'club' WHEN o_orderkey%5=1 THEN 'campus_org' ELSE 'friends' END AS type, repeat('d', cast(o_orderkey%1100 as int)) AS description, repeat('u', cast(o_orderkey%2500 as int)) AS image_url, repeat('p', cast(o_orderkey%220 as int)) AS password, o_orderkey%3=0 AS is_private FROM orders WHERE o_orderkey%4=0"
+A1 = "SELECT o_orderkey AS command_id, CASE WHEN o_orderkey%11=0 THEN NULL ELSE o_custkey END AS caller_id, CASE WHEN o_orderkey%7=0 THEN '  ' WHEN o_orderkey%7=1 THEN repeat('x',130) ELSE ' Group ' END AS name, CASE WHEN o_orderkey%5=0 THEN 'club' WHEN o_orderkey%5=1 THEN 'campus_org' ELSE 'friends' END AS type, repeat('d', cast(o_orderkey%1100 as int)) AS description, repeat('u', cast(o_orderkey%2500 as int)) AS image_url, repeat('p', cast(o_orderkey%220 as int)) AS password, o_orderkey%3=0 AS is_private FROM orders"
 query("cmd1_decide_create_group", f"""SELECT command_id, caller_id, CASE WHEN caller_id IS NULL THEN 'not_authenticated' WHEN length(trim(name)) NOT BETWEEN 1 AND 120 THEN 'invalid_name' WHEN type NOT IN ('friends','campus_org') THEN 'invalid_type' WHEN length(description)>1000 THEN 'description_too_long' WHEN length(image_url)>2048 THEN 'image_url_too_long' WHEN length(password)>200 THEN 'password_too_long' ELSE 'success' END AS code,
  trim(name) AS name, (type='friends' AND NOT is_private AND password<>'') AS has_join_password FROM ({A1}) c""")(lambda t: cm.decide_create_group(t.sql(A1)))
 A2 = "SELECT attempt_id AS command_id, user_id, CASE WHEN attempt_id%3=0 THEN 'zz' ELSE ' c' || cast(3*(attempt_id%30) as varchar(9)) END AS join_code, attempted_at FROM f_attempts"
@@ -37,13 +37,13 @@ query("cmd7_decide_member_change", f"""WITH fo AS (SELECT group_id, user_id AS f
 A8 = "SELECT group_id*100000+user_id AS command_id, group_id, user_id FROM f_members WHERE user_id%3<>1 UNION ALL SELECT group_id*100000+99999, group_id, 99999999 FROM f_groups"
 query("cmd8_decide_leave", f"""WITH n AS (SELECT group_id, count(*) AS n FROM f_members WHERE role='admin' GROUP BY group_id), r AS (SELECT command_id, c.group_id, m.role, n FROM ({A8}) c LEFT JOIN f_members m ON m.group_id=c.group_id AND m.user_id=c.user_id LEFT JOIN n ON n.group_id=c.group_id)
  SELECT command_id, CASE WHEN role IS NULL THEN 'not_member' WHEN role='admin' AND row_number() OVER (PARTITION BY group_id, role ORDER BY command_id)>=n THEN 'last_admin' ELSE 'success' END AS code FROM r""")(lambda t: cm.decide_leave(t.sql(A8), t("f_members")))
-A9 = "SELECT event_id AS command_id, user_id, CASE WHEN event_id%19=0 THEN user_id WHEN event_id%23=0 THEN 99999999 ELSE (user_id*3+event_id)%1500 END AS friend_id, ts AS attempted_at FROM events WHERE event_id%2=0"
+A9 = "SELECT event_id AS command_id, user_id, CASE WHEN event_id%19=0 THEN user_id WHEN event_id%23=0 THEN 99999999 ELSE (user_id*3+event_id)%1500 END AS friend_id, ts AS attempted_at FROM events"
 query("cmd9_decide_friend_request")(lambda t: cm.decide_friend_request(t.sql(A9), t("f_friends"), t("f_profiles"), 10, 86400))
 A10 = "SELECT owner_id AS command_id, owner_id, CASE WHEN owner_id%9=0 THEN ' ' ELSE 'B1' END AS building, repeat('r', cast(owner_id%90 as int)) AS room, array_agg(CASE WHEN owner_id%6=0 AND viewer_id%2=0 THEN owner_id ELSE viewer_id + CASE WHEN owner_id%10=1 THEN 1 ELSE 0 END END) AS viewers FROM f_shares GROUP BY owner_id"
 query("cmd10_decide_location_pin", f"""WITH c AS ({A10}), b AS (SELECT user_id AS o, friend_id AS v FROM f_friends WHERE status='accepted' UNION SELECT friend_id, user_id FROM f_friends WHERE status='accepted'), e AS (SELECT command_id, owner_id, unnest(viewers) AS v FROM c), k AS (SELECT e.command_id, bool_and(b.o IS NOT NULL) AS ok, bool_or(e.v=e.owner_id) AS self FROM e LEFT JOIN b ON b.o=e.owner_id AND b.v=e.v GROUP BY e.command_id)
  SELECT command_id, CASE WHEN trim(building)='' THEN 'invalid_building' WHEN length(room)>80 THEN 'invalid_room' WHEN len(viewers)>200 THEN 'too_many_viewers' WHEN self THEN 'invalid_viewer' WHEN NOT ok THEN 'not_friends' ELSE 'success' END AS code FROM c JOIN k USING (command_id)""")(lambda t: cm.decide_location_pin(t.sql(A10), t("f_friends")))
-CL = "SELECT alert_id, floor_id || type || cast(alert_id%9 as varchar(2)) AS cluster_id FROM f_alerts WHERE alert_id%7=0"
-CV = "SELECT min(seq) AS vote_id, c.cluster_id, v.user_id, max(v.vote) AS vote FROM f_votes v JOIN (SELECT alert_id, floor_id || type || cast(alert_id%9 as varchar(2)) AS cluster_id FROM f_alerts WHERE alert_id%70=0) c ON v.alert_id=c.alert_id GROUP BY c.cluster_id, v.user_id"
+CL = "SELECT alert_id, floor_id || type || cast(alert_id%9 as varchar(2)) AS cluster_id FROM f_alerts"
+CV = "SELECT min(seq) AS vote_id, c.cluster_id, v.user_id, max(v.vote) AS vote FROM f_votes v JOIN (SELECT alert_id, floor_id || type || cast(alert_id%9 as varchar(2)) AS cluster_id FROM f_alerts) c ON v.alert_id=c.alert_id GROUP BY c.cluster_id, v.user_id"
 query("cmd11_decide_cluster_vote", f"""WITH r AS (SELECT vote_id, c.alert_id, v.user_id, v.vote, expires_at, submitted_by, min(c.alert_id) OVER (PARTITION BY vote_id) AS ld FROM ({CV}) v JOIN ({CL}) c USING (cluster_id) JOIN f_alerts a ON a.alert_id=c.alert_id)
  SELECT vote_id, alert_id, user_id, vote, CASE WHEN alert_id=ld AND vote='confirm' THEN greatest(expires_at, $NOW) + INTERVAL 30 MINUTE END AS new_expiry, CASE WHEN submitted_by<>user_id THEN submitted_by END AS rescore FROM r""")(lambda t: cm.decide_cluster_vote(t.sql(CV), t.sql(CL), t("f_alerts"), now()))
 A12 = "SELECT alert_id AS command_id, submitted_by AS caller_id, type, CASE WHEN alert_id%3=0 THEN '  ' ELSE ' hole ' END AS description, created_at AS made_at FROM f_alerts"

@@ -9,8 +9,7 @@ from wayfarer.plans.registry import query, r6
 from wayfarer.sources import io
 
 CUTX = "least(passable, CASE WHEN x>=4 AND x<44 AND y>=4 AND y<40 THEN 1 ELSE 0 END)"
-SMALL = "floor_id=10 OR floor_id=20 OR floor_id=0"
-few = lambda t: t("f_cells").filter(SMALL)
+few = lambda t: t("f_cells")
 
 query("fil9_crop_margins", f"SELECT floor_id, x, y, {CUTX} AS passable FROM f_cells")(lambda t: ra.crop_margins(t("f_cells"), 48, 48))
 query("fil10_threshold_pixels", "SELECT floor_id, x, y, CASE WHEN (x*7+y*13)%256>200 THEN 1 ELSE 0 END AS passable FROM f_cells")(
@@ -22,22 +21,22 @@ query("win9_box_morphology", "WITH a AS (SELECT floor_id, x, y, min(passable) OV
 LINE = "(PARTITION BY floor_id, {b} ORDER BY {a} RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
 query("win10_seal_dash_gaps", f"""WITH a AS (SELECT floor_id, x, y, passable, min(passable) OVER {LINE.format(a='x', b='y')} AS dx, min(passable) OVER {LINE.format(a='y', b='x')} AS dy FROM f_cells)
  SELECT floor_id, x, y, least(passable, greatest(max(dx) OVER {LINE.format(a='x', b='y')}, max(dy) OVER {LINE.format(a='y', b='x')})) AS passable FROM a""")(lambda t: ra.seal_dash_gaps(t("f_cells"), 5))
-query("win11_distance_to_wall", f"""WITH c AS (SELECT * FROM f_cells WHERE {SMALL}), d AS (SELECT a.floor_id, a.x, a.y, a.passable, CASE WHEN a.passable=0 THEN 0 ELSE (SELECT sqrt(min(pow(a.x-b.x,2)+pow(a.y-b.y,2))) FROM c b WHERE b.floor_id=a.floor_id AND b.passable=0) END AS dist FROM c a)
+query("win11_distance_to_wall", f"""WITH c AS (SELECT * FROM f_cells), d AS (SELECT a.floor_id, a.x, a.y, a.passable, CASE WHEN a.passable=0 THEN 0 ELSE (SELECT sqrt(min(pow(a.x-b.x,2)+pow(a.y-b.y,2))) FROM c b WHERE b.floor_id=a.floor_id AND b.passable=0) END AS dist FROM c a)
  SELECT floor_id, x, y, round(dist,6) AS dist, CAST(floor(dist/max(dist) OVER (PARTITION BY floor_id)*255) AS INT) AS dist255 FROM d""")(lambda t: r6(ra.distance_to_wall(few(t)).drop("passable"), "dist"))
 query("agg11_passable_share", "SELECT floor_id, round(avg(passable)*100,6) AS percent FROM f_cells GROUP BY floor_id")(lambda t: r6(ra.passable_share(t("f_cells")), "percent"))
-LABELS = """w AS (SELECT floor_id, x, y, y*1048576+x AS k FROM f_cells WHERE passable=0 AND (floor_id=0) AND x<24 AND y<24), r AS (SELECT floor_id, k, k AS seen FROM w UNION SELECT r.floor_id, r.k, o.k FROM r JOIN w s ON s.k=r.seen AND s.floor_id=r.floor_id JOIN w o ON o.floor_id=s.floor_id AND abs(o.x-s.x)<=1 AND abs(o.y-s.y)<=1),
- lab AS (SELECT w.floor_id, w.x, w.y, min(seen) AS component FROM w JOIN r ON r.k=w.k GROUP BY ALL)"""
-walls = lambda t: ra.cell_components(t("f_cells").filter("floor_id = 0 and x < 24 and y < 24"), 0, 8)
+LABELS = """w AS (SELECT floor_id, x, y, y*1048576+x AS k FROM f_cells WHERE passable=0), r AS (SELECT floor_id, k, k AS seen FROM w UNION SELECT r.floor_id, r.k, o.k FROM r JOIN w s ON s.k=r.seen AND s.floor_id=r.floor_id JOIN w o ON o.floor_id=s.floor_id AND abs(o.x-s.x)<=1 AND abs(o.y-s.y)<=1),
+ lab AS (SELECT w.floor_id, w.x, w.y, min(seen) AS component FROM w JOIN r ON r.k=w.k AND r.floor_id=w.floor_id GROUP BY ALL)"""
+walls = lambda t: ra.cell_components(t("f_cells"), 0, 8)
 query("gra3_cell_components", f"WITH RECURSIVE {LABELS} SELECT * FROM lab")(walls)
 query("agg9_component_stats", f"WITH RECURSIVE {LABELS} SELECT floor_id, component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x)-min(x)+1 AS width, max(y)-min(y)+1 AS height, round(greatest(max(x)-min(x)+1,max(y)-min(y)+1)::DOUBLE/least(max(x)-min(x)+1,max(y)-min(y)+1),6) AS aspect FROM lab GROUP BY floor_id, component")(
     lambda t: r6(ra.component_stats(walls(t)), "aspect")
 )
-NOD = "SELECT floor_id, x, y FROM f_cells WHERE floor_id=0 AND (x*3+y)%17=0"
-query("agg10_corridor_component_vote", f"WITH RECURSIVE {LABELS}, n AS ({NOD}) SELECT floor_id, component FROM (SELECT lab.floor_id, component, count(n.x) AS v, count(*) AS area FROM lab LEFT JOIN n ON n.x=lab.x AND n.y=lab.y GROUP BY ALL) z QUALIFY row_number() OVER (PARTITION BY floor_id ORDER BY v DESC, area DESC, component)=1")(
+NOD = "SELECT floor_id, x, y FROM f_cells WHERE (x*3+y)%17=0"
+query("agg10_corridor_component_vote", f"WITH RECURSIVE {LABELS}, n AS ({NOD}) SELECT floor_id, component FROM (SELECT lab.floor_id, component, count(n.x) AS v, count(*) AS area FROM lab LEFT JOIN n ON n.floor_id=lab.floor_id AND n.x=lab.x AND n.y=lab.y GROUP BY ALL) z QUALIFY row_number() OVER (PARTITION BY floor_id ORDER BY v DESC, area DESC, component)=1")(
     lambda t: ra.corridor_component_vote(walls(t), t.sql(NOD))
 )
-query("joi26_room_contour_block", f"WITH RECURSIVE {LABELS}, n AS ({NOD}), f AS (SELECT floor_id, component, count(*) AS area, sum(count(*)) OVER (PARTITION BY floor_id) AS total FROM lab GROUP BY floor_id, component) SELECT floor_id, component, area FROM f WHERE area>=2 AND area<=total*0.5 AND component IN (SELECT component FROM lab JOIN n USING (x, y)) AND component NOT IN (SELECT component FROM lab WHERE x=23)")(
-    lambda t: ra.room_region_block(t.sql(NOD), walls(t), t("f_cells").filter("floor_id = 0 and x = 23"), 2, 0.5)
+query("joi26_room_contour_block", f"WITH RECURSIVE {LABELS}, n AS ({NOD}), f AS (SELECT floor_id, component, count(*) AS area, sum(count(*)) OVER (PARTITION BY floor_id) AS total FROM lab GROUP BY floor_id, component) SELECT floor_id, component, area FROM f WHERE area>=2 AND area<=total*0.5 AND (floor_id, component) IN (SELECT (floor_id, component) FROM lab JOIN n USING (floor_id, x, y)) AND (floor_id, component) NOT IN (SELECT (floor_id, component) FROM lab WHERE x=0)")(
+    lambda t: ra.room_region_block(t.sql(NOD), walls(t), t("f_cells").filter("x = 0"), 2, 0.5)
 )
 LAB = "SELECT floor_id, x, y, 'AB' AS text FROM f_cells WHERE x%16=8 AND y%16=8"
 query("joi27_mask_text_regions", f"SELECT c.floor_id, c.x, c.y, CASE WHEN EXISTS (SELECT 1 FROM ({LAB}) l WHERE l.floor_id=c.floor_id AND abs(l.x-c.x)<=2 AND abs(l.y-c.y)<=3) THEN 1 ELSE passable END AS passable FROM f_cells c")(
@@ -46,13 +45,9 @@ query("joi27_mask_text_regions", f"SELECT c.floor_id, c.x, c.y, CASE WHEN EXISTS
 query("joi28_mask_exterior_hull")(lambda t: ra.mask_exterior_hull(few(t), few(t).filter("x % 9 = 4 and y % 11 = 5 and x between 10 and 36"), 5, 1))
 LN = "SELECT floor_id*1000+y AS line_id, floor_id, cast(2 as bigint) AS x0, y AS y0, cast(2+y%5 as bigint) AS x1, y AS y1 FROM f_cells WHERE x=2"
 query("sca22_bresenham_clear", f"SELECT line_id, NOT EXISTS (SELECT 1 FROM f_cells c WHERE c.floor_id=l.floor_id AND c.passable=0 AND c.y=l.y0 AND c.x BETWEEN l.x0 AND l.x1) AS clear FROM ({LN}) l")(lambda t: ra.lines_clear(t.sql(LN), t("f_cells")))
-SRC = "SELECT floor_id, x, y, row_number() OVER (PARTITION BY floor_id ORDER BY y, x) AS source_id FROM f_cells WHERE floor_id=0 AND passable=1 AND x%12=5 AND y%12=7 AND x<24 AND y<24"
-part = lambda t: t("f_cells").filter("floor_id = 0 and x < 24 and y < 24")
-regions = lambda t: ra.multi_source_regions(part(t), t.sql(SRC))
-query("gra12_multi_source_regions", f"""WITH RECURSIVE src AS ({SRC}), free AS (SELECT floor_id, x, y FROM f_cells WHERE floor_id=0 AND passable=1 AND x<24 AND y<24),
- d AS (SELECT floor_id, source_id, x, y, 0 AS steps FROM src UNION SELECT d.floor_id, d.source_id, f.x, f.y, d.steps+1 FROM d JOIN free f ON abs(f.x-d.x)+abs(f.y-d.y)=1 WHERE d.steps<26) SELECT floor_id, x, y, min(steps) AS steps FROM d GROUP BY floor_id, x, y""")(
-    lambda t: regions(t).select("floor_id", "x", "y", "steps")
-)
+SRC = "SELECT floor_id, x, y, row_number() OVER (PARTITION BY floor_id ORDER BY y, x) AS source_id FROM f_cells WHERE passable=1 AND x%12=5 AND y%12=7"
+regions = lambda t: ra.multi_source_regions(t("f_cells"), t.sql(SRC))
+query("gra12_multi_source_regions")(lambda t: regions(t).select("floor_id", "x", "y", "source_id", "steps"))
 query("gra13_region_boundary_edges")(lambda t: ra.region_boundary_edges(regions(t)).select("floor_id", "a", "b", "steps", "weight"))
 query("gra14_trace_region_paths")(lambda t: trace(t))
 
@@ -69,8 +64,6 @@ query("gra21_skeleton_nodes")(lambda t: ra.skeleton_nodes(ra.corridor_skeleton(f
 PTH = "SELECT floor_id AS path_id, floor_id, x AS seq, x, y FROM f_cells WHERE y=1 AND x>0 AND x<47"
 query("gra8_greedy_visibility_simplify")(lambda t: ra.greedy_visibility_simplify(t.sql(PTH), t("f_cells")).select("path_id", "seq"))
 query("gra24_rdp_simplify")(lambda t: ra.rdp_simplify(t.sql("SELECT route_id AS path_id, seq, x, y FROM f_waypoints"), 0.1).select("path_id", "seq"))
-GP = "SELECT s.source_id AS pair_id, s.floor_id, s.x AS x0, s.y AS y0, e.x AS x1, e.y AS y1 FROM ({s}) s JOIN ({s}) e ON e.source_id=s.source_id+1 WHERE s.source_id<3"
-query("gra6_grid_shortest_paths")(lambda t: ra.grid_shortest_paths(t.sql(GP.format(s=SRC)), part(t)).select("pair_id", "cost", F.size("path").alias("cells")))
 query("src2_decode_grid_cells", "SELECT floor_id::VARCHAR AS floor_id, x, y, passable FROM f_cells")(lambda t: io.decode_grid_cells(io.encode_grid_cells(t("f_cells"))).drop("dist"))
 query("src3_write_grid_cells")(lambda t: io.encode_grid_cells(t("f_cells")).select("floorId", "width", "height", "data"))
 DOC = lambda t: (

@@ -11,7 +11,7 @@ from wayfarer.operators import spatial as sp
 from wayfarer.plans.registry import now, query, r6
 from wayfarer.plans.social_queries import VOTED, voted
 
-PTS = "SELECT alert_id AS point_id, floor_id, x, y FROM f_alerts WHERE alert_id%40=0"
+PTS = "SELECT alert_id AS point_id, floor_id, x, y FROM f_alerts"
 SEGS = "SELECT route_id*10+seq AS seg_id, route_id, route_id AS viewer_id, floor_id, x AS x0, y AS y0, x1, y1 FROM (SELECT *, lead(x) OVER (PARTITION BY route_id ORDER BY seq) AS x1, lead(y) OVER (PARTITION BY route_id ORDER BY seq) AS y1 FROM f_waypoints) w WHERE x1 IS NOT NULL"
 DIST = "sqrt(pow({px}-({ax}+f*({bx}-{ax})),2)+pow({py}-({ay}+f*({by}-{ay})),2))"
 FRAC = "coalesce(least(1.0,greatest(0.0,(({px}-{ax})*({bx}-{ax})+({py}-{ay})*({by}-{ay}))/nullif(pow({bx}-{ax},2)+pow({by}-{ay},2),0))),0)"
@@ -51,7 +51,6 @@ query("joi19_snap_to_passable",
 query("joi23_edge_lookup", "WITH b AS (SELECT src, dst, weight, inter_floor FROM f_edges UNION ALL SELECT dst, src, weight, inter_floor FROM f_edges) SELECT n.node_id AS src, n.node_id+7 AS dst, min(weight) AS weight FROM f_nodes n JOIN b ON b.src=n.node_id AND b.dst=n.node_id+7 GROUP BY ALL UNION ALL SELECT n.node_id, n.node_id-70, min(weight) FROM f_nodes n JOIN b ON b.src=n.node_id AND b.dst=n.node_id-70 GROUP BY ALL")(
     lambda t: ro.edge_lookup(t("f_nodes").select(F.col("node_id").alias("src"), F.explode(F.array(F.col("node_id") + 7, F.col("node_id") - 70)).alias("dst")), t("f_edges")).select("src", "dst", "weight")
 )
-LAT = "SELECT row_number() OVER (ORDER BY floor_id, y, x) AS node_id, floor_id, x, y FROM f_cells WHERE x%6=0 AND y%6=0 AND passable=1"
 LAT_SPARK = "SELECT floor_id*10000+y*100+x AS node_id, floor_id, x, y FROM f_cells WHERE x%6=0 AND y%6=0 AND passable=1"
 query("joi24_lattice_edges", f"WITH p AS ({LAT_SPARK}) SELECT a.node_id AS src, b.node_id AS dst, 6.0::DOUBLE AS weight FROM p a JOIN p b ON a.floor_id=b.floor_id AND ((b.x=a.x+6 AND b.y=a.y) OR (b.x=a.x AND b.y=a.y+6))")(
     lambda t: sp.lattice_edges(t.sql(LAT_SPARK), 6)
@@ -96,8 +95,8 @@ def door_paths(t):
     return sp.door_signature(items.withColumnRenamed("seg_id", "path_id"), t("f_walls")).select("path_id", F.round("r", 4).alias("r"))
 
 
-ISO = "SELECT * FROM f_nodes WHERE node_id%25=0"
-query("top4_nearest_candidates", f"SELECT node_id, other_id, row_number() OVER (PARTITION BY node_id ORDER BY d, other_id) AS place FROM (SELECT a.node_id, b.node_id AS other_id, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS d FROM ({ISO}) a JOIN f_nodes b ON a.floor_id=b.floor_id AND a.node_id<>b.node_id) q QUALIFY place<=5")(
+ISO = "SELECT * FROM f_nodes"
+query("top4_nearest_candidates", f"SELECT node_id, other_id, row_number() OVER (PARTITION BY node_id ORDER BY d, other_id) AS place FROM (SELECT a.node_id, b.node_id AS other_id, round(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)),9) AS d FROM ({ISO}) a JOIN f_nodes b ON a.floor_id=b.floor_id AND a.node_id<>b.node_id) q QUALIFY place<=5")(
     lambda t: sp.nearest_candidates(t("f_nodes"), t.sql(ISO))
 )
 
@@ -105,7 +104,6 @@ query("top4_nearest_candidates", f"SELECT node_id, other_id, row_number() OVER (
 CUM = "m AS (SELECT *, sum(coalesce(sqrt(pow((x-px)*100,2)+pow((y-py)*80,2)),0)) OVER (PARTITION BY route_id ORDER BY seq) AS cum FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM f_waypoints WINDOW w AS (PARTITION BY route_id ORDER BY seq)) a)"
 measured = lambda t: ro.cumulative_distance(t("f_waypoints"))
 query("win3_path_cumulative_distance", f"WITH {CUM} SELECT route_id, seq, round(cum,6) AS cum FROM m")(lambda t: r6(measured(t).select("route_id", "seq", "cum"), "cum"))
-REP = "SELECT route_id, seq, CASE WHEN seq%3=1 OR route_id%5=0 THEN 1.0 ELSE lat END AS lat, CASE WHEN seq%3=1 OR route_id%5=0 THEN 2.0 ELSE lon END AS lon FROM (SELECT route_id, seq - CASE WHEN seq=2 THEN 0 ELSE 0 END AS seq, lat, lon FROM f_route_points) r"
 REP = "SELECT route_id, seq, cast(floor(seq/2) + case when route_id%5=0 then -floor(seq/2) else 0 end as double) AS lat, cast(1 as double) AS lon FROM f_route_points"
 query("win4_drop_repeat_points", f"SELECT route_id, seq, lat FROM (SELECT *, count(*) OVER (PARTITION BY route_id) AS n FROM (SELECT *, lag(lat) OVER (PARTITION BY route_id ORDER BY seq) AS pl FROM ({REP}) r) a WHERE pl IS NULL OR pl<>lat) b WHERE n>=2")(
     lambda t: ro.drop_repeat_points(t.sql(REP)).select("route_id", "seq", "lat")
@@ -175,18 +173,15 @@ query("agg7_floor_entrance", "WITH d AS (SELECT n AS node_id, count(*) AS degree
 query("agg14_graph_meta_counts", "WITH e AS (SELECT floor_id, count(*) AS edges, sum(inter_floor::INT)::BIGINT AS inter FROM f_edges JOIN f_nodes ON src=node_id GROUP BY floor_id), n AS (SELECT floor_id, count(*) AS nodes, sum((type='room')::INT)::BIGINT AS rooms FROM f_nodes GROUP BY floor_id) SELECT floor_id, nodes, rooms, coalesce(edges,0) AS edges, coalesce(inter,0) AS inter_floor FROM n LEFT JOIN e USING (floor_id) UNION ALL SELECT NULL, sum(nodes)::BIGINT, sum(rooms)::BIGINT, sum(edges)::BIGINT, sum(inter)::BIGINT FROM n LEFT JOIN e USING (floor_id)")(
     lambda t: gr.graph_meta_counts(t("f_nodes"), t("f_edges"))
 )
-FEW = "f_nodes WHERE node_id<300"
-EDG = "SELECT src AS a, dst AS b FROM f_edges WHERE NOT inter_floor AND src<300 AND dst<300"
+FEW = "f_nodes"
+EDG = "SELECT src AS a, dst AS b FROM f_edges WHERE NOT inter_floor"
 CC = f"""r AS (SELECT node_id AS node, node_id AS seen FROM {FEW} UNION SELECT r.node, e.b FROM r JOIN (SELECT a, b FROM ({EDG}) x UNION ALL SELECT b, a FROM ({EDG}) y) e ON r.seen=e.a), cc AS (SELECT node AS node_id, min(seen) AS component FROM r GROUP BY node)"""
-comps = lambda t: gr.connected_components(t("f_nodes").filter("node_id < 300"), t("f_edges"))
+comps = lambda t: gr.connected_components(t("f_nodes"), t("f_edges"))
 query("gra1_connected_components", f"WITH RECURSIVE {CC} SELECT * FROM cc")(comps)
 query("gra2_largest_component", f"WITH RECURSIVE {CC} SELECT node_id FROM cc WHERE component=(SELECT component FROM cc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")(lambda t: gr.largest_component(comps(t)).select("node_id"))
-PAIRS = "SELECT node_id AS pair_id, node_id AS start_id, node_id+7*(1+node_id%4) AS goal_id FROM f_nodes WHERE node_id%35<7 AND node_id%2=1 AND node_id<280"
-SP = """d AS (SELECT src AS a, dst AS b, weight + {pen} AS w FROM f_edges {jb} WHERE src<300 AND dst<300 UNION ALL SELECT dst, src, weight + {pen2} FROM f_edges {ja} WHERE src<300 AND dst<300),
- p AS (SELECT pair_id, goal_id, start_id AS at, 0.0::DOUBLE AS cost, [start_id] AS seen FROM ({pairs}) q UNION ALL SELECT pair_id, goal_id, d.b, cost+w, list_append(seen, d.b) FROM p JOIN d ON p.at=d.a WHERE NOT list_contains(seen, d.b) AND p.at<>goal_id AND len(seen)<{most} AND abs(d.b - goal_id) <= 100)"""
-PLAIN = SP.format(pen="0", pen2="0", jb="", ja="", pairs=PAIRS, most=9)
-query("gra4_shortest_paths")(lambda t: gr.shortest_paths(t.sql(PAIRS), t("f_edges").filter("src < 300 and dst < 300")).select("pair_id", "cost", F.size("path").alias("n_nodes")))
+PAIRS = "SELECT node_id AS pair_id, node_id AS start_id, node_id+7*(1+node_id%4) AS goal_id FROM f_nodes WHERE node_id%35=3"
+query("gra4_shortest_paths")(lambda t: gr.shortest_paths(t.sql(PAIRS), t("f_edges")).select("pair_id", "cost", F.size("path").alias("n_nodes")))
 query("gra5_shortest_paths_penalty")(
-    lambda t: gr.shortest_paths_avoiding(t.sql(PAIRS), t("f_edges").filter("src < 300 and dst < 300"), t("f_nodes").filter("type = 'stairwell'").select("node_id")).select("pair_id", "cost")
+    lambda t: gr.shortest_paths_avoiding(t.sql(PAIRS), t("f_edges"), t("f_nodes").filter("type = 'stairwell'").select("node_id")).select("pair_id", "cost")
 )
 query("gra11_link_shafts")(lambda t: gr.link_shafts(t("f_nodes").filter("type in ('elevator', 'stairwell')"), t("f_edges"), 0.2).select("src", "dst", "group_id"))

@@ -33,7 +33,7 @@ query("top2_upcoming_events", f"WITH RECURSIVE {OCC} SELECT user_id, event_id, o
 query("agg16_calendar_marked_dates", f"WITH RECURSIVE {OCC} SELECT user_id, occurs_on, count(*) AS events, sum(notify::INT)::BIGINT AS reminders FROM occ GROUP BY user_id, occurs_on")(
     lambda t: calendar.marked_dates(occurrences(t))
 )
-EDITS = "SELECT event_id, CASE WHEN event_id%3=0 THEN event_date WHEN recurrence='daily' THEN event_date + CAST(2*recurrence_interval AS INTEGER) WHEN recurrence='weekly' THEN event_date + CAST(7*recurrence_interval AS INTEGER) ELSE event_date END AS on_date, CASE WHEN event_id%2=0 THEN 'this' ELSE 'following' END AS scope FROM f_cal WHERE event_id%5=0"
+EDITS = "SELECT event_id, CASE WHEN event_id%3=0 THEN event_date WHEN recurrence='daily' THEN event_date + CAST(2*recurrence_interval AS INTEGER) WHEN recurrence='weekly' THEN event_date + CAST(7*recurrence_interval AS INTEGER) ELSE event_date END AS on_date, CASE WHEN event_id%2=0 THEN 'this' ELSE 'following' END AS scope FROM f_cal"
 SPARK_EDITS = EDITS.replace("event_date + CAST(2*recurrence_interval AS INTEGER)", "date_add(event_date, 2*recurrence_interval)").replace("event_date + CAST(7*recurrence_interval AS INTEGER)", "date_add(event_date, 7*recurrence_interval)")
 query(
     "exp3_split_series",
@@ -74,7 +74,7 @@ query(
   CASE WHEN kw THEN regexp_extract(location, '(?i)(?:room|rm|ste|suite|#)\\s*([\\w.\\-]+)', 1) WHEN contains(location,' - ') THEN split_part(location,' - ',2) WHEN regexp_matches(location, '^(.+?)\\s+(\\d+(?:\\.\\d+)?)$') THEN regexp_extract(location, '^(.+?)\\s+(\\d+(?:\\.\\d+)?)$', 2) ELSE '' END AS room FROM p)
  SELECT event_id, coalesce(code, b) AS building, room FROM s LEFT JOIN bk ON bk.key=lower(b)""",
 )(lambda t: places.parse_location(t.sql(LOC), dictionary(t)).select("event_id", "building", "room"))
-ROOMQ = "SELECT node_id AS query_id, node_id%20 AS site, CASE node_id%5 WHEN 0 THEN 'Room ' || label WHEN 1 THEN replace(label,'.','') WHEN 2 THEN substr(label,1,3) WHEN 3 THEN cast(1+node_id%7 as varchar(2)) || '.' || cast(105+node_id%900 as varchar(8)) ELSE '9 . 99z' END AS text FROM f_nodes WHERE node_id%10=3 OR node_id%7=0"
+ROOMQ = "SELECT node_id AS query_id, node_id%20 AS site, CASE node_id%5 WHEN 0 THEN 'Room ' || label WHEN 1 THEN replace(label,'.','') WHEN 2 THEN substr(label,1,3) WHEN 3 THEN cast(1+node_id%7 as varchar(2)) || '.' || cast(105+node_id%900 as varchar(8)) ELSE '9 . 99z' END AS text FROM f_nodes"
 SITED = "SELECT *, node_id%20 AS site FROM f_nodes"
 query(
     "joi20_resolve_room",
@@ -85,7 +85,7 @@ query(
   WHEN qf<>'' AND starts_with(l, qf||'.') AND l = qf||'.'||qn::VARCHAR||qs THEN 3 WHEN qf<>'' AND starts_with(l, qf||'.') AND (qs='' OR qs=ls) AND abs(ln-qn)<=12 THEN 4 END AS tier FROM p)
  SELECT query_id, node_id, tier FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE WHEN tier=4 THEN abs(ln-qn) ELSE 0 END, CASE WHEN tier=1 THEN l ELSE '' END, CASE WHEN tier=1 THEN label ELSE '' END, node_id)=1""",
 )(lambda t: places.resolve_room(t.sql(ROOMQ), t.sql(SITED)))
-PLQ = "SELECT place_id AS query_id, CASE WHEN place_id%3=0 THEN name ELSE 'supplier' END AS text, lat+0.001 AS lat, lon-0.001 AS lon FROM f_places WHERE place_id%4=0"
+PLQ = "SELECT place_id AS query_id, CASE WHEN place_id%3=0 THEN name ELSE 'supplier' END AS text, lat+0.001 AS lat, lon-0.001 AS lon FROM f_places"
 query(
     "joi22_ring_place_search",
     f"""WITH q AS ({PLQ}), h AS (SELECT query_id, place_id, greatest(abs(p.lat-q.lat), abs(p.lon-q.lon)) AS far FROM q JOIN f_places p ON contains(lower(p.name), lower(q.text))),
