@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from wayfarer.llm.common import cut
 
 MOST_ROUNDS = 60
+#: Edges per task: a round over few edges makes few tasks and few shuffle files.
+TASK_EDGES = 200_000
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:
@@ -29,15 +31,16 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             break
-        seen = mark
+        seen, tasks = mark, 1 + mark[0] // TASK_EDGES
+        now = now.coalesce(tasks)
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b"), F.col("a")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _oriented(both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+        large = _oriented(both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))).coalesce(tasks)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
             low.select("a", F.col("m").alias("b"))
         )
-        now = cut(_oriented(small))
+        now = cut(_oriented(small).coalesce(tasks))
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select("b", "b").distinct())
