@@ -1,11 +1,16 @@
 """Line dedup with content-defined chunks.
 
 A text is split at line feeds. A hash rolls over the hashes of ``WINDOW`` consecutive
-lines; a line ends a chunk where the rolled hash is divisible by ``DIVISOR``, or where
-the chunk has ``MOST`` lines. Boundaries depend on nearby lines alone, so they return
-to the same places after lines were inserted or removed above.
+lines; a line ends a chunk where the rolled hash is divisible by ``DIVISOR`` and the
+chunk has ``LEAST`` lines, or where it has ``MOST``. Fewer lines than ``LEAST`` at the end
+of a text join the chunk before. Boundaries depend on nearby lines alone, so they return
+to the same places soon after lines were inserted or removed above.
 
-Chunks of at least ``LEAST`` lines that occur more than once in the corpus are kept at
+Every line of a text of at least ``LEAST`` lines is in a chunk, so a full copy loses all
+its lines. Repeated passages are not extended beyond their chunks: where a passage's first
+or last chunk mixes with other lines, those lines stay.
+
+Chunks that occur more than once in the corpus are kept at
 their first place (smallest doc_id, then position) and removed elsewhere. Digests name
 the chunks; the bytes of all chunks under a digest are compared by their smallest and
 largest text, in an aggregation that combines before the shuffle, and a digest whose
@@ -42,14 +47,16 @@ def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
         while end - start > MOST:
             ends.append((start, start + MOST))
             start += MOST
-        if end > start:
+        if end - start >= LEAST:
             ends.append((start, end))
             start = end
+    if start < len(lines):  # too few lines are left for a chunk of their own
+        ends[-1:] = [(ends[-1][0] if ends else start, len(lines))]
     return ends
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, first_line, n_lines, digest, chunk: every chunk of at least LEAST lines."""
+    """doc_id, first_line, n_lines, digest, chunk: every chunk of the texts of at least LEAST lines."""
     names = ["doc_id", "first_line", "n_lines", "digest", "chunk"]
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
