@@ -51,3 +51,44 @@ def test_mixing_large_rates(documents_of):
     docs = documents_of([(1, "a", "one"), *[(i, "b", "rest") for i in range(2, 4000)]])
     got = mixing.mix_sources(docs).groupBy("source").count().collect()
     assert {x["source"]: abs(x["count"] - 2000) < 250 for x in got} == {"one": True, "rest": True}
+
+
+def test_rare_sources_give_the_rows_of_the_sql(spark, documents_of, tmp_path):
+    import duckdb
+
+    from wayfarer.llm.queries import OP9_SQL, op9_mix_sources
+
+    rows = [(i, f"t{i}", ("a", "b", "c")[i % 3]) for i in range(9000)]
+    rows += [(9000 + i, f"t{i}", "rare") for i in range(3)] + [(9100 + i, "x", "some") for i in range(4)] + [(9200, "n", None)]
+    documents_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["doc_id", "text", "lang", "source", "n_chars", "n_copies", "copy", "shuffle_key"]
+    got = sorted((tuple(x[c] for c in names) for x in op9_mix_sources(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"select {', '.join(names)} from ({OP9_SQL})").fetchall(), key=str)
+    assert got == want
+    assert {x[3]: x[5] for x in got}[None] > mixing.TABLE_MOST
+
+
+def test_large_rates_are_inverted(spark):
+    import math
+
+    rates = [513.0, 1000.5, 14286.7, 250000.25]
+    us = [2.0**-52, 1e-9, 0.01, 0.25, 0.5, 0.75, 0.99, 1 - 1e-9]
+
+    def poisson(rate, u):
+        k, c = max(0, int(rate - 14 * math.sqrt(rate))), 0.0
+        terms = []
+        while not terms or k <= rate + 14 * math.sqrt(rate):
+            terms.append(math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)))
+            k += 1
+        for n, p in enumerate(terms):
+            c += p
+            if c > u:
+                return k - len(terms) + n
+        return k
+
+    table = spark.createDataFrame([(r, u) for r in rates for u in us], "rate double, u double")
+    for x in table.selectExpr("rate", "u", f"{mixing._inverted('rate', 'u')} as n").collect():
+        slack = 0 if 1e-9 < x.u < 0.995 else math.sqrt(x.rate) / 4  # sums at the ends depend on rounding
+        assert abs(x.n - poisson(x.rate, x.u)) <= slack

@@ -13,8 +13,10 @@ texts are kept as they are; rows that repeat a doc_id get the same number of
 copies each. An empty table gives an empty result. Columns of ``docs`` called
 like the added ones (copy, n_copies, shuffle_key) are replaced.
 
-Above ``NORMAL_ABOVE`` the Poisson distribution is inverted by its normal
-approximation with a hash-seeded normal number, so no long table is built.
+Every rate is inverted. Up to ``TABLE_MOST`` a source has one table of the cumulative
+distribution. Above it, where a source has few rows beside the others, each row sums
+the distribution itself, in logs over 12 standard deviations on both sides of the rate
+(less than 1e-30 lies outside), so no long table is built or joined.
 """
 
 from __future__ import annotations
@@ -25,11 +27,27 @@ from pyspark.sql import functions as F
 from wayfarer.llm.common import uniform
 
 SEED = 17
-NORMAL_ABOVE = 512.0
+TABLE_MOST = 512.0
 #: Copies made by one row of the first explosion; a second one makes the rest.
 BLOCK = 1024
 
 
+def _inverted(rate: str, u: str) -> str:
+    """SQL of the number of values at or below u in the cumulative Poisson distribution of a large rate.
+
+    ln(k!) is taken by Stirling's series, whose error is below 1e-15 at these k.
+    """
+    chance = (
+        f"exp(k * ln({rate} / k) + (k - {rate}) - 0.5D * ln(2 * pi() * k) - 1 / (12D * k) + 1 / (360D * k * k * k))"
+    )
+    first = f"cast(floor({rate} - 12 * sqrt({rate})) as bigint)"
+    last = f"cast(ceil({rate} + 12 * sqrt({rate}) + 24) as bigint)"
+    return f"""aggregate(transform(sequence({first}, {last}), k -> {chance}),
+        named_struct('c', 0D, 'n', {first}),
+        (s, p) -> named_struct('c', s.c + p, 'n', s.n + if(s.c + p <= {u}, 1L, 0L)),
+        s -> s.n)"""
+
+
 def source_rates(
     docs: DataFrame, weights: dict | None = None, epochs: float = 1.0, source_col: str = "source"
 ) -> DataFrame:
@@ -50,7 +68,7 @@ def source_rates(
         .withColumn(
             "cdf",
             F.expr(
-                f"""case when rate <= 0 then array(1.0D) when rate > {NORMAL_ABOVE}D then array()
+                f"""case when rate <= 0 then array(1.0D) when rate > {TABLE_MOST}D then array()
                 else aggregate(sequence(1, top),
                   named_struct('lp', -rate, 'c', exp(-rate), 'a', array(exp(-rate))),
                   (s, k) -> named_struct('lp', s.lp + ln(rate) - ln(k), 'c', s.c + exp(s.lp + ln(rate) - ln(k)),
@@ -72,17 +90,12 @@ def with_copies(
     """``docs`` with n_copies, the hash-seeded Poisson count of each row; no row is dropped yet."""
     rates = source_rates(docs, weights, epochs, source_col)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    u, v = uniform(F.lit(str(seed)), key), uniform(F.lit(str(seed + 1)), key)
-    normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
-    rows = docs.drop("copy", "n_copies", "shuffle_key").withColumn("mix_u", u)
+    rows = docs.drop("copy", "n_copies", "shuffle_key").withColumn("mix_u", uniform(F.lit(str(seed)), key))
     return (
         rows.join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
         .withColumn(
             "n_copies",
-            F.when(
-                F.col("rate") > NORMAL_ABOVE,
-                F.greatest(F.lit(0), F.floor(F.col("rate") + F.sqrt("rate") * normal + 0.5)),
-            )
+            F.when(F.col("rate") > TABLE_MOST, F.expr(_inverted("rate", "mix_u")))
             .otherwise(F.expr("size(filter(cdf, c -> c <= mix_u))"))
             .cast("long"),
         )
