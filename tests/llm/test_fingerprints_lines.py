@@ -63,6 +63,71 @@ def test_near_duplicates(documents_of):
     assert got == [(2, 1), (4, 1)]
 
 
+def components_of(pairs):
+    """The smallest member of each linked document's component."""
+    at = {}
+    root = lambda x: x if at.setdefault(x, x) == x else root(at[x])
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        at[max(a, b)] = min(a, b)
+    return {x: root(x) for x in at}
+
+
+def brute_near(rows):
+    """All pairs (larger, smaller doc_id) of texts with words that are 0.8 alike."""
+    sets = [(d, set(fingerprints.shingles(t).tolist())) for d, t in rows if d is not None and (t or "").split()]
+    holders = {}
+    for k, (_, s) in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    out = []
+    for k, (d, s) in enumerate(sets):
+        shared = {}
+        for x in s:
+            for o in holders[x]:
+                if o < k:
+                    shared[o] = shared.get(o, 0) + 1
+        out += [
+            (max(d, sets[o][0]), min(d, sets[o][0]))
+            for o, n in shared.items()
+            if n / (len(s) + len(sets[o][1]) - n) >= fingerprints.THRESHOLD
+        ]
+    return out
+
+
+def test_no_link_is_lost_behind_a_less_alike_leader(documents_of):
+    r = random.Random(21)
+    rows = []
+    for group in range(3):
+        base = words(r, 240).split()
+        # each lacks another stretch, so that one of them leads every bucket of the last two
+        rows += [(group * 300 + i, " ".join(base[:i] + words(r, 42).split() + base[i + 42 :])) for i in range(0, 199, 2)]
+        near = base[:]
+        for i in (205, 213, 221, 229):
+            near[i] = "zz"
+        rows += [(1000 + group, " ".join(base)), (2000 + group, " ".join(near))]
+    want = brute_near(rows)
+    assert want == [(2000 + group, 1000 + group) for group in range(3)]
+    assert sorted((x.doc_id, x.near_id) for x in fingerprints.near_duplicates(documents_of(rows)).collect()) == want
+
+
+def test_pairs_of_a_bucket_meet_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK", 3)
+    table = [(d, 1, b, d if d % 4 else 0) for b in (1, 2) for d in range(b, 20)] + [(50, 1, 3, 50), (51, 1, 3, 50)]
+    rows = spark.createDataFrame(table, "doc_id long, n_shingles long, bucket long, label long")
+    got = sorted((x.bucket, x.doc_id, x.o_doc_id) for x in fingerprints._across(rows).collect())
+    want = [(b, d, e) for d, _, b, l in table for e, _, c, m in table if b == c and d > e and l != m]
+    assert got == sorted(want)
+
+
+def test_near_duplicates_of_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_near([(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()])
+    got = [(x.doc_id, x.near_id) for x in fingerprints.near_duplicates(docs).collect()]
+    assert set(got) <= set(want)
+    assert components_of(got) == components_of(want)
+
+
 def brute_lines(rows):
     found = []
     for d, t in rows:

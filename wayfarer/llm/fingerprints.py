@@ -6,9 +6,14 @@ numpy, give the smallest value of each; the low 16 bits of the minima, as hexade
 text, are the fingerprint. The likeness of two fingerprints is the share of equal
 places, corrected for places that agree by chance.
 
-``near_duplicates`` joins the signature bands in Spark. Documents in a band bucket are
-linked to the smallest of the bucket, never to each other, and each link is verified
-by the Jaccard similarity of the real shingle sets. Equal sets are one class first.
+``near_duplicates`` joins the signature bands in Spark; each link is verified by the
+Jaccard similarity of the real shingle sets. Equal sets are one class first. In
+``ROUNDS`` rounds the documents of a band bucket meet one leader of it, first the
+smallest, then others, and those connected to a leader leave the next rounds, so large
+groups of copies settle without meeting each other. Then all pairs of a bucket that are
+not yet connected meet, dealt into pairs of blocks. Only pairs whose set sizes rule the
+similarity out, and pairs already connected by links, are left unverified: the links
+connect whatever any bucket's verified pairs would connect.
 
 ``with_next`` puts documents beside the next one by doc_id without a global window:
 doc_ids are dealt into ranges, each range is read in order as a stream, and a copy of
@@ -32,12 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.llm.common import cut
+from wayfarer.llm.components import connected
 
 WORDS = 5
 PERMS = 128
 BANDS = 32
 THRESHOLD = 0.8
 SEED = 11
+#: Rounds in which a bucket's documents meet one leader before the rest meet each other.
+ROUNDS = 3
+#: Documents of a bucket's block; two blocks meet in one group.
+BLOCK = 256
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -149,7 +159,7 @@ def fingerprints_with_next(docs: DataFrame, perms: int = PERMS, width: int = WOR
 
 
 def signatures(docs: DataFrame, perms: int = PERMS, width: int = WORDS) -> DataFrame:
-    """doc_id, set_digest, minima (array of long, null without words)."""
+    """doc_id, set_digest, n_shingles, minima (array of long, null without words)."""
 
     def of(batches):
         for batch in batches:
@@ -157,37 +167,19 @@ def signatures(docs: DataFrame, perms: int = PERMS, width: int = WORDS) -> DataF
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found = shingles(text, width)
                 sign = signature(found, perms)
-                rows.append((doc, xxhash.xxh128_digest(found.tobytes()), None if sign is None else sign.tolist()))
-            columns = list(zip(*rows)) or [[]] * 3
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                rows.append((doc, xxhash.xxh128_digest(found.tobytes()), len(found), None if sign is None else sign.tolist()))
+            columns = list(zip(*rows)) or [[]] * 4
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "set_digest", "minima"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "set_digest", "n_shingles", "minima"]
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(of, "doc_id long, set_digest binary, minima array<long>")
+    return texts.mapInArrow(of, "doc_id long, set_digest binary, n_shingles long, minima array<long>")
 
 
-def near_duplicates(
-    docs: DataFrame, threshold: float = THRESHOLD, perms: int = PERMS, bands: int = BANDS, width: int = WORDS
-) -> DataFrame:
-    """(doc_id, near_id, jaccard): verified links to the smallest document of a band bucket, and of an equal set."""
-    found = cut(signatures(docs.filter("doc_id is not null"), perms, width).filter("minima is not null"))
-    classes = found.groupBy("set_digest").agg(F.min("doc_id").alias("near_id"))
-    copies = found.join(classes, "set_digest").filter("doc_id > near_id").select("doc_id", "near_id", F.lit(1.0).alias("jaccard"))
-    rows_per_band = perms // bands
-    keys = F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda i: F.xxhash64(i, F.slice("minima", i * rows_per_band + 1, rows_per_band)),
-    )
-    leaders = found.join(classes.select(F.col("near_id").alias("doc_id")), "doc_id", "left_semi")
-    buckets = leaders.select("doc_id", F.explode(keys).alias("bucket"))
-    smallest = buckets.groupBy("bucket").agg(F.min("doc_id").alias("near_id"), F.max("doc_id").alias("last")).filter(
-        "near_id < last"
-    )
-    pairs = cut(buckets.join(smallest, "bucket").filter("doc_id > near_id").select("doc_id", "near_id").distinct())
-    needed = pairs.select("doc_id").unionAll(pairs.select("near_id")).distinct()
-    texts = cut(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"))
+def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, width: int) -> DataFrame:
+    """doc_id, near_id, jaccard of those pairs (doc_id, near_id) that are alike."""
 
     @F.pandas_udf("double")
     def jaccard(x, y):
@@ -200,10 +192,85 @@ def near_duplicates(
             out.append(both / max(1, len(s) + len(t) - both))
         return pd.Series(out)
 
-    verified = (
-        pairs.join(texts.select("doc_id", F.col("text").alias("x")), "doc_id")
-        .join(texts.select(F.col("doc_id").alias("near_id"), F.col("text").alias("y")), "near_id")
+    return (
+        pairs.join(docs.select("doc_id", F.col("text").alias("x")), "doc_id")
+        .join(docs.select(F.col("doc_id").alias("near_id"), F.col("text").alias("y")), "near_id")
         .select("doc_id", "near_id", jaccard("x", "y").alias("jaccard"))
         .filter(F.col("jaccard") >= threshold)
     )
-    return verified.unionByName(copies)
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with label, the component of doc_id under the links."""
+    found = connected(links.select(F.col("doc_id").alias("a"), F.col("near_id").alias("b")))
+    found = found.select(F.col("node").alias("doc_id"), "component")
+    return rows.drop("label").join(found, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs of each bucket's rows with different labels, by pairs of blocks; columns of the second are called o_*."""
+    mixed = (
+        rows.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .filter("low < high")
+        .select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    )
+    dealt = (
+        rows.join(mixed, "bucket")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+        .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        .drop("blocks", "other")
+    )
+    keys = ["bucket", "i", "j"]
+    second = dealt.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("doc_id", "n_shingles", "label", "block")])
+    # two rows of one block meet where i = j
+    return dealt.join(second, keys).filter("doc_id > o_doc_id and label <> o_label and (i = j or block <> o_block)")
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: float = THRESHOLD, perms: int = PERMS, bands: int = BANDS, width: int = WORDS
+) -> DataFrame:
+    """(doc_id, near_id, jaccard): verified links that connect all alike documents of a band bucket, and of an equal set."""
+    found = cut(signatures(docs.filter("doc_id is not null"), perms, width).filter("minima is not null"))
+    classes = found.groupBy("set_digest").agg(F.min("doc_id").alias("near_id"))
+    copies = found.join(classes, "set_digest").filter("doc_id > near_id").select("doc_id", "near_id", F.lit(1.0).alias("jaccard"))
+    rows_per_band = perms // bands
+    keys = F.transform(
+        F.sequence(F.lit(0), F.lit(bands - 1)),
+        lambda i: F.xxhash64(i, F.slice("minima", i * rows_per_band + 1, rows_per_band)),
+    )
+    leaders = found.join(classes.select(F.col("near_id").alias("doc_id")), "doc_id", "left_semi")
+    buckets = leaders.select("doc_id", "n_shingles", F.explode(keys).alias("bucket"), F.col("doc_id").alias("label"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    rows = cut(buckets.join(shared, "bucket"))
+
+    fits = F.least("n_shingles", "o_n_shingles") >= threshold * F.greatest("n_shingles", "o_n_shingles") - 1e-9
+    both = (F.greatest("doc_id", "o_doc_id").alias("doc_id"), F.least("doc_id", "o_doc_id").alias("near_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tested = links = None
+    unsettled = rows
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            order = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64(F.lit(turn), "doc_id"), "doc_id")
+            head = unsettled.groupBy("bucket").agg(
+                *[F.min_by(c, order).alias(f"o_{c}") for c in ("doc_id", "n_shingles", "label")]
+            )
+            met = unsettled.join(head, "bucket").filter("doc_id <> o_doc_id")
+            pairs = met.filter(F.col("label") != F.col("o_label"))
+        else:
+            pairs = _across(rows)
+        pairs = pairs.filter(fits).select(*both).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["doc_id", "near_id"], "left_anti"))
+        alike = cut(_verified(pairs, texts, threshold, width))
+        links = alike if links is None else links.unionByName(alike)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if turn < ROUNDS:
+            rows = cut(_labelled(rows, links))
+            now = rows.select("bucket", "doc_id", "label")
+            heads = head.select("bucket", "o_doc_id").join(
+                now.select("bucket", F.col("doc_id").alias("o_doc_id"), F.col("label").alias("o_label")), ["bucket", "o_doc_id"]
+            )
+            left = unsettled.drop("label").join(now, ["bucket", "doc_id"]).join(heads, "bucket")
+            unsettled = cut(left.filter("label <> o_label").select(*rows.columns))
+    return links.unionByName(copies)
