@@ -31,8 +31,8 @@ VIEWS = {
     "f_accel": """select user_id, event_id, ts, 0.0*value as ax, 0.0*value as ay, 0.8+value/100 as az, cast(event_id*41%360 as double) as heading_raw from events""",
     "f_attempts": """select event_id as attempt_id, user_id, ts as attempted_at from events where event_type in ('signup','error')""",
     "f_buildings": """select n_nationkey as ord, 'B' || cast(n_nationkey as varchar(4)) as code, lower(n_name) || ' hall' as full_name, n_name as display_name, case when n_nationkey%2=0 then n_name || ' campus' end as search_hint, lower(n_name) as alias_a, 'hall ' || cast(n_nationkey as varchar(4)) as alias_b from nation""",
-    "f_route_points": """select user_id as route_id, row_number() over (partition by user_id order by event_id) - 1 as seq, lat, lon from (select user_id, event_id, 30.28+cast(event_id*37%997 as double)/99700 as lat, -97.74+cast(event_id*211%991 as double)/99100 as lon, row_number() over (partition by user_id order by event_id) as rn from events) e where rn<=6""",
-    "f_waypoints": """select user_id as route_id, row_number() over (partition by user_id order by event_id) - 1 as seq, 'f' || cast(rn%3 as varchar(2)) as floor_id, cast(event_id*37%9973 as double)/9973 as x, cast(event_id*5471%9973 as double)/9973 as y from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as rn from events) e where rn<=5""",
+    "f_route_points": """select user_id*1000000007 + cast(floor((rn-1)/6) as bigint) as route_id, (rn-1)%6 as seq, lat, lon from (select user_id, 30.28+cast(event_id*37%997 as double)/99700 as lat, -97.74+cast(event_id*211%991 as double)/99100 as lon, row_number() over (partition by user_id order by event_id) as rn from events) e""",
+    "f_waypoints": """select user_id*1000000007 + cast(floor((rn-1)/5) as bigint) as route_id, user_id, (rn-1)%5 as seq, 'f' || cast(rn%3 as varchar(2)) as floor_id, cast(event_id*37%9973 as double)/9973 as x, cast(event_id*5471%9973 as double)/9973 as y from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as rn from events) e""",
     "f_walls": """select s_suppkey as seg_id, 'f' || cast(s_suppkey%7 as varchar(2)) as floor_id, cast(s_suppkey*37%997 as double) as x0, cast(s_suppkey*211%991 as double) as y0, cast(s_suppkey*37%997 as double) + cast(s_suppkey%3 as double)*cast(5+s_suppkey%400 as double) as x1, cast(s_suppkey*211%991 as double) + cast((s_suppkey+1)%2 as double)*cast(3+s_suppkey%90 as double) as y1 from supplier""",
 }
 

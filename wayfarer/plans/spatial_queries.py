@@ -12,7 +12,7 @@ from wayfarer.plans.registry import now, query, r6
 from wayfarer.plans.social_queries import VOTED, voted
 
 PTS = "SELECT alert_id AS point_id, floor_id, x, y FROM f_alerts"
-SEGS = "SELECT route_id*10+seq AS seg_id, route_id, route_id AS viewer_id, floor_id, x AS x0, y AS y0, x1, y1 FROM (SELECT *, lead(x) OVER (PARTITION BY route_id ORDER BY seq) AS x1, lead(y) OVER (PARTITION BY route_id ORDER BY seq) AS y1 FROM f_waypoints) w WHERE x1 IS NOT NULL"
+SEGS = "SELECT route_id*10+seq AS seg_id, route_id, user_id AS viewer_id, floor_id, x AS x0, y AS y0, x1, y1 FROM (SELECT *, lead(x) OVER (PARTITION BY route_id ORDER BY seq) AS x1, lead(y) OVER (PARTITION BY route_id ORDER BY seq) AS y1 FROM f_waypoints) w WHERE x1 IS NOT NULL"
 DIST = "sqrt(pow({px}-({ax}+f*({bx}-{ax})),2)+pow({py}-({ay}+f*({by}-{ay})),2))"
 FRAC = "coalesce(least(1.0,greatest(0.0,(({px}-{ax})*({bx}-{ax})+({py}-{ay})*({by}-{ay}))/nullif(pow({bx}-{ax},2)+pow({by}-{ay},2),0))),0)"
 S = dict(px="x", py="y", ax="x0", ay="y0", bx="x1", by="y1")
@@ -125,7 +125,7 @@ query("win6_path_direction", f"WITH {CUM}, {BR}, p AS ({pos(0)}), z AS ({pos(3)}
 HAV = "2*6371*atan2(sqrt(pow(sin(radians({b}-{a})/2),2)+cos(radians({a}))*cos(radians({b}))*pow(sin(radians({d}-{c})/2),2)), sqrt(1-(pow(sin(radians({b}-{a})/2),2)+cos(radians({a}))*cos(radians({b}))*pow(sin(radians({d}-{c})/2),2))))"
 GEO = "g AS (SELECT *, lead(lat) OVER w AS lat1, lead(lon) OVER w AS lon1 FROM f_route_points WINDOW w AS (PARTITION BY route_id ORDER BY seq))"
 query("win14_polyline_length", f"WITH {GEO} SELECT route_id, round(coalesce(sum({HAV.format(a='lat', b='lat1', c='lon', d='lon1')}),0),6) AS km FROM g GROUP BY route_id")(lambda t: r6(ro.polyline_length(t("f_route_points")), "km"))
-PIN = "SELECT user_id AS point_id, user_id AS route_id, max(lat)+0.0005 AS plat, min(lon)-0.0003 AS plon FROM f_pings GROUP BY user_id"
+PIN = "SELECT route_id AS point_id, route_id, max(lat)+0.0005 AS plat, min(lon)-0.0003 AS plon FROM f_route_points GROUP BY route_id"
 PROJ = f"""{GEO}, pj AS (SELECT p.point_id, p.route_id, plat, plon, seq, lat, lon, coalesce(lat1,lat) AS lat1, coalesce(lon1,lon) AS lon1, count(*) OVER (PARTITION BY p.point_id) AS n, g.lat1 IS NULL AS lst FROM ({PIN}) p JOIN g ON p.route_id=g.route_id),
  pf AS (SELECT *, coalesce(least(1.0,greatest(0.0,((plon-lon)*(lon1-lon)+(plat-lat)*(lat1-lat))/nullif(pow(lon1-lon,2)+pow(lat1-lat,2),0))),0) AS f FROM pj WHERE NOT lst OR n=1), pq AS (SELECT *, lat+f*(lat1-lat) AS qlat, lon+f*(lon1-lon) AS qlon FROM pf), pm AS (SELECT *, {HAV.format(a='plat', b='qlat', c='plon', d='qlon')}*1000 AS m FROM pq)"""
 query("win15_point_to_polyline", f"WITH {PROJ} SELECT point_id, round(min(m),4) AS metres FROM pm GROUP BY point_id")(lambda t: ro.point_to_polyline(t.sql(PIN), t("f_route_points")).withColumn("metres", F.round("metres", 4)))
@@ -140,8 +140,8 @@ LINE = "SELECT floor_id AS route_id, x AS seq, x, cast(floor(y/2) as bigint) AS
 query("win13_collinear_simplify", f"WITH p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM ({LINE}) l WINDOW w AS (PARTITION BY route_id ORDER BY seq)) SELECT route_id, seq, x, y FROM p WHERE px IS NULL OR nx IS NULL OR (x-px)*(ny-y)-(y-py)*(nx-x)<>0")(
     lambda t: ro.collinear_simplify(t.sql(LINE))
 )
-NPATH = "SELECT node_id - node_id%50 AS route_id, node_id%50 AS seq, node_id FROM f_nodes WHERE node_id%50<4"
-HOPEDGE = "SELECT node_id AS src, node_id+1 AS dst, cast(1 as double) AS weight, node_id%50=1 OR (node_id%50=0 AND node_id%100=0) AS inter_floor FROM f_nodes WHERE node_id%50<3"
+NPATH = "SELECT node_id - node_id%4 AS route_id, node_id%4 AS seq, node_id FROM f_nodes"
+HOPEDGE = "SELECT node_id AS src, node_id+1 AS dst, cast(1 as double) AS weight, node_id%4=1 OR (node_id%4=0 AND node_id%100=0) AS inter_floor FROM f_nodes WHERE node_id%4<3"
 FLOORS = "SELECT DISTINCT floor_id, 'Floor ' || floor_id AS name FROM f_nodes"
 segs = lambda t: ro.route_segments(t.sql(NPATH), t("f_nodes"), t.sql(HOPEDGE), t.sql(FLOORS))
 SEGSQL = f"""n AS (SELECT p.*, floor_id, label, type FROM ({NPATH}) p JOIN f_nodes USING (node_id)), w AS (SELECT route_id, max(CASE WHEN seq=0 THEN floor_id END) f0, max(CASE WHEN seq=1 THEN floor_id END) f1, max(CASE WHEN seq=2 THEN floor_id END) f2, max(CASE WHEN seq=3 THEN label END) l3, max(CASE WHEN seq=0 THEN type END) t0, max(CASE WHEN seq=1 THEN type END) t1, route_id%100=0 AS two FROM n GROUP BY route_id),
