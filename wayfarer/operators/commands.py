@@ -54,21 +54,27 @@ def admit(attempts: DataFrame, n: int, seconds: int, key: str = "user_id", ts: s
     rows = attempts.withColumn("limit_us", F.unix_micros(F.col(ts).cast("timestamp")))
     schema = StructType([*rows.schema.fields, StructField("admitted", BooleanType())])
 
-    def of(pdf):
+    def of(pdfs):
         from collections import deque
 
-        pdf = pdf.sort_values(["limit_us", *[c for c in pdf.columns if c.endswith("_id")]], kind="stable")
-        recent, out = deque(), []
-        uses = pdf[counts].fillna(False).astype(bool).tolist() if counts else [True] * len(pdf)
-        for at, use in zip(pdf["limit_us"].tolist(), uses):
-            while recent and recent[0] <= at - seconds * 1_000_000:
-                recent.popleft()
-            out.append(len(recent) < n)
-            if out[-1] and use:
-                recent.append(at)
-        return pdf.assign(admitted=out)
-
-    return rows.groupBy(key).applyInPandas(of, schema).drop("limit_us")
+        import pandas as pd
+
+        held, recent, begun = None, deque(), False
+        for pdf in pdfs:
+            out = []
+            uses = pdf[counts].fillna(False).astype(bool).tolist() if counts else [True] * len(pdf)
+            for k, at, use in zip(pdf[key].tolist(), pdf["limit_us"].tolist(), uses):
+                if not (begun and (k == held or (pd.isna(k) and pd.isna(held)))):
+                    held, recent, begun = k, deque(), True
+                while recent and recent[0] <= at - seconds * 1_000_000:
+                    recent.popleft()
+                out.append(len(recent) < n)
+                if out[-1] and use:
+                    recent.append(at)
+            yield pdf.assign(admitted=out)
+
+    ids = [c for c in rows.columns if c.endswith("_id") and c != key]
+    return rows.repartition(key).sortWithinPartitions(key, "limit_us", *ids).mapInPandas(of, schema).drop("limit_us")
 
 
 def decide_join_by_code(commands: DataFrame, groups: DataFrame, members: DataFrame, limit: int = 5, seconds: int = 60) -> DataFrame:

@@ -35,11 +35,19 @@ def stateful(rows: DataFrame, machine: Machine, start: tuple, state_schema: str,
 
     if not rows.isStreaming:
 
-        def batch(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(ts, kind="stable")
-            return frame(machine(start, pdf)[1])
-
-        return rows.groupBy(key).applyInPandas(batch, out_schema)
+        # sorted by Spark and read as a stream: no user's rows are held together
+        def batch(pdfs):
+            held, now = None, None
+            for pdf in pdfs:
+                out = []
+                for k, part in pdf.groupby(key, sort=False, dropna=False):
+                    same = now is not None and (k == held or (pd.isna(k) and pd.isna(held)))
+                    held, (now, found) = k, machine(now if same else start, part)
+                    out += found
+                yield frame(out)
+
+        ids = [c for c in rows.columns if c.endswith("_id") and c != key]
+        return rows.repartition(key).sortWithinPartitions(key, ts, *ids).mapInPandas(batch, out_schema)
 
     def stream(_, pdfs, state):
         # the batches of one trigger have no order among each other
