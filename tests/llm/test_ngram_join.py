@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -57,20 +58,44 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,block", [(1, 512), (2, 8), (3, 5)])
-def test_components_match_brute_force(spark, documents_of, seed, block):
+@pytest.mark.parametrize("seed,crowd,weight", [(1, 64, 300_000), (2, 3, 600), (3, 1, 400), (4, 1000, 500)])
+def test_components_match_brute_force(spark, documents_of, seed, crowd, weight):
     rows = corpus(seed)
     docs = documents_of(rows).withColumnRenamed("lang", "h")
-    got = {x.doc_id: x.component_id for x in ngram_join.components(docs, block=block).collect()}
+    got = {x.doc_id: x.component_id for x in ngram_join.components(docs, crowd=crowd, weight=weight).collect()}
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("crowd,edits", [(10, (0, 3)), (10_000, (1, 4)), (10, (2, 5))])
+def test_group_of_many_blocks_whose_members_differ(spark, documents_of, crowd, edits):
+    r = random.Random(5)
+    rows = family(r, [f"w{i}" for i in range(80)], 240, 10, edits)
+    got = {x.doc_id: x.component_id for x in ngram_join.components(documents_of(rows), crowd=crowd, weight=30 * 77).collect()}
+    assert got == brute(rows)
+
+
+def test_hashed_words_split_like_the_pattern():
+    from wayfarer.llm.common import SLICE, hashed_words
+
+    long = b" ".join(b"w%d" % (i % 977) for i in range(SLICE // 3))
+    texts = [None, b"", b"a", b" \n", b"One two\x0bONE  two\x1ctwo", b"x" * 70_000, long, "\u00e9t\u00e9 \u00c9t\u00e9".encode(), b"z"]
+    names = {}
+    for fold in (True, False):
+        for t, h in zip(texts, hashed_words(texts, fold), strict=True):
+            words = [w.lower() if fold else w for w in re.findall(rb"[^\x20\x09-\x0D]+", t or b"")]
+            assert len(words) == len(h)
+            for w, x in zip(words, h.tolist()):
+                assert names.setdefault((fold, w), x) == x
+    assert len(set(names.values())) >= len({w for _, w in names})
+
+
 def test_repeated_rows_and_nulls(documents_of):
     text = "the same words in every one of these rows"
-    rows = [(5, text), (5, text), (7, text), (None, text), (8, None)]
+    rows = [(5, text), (5, text), (7, text), (None, text), (8, None), (7, ""), (7, "other"), (9, "other")]
     got = sorted(map(tuple, ngram_join.components(documents_of(rows)).collect()), key=str)
-    assert got == sorted([(5, 6, 5), (5, 6, 5), (7, 6, 5), (None, 6, None), (8, 0, 8)], key=str)
-    assert sorted(x.doc_id for x in ngram_join.drop_near_copies(documents_of(rows[2:3] + rows[4:])).collect()) == [7, 8]
+    want = [(5, 6, 5), (5, 6, 5), (7, 6, 5), (None, 6, None), (8, 0, 8), (7, 0, 5), (7, 1, 5), (9, 1, 5)]
+    assert got == sorted(want, key=str)
+    assert sorted(x.doc_id for x in ngram_join.drop_near_copies(documents_of(rows[2:3] + rows[4:5])).collect()) == [7, 8]
     assert ngram_join.components(documents_of(rows[:1]).limit(0)).count() == 0
 
 

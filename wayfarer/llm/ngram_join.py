@@ -5,20 +5,24 @@ A document is the set of its distinct 4-word shingles. Documents link when
 
 Lists. A partner shares at least ``T = ceil(0.85 n)`` shingles, so of a document's
 first ``n - T + k`` shingles in hash order (``k`` about 0.05 n) at least ``k'``
-also open the partner's order. Only these openings are shuffled. Spark counts each
-shingle; a document with fewer than ``k'`` shared ones can have no partner and
-leaves. The others skip their ``k' - 1`` most frequent lists and are posted to the
+also open the partner's order. One pass over the texts gives these openings. Spark
+counts each shingle; a document with fewer than ``k'`` shared ones can have no partner
+and leaves. The others skip their ``k' - 1`` most frequent lists and are posted to the
 rest, rarest first; a linked pair meets in at least one posted list.
 
-Blocks. Every list has a pivot, its smallest document. Round one sends a document
-to the pivot it meets most often; round two repeats with all pivots, for those lists
-alone that still hold documents not known to be connected. A pivot's documents are
-dealt into blocks of ``BLOCK``; where a pivot has several blocks, round three sends
-the documents not connected to it to all of its blocks. Blocks, not pairs, travel.
+Crowds. Documents posted to a list of more than ``CROWD`` meet no one there. They read
+their whole sets instead: shingles are counted again among them, each skips its
+``T - 1`` most frequent lists and is posted to the rest. A frequent passage thus brings
+documents together only if it is nearly all they have.
 
-Search. Within a block DivideSkip answers each query: the short inverted lists are
-heap-merged with counting, the long ones probed by binary search for those documents
-that can still reach the overlap. Queries inside a component already found are left out.
+Blocks. Every list has a pivot, its smallest document, and sends its documents there.
+A pivot's documents are dealt into blocks of ``WEIGHT`` shingles, with the pivot in each
+of them; where there are several, a second round sends the documents not yet connected
+to the pivot to all its blocks. Blocks, not pairs, travel; tasks read them as a sorted stream.
+
+Search. DivideSkip answers each query: the short inverted lists are heap-merged with
+counting, the long ones probed by binary search for those documents that can still
+reach the overlap. The pivot asks first; what is connected to it need not ask again.
 
 Words and shingles are compared by 64-bit hashes. Equal sets are one class, which is
 one node; copies are never expanded into pairs.
@@ -35,39 +39,40 @@ from itertools import groupby
 from math import log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import cut
+from wayfarer.llm.common import cut, hashed_words, release, utf8
 from wayfarer.llm.components import connected
 
 WIDTH = 4
 PERCENT = 85
 #: Further shingles of the opening, in percent of the set.
 EXTRA = 5
-#: Documents per block.
-BLOCK = 512
+#: Longest list whose documents meet by their openings alone.
+CROWD = 64
+#: Shingles per block, about.
+WEIGHT = 300_000
 #: Weight of the DivideSkip rule for the number of long lists.
 MU = 0.0085
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    n = max(1, len(h) - width + 1)
-    s = np.full(n, min(width, len(h)), np.uint64)
-    for j in range(min(width, len(h))):
-        s = s * _STEP + h[j : j + n]
-    s ^= s >> np.uint64(29)
-    return np.unique(s * _MIX)
+def shingle_sets(texts: list[bytes | None], width: int = WIDTH):
+    """For each text the sorted distinct 64-bit hashes of its word shingles."""
+    for h in hashed_words(texts, fold=True):
+        if not len(h):
+            yield h
+            continue
+        n = max(1, len(h) - width + 1)
+        s = np.full(n, min(width, len(h)), np.uint64)
+        for j in range(min(width, len(h))):
+            s = s * _STEP + h[j : j + n]
+        s ^= s >> np.uint64(29)
+        yield np.unique(s * _MIX)
 
 
 def need(n: int, percent: int = PERCENT) -> int:
@@ -79,29 +84,47 @@ def opening(n: int, percent: int = PERCENT, extra: int = EXTRA) -> int:
     return n - need(n, percent) + max(1, extra * n // 100) if n else 0
 
 
-def _sets(docs: DataFrame, keep: str, width: int, percent: int, extra: int) -> DataFrame:
-    """doc_id, n_shingles, set_digest and hashes: none, the opening, or all of them."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+
+
+def _openings(docs: DataFrame, width: int, percent: int, extra: int) -> DataFrame:
+    """doc_id, n_shingles, set_digest and the opening hashes of every row, in one pass over the texts."""
 
     def of(batches):
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-            size = {"none": lambda n: 0, "opening": lambda n: opening(n, percent, extra), "all": lambda n: n}[keep]
-            kept = [s[: size(len(s))] for s in sets]
-            ends = np.cumsum([0, *map(len, kept)], dtype=np.int32)
-            values = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
+            sets = list(shingle_sets(utf8(batch.column("text")), width))
+            digests = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64))),
+                    pa.array(digests, pa.binary()),
+                    _lists([s[: opening(len(s), percent, extra)] for s in sets]),
                 ],
                 names=["doc_id", "n_shingles", "set_digest", "hashes"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        of, "doc_id long, n_shingles long, set_digest binary, hashes array<long>"
-    )
+    return _texts(docs).mapInArrow(of, "doc_id long, n_shingles long, set_digest binary, hashes array<long>")
+
+
+def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """doc, crowded, homes and all hashes of the wanted documents."""
+
+    def of(batches):
+        for batch in batches:
+            hashes = _lists(list(shingle_sets(utf8(batch.column("text")), width)))
+            columns = [batch.column(c) for c in ("doc", "crowded", "homes")] + [hashes]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "crowded", "homes", "hashes"])
+
+    rows = _texts(docs).join(wanted, F.col("doc_id") == F.col("doc")).select("doc", "crowded", "homes", "text")
+    return rows.mapInArrow(of, "doc long, crowded boolean, homes array<struct<pivot:long,salt:int>>, hashes array<long>")
 
 
 class Block:
@@ -147,140 +170,205 @@ class Block:
         return docs[linked].tolist()
 
 
-def search(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray, percent: int):
-    """Spanning links (a, b) of a block. Documents with equal labels are connected; only ``asks`` are queries."""
-    parent = {}
+def search(groups, docs: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray, home: np.ndarray, percent: int):
+    """Spanning links (a, b) inside the groups, which are ranges of rows; the first row of each asks first.
+
+    Rows with equal docs or labels are connected; only ``asks`` are queries. Members of the
+    component of a group's anchor need not ask: their links to others are found by those. The
+    anchor is a row at ``home``; where there is none and all rows ask, the first row with a link.
+    """
+    parent = list(range(len(docs)))
 
     def root(x):
-        while parent.setdefault(x, x) != x:
+        while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    block, links, place = Block(sets, percent), [], {}
-    for i, label in enumerate(labels.tolist()):
-        first = place.setdefault(label, i)
-        parent[root(i)] = root(first)
-    apart = len(place)
-    for q in np.argsort(~asks, kind="stable").tolist():
-        if apart == 1 or not asks[q]:
-            break
-        for d in block.partners(q):
-            x, y = root(q), root(d)
+    for keys in (docs, labels):
+        order = np.argsort(keys, kind="stable")
+        same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+        for i in same.tolist():
+            x, y = root(order[i]), root(order[i + 1])
             if x != y:
                 parent[y] = x
-                apart -= 1
-                links.append((int(ids[q]), int(ids[d])))
+    block, links = Block(sets, percent), []
+    for begin, end in groups:
+        if len({root(x) for x in range(begin, end)}) == 1:
+            continue
+        at_home = np.flatnonzero(home[begin:end])
+        anchor = begin + int(at_home[0]) if len(at_home) else None
+        free = anchor is None and bool(asks[begin:end].all())
+        for q in range(begin, end):
+            if not asks[q] or (anchor is not None and root(q) == root(anchor)):
+                continue
+            for d in block.partners(q):
+                x, y = root(q), root(d)
+                if x != y:
+                    parent[y] = x
+                    links.append((int(docs[q]), int(docs[d])))
+                if free and anchor is None and begin <= d < end:
+                    anchor = q
     return links
 
 
-def _blocks(assigned: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links found in the blocks (pivot, salt) of ``assigned``: doc, pivot, salt, label, asks."""
+def _searched(batches, percent: int):
+    """Links from a stream of rows sorted by pivot, salt and doc; several blocks are searched at once."""
+    held, size = [], 0
+
+    def found(rows):
+        docs, labels, asks, home = (np.array([r[i] for r in rows]) for i in (2, 3, 4, 5))
+        keys = [r[:2] for r in rows]
+        starts = [i for i in range(len(rows)) if i == 0 or keys[i] != keys[i - 1]]
+        groups = [(a, b) for a, b in zip(starts, [*starts[1:], len(rows)]) if b - a > 1]
+        first = lambda g: sorted(range(*g), key=lambda i: (docs[i] != keys[i][0], i))  # the pivot leads its group
+        order = [i for g in groups for i in first(g)]
+        if not order:
+            return None
+        ends = np.cumsum([b - a for a, b in groups]).tolist()
+        pick = np.array(order)
+        sets = [rows[i][6] for i in order]
+        links = search(list(zip([0, *ends], ends)), docs[pick], sets, labels[pick], asks[pick], home[pick], percent)
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("pivot", "salt", "doc", "label", "asks", "home")]
+        lists = batch.column("hashes")
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        for i, key in enumerate(zip(*columns)):
+            if size > WEIGHT and held[-1][:2] != key[:2]:
+                if (out := found(held)) is not None:
+                    yield out
+                held, size = [], 0
+            held.append((*key, flat[ends[i] : ends[i + 1]].copy()))
+            size += int(ends[i + 1] - ends[i])
+    if held and (out := found(held)) is not None:
+        yield out
+
+
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found in the blocks of rows (pivot, salt, doc, label, asks, home, hashes)."""
+    dealt = rows.select("pivot", "salt", "doc", "label", "asks", "home", "hashes").repartition(F.col("pivot"), F.col("salt"))
+    return cut(
+        dealt.sortWithinPartitions("pivot", "salt", "doc").mapInArrow(lambda b: _searched(b, percent), "a long, b long")
+    )
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc", kind="stable").reset_index(drop=True)
-        sets_ = [np.sort(np.asarray(h, np.int64).view(np.uint64)) for h in pdf["hashes"]]
-        links = search(pdf["doc"].to_numpy(), sets_, pdf["label"].to_numpy(), pdf["asks"].to_numpy(bool), percent)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    joined = assigned.join(sets, assigned.doc == sets.doc_id).select("pivot", "salt", "doc", "label", "asks", "hashes")
-    return joined.groupBy("pivot", "salt").applyInPandas(of, "a long, b long")
+def _posts(lists: DataFrame) -> DataFrame:
+    """doc, n, h, pivot, size of each posted list that holds several documents, from (doc, n, posted)."""
+    rows = lists.select("doc", "n", F.explode("posted").alias("h"))
+    sizes = rows.groupBy("h").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return rows.join(sizes, "h")
 
 
-def _dealt(pairs: DataFrame, block: int) -> DataFrame:
-    """(doc, pivot, label) to blocks: a salt for each document, and the pivot in every block of its own."""
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("salts"))
-    rows = pairs.join(sizes, "pivot")
+def _posted(rows: DataFrame, kept: str) -> DataFrame:
+    """doc, n and the posted lists: of rows (doc, n, h) the shared ones without each document's ``kept - 1`` most frequent."""
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2")
+    return (
+        rows.join(shared, "h")
+        .groupBy("doc")
+        .agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("lists"))
+        .withColumn("k", F.expr(kept).cast("int"))
+        .filter("size(lists) >= k")
+        .select("doc", "n", F.expr("array_distinct(transform(slice(lists, 1, greatest(size(lists) - k + 1, 0)), x -> x.h))").alias("posted"))
+    )
+
+
+def _dealt(pairs: DataFrame, weight: int) -> DataFrame:
+    """(doc, n, pivot) to blocks: a salt for each document, and the pivot in every block of its own."""
+    sizes = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / weight).cast("int").alias("salts"))
     salt = F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")
     where = F.when(F.col("doc") == F.col("pivot"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(salt))
-    return rows.select("doc", "pivot", "label", "salts", F.explode(where).alias("salt"), F.lit(True).alias("asks"))
+    return pairs.join(sizes, "pivot").select("doc", "n", "pivot", "salts", F.explode(where).alias("salt"))
 
 
 def links(
-    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, extra: int = EXTRA, block: int = BLOCK
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, extra: int = EXTRA, crowd: int = CROWD, weight: int = WEIGHT
 ) -> tuple[DataFrame, DataFrame]:
-    """(information, edges): doc_id, n_shingles, set_digest of all rows; links that connect all linked documents."""
-    info = cut(_sets(docs, "none", width, percent, extra).drop("hashes"))
-    classes = info.filter("doc_id is not null and set_digest is not null").groupBy("set_digest").agg(
-        F.min("doc_id").alias("rep")
-    )
-    copies = info.join(classes, "set_digest").filter("doc_id <> rep").select(
-        F.col("doc_id").alias("a"), F.col("rep").alias("b")
-    )
-
-    rows = _sets(docs, "opening", width, percent, extra).filter("doc_id is not null").select(
-        "doc_id", F.col("n_shingles").alias("n"), F.explode("hashes").alias("h")
-    )
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2")
-    t = F.expr(f"({percent} * n + 99) div 100")
-    least_shared = F.greatest(F.lit(1), F.floor(F.lit(extra) * t / 100)).cast("int")
-    lists = (
-        rows.join(shared, "h")
-        .groupBy("doc_id")
-        .agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("lists"))
-        .withColumn("k", least_shared)
-        .filter("size(lists) >= k")
-        .join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """(rows, edges): doc_id, n_shingles and class of all rows; links that connect all linked classes.
+
+    A class is named by the smallest doc_id with its set.
+    """
+    spark = docs.sparkSession
+    table = cut(_openings(docs, width, percent, extra))
+    classes = table.filter("doc_id is not null and set_digest is not null").groupBy("set_digest").agg(
+        F.min("doc_id").alias("class")
     )
-    posted = cut(
-        lists.select(
-            F.col("doc_id").alias("doc"), F.explode(F.expr("slice(lists, 1, size(lists) - k + 1)")).alias("l")
-        ).select("doc", F.col("l.h").alias("h"))
+    named = table.drop("hashes").join(classes, "set_digest", "left").select(
+        "doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("class")
     )
-    pivots = posted.groupBy("h").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).filter("pivot < last")
-    met = posted.join(pivots.select("h", "pivot"), "h")
-    first = met.groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    best = first.groupBy("doc").agg(F.max(F.struct(F.col("n"), (-F.col("pivot")).alias("p"))).alias("best"))
-    top = cut(best.select("doc", (-F.col("best.p")).alias("pivot")))
-    wanted = top.select(F.col("doc").alias("doc_id"))
-    sets = cut(
-        _sets(docs.join(wanted, "doc_id", "left_semi"), "all", width, percent, extra).select("doc_id", "hashes")
+    rows = table.filter("doc_id is not null").select(
+        F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("hashes").alias("h")
     )
-
-    pairs = top.unionAll(top.select(F.col("pivot"), F.col("pivot"))).distinct()
-    one = cut(_blocks(_dealt(pairs.withColumn("label", F.col("doc")), block), sets, percent))
-
-    labels = cut(connected(one))
-    label = F.coalesce("component", "doc").alias("label")
-    known = posted.join(labels, F.col("doc") == F.col("node"), "left").select("doc", "h", label)
-    open_lists = known.groupBy("h").agg(
-        F.min("doc").alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")
-    ).filter("low <> high")
-    pairs = known.join(open_lists.select("h", "pivot"), "h").select("doc", "pivot", "label").distinct()
-    dealt = cut(_dealt(pairs, block))
-    two = cut(_blocks(dealt.drop("salts"), sets, percent))
-    edges = one.unionAll(two)
-
-    hot = dealt.filter("salts > 1 and (doc <> pivot or salt = 0)")
+    least_shared = f"greatest(1, floor({extra} * ((({percent} * n + 99) div 100)) / 100))"
+    heads = classes.select(F.col("class").alias("doc")).distinct()
+    posted = cut(_posted(rows, least_shared).join(heads, "doc", "left_semi"))
+    release(spark)
+
+    met = _posts(posted)
+    calm = F.when(F.col("size") <= crowd, F.col("pivot"))
+    seen = cut(met.groupBy("doc").agg(
+        F.min("n").alias("n"), F.collect_set(calm).alias("pivots"), F.max(F.col("size") > crowd).alias("crowded")
+    ))
+    homes = cut(_dealt(seen.select("doc", "n", F.explode("pivots").alias("pivot")), weight))
+    own = homes.groupBy("doc").agg(F.collect_list(F.struct("pivot", "salt")).alias("homes"))
+    wanted = seen.join(own, "doc", "left").select("doc", "crowded", "homes")
+    sets = cut(_whole_sets(docs, wanted, width))
+    release(spark)
+
+    asking = (F.col("doc").alias("label"), F.lit(True).alias("asks"), F.lit(False).alias("home"))
+    edges = _links(sets.select("doc", "hashes", F.explode("homes").alias("place")).select("*", "place.*", *asking), percent)
+    crowded = sets.filter("crowded").select("doc", "hashes")
+    all_homes = homes
+    if not seen.filter("crowded").isEmpty():
+        whole = crowded.select("doc", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+        pairs = _posts(_posted(whole, f"({percent} * n + 99) div 100")).select("doc", "n", "pivot").distinct()
+        crowd_homes = cut(_dealt(pairs, weight))
+        edges = edges.unionAll(_links(crowd_homes.join(crowded, "doc").select("*", *asking), percent))
+        all_homes = homes.unionAll(crowd_homes)
+    hot = all_homes.filter("salts > 1 and (doc <> pivot or salt = 0)").drop("salt", "salts").distinct()
     if not hot.isEmpty():
-        edges = edges.unionAll(_across(hot, connected(edges), sets, block, percent))
-    return info, edges.unionAll(copies)
+        edges = edges.unionAll(_across(hot, connected(edges), sets.select("doc", "hashes"), weight, percent))
+    return named, edges.unionAll(_same_document(named))
+
 
+def _same_document(named: DataFrame) -> DataFrame:
+    """Links between the classes of rows that repeat a doc_id."""
+    own = named.filter("doc_id is not null")
+    several = own.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("last")).filter("a < last")
+    return own.join(several, "doc_id").select("a", F.col("class").alias("b"))
 
-def _across(hot: DataFrame, labels: DataFrame, sets: DataFrame, block: int, percent: int) -> DataFrame:
-    """Round three: documents of many-block pivots that are not connected to their pivot meet all its blocks."""
-    now = hot.drop("label").join(labels, F.col("doc") == F.col("node"), "left").select(
-        "doc", "pivot", "salt", "salts", F.coalesce("component", "doc").alias("label")
+
+def _across(hot: DataFrame, labels: DataFrame, sets: DataFrame, weight: int, percent: int) -> DataFrame:
+    """Second round: documents of many-block pivots that are not connected to their pivot meet all its blocks."""
+    now = cut(
+        hot.join(labels, F.col("doc") == F.col("node"), "left").select("doc", "n", "pivot", F.coalesce("component", "doc").alias("label"))
+    )
+    own = now.filter("doc = pivot").select("pivot", F.col("label").alias("home"))
+    now = now.join(own, "pivot").withColumn("apart", F.col("label") != F.col("home"))
+    sizes = now.groupBy("pivot").agg(
+        F.ceil(F.sum("n") / weight).cast("int").alias("salts"),
+        F.ceil(F.sum(F.when(F.col("apart"), F.col("n"))) / weight).cast("int").alias("chunks"),
     )
-    own = now.filter("doc = pivot").select("pivot", F.col("label").alias("pivot_label"))
-    now = now.join(own, "pivot")
-    apart = cut(now.filter("label <> pivot_label"))
-    chunks = apart.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("chunks")).cast("int")
-    name = F.struct("salt", "chunk").alias("salt")
-    all_chunks = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
-    all_salts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    members = now.join(chunks, "pivot").select("doc", "pivot", "label", "salt", all_chunks, F.lit(False).alias("asks"))
-    asking = apart.join(chunks, "pivot").select("doc", "pivot", "label", all_salts, chunk.alias("chunk"), F.lit(True).alias("asks"))
-    both = members.unionByName(asking).groupBy("doc", "pivot", "label", "salt", "chunk").agg(F.max("asks").alias("asks"))
-    return cut(_blocks(both.select("doc", "pivot", "label", name, "asks"), sets, percent))
+    now = now.join(sizes.filter("chunks > 0"), "pivot")
+    salt, chunk = (F.pmod(F.xxhash64("doc", F.lit(i)), F.col(c)).cast("int") for i, c in ((0, "salts"), (1, "chunks")))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    keys = ("doc", "pivot", "label", "apart")
+    members = now.select(*keys, salt.alias("salt"), each("chunks").alias("chunk"), F.lit(False).alias("asks"))
+    asking = now.filter("apart").select(*keys, each("salts").alias("salt"), chunk.alias("chunk"), F.lit(True).alias("asks"))
+    both = members.unionByName(asking).groupBy(*keys, "salt", "chunk").agg(F.max("asks").alias("asks"))
+    block = both.select("doc", "pivot", "label", F.struct("salt", "chunk").alias("salt"), "asks", (~F.col("apart")).alias("home"))
+    return _links(block.join(sets, "doc"), percent)
 
 
 def components(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    info, edges = links(docs, **options)
+    named, edges = links(docs, **options)
     found = connected(edges)
-    return info.join(found, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class"))
+    return named.join(found, F.col("class") == F.col("node"), "left").select(
+        "doc_id", "n_shingles", component.alias("component_id")
     )
 
 
