@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -56,8 +57,10 @@ def release(spark: SparkSession) -> None:
     The cleaner acts when the driver collects its garbage, which it seldom needs to;
     between large steps this is asked for, so that their files do not add up.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go in the first round, the driver's JVM finds in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

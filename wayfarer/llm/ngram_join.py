@@ -374,5 +374,5 @@ def components(docs: DataFrame, **options) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component, with all their columns."""
-    lost = components(docs, **options).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    lost = components(docs, **options).filter("component_id < doc_id").select(F.col("doc_id").alias("lost_id")).distinct()
+    return docs.join(lost, docs["doc_id"] == lost["lost_id"], "left_anti")
