@@ -92,3 +92,29 @@ def test_large_rates_are_inverted(spark):
     for x in table.selectExpr("rate", "u", f"{mixing._inverted('rate', 'u')} as n").collect():
         slack = 0 if 1e-9 < x.u < 0.995 else math.sqrt(x.rate) / 4  # sums at the ends depend on rounding
         assert abs(x.n - poisson(x.rate, x.u)) <= slack
+
+
+def test_mixing_keeps_columns_of_any_name(spark, documents_of):
+    names = ["rate", "cdf", "mix_source", "mix_u", "mix_block", "row", "id", "u", "block", "n", "top", "a.b", "N_Copies"]
+    docs = documents_of([(i, f"t{i}", ("a", None)[i % 2]) for i in range(50)] + [(None, "x", "a"), (None, "y", "a"), (3, "t3", None)])
+    docs = docs.selectExpr("*", *[f"doc_id as `{c}`" for c in names])
+    got = mixing.mix_sources(docs)
+    assert got.columns == [c for c in docs.columns if c != "N_Copies"] + ["n_copies", "copy", "shuffle_key"]
+    rows = got.collect()
+    assert rows and all(x[c] == x.doc_id for x in rows for c in names[:-1])
+    whole = mixing.replicated(docs)
+    assert whole.columns == docs.columns and whole.count() == len(rows)
+    assert Counter(x.doc_id for x in whole.collect()) == Counter(x.doc_id for x in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_exact_groups_of_many_equal_rows(documents_of):
+    rows = [(7, "same")] * 40 + [(None, "same")] * 25 + [(i, "other") for i in range(30)] + [(29, "other")] * 3
+    for support in (0.5, 0.01):
+        got = exact_dedup.exact_groups(documents_of(rows), support=support).collect()
+        assert len(got) == len(rows)
+        assert Counter((x.doc_id, x.keep_id, x.group_size, x.kept) for x in got) == Counter(
+            [(7, 7, 65, True)] + [(7, 7, 65, False)] * 39 + [(None, 7, 65, False)] * 25
+            + [(i, 29, 33, False) for i in range(29)] + [(29, 29, 33, True)] + [(29, 29, 33, False)] * 3
+        )

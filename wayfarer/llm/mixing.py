@@ -11,7 +11,12 @@ Defined results: rows with a null source form a source of their own; a source
 without a target weight, or with a weight of 0 or less, gets no copies; null
 texts are kept as they are; rows that repeat a doc_id get the same number of
 copies each. An empty table gives an empty result. Columns of ``docs`` called
-like the added ones (copy, n_copies, shuffle_key) are replaced.
+like the added ones (copy, n_copies, shuffle_key, in any case of letters) are
+replaced by ``mix_sources`` and kept by ``replicated``; all columns travel inside a
+struct, so no name can clash.
+
+The table of rates has a row per source. It is broadcast if it holds at most
+``BROADCAST_VALUES`` numbers, and joined by a shuffle of the rows beyond that.
 
 Every rate is inverted. Up to ``TABLE_MOST`` a source has one table of the cumulative
 distribution. Above it, where a source has few rows beside the others, each row sums
@@ -24,12 +29,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import uniform
+from wayfarer.llm.common import cut, uniform
 
 SEED = 17
 TABLE_MOST = 512.0
 #: Copies made by one row of the first explosion; a second one makes the rest.
 BLOCK = 1024
+#: Numbers in a table of rates that is broadcast (8 MB).
+BROADCAST_VALUES = 1_000_000
+ADDED = ("copy", "n_copies", "shuffle_key")
 
 
 def _inverted(rate: str, u: str) -> str:
@@ -50,9 +58,12 @@ def _inverted(rate: str, u: str) -> str:
 
 def source_rates(
     docs: DataFrame, weights: dict | None = None, epochs: float = 1.0, source_col: str = "source"
-) -> DataFrame:
-    """(mix_source, rate, cdf) per source. ``weights`` None: every source alike."""
-    counts = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
+) -> tuple[DataFrame, bool]:
+    """(mix_source, rate, cdf) per source, and whether these rows hold at most ``BROADCAST_VALUES`` numbers.
+
+    ``weights`` None: every source alike.
+    """
+    counts = cut(docs.groupBy(F.col(_quoted(source_col)).alias("mix_source")).agg(F.count(F.lit(1)).alias("n")))
     if weights is None:
         weight = F.lit(1.0)
     else:
@@ -62,9 +73,9 @@ def source_rates(
     counts = counts.withColumn("weight", weight)
     total, all_weights = counts.agg(F.sum("n"), F.sum("weight")).first()
     scale = float(epochs) * (total or 0) / all_weights if all_weights else 0.0
-    return (
+    rates = (
         counts.withColumn("rate", F.lit(scale) * F.col("weight") / F.col("n"))
-        .withColumn("top", F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24).cast("int"))
+        .withColumn("top", F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24).cast("long"))
         .withColumn(
             "cdf",
             F.expr(
@@ -76,8 +87,14 @@ def source_rates(
                   s -> s.a) end"""
             ),
         )
-        .select("mix_source", "rate", "cdf")
+        .select("mix_source", "rate", "cdf", "top")
     )
+    values = rates.agg(F.sum(F.when(F.col("rate") > TABLE_MOST, 2).otherwise(F.col("top") + 2))).first()[0]
+    return rates.drop("top"), (values or 0) <= BROADCAST_VALUES
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def with_copies(
@@ -87,20 +104,35 @@ def with_copies(
     seed: int = SEED,
     source_col: str = "source",
 ) -> DataFrame:
-    """``docs`` with n_copies, the hash-seeded Poisson count of each row; no row is dropped yet."""
-    rates = source_rates(docs, weights, epochs, source_col)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.drop("copy", "n_copies", "shuffle_key").withColumn("mix_u", uniform(F.lit(str(seed)), key))
-    return (
-        rows.join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
-        .withColumn(
-            "n_copies",
-            F.when(F.col("rate") > TABLE_MOST, F.expr(_inverted("rate", "mix_u")))
-            .otherwise(F.expr("size(filter(cdf, c -> c <= mix_u))"))
-            .cast("long"),
-        )
-        .drop("mix_u", "mix_source", "rate", "cdf")
+    """(row, id, u, n_copies): each row of ``docs`` as a struct with its hash-seeded Poisson count; no row is dropped yet."""
+    rates, small = source_rates(docs, weights, epochs, source_col)
+    kept = [F.col(_quoted(c)) for c in docs.columns]
+    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
+    rows = docs.select(F.struct(*kept).alias("row"), id_, F.col(_quoted(source_col)).alias("source")).withColumn(
+        "u", uniform(F.lit(str(seed)), F.col("id"))
+    )
+    return rows.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("mix_source")), "left").select(
+        "row",
+        "id",
+        F.when(F.col("rate") > TABLE_MOST, F.expr(_inverted("rate", "u")))
+        .otherwise(F.expr("size(filter(cdf, c -> c <= u))"))
+        .cast("long")
+        .alias("n_copies"),
+    )
+
+
+def _mixed(docs: DataFrame, weights: dict | None, epochs: float, seed: int, source_col: str) -> DataFrame:
+    """(row, n_copies, copy, shuffle_key): every row as often as drawn, in globally shuffled order."""
+    drawn = with_copies(docs, weights, epochs, seed, source_col).filter("n_copies > 0")
+    blocks = drawn.withColumn("block", F.explode(F.expr(f"sequence(0L, (n_copies - 1) div {BLOCK})")))
+    copies = blocks.withColumn(
+        "copy", F.explode(F.expr(f"sequence(block * {BLOCK}, least(n_copies, (block + 1) * {BLOCK}) - 1)"))
     )
+    parts = [F.lit(str(seed + 2)), F.col("id"), F.col("copy").cast("string")]
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long").alias("shuffle_key")
+    # rows that repeat a doc_id share a key; their contents deal them to different tasks
+    keyed = copies.select("row", "n_copies", "copy", key).repartition(F.col("shuffle_key"), F.xxhash64("row"))
+    return keyed.sortWithinPartitions("shuffle_key")
 
 
 def mix_sources(
@@ -110,18 +142,11 @@ def mix_sources(
     seed: int = SEED,
     source_col: str = "source",
 ) -> DataFrame:
-    """Every document as often as drawn, with copy (from 0), n_copies and shuffle_key, in globally shuffled order."""
-    drawn = with_copies(docs, weights, epochs, seed, source_col).filter("n_copies > 0")
-    copies = (
-        drawn.withColumn("mix_block", F.explode(F.expr(f"sequence(0L, (n_copies - 1) div {BLOCK})")))
-        .withColumn(
-            "copy",
-            F.explode(F.expr(f"sequence(mix_block * {BLOCK}, least(n_copies, (mix_block + 1) * {BLOCK}) - 1)")),
-        )
-        .drop("mix_block")
-    )
-    parts = [F.lit(str(seed + 2)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")]
-    keyed = copies.withColumn(
-        "shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
-    )
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    """The columns of ``docs`` and n_copies, copy (from 0) and shuffle_key: every row as often as drawn, shuffled."""
+    kept = [F.col(f"row.{_quoted(c)}") for c in docs.columns if c.lower() not in ADDED]
+    return _mixed(docs, weights, epochs, seed, source_col).select(*kept, "n_copies", "copy", "shuffle_key")
+
+
+def replicated(docs: DataFrame, weights: dict | None = None, epochs: float = 1.0, seed: int = SEED, source_col: str = "source") -> DataFrame:
+    """The rows of ``mix_sources`` with the columns of ``docs`` alone, whatever they are called."""
+    return _mixed(docs, weights, epochs, seed, source_col).select("row.*")
