@@ -5,8 +5,9 @@
 2. A second pass verifies these candidates: exact group size and largest doc_id.
 3. The verified winners, at most ``1 / support`` rows, are broadcast; rows that
    lose against them are decided where they are read and are never shuffled.
-4. All other rows, and the winners themselves, meet by digest in one shuffle.
-   No group there exceeds ``support`` of the rows.
+4. All other rows, and the winners themselves, are reduced by digest and doc_id
+   before they meet by digest: size and largest doc_id come from combined counts and
+   are joined back, so that no group is gathered in one place.
 
 Defined results: a null text counts as empty; a null doc_id ranks below every
 other; of rows that repeat both doc_id and text exactly one stays. Other columns,
@@ -57,19 +58,17 @@ def exact_groups(docs: DataFrame, text_col: str = "text", support: float = SUPPO
         F.lit(False).alias("kept"),
         "text_sha256",
     )
-    group = Window.partitionBy("text_sha256")
-    order = group.orderBy(F.col("doc_id").desc_nulls_last())
-    met = (
-        rows.filter(~_lost())
-        .withColumn("place", F.row_number().over(order))
-        .select(
-            "doc_id",
-            F.max("doc_id").over(group).alias("keep_id"),
-            F.coalesce("heavy_size", F.count(F.lit(1)).over(group)).alias("group_size"),
-            (F.col("place") == 1).alias("kept"),
-            "text_sha256",
-        )
+    # rows of one doc_id and text are alike, so a count stands for them
+    each = rows.filter(~_lost()).groupBy("text_sha256", "doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("heavy_size").alias("heavy_size")
+    )
+    groups = each.groupBy("text_sha256").agg(
+        F.max("doc_id").alias("keep_id"), F.coalesce(F.max("heavy_size"), F.sum("n")).alias("group_size")
     )
+    at_keep = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    met = each.drop("heavy_size").join(groups, "text_sha256").withColumn(
+        "place", F.explode(F.expr("sequence(1L, n)"))
+    ).select("doc_id", "keep_id", "group_size", (at_keep & (F.col("place") == 1)).alias("kept"), "text_sha256")
     return lost.unionByName(met)
 
 
@@ -78,7 +77,7 @@ def drop_exact_copies(docs: DataFrame, text_col: str = "text", support: float =
     digests = cut(docs.select("doc_id", _digest(text_col).alias("text_sha256")))
     winners = cut(heavy_winners(digests, support))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"),
         F.col("doc_id").alias("id"),
         _digest(text_col).alias("text_sha256"),
     ).join(F.broadcast(winners), "text_sha256", "left")
