@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
 ``run`` writes every stage as Parquet in the shared folder and reads it back, so no
 stage is computed twice and none depends on executors that may be lost.
+
+Defined results: a null text counts as an empty one in every stage; a text without
+words is near no other; rows with a null doc_id are scored, of equal texts the one with
+a doc_id stays, they are never near copies and are mixed and packed like others; of rows
+that repeat doc_id and text one stays; rows with a null source form a source; an empty
+table gives no pieces. Further columns, whatever they are called, pass all stages but
+the last unchanged.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat at the rate that gives every source the same weight."""
-    return mixing.mix_sources(docs).select(docs.columns)
+    return mixing.replicated(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
