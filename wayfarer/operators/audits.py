@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 #: The allowed values and lengths of the stored columns.
 GROUP_TYPES = ("friends", "campus_org")
 ROLES = ("admin", "editor", "member")
-STATUSES = ("pending", "accepted", "declined", "approved")
+FRIEND_STATUSES = INVITE_STATUSES = ("pending", "accepted", "declined")
+REQUEST_STATUSES = ("pending", "approved", "declined")
+ALERT_TYPES = ("building_closure", "crowd", "elevator_down", "construction", "hazard", "other")
+ALERT_STATUSES = ("active", "expired", "removed")
+VOTES = ("confirm", "deny")
+GROUP_LENGTHS = {"description": 1000, "image_url": 2048, "join_password": 200}
 IMAGE_TYPES = ("jpeg", "jpg", "png", "webp")
 MAX_NAME, MAX_IMAGE_BYTES = 120, 5 * 1024 * 1024
 
@@ -29,20 +34,63 @@ def _orphans(df: DataFrame, table: str, rule: str, key: str, column: str, parent
     return df.filter(F.col(column).isNotNull()).join(ids, column, "left_anti").select(F.lit(table), F.lit(rule), F.col(key).cast("string"))
 
 
-def constraint_audit(groups: DataFrame, members: DataFrame, friends: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(table, rule, key) of the rows that break a declared rule."""
+def constraint_audit(
+    groups: DataFrame,
+    members: DataFrame,
+    friends: DataFrame,
+    profiles: DataFrame,
+    invites: DataFrame | None = None,
+    requests: DataFrame | None = None,
+    events: DataFrame | None = None,
+    alerts: DataFrame | None = None,
+    votes: DataFrame | None = None,
+) -> DataFrame:
+    """(table, rule, key) of the rows that break a declared rule; rules of absent tables and columns are left out."""
     pairs = friends.select(F.least("user_id", "friend_id").alias("a"), F.greatest("user_id", "friend_id").alias("b"))
+    most = lambda df, table, key, limits: [
+        _broken(df, table, f"{c}_length", key, F.length(c) > n) for c, n in limits.items() if c in df.columns
+    ]
+    between = lambda df, table, key, limits: [
+        _broken(df, table, f"{c}_length", key, ~F.length(c).between(1, n)) for c, n in limits.items() if c in df.columns
+    ]
     parts = [
         _broken(groups, "groups", "type", "group_id", ~F.col("type").isin(*GROUP_TYPES)),
-        _broken(groups, "groups", "name_length", "group_id", ~F.length(F.trim("name")).between(1, MAX_NAME)),
+        *between(groups, "groups", "group_id", {"name": MAX_NAME}),
+        *most(groups, "groups", "group_id", GROUP_LENGTHS),
         _broken(members, "members", "role", "user_id", ~F.col("role").isin(*ROLES)),
-        _broken(friends, "friends", "status", "edge_id", ~F.col("status").isin(*STATUSES)),
+        _broken(friends, "friends", "status", "edge_id", ~F.col("status").isin(*FRIEND_STATUSES)),
         _broken(friends, "friends", "self", "edge_id", F.col("user_id") == F.col("friend_id")),
         _repeated(members, "members", "unique", "group_id", "user_id"),
         _repeated(pairs, "friends", "unordered_unique", "a", "b"),
         _orphans(members, "members", "group", "user_id", "group_id", groups, "group_id"),
         _orphans(friends, "friends", "user", "edge_id", "user_id", profiles, "user_id"),
     ]
+    if "join_code" in groups.columns:
+        parts.append(_repeated(groups.filter("join_code is not null"), "groups", "join_code_unique", "join_code"))
+    for df, table, key, user, statuses in (
+        (invites, "invites", "invite_id", "invited_user_id", INVITE_STATUSES),
+        (requests, "requests", "request_id", "user_id", REQUEST_STATUSES),
+    ):
+        if df is not None:
+            parts += [
+                _broken(df, table, "status", key, ~F.col("status").isin(*statuses)),
+                _repeated(df, table, "unique", "group_id", user),
+                _orphans(df, table, "group", key, "group_id", groups, "group_id"),
+            ]
+    if events is not None:
+        parts += between(events, "events", "event_id", {"title": 200, "time": 20}) + most(events, "events", "event_id", {"location": 300})
+    if alerts is not None:
+        parts += [
+            _broken(alerts, "alerts", "type", "alert_id", ~F.col("type").isin(*ALERT_TYPES)),
+            _broken(alerts, "alerts", "status", "alert_id", ~F.col("status").isin(*ALERT_STATUSES)),
+        ]
+    if votes is not None:
+        parts += [
+            _broken(votes, "votes", "vote", "alert_id", ~F.col("vote").isin(*VOTES)),
+            _repeated(votes, "votes", "unique", "alert_id", "user_id"),
+        ]
+        if alerts is not None:
+            parts.append(_orphans(votes, "votes", "alert", "alert_id", "alert_id", alerts, "alert_id"))
     return reduce(DataFrame.union, parts)
 
 

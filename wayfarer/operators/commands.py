@@ -215,16 +215,17 @@ def decide_location_pin(commands: DataFrame, friends: DataFrame) -> DataFrame:
 
 
 def decide_cluster_vote(votes: DataFrame, members: DataFrame, alerts: DataFrame, now: Column) -> DataFrame:
-    """Votes (vote_id, cluster_id, user_id, vote) on every member alert; a confirm extends the lead alert by half an hour."""
-    rows = votes.join(members.select("cluster_id", "alert_id"), "cluster_id").join(alerts.select("alert_id", "expires_at", "submitted_by"), "alert_id")
-    lead = F.min("alert_id").over(Window.partitionBy("vote_id"))
+    """Votes (vote_id, cluster_id, user_id, vote) on every member alert; a confirm extends the oldest one by half an hour."""
+    known = members.select("cluster_id", "alert_id").join(alerts.select("alert_id", "expires_at", "submitted_by", "created_at"), "alert_id")
+    leads = known.groupBy("cluster_id").agg(F.min(F.struct("created_at", "alert_id")).alias("lead")).select("cluster_id", "lead.alert_id")
+    rows = votes.join(known, "cluster_id").join(leads.withColumnRenamed("alert_id", "lead_id"), "cluster_id")
     later = F.greatest("expires_at", now) + F.make_dt_interval(mins=F.lit(30))
     return rows.select(
         "vote_id",
         "alert_id",
         "user_id",
         "vote",
-        F.when((F.col("alert_id") == lead) & (F.col("vote") == "confirm"), later).alias("new_expiry"),
+        F.when((F.col("alert_id") == F.col("lead_id")) & (F.col("vote") == "confirm"), later).alias("new_expiry"),
         F.when(F.col("submitted_by") != F.col("user_id"), F.col("submitted_by")).alias("rescore"),
     )
 

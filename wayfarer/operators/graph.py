@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.operators.iterate import MOST_ROUNDS, cut, min_labels
-from wayfarer.operators.spatial import near_pairs  # noqa: F401
+from wayfarer.operators.iterate import cut, min_labels
+from wayfarer.operators.spatial import seeded_stream
+
+#: Arcs of a component that one task may hold; larger components are searched by rounds.
+MOST_ARCS = 500_000
+#: Pairs that share a copy of their component's arcs.
+SHARE = 500
 
 
 def node_degree(edges: DataFrame) -> DataFrame:
@@ -62,7 +71,7 @@ def relax(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
     start = pairs.select("pair_id", F.col("start_id").alias("at"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("before"))
     best, frontier = cut(start), cut(start)
     goals = cut(pairs.select("pair_id", F.col("goal_id").alias("at")))
-    for _ in range(MOST_ROUNDS * 10):
+    while True:
         limit = best.join(goals, ["pair_id", "at"], "left_semi").select("pair_id", F.col("cost").alias("limit"))
         moved = frontier.join(arcs, F.col("at") == F.col("a")).select(
             "pair_id", F.col("b").alias("at"), (F.col("cost") + F.col("w")).alias("cost"), F.col("at").alias("before")
@@ -75,7 +84,6 @@ def relax(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             return best
         best = cut(best.join(frontier.select("pair_id", "at"), ["pair_id", "at"], "left_anti").unionByName(frontier))
-    raise RuntimeError("paths did not settle")
 
 
 def walk_back(pairs: DataFrame, best: DataFrame) -> DataFrame:
@@ -85,28 +93,93 @@ def walk_back(pairs: DataFrame, best: DataFrame) -> DataFrame:
         "pair_id", "cost", F.array("at").alias("path"), F.col("before").alias("next")
     )
     now, steps = cut(goal), best.select("pair_id", F.col("at").alias("next"), F.col("before").alias("after"))
-    for _ in range(MOST_ROUNDS * 10):
+    while True:
         if now.filter("next is not null").isEmpty():
             return now.select("pair_id", "cost", "path")
         longer = now.filter("next is not null").join(steps, ["pair_id", "next"]).select(
             "pair_id", "cost", F.concat(F.array("next"), "path").alias("path"), F.col("after").alias("next")
         )
         now = cut(now.filter("next is null").unionByName(longer))
-    raise RuntimeError("paths are too long")
+
+
+def _search(asks: pd.DataFrame, arcs: pd.DataFrame) -> list[tuple]:
+    """(pair_id, cost, path) by Dijkstra's rule from each start; equal costs keep the smaller predecessor."""
+    names, ends = np.unique(np.concatenate([arcs["a"].to_numpy(), arcs["b"].to_numpy()]), return_inverse=True)
+    a, b = ends[: len(arcs)], ends[len(arcs) :]
+    order = np.argsort(a, kind="stable")
+    bounds = np.searchsorted(a[order], np.arange(len(names) + 1)).tolist()
+    to, price = b[order].tolist(), arcs["w"].to_numpy(float)[order].tolist()
+    place, out = {n: i for i, n in enumerate(names.tolist())}, []
+    for start, rows in asks.groupby("start_id", sort=False):
+        goals = {place[g] for g in rows["goal_id"].tolist()}
+        cost, before, done, heap = {place[start]: 0.0}, {place[start]: -1}, set(), [(0.0, place[start])]
+        while heap and goals - done:
+            c, i = heapq.heappop(heap)
+            if i in done:
+                continue
+            done.add(i)
+            for k in range(bounds[i], bounds[i + 1]):
+                j, d = to[k], c + price[k]
+                known = cost.get(j)
+                if known is None or d < known:
+                    cost[j], before[j] = d, i
+                    heapq.heappush(heap, (d, j))
+                elif d == known and j not in done and i < before[j]:
+                    before[j] = i
+        for pair, goal in zip(rows["pair_id"].tolist(), rows["goal_id"].tolist()):
+            path, i = [], place[goal]
+            if i in done:
+                while i >= 0:
+                    path.append(names[i].item() if hasattr(names[i], "item") else names[i])
+                    i = before[i]
+                out.append((pair, cost[place[goal]], path[::-1]))
+    return out
+
+
+def least_ways(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(pair_id, cost, path) of the pairs (pair_id, start_id, goal_id) that arcs (a, b, w) of both directions join.
+
+    Pairs of different components leave first. The arcs of a component of at most ``MOST_ARCS``
+    meet its pairs in groups of ``SHARE``; pairs of larger ones go by rounds of all pairs together.
+    """
+    arcs = cut(arcs)
+    labels = cut(min_labels(arcs.select(F.col("a").alias("node")).distinct(), arcs.select("a", "b")))
+    sizes = arcs.join(labels, F.col("a") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("arcs"))
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    asks = pairs.select("pair_id", "start_id", "goal_id").join(at("start_id"), "start_id").join(at("goal_id"), "goal_id")
+    asks = cut(asks.filter("c_start_id = c_goal_id").withColumn("component", F.col("c_start_id")).join(sizes, "component"))
+    pair, node = pairs.schema["pair_id"].dataType.simpleString(), pairs.schema["start_id"].dataType.simpleString()
+
+    small = asks.filter(F.col("arcs") <= MOST_ARCS)
+    groups = small.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("groups"))
+    rows = small.join(groups, "component").withColumn("group", F.pmod(F.xxhash64("start_id"), "groups").cast("int"))
+    held = arcs.join(labels, F.col("a") == F.col("node")).join(groups, "component").withColumn(
+        "group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    )
+    each = lambda left, right: pd.DataFrame(_search(left, right) if len(left) else [], columns=["pair_id", "cost", "path"])
+    found = (
+        rows.select("component", "group", "pair_id", "start_id", "goal_id").groupBy("component", "group")
+        .cogroup(held.select("component", "group", "a", "b", "w").groupBy("component", "group"))
+        .applyInPandas(each, f"pair_id {pair}, cost double, path array<{node}>")
+    )
+    same = pairs.filter("start_id = goal_id").select("pair_id", F.lit(0.0).alias("cost"), F.array("start_id").alias("path"))
+    found = found.join(same.select("pair_id"), "pair_id", "left_anti").unionByName(same)
+    large = asks.filter(F.col("arcs") > MOST_ARCS)
+    if not large.isEmpty():
+        found = found.unionByName(walk_back(large, relax(large, arcs)))
+    return found
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(pair_id, cost, path) of least weight over undirected edges; nulls where there is no way."""
-    found = walk_back(pairs, relax(pairs, directed(edges)))
-    return pairs.select("pair_id").join(found, "pair_id", "left")
+    return pairs.select("pair_id").join(least_ways(pairs, directed(edges)), "pair_id", "left")
 
 
 def shortest_paths_avoiding(pairs: DataFrame, edges: DataFrame, avoid: DataFrame, penalty: float = 9999.0) -> DataFrame:
     """Shortest paths with a penalty on entering the nodes of ``avoid``."""
     marked = avoid.select(F.col("node_id").alias("b"), F.lit(penalty).alias("extra"))
     arcs = directed(edges).join(marked, "b", "left").select("a", "b", (F.col("w") + F.coalesce("extra", F.lit(0.0))).alias("w"))
-    found = walk_back(pairs, relax(pairs, arcs))
-    return pairs.select("pair_id").join(found, "pair_id", "left")
+    return pairs.select("pair_id").join(least_ways(pairs, arcs), "pair_id", "left")
 
 
 def link_shafts(nodes: DataFrame, edges: DataFrame, radius: float = 0.035, weight: float = 50.0) -> DataFrame:
@@ -115,21 +188,7 @@ def link_shafts(nodes: DataFrame, edges: DataFrame, radius: float = 0.035, weigh
     A node seeds a shaft unless an earlier seed on another floor is within the radius.
     """
     rows = nodes.select("node_id", "floor_id", "floor_no", "x", "y", F.col("type").alias("kind"))
-    pairs = near_pairs(rows, rows, ["kind"], radius).filter("l.floor_id <> r.floor_id and r.node_id < l.node_id")
-    pairs = cut(pairs.select(F.col("l.node_id").alias("id"), F.col("r.node_id").alias("before")))
-    state = cut(rows.select(F.col("node_id").alias("id"), F.lit(None).cast("boolean").alias("seed")))
-    for _ in range(MOST_ROUNDS):
-        known = state.select(F.col("id").alias("before"), F.col("seed").alias("s"))
-        seen = pairs.join(known, "before").groupBy("id").agg(F.bool_or(F.coalesce("s", F.lit(False))).alias("near"), F.bool_and(F.col("s").isNotNull()).alias("all"))
-        verdict = F.when(F.coalesce("near", F.lit(False)), F.lit(False)).when(F.coalesce("all", F.lit(True)), F.lit(True))
-        state = cut(state.join(seen, "id", "left").select("id", F.coalesce("seed", verdict).alias("seed")))
-        if state.filter("seed is null").isEmpty():
-            break
-    else:
-        raise RuntimeError("shafts did not settle")
-    seeds = state.filter("seed").select(F.col("id").alias("before"))
-    own = pairs.join(seeds, "before").groupBy("id").agg(F.min("before").alias("group_id"))
-    grouped = rows.join(own, rows.node_id == own.id, "left").withColumn("group_id", F.coalesce("group_id", "node_id"))
+    grouped = seeded_stream(rows, ["kind"], ["node_id"], radius, True, "node_id", apart="floor_id").withColumnRenamed("seed_id", "group_id")
     w = Window.partitionBy("group_id").orderBy("floor_no", "node_id")
     links = grouped.select(F.col("node_id").alias("src"), F.lead("node_id").over(w).alias("dst"), F.lit(weight).alias("weight"), "group_id").filter("dst is not null")
     have = edges.select("src", "dst").union(edges.select("dst", "src"))

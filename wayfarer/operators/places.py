@@ -76,45 +76,46 @@ def parse_location(texts: DataFrame, buildings: DataFrame, column: str = "locati
     return canonical_building(parts, buildings).withColumn("building", F.col("canonical")).drop("canonical", "expanded")
 
 
+def _grams(column, least: int = 1, most: int = 3):
+    """Distinct pieces of 1 to 3 characters of a text."""
+    text = F.col(column)
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(0))), lambda i: F.substr(text, i, F.lit(n)))
+    short = lambda n: F.when(F.length(text) >= n, of(n)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[short(n) for n in range(least, most + 1)]))
+
+
 def resolve_room(queries: DataFrame, nodes: DataFrame, site: str = "site") -> DataFrame:
     """(query_id, node_id, tier) of the room that a text means, within a site.
 
     Tiers: 1 label contains the text; 2 equal letters and digits; 3 the same floor and number;
-    4 the nearest number on that floor within 12, with the same suffix if one is given.
+    4 the nearest number on that floor within 12, with the same suffix if one is given. Each tier
+    is a join on equal values: the text's first letters, the compact text, the label, and the
+    floor with the number's dozen and its neighbours.
     """
-    q = queries.withColumn("q", F.lower(normalize_room("text"))).filter("q <> ''")
-    rooms = nodes.filter("type = 'room'").withColumn("l", F.lower("label"))
-    pair = q.select("query_id", site, "q").join(rooms.select(site, "node_id", "label", "l"), site)
-    compact = lambda c: F.regexp_replace(c, "[^a-z0-9]", "")
     pattern = r"^(\d+)\.(\d+)([a-z]?)$"
     part = lambda c, i: F.regexp_extract(c, pattern, i)
-    q_floor = part("q", 1).try_cast("long").cast("string")
-    q_no, l_no = part("q", 2).try_cast("long"), part("l", 2).try_cast("long")
-    on_floor = F.startswith("l", F.concat(q_floor, F.lit(".")))
-    exact = F.col("l") == F.concat(q_floor, F.lit("."), q_no.cast("string"), part("q", 3))
-    suffix = (part("q", 3) == "") | (part("q", 3) == part("l", 3))
-    gap = F.abs(l_no - q_no)
-    tier = (
-        F.when(F.contains("l", F.col("q")), 1)
-        .when((F.length(compact("q")) >= 2) & (compact("l") == compact("q")), 2)
-        .when(on_floor & exact, 3)
-        .when(on_floor & suffix & (gap <= 12), 4)
-    )
+    compact = lambda c: F.regexp_replace(c, "[^a-z0-9]", "")
+    q = queries.withColumn("q", F.lower(normalize_room("text"))).filter("q <> ''").select("query_id", site, "q")
+    q = q.withColumns({"q_floor": part("q", 1).try_cast("long").cast("string"), "q_no": part("q", 2).try_cast("long"), "q_end": part("q", 3)})
+    rooms = nodes.filter("type = 'room'").select(site, "node_id", "label", F.lower("label").alias("l"))
+    rooms = rooms.withColumns({"l_floor": part("l", 1), "l_no": part("l", 2).try_cast("long"), "l_end": part("l", 3)})
+    none = F.lit(0).cast("long").alias("gap")
+    hit = lambda df, tier, gap=none: df.select("query_id", "node_id", "label", "l", F.lit(tier).alias("tier"), gap)
+
+    head = q.withColumn("gram", F.substring("q", 1, 3))
+    one = head.join(rooms.withColumn("gram", F.explode(_grams("l"))), [site, "gram"]).filter(F.contains("l", F.col("q")))
+    two = q.withColumn("key", compact("q")).filter(F.length("key") >= 2).join(rooms.withColumn("key", compact("l")), [site, "key"])
+    three = q.withColumn("l", F.concat("q_floor", F.lit("."), F.col("q_no").cast("string"), "q_end")).join(rooms, [site, "l"])
+    dozens = F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.floor(F.col("q_no") / 13) + i)
+    floor_q = q.filter("q_no is not null").withColumn("dozen", F.explode(dozens)).withColumn("l_floor", F.col("q_floor"))
+    four = floor_q.join(rooms.withColumn("dozen", F.floor(F.col("l_no") / 13)), [site, "l_floor", "dozen"])
+    gap = F.abs(F.col("l_no") - F.col("q_no"))
+    four = four.filter((gap <= 12) & ((F.col("q_end") == "") | (F.col("q_end") == F.col("l_end"))))
+    found = hit(one, 1).unionByName(hit(two, 2)).unionByName(hit(three, 3)).unionByName(hit(four, 4, gap.alias("gap")))
     order = Window.partitionBy("query_id").orderBy(
-        "tier",
-        F.when(F.col("tier") == 4, F.col("gap")).otherwise(0),
-        F.when(F.col("tier") == 1, F.col("l")).otherwise(""),
-        F.when(F.col("tier") == 1, F.col("label")).otherwise(""),
-        "node_id",
-    )
-    return (
-        pair.withColumn("tier", tier)
-        .filter("tier is not null")
-        .withColumn("gap", gap)
-        .withColumn("rn", F.row_number().over(order))
-        .filter("rn = 1")
-        .select("query_id", "node_id", "tier")
+        "tier", "gap", F.when(F.col("tier") == 1, F.col("l")).otherwise(""), F.when(F.col("tier") == 1, F.col("label")).otherwise(""), "node_id"
     )
+    return found.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("query_id", "node_id", "tier")
 
 
 RINGS = (0.02, 0.06, 0.15)
@@ -124,11 +125,11 @@ def ring_place_search(queries: DataFrame, places: DataFrame, limit: int = 10) ->
     """(query_id, place_id, ring): places around a point whose name contains the text.
 
     The smallest box with three hits counts; else the largest with one; else all hits (ring 4).
-    Queries and names meet by the text's first three letters, so texts have three at least.
+    Queries and names meet by the text's first three letters, or all of a shorter text; a blank text finds nothing.
     """
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substr(F.lower("name"), i, F.lit(3))))
-    p = places.filter(F.length("name") >= 3).select("place_id", "name", "lat", "lon", F.explode(grams).alias("gram"))
-    q = queries.withColumn("gram", F.substring(F.lower(F.trim("text")), 1, 3)).select("query_id", "text", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "gram")
+    named = places.withColumn("low", F.lower("name"))
+    p = named.select("place_id", "name", "lat", "lon", F.explode(_grams("low")).alias("gram"))
+    q = queries.filter(F.trim("text") != "").withColumn("gram", F.substring(F.lower(F.trim("text")), 1, 3)).select("query_id", "text", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "gram")
     hits = q.join(p, "gram").filter(F.contains(F.lower("name"), F.lower(F.trim("text"))))
     far = F.greatest(F.abs(F.col("lat") - F.col("qlat")), F.abs(F.col("lon") - F.col("qlon")))
     ring = F.lit(4)

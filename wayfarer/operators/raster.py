@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.operators.graph import largest_component, node_degree, shortest_paths  # noqa: F401
-from wayfarer.operators.iterate import MOST_ROUNDS, cut, min_labels
+from wayfarer.operators.iterate import cut, min_labels
 
 #: Margins of a page that hold no rooms, in shares of its size.
 MARGINS = {"left": 0.10, "right": 0.10, "top": 0.10, "bottom": 0.18}
@@ -175,7 +174,7 @@ def corridor_skeleton(cells: DataFrame, low: float = 8, high: float = 55, least_
     stats = component_stats(labelled).filter((F.col("area") >= least_cells) & ((F.col("aspect") >= aspect) | (F.col("area") < small)))
     kept = labelled.join(stats.select("floor_id", "component"), ["floor_id", "component"], "left_semi").select("floor_id", "x", "y")
     now, skeleton = cut(kept), None
-    for _ in range(MOST_ROUNDS):
+    while True:
         eroded = cut(_cross(now, erode=True))
         opened = _cross(eroded, erode=False)
         part = cut(now.join(opened, ["floor_id", "x", "y"], "left_anti"))
@@ -183,7 +182,6 @@ def corridor_skeleton(cells: DataFrame, low: float = 8, high: float = 55, least_
         if eroded.isEmpty():
             return skeleton.distinct()
         now = eroded
-    raise RuntimeError("skeleton did not settle")
 
 
 CROSS = ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))
@@ -211,75 +209,30 @@ def skeleton_nodes(skeleton: DataFrame) -> DataFrame:
     return skeleton.join(n, ["floor_id", "x", "y"]).withColumn("kind", kind).filter("kind is not null").select("floor_id", "x", "y", "kind")
 
 
-def multi_source_regions(cells: DataFrame, sources: DataFrame) -> DataFrame:
-    """(floor_id, x, y, source_id, steps, px, py): each passable cell to its nearest source by 4-neighbour steps.
+def region_boundary_edges(regions: DataFrame, scale: float = 3.0, cells: DataFrame | None = None) -> DataFrame:
+    """(floor_id, a, b, steps, weight, ax, ay, bx, by): the meeting cells of least steps of each pair of touching regions.
 
-    Equal steps go to the smaller source, then the smaller predecessor (row, then column).
+    With ``cells`` one of the two must lie inside the raster's outermost rows and columns.
     """
-    free = cut(cells.filter("passable = 1").select("floor_id", "x", "y"))
-    none = F.lit(None).cast("long")
-    start = sources.join(free, ["floor_id", "x", "y"]).groupBy("floor_id", "x", "y").agg(F.min("source_id").alias("source_id"))
-    done = cut(start.select("floor_id", "x", "y", "source_id", F.lit(0).alias("steps"), none.alias("px"), none.alias("py")))
-    frontier, n = done, 0
-    parts = [done]
-    seen = cut(done.select("floor_id", "x", "y"))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in CROSS[1:]])
-    while True:
-        n += 1
-        moved = frontier.withColumn("o", F.explode(steps)).select(
-            "floor_id", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"), "source_id", F.col("y").cast("long").alias("py"), F.col("x").cast("long").alias("px")
-        )
-        best = moved.groupBy("floor_id", "x", "y").agg(F.min(F.struct("source_id", "py", "px")).alias("b"))
-        frontier = cut(
-            best.join(free, ["floor_id", "x", "y"], "left_semi")
-            .join(seen, ["floor_id", "x", "y"], "left_anti")
-            .select("floor_id", "x", "y", "b.source_id", F.lit(n).alias("steps"), "b.px", "b.py")
-        )
-        if frontier.isEmpty():
-            break
-        parts.append(frontier)
-        seen = cut(seen.union(frontier.select("floor_id", "x", "y")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return cut(out)
-
-
-def region_boundary_edges(regions: DataFrame, scale: float = 3.0) -> DataFrame:
-    """(floor_id, a, b, steps, weight, ax, ay, bx, by): the cheapest meeting point of each pair of touching regions."""
     two = F.array(F.struct(F.lit(1).alias("i"), F.lit(0).alias("j")), F.struct(F.lit(0).alias("i"), F.lit(1).alias("j")))
+    inner = lambda x, y: (F.col(x) > F.col("lox")) & (F.col(x) < F.col("hix")) & (F.col(y) > F.col("loy")) & (F.col(y) < F.col("hiy"))
     one = regions.withColumn("o", F.explode(two)).select(
         "floor_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("source_id").alias("sa"), F.col("steps").alias("da"), (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y")
     )
     pair = one.join(regions.select("floor_id", "x", "y", F.col("source_id").alias("sb"), F.col("steps").alias("db")), ["floor_id", "x", "y"]).filter("sa <> sb")
+    if cells is not None:
+        ends = cells.groupBy("floor_id").agg(*[f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("x", "y")])
+        pair = pair.join(ends, "floor_id").filter(inner("ax", "ay") | inner("x", "y"))
     swap = F.col("sa") > F.col("sb")
     meet = F.struct(
-        (F.col("da") + F.col("db") + 1).alias("steps"),
+        (F.col("da") + F.col("db")).alias("steps"),
         F.when(swap, F.col("y")).otherwise(F.col("ay")).alias("ay"),
         F.when(swap, F.col("x")).otherwise(F.col("ax")).alias("ax"),
         F.when(swap, F.col("ay")).otherwise(F.col("y")).alias("by"),
         F.when(swap, F.col("ax")).otherwise(F.col("x")).alias("bx"),
     )
     best = pair.groupBy("floor_id", F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).agg(F.min(meet).alias("m"))
-    return best.select("floor_id", "a", "b", "m.*", F.bround(F.col("m.steps") / scale, 1).alias("weight"))
-
-
-def trace_region_paths(regions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(floor_id, a, b, path array of (x, y)): from source a over the meeting cells to source b, all edges together."""
-    point = lambda x, y: F.struct(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"))
-    steps = regions.select("floor_id", "x", "y", "px", "py")
-    half = None
-    for side, x, y in (("a", "ax", "ay"), ("b", "bx", "by")):
-        now = cut(edges.select("floor_id", "a", "b", F.col(x).alias("x"), F.col(y).alias("y"), F.array(point(x, y)).alias("p")))
-        while True:
-            far = now.join(steps, ["floor_id", "x", "y"]).filter("px is not null")
-            if far.isEmpty():
-                break
-            done = now.join(steps, ["floor_id", "x", "y"]).filter("px is null").select(now.columns)
-            now = cut(done.unionByName(far.select("floor_id", "a", "b", F.col("px").alias("x"), F.col("py").alias("y"), F.concat(F.array(point("px", "py")), "p").alias("p"))))
-        part = now.select("floor_id", "a", "b", F.col("p").alias(f"p{side}"))
-        half = part if half is None else half.join(part, ["floor_id", "a", "b"])
-    return half.select("floor_id", "a", "b", F.concat("pa", F.reverse("pb")).alias("path"))
+    return best.select("floor_id", "a", "b", "m.*", (F.col("m.steps") / scale).alias("weight"))
 
 
 def line_cells(x0, y0, x1, y1) -> Column:
@@ -307,60 +260,37 @@ def lines_clear(lines: DataFrame, cells: DataFrame, corners: bool = True) -> Dat
     return lines.select("line_id").join(bad, "line_id", "left").select("line_id", F.col("bad").isNull().alias("clear"))
 
 
-def greedy_visibility_simplify(paths: DataFrame, cells: DataFrame) -> DataFrame:
-    """Points (path_id, floor_id, seq, x, y) that stay when each kept one jumps to the farthest later one in sight."""
-    later = paths.select("path_id", F.col("seq").alias("to"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    pairs = paths.join(later, "path_id").filter("to > seq").withColumn("line_id", F.struct("path_id", "seq", "to"))
-    sight = lines_clear(pairs.withColumnsRenamed({"x": "x0", "y": "y0"}), cells).filter("clear").select("line_id.*")
-    follow = paths.select("path_id", "seq", (F.col("seq") + 1).alias("to"))
-    jump = cut(sight.union(follow).groupBy("path_id", "seq").agg(F.max("to").alias("to")))
-    last = paths.groupBy("path_id").agg(F.max("seq").alias("end"))
-    now = cut(paths.groupBy("path_id").agg(F.min("seq").alias("seq")))
-    kept = now
-    while True:
-        now = cut(now.join(jump, ["path_id", "seq"]).join(last, "path_id").filter("to <= end").select("path_id", F.col("to").alias("seq")))
-        if now.isEmpty():
-            break
-        kept = kept.union(now)
-    return paths.join(kept, ["path_id", "seq"], "left_semi")
-
-
-def rdp_simplify(paths: DataFrame, epsilon: float) -> DataFrame:
-    """Points (path_id, seq, x, y) of each polyline that its largest offsets above epsilon need, all polylines together."""
-    from wayfarer.functions.scalars import point_segment_distance
+def rdp_simplify(paths: DataFrame, epsilon: float, cells: DataFrame | None = None) -> DataFrame:
+    """Points (path_id, seq, x, y) of each polyline that offsets above epsilon from its spans' lines need, all polylines together.
 
-    ends = paths.groupBy("path_id").agg(F.min("seq").alias("i"), F.max("seq").alias("j"))
+    With ``cells`` (floor_id too) a span is only drawn straight where its line of cells is clear;
+    a blocked span is split at its middle point.
+    """
+    order = Window.partitionBy("path_id").orderBy("seq")
+    rows = cut(paths.withColumn("at", F.row_number().over(order) - 1))
+    ends = rows.groupBy("path_id").agg(F.min("at").alias("i"), F.max("at").alias("j"))
     open_ = cut(ends.filter("j > i"))
-    kept = ends.select("path_id", F.explode(F.array("i", "j")).alias("seq"))
-    p = lambda a, n: paths.select("path_id", F.col("seq").alias(a), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    kept = ends.select("path_id", F.explode(F.array("i", "j")).alias("at"))
+    more = ["floor_id"] if cells is not None else []
+    p = lambda a, n, *c: rows.select("path_id", F.col("at").alias(a), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"), *c)
     while not open_.isEmpty():
-        spans = open_.join(p("i", 0), ["path_id", "i"]).join(p("j", 1), ["path_id", "j"])
-        inner = spans.join(paths, "path_id").filter("seq > i and seq < j")
-        off = inner.withColumn("d", point_segment_distance("x", "y", "x0", "y0", "x1", "y1"))
-        far = off.groupBy("path_id", "i", "j").agg(F.max(F.struct("d", (-F.col("seq")).alias("s"))).alias("m")).filter(F.col("m.d") > epsilon)
-        far = cut(far.select("path_id", "i", "j", (-F.col("m.s")).alias("k")))
-        kept = cut(kept.union(far.select("path_id", "k")))
-        open_ = cut(far.select("path_id", "i", F.col("k").alias("j")).union(far.select("path_id", F.col("k"), "j")))
-    return paths.join(kept.distinct(), ["path_id", "seq"], "left_semi")
-
-
-def grid_shortest_paths(pairs: DataFrame, cells: DataFrame, dist: bool = False) -> DataFrame:
-    """(pair_id, cost, path of cell keys): 4-connected ways between cells (pair_id, floor_id, x0, y0, x1, y1).
-
-    Entering a cell costs ``1 + 8 / (dist + 1)``, or 1 without distances. Search stays within
-    the pair's box widened by ``margin`` cells.
-    """
-    key = lambda f, x, y: F.xxhash64(f, x, y)
-    free = cells.filter("passable = 1").withColumn("key", key("floor_id", "x", "y"))
-    price = (1 + 8 / (F.col("dist") + 1)) if dist else F.lit(1.0)
-    moved = free.withColumn("o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in CROSS[1:]])))
-    arcs = moved.select("floor_id", F.col("key").alias("a"), (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y")).join(
-        free.select("floor_id", "x", "y", F.col("key").alias("b"), price.alias("w")), ["floor_id", "x", "y"]
-    )
-    from wayfarer.operators.graph import relax, walk_back
-
-    ends = pairs.select("pair_id", key("floor_id", "x0", "y0").alias("start_id"), key("floor_id", "x1", "y1").alias("goal_id"))
-    return pairs.select("pair_id").join(walk_back(ends, relax(ends, arcs.select("a", "b", "w"))), "pair_id", "left")
+        spans = cut(open_.join(p("i", 0, *more), ["path_id", "i"]).join(p("j", 1), ["path_id", "j"]).filter("j > i + 1"))
+        inner = spans.join(rows.select("path_id", "at", "x", "y"), "path_id").filter("at > i and at < j")
+        dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        area = F.abs(dx * (F.col("y0") - F.col("y")) - (F.col("x0") - F.col("x")) * dy)
+        off = inner.withColumn("d", F.when(F.hypot(dx, dy) < 1e-10, 0.0).otherwise(area / F.hypot(dx, dy)))
+        far = off.groupBy("path_id", "i", "j").agg(F.max(F.struct("d", (-F.col("at")).alias("s"))).alias("m"))
+        split = far.filter(F.col("m.d") > epsilon).select("path_id", "i", "j", (-F.col("m.s")).alias("k"))
+        if cells is not None:
+            flat = spans.join(split.select("path_id", "i", "j"), ["path_id", "i", "j"], "left_anti").filter(F.hypot(dx, dy) >= 1e-10)
+            ends_ = {c: F.floor(c).cast("long") for c in ("x0", "y0", "x1", "y1")}
+            sight = lines_clear(flat.withColumn("line_id", F.struct("path_id", "i", "j")).withColumns(ends_), cells).filter("not clear")
+            middle = sight.select("line_id.*").withColumn("k", F.col("i") + F.floor((F.col("j") - F.col("i") + 1) / 2).cast("int"))
+            split = split.unionByName(middle)
+        split = cut(split)
+        kept = cut(kept.union(split.select("path_id", "k")))
+        open_ = cut(split.select("path_id", "i", F.col("k").alias("j")).union(split.select("path_id", F.col("k"), "j")))
+    return rows.join(kept.distinct(), ["path_id", "at"], "left_semi").select(paths.columns)
 
 
 def mask_text_regions(cells: DataFrame, labels: DataFrame, width: float = 1.0, height: float = 2.0, margin: int = 5) -> DataFrame:

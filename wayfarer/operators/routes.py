@@ -194,31 +194,34 @@ def _link_weight() -> Column:
     return F.bround(200 + F.col("d") * 300, 1)
 
 
-def _transport_rooms(transports: DataFrame, nodes: DataFrame, degrees: DataFrame) -> DataFrame:
-    """Rooms on a transport's floor with their distance; where some rooms have edges, only those."""
+def _transport_rooms(transports: DataFrame, nodes: DataFrame, degrees: DataFrame, radius: float) -> DataFrame:
+    """Rooms on a transport's floor within the radius, with their distance; ``any``: whether some room of the floor has edges."""
+    from wayfarer.operators.spatial import near_pairs
+
     rooms = nodes.filter("type = 'room'").join(degrees.select("node_id", "degree"), "node_id", "left")
-    linked = F.coalesce("degree", F.lit(0)) > 0
-    any_linked = F.max(linked).over(Window.partitionBy("floor_id"))
-    rooms = rooms.withColumn("linked", linked).withColumn("any", any_linked)
-    near = transports.select("transport_id", "floor_id", F.col("x").alias("tx"), F.col("y").alias("ty")).join(rooms, "floor_id")
-    return near.withColumn("d", F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")))
+    rooms = rooms.select("node_id", "floor_id", "x", "y", (F.coalesce("degree", F.lit(0)) > 0).alias("linked"))
+    any_linked = rooms.groupBy("floor_id").agg(F.max("linked").alias("any"))
+    near = near_pairs(transports.select("transport_id", "floor_id", "x", "y"), rooms, ["floor_id"], radius, strict=False)
+    near = near.select("l.transport_id", "l.floor_id", "r.node_id", "r.linked", F.col("dist").alias("d"))
+    return near.join(any_linked, "floor_id")
 
 
 def transport_room_links(transports: DataFrame, nodes: DataFrame, degrees: DataFrame) -> DataFrame:
-    """(transport_id, floor_id, node_id, weight): up to four nearest rooms within 0.22."""
+    """(transport_id, floor_id, node_id, weight): up to four nearest rooms within 0.22; where some rooms have edges, only those."""
     order = Window.partitionBy("transport_id", "floor_id").orderBy("d", "node_id")
-    near = _transport_rooms(transports, nodes, degrees).filter("linked or not any").withColumn("rn", F.row_number().over(order))
-    return near.filter((F.col("rn") <= MAX_ROOMS) & (F.col("d") <= MAX_DIST)).select("transport_id", "floor_id", "node_id", _link_weight().alias("weight"))
+    near = _transport_rooms(transports, nodes, degrees, MAX_DIST).filter("linked or not any").withColumn("rn", F.row_number().over(order))
+    return near.filter(F.col("rn") <= MAX_ROOMS).select("transport_id", "floor_id", "node_id", _link_weight().alias("weight"))
 
 
 def transport_bridge_links(transports: DataFrame, nodes: DataFrame, degrees: DataFrame, components: DataFrame, links: DataFrame) -> DataFrame:
     """The nearest room with edges of each component of two or more that no link reaches yet, within 0.33."""
-    sized = components.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("component"))).filter("n >= 2")
+    sized = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("component")
     reached = links.join(components, "node_id").select("transport_id", "component").distinct()
-    near = _transport_rooms(transports, nodes, degrees).filter("linked").join(sized.select("node_id", "component"), "node_id")
+    near = _transport_rooms(transports, nodes, degrees, MAX_DIST * BRIDGE).filter("linked")
+    near = near.join(components.join(sized, "component"), "node_id")
     best = F.min(F.struct("d", "node_id")).alias("b")
     open_ = near.join(reached, ["transport_id", "component"], "left_anti").groupBy("transport_id", "floor_id", "component").agg(best)
-    return open_.select("transport_id", "floor_id", "component", "b.node_id", "b.d").filter(F.col("d") <= MAX_DIST * BRIDGE).select(
+    return open_.select("transport_id", "floor_id", "component", "b.node_id", "b.d").select(
         "transport_id", "floor_id", "component", "node_id", _link_weight().alias("weight")
     )
 

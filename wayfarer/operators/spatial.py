@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from wayfarer.functions.scalars import point_segment_distance
-from wayfarer.operators.iterate import MOST_ROUNDS, cut
+from wayfarer.operators.iterate import cut
 
 
 def _bucket(column, size: float) -> Column:
@@ -26,33 +30,56 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius: float
     return out.filter(F.col("dist") < radius if strict else F.col("dist") <= radius)
 
 
+def seeded_stream(df: DataFrame, keys: list[str], order: list[str], radius: float, strict: bool, id_col: str, apart: str | None = None) -> DataFrame:
+    """``df`` with seed_id: rows in order seed a group unless an earlier seed with equal keys is within the radius.
+
+    The rule is sequential within equal keys, so Spark sorts the rows and a task reads them as a
+    stream. It keeps the seeds alone, in square buckets as wide as the radius; seeds lie farther
+    apart than that, so a page holds a bounded number of them, however many rows it has. With
+    ``apart`` only seeds with another value of that column count. Ties in order go by id.
+    """
+    schema = StructType([*df.schema.fields, StructField("seed_id", df.schema[id_col].dataType)])
+    names = [*df.columns]
+    place = {c: i for i, c in enumerate(names)}
+
+    def of(batches):
+        now, seeds, n = None, {}, 0
+        for batch in batches:
+            column = lambda c: batch.column(place[c]).to_pylist()
+            own = column(apart) if apart else [None] * batch.num_rows
+            out = []
+            for key, id_, x, y, side in zip(zip(*map(column, keys)), column(id_col), column("x"), column("y"), own):
+                if key != now:
+                    now, seeds, n = key, {}, 0
+                if x is None or y is None:
+                    out.append(id_)
+                    continue
+                bx, by, best = math.floor(x / radius), math.floor(y / radius), None
+                for i in (bx - 1, bx, bx + 1):
+                    for j in (by - 1, by, by + 1):
+                        for seed in seeds.get((i, j), ()):
+                            d = math.hypot(x - seed[2], y - seed[3])
+                            near = d < radius if strict else d <= radius
+                            if near and (apart is None or seed[4] != side) and (best is None or seed[0] < best[0]):
+                                best = seed
+                if best is None:
+                    best = (n, id_, x, y, side)
+                    seeds.setdefault((bx, by), []).append(best)
+                    n += 1
+                out.append(best[1])
+            kind = batch.schema.field(place[id_col]).type
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*names, "seed_id"])
+
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order, id_col)
+    return ordered.mapInArrow(of, schema)
+
+
 def seeded_radius_groups(df: DataFrame, keys: list[str], order: list[str], radius: float, strict: bool = True, id_col: str = "id") -> DataFrame:
     """``seed_id`` of each row: rows in order seed a group unless an earlier seed with equal keys is within the radius.
 
-    Rounds decide all rows whose earlier neighbours are decided; a row without an earlier
-    seed nearby is one, any other belongs to its earliest seed. Ties in order go by id.
+    Any other row belongs to its earliest seed within the radius; a row without a place seeds itself.
     """
-    rows = cut(df.select(F.col(id_col).alias("id"), *keys, "x", "y", F.struct(*order, id_col).alias("o")))
-    pairs = near_pairs(rows, rows, keys, radius, strict).filter("r.o < l.o").select(
-        F.col("l.id").alias("id"), F.col("r.id").alias("before"), F.col("r.o").alias("before_o")
-    )
-    pairs = cut(pairs)
-    state = cut(rows.select("id", F.lit(None).cast("boolean").alias("seed")))
-    for _ in range(MOST_ROUNDS):
-        known = state.select(F.col("id").alias("before"), F.col("seed").alias("before_seed"))
-        seen = pairs.join(known, "before").groupBy("id").agg(
-            F.bool_or(F.coalesce("before_seed", F.lit(False))).alias("near_seed"), F.bool_and(F.col("before_seed").isNotNull()).alias("all_known")
-        )
-        verdict = F.when(F.coalesce("near_seed", F.lit(False)), F.lit(False)).when(F.coalesce("all_known", F.lit(True)), F.lit(True))
-        state = cut(state.join(seen, "id", "left").select("id", F.coalesce("seed", verdict).alias("seed")))
-        if state.filter("seed is null").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"groups did not settle in {MOST_ROUNDS} rounds")
-    seeds = state.filter("seed").select(F.col("id").alias("before"))
-    first = pairs.join(seeds, "before").groupBy("id").agg(F.min_by("before", "before_o").alias("first"))
-    joined = state.join(first, "id", "left").select(F.col("id").alias(id_col), F.when(F.col("seed"), F.col("id")).otherwise(F.col("first")).alias("seed_id"))
-    return df.join(joined, id_col)
+    return seeded_stream(df, keys, order, radius, strict, id_col)
 
 
 def alert_clusters(alerts: DataFrame, radius: float = 0.06) -> DataFrame:
@@ -62,7 +89,8 @@ def alert_clusters(alerts: DataFrame, radius: float = 0.06) -> DataFrame:
 
 
 def cluster_summary(assigned: DataFrame) -> DataFrame:
-    """Centroid, latest times, votes, distinct submitters and members of each cluster."""
+    """Centroid, latest times, votes, distinct submitters and members of each cluster, and its seed's description."""
+    said = F.col("description") if "description" in assigned.columns else F.lit(None).cast("string")
     return assigned.groupBy("cluster_id", "type", "floor_id").agg(
         F.avg("x").alias("x"),
         F.avg("y").alias("y"),
@@ -72,25 +100,62 @@ def cluster_summary(assigned: DataFrame) -> DataFrame:
         F.sum("denies").alias("denies"),
         F.sort_array(F.collect_set("submitted_by")).alias("submitters"),
         F.sort_array(F.collect_list("alert_id")).alias("members"),
+        F.max(F.when(F.col("alert_id") == F.col("cluster_id"), said)).alias("description"),
     )
 
 
+def nearest(points: DataFrame, targets: DataFrame, key: str, k: int = 1, itself: bool = True, digits: int | None = None) -> DataFrame:
+    """(point_id, target_id, dist, place): the k nearest targets of each point with an equal key, the smaller id on ties.
+
+    ``points`` (point_id, key, x, y), ``targets`` (target_id, key, x, y). A first search meets in
+    buckets as wide as the key's mean spacing of targets; points with fewer than k targets inside
+    that width search again in buckets four times as wide. ``digits`` rounds distances before they
+    are compared; without ``itself`` a target with the point's id does not count.
+    """
+    span = lambda df, *more: df.groupBy(key).agg(*[f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("x", "y")], *more)
+    size = F.hypot(F.col("hix") - F.col("lox"), F.col("hiy") - F.col("loy"))
+    held = span(targets, F.count(F.lit(1)).alias("n")).select(key, "n", "lox", "loy", "hix", "hiy", (size / F.sqrt("n")).alias("gap"))
+    asked = span(points).select(key, *[F.col(c).alias(f"p{c}") for c in ("lox", "loy", "hix", "hiy")])
+    far = F.hypot(F.greatest("hix", "phix") - F.least("lox", "plox"), F.greatest("hiy", "phiy") - F.least("loy", "ploy"))
+    floors = held.join(asked, key).select(key, "n", far.alias("far"), "gap")
+    # wide enough at last to hold every pair
+    floors = cut(floors.withColumn("far", F.col("far") * 1.001 + 1e-9).withColumn("gap", F.when(F.col("gap") > 0, F.least("gap", "far")).otherwise(F.col("far"))))
+    open_ = points.select("point_id", key, "x", "y")
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    found, step = None, 0
+    while True:
+        wide = floors.select(key, "n", "far", F.least(F.col("gap") * 4.0**step, "far").alias("width"))
+        cell = lambda c: F.floor(F.col(c) / F.col("width"))
+        a = open_.join(wide, key).select("point_id", key, "x", "y", "n", "far", "width", F.explode(offsets).alias("o"))
+        a = a.withColumns({"bx": cell("x") + F.col("o.i"), "by": cell("y") + F.col("o.j")}).drop("o")
+        b = targets.join(wide.select(key, "width"), key).select(key, "target_id", F.col("x").alias("tx"), F.col("y").alias("ty"), cell("x").alias("bx"), cell("y").alias("by"))
+        dist = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
+        met = a.join(b, [key, "bx", "by"]).withColumn("dist", dist if digits is None else F.round(dist, digits))
+        met = met if itself else met.filter("point_id <> target_id")
+        order = Window.partitionBy("point_id").orderBy("dist", "target_id")
+        top = met.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+        inside = F.count_if(F.col("dist") < F.col("width")).over(Window.partitionBy("point_id"))
+        done = (inside >= F.least(F.lit(k), F.col("n"))) | (F.col("width") >= F.col("far"))
+        hit = cut(top.withColumn("done", done).filter("done").select("point_id", "target_id", "dist", "place"))
+        found = hit if found is None else found.unionByName(hit)
+        open_ = cut(open_.join(wide.filter("width < far"), key, "left_semi").join(hit.select("point_id").distinct(), "point_id", "left_anti"))
+        if open_.isEmpty():
+            return found
+        step += 1
+
+
 def nearest_node(points: DataFrame, nodes: DataFrame, key: str = "floor_id", kind: str | None = None) -> DataFrame:
     """(point_id, node_id, dist): the nearest node on the point's floor, the smaller id on ties."""
     targets = nodes if kind is None else nodes.filter(F.col("type") == kind)
-    t = targets.select(key, "node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    d2 = F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2)
-    best = F.min(F.struct(d2.alias("d2"), "node_id")).alias("best")
-    return points.join(t, key).groupBy("point_id").agg(best).select("point_id", "best.node_id", F.sqrt("best.d2").alias("dist"))
+    found = nearest(points, targets.select(F.col("node_id").alias("target_id"), key, "x", "y"), key)
+    return found.select("point_id", F.col("target_id").alias("node_id"), "dist")
 
 
 def nearest_candidates(nodes: DataFrame, isolated: DataFrame, k: int = 5, key: str = "floor_id") -> DataFrame:
     """(node_id, other_id, place): the k nearest other nodes of each isolated one; equal to nine places, the smaller id."""
-    other = nodes.select(key, F.col("node_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    dist = F.round(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")), 9)
-    order = Window.partitionBy("node_id").orderBy("dist", "other_id")
-    pairs = isolated.join(other, key).filter("node_id <> other_id").withColumn("dist", dist)
-    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("node_id", "other_id", "place")
+    xy = lambda df, name: df.select(F.col("node_id").alias(name), key, "x", "y")
+    found = nearest(xy(isolated, "point_id"), xy(nodes, "target_id"), key, k, itself=False, digits=9)
+    return found.select(F.col("point_id").alias("node_id"), F.col("target_id").alias("other_id"), "place")
 
 
 def snap_to_grid(points: DataFrame, grid: DataFrame, component: DataFrame, key: str = "floor_id") -> DataFrame:
@@ -149,12 +214,11 @@ def within_of_segments(points: DataFrame, segments: DataFrame, radius: float, ke
 
 def alerts_on_route(alerts: DataFrame, segments: DataFrame, radius: float = 0.04) -> DataFrame:
     """(route_id, alert_id): alerts near a route's segment on their floor, without the route owner's own."""
-    pts = alerts.select(F.col("alert_id").alias("point_id"), "floor_id", "x", "y")
-    near = within_of_segments(pts, segments, radius)
-    owners = segments.select("seg_id", "route_id", "viewer_id").distinct()
-    own = alerts.select(F.col("alert_id").alias("point_id"), "submitted_by")
-    out = near.join(owners, "seg_id").join(own, "point_id").filter("viewer_id is null or viewer_id <> submitted_by")
-    return out.select("route_id", F.col("point_id").alias("alert_id")).distinct()
+    p = alerts.select("alert_id", "submitted_by", "floor_id", "x", "y", _bucket("x", radius).alias("bx"), _bucket("y", radius).alias("by"))
+    s = _segment_buckets(segments.select("route_id", "viewer_id", "floor_id", "x0", "y0", "x1", "y1"), radius)
+    dist = point_segment_distance("x", "y", "x0", "y0", "x1", "y1")
+    near = p.join(s, ["floor_id", "bx", "by"]).filter("viewer_id is null or viewer_id <> submitted_by").filter(dist < radius)
+    return near.select("route_id", "alert_id").distinct()
 
 
 def near_wall_filter(points: DataFrame, segments: DataFrame, radius: float = 5.0) -> DataFrame:
@@ -279,7 +343,7 @@ def convex_hulls(points: DataFrame, key: str = "floor_id") -> DataFrame:
         for side in (pts, pts[::-1]):
             chain = []
             for p in side:
-                while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
+                while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]) + 1e-12:  # points on a side, up to rounding, are no corners
                     chain.pop()
                 chain.append(p)
             out += chain[:-1] if len(chain) > 1 else chain

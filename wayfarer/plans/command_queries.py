@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from wayfarer.operators import commands as cm
 from wayfarer.operators.places import building_keys
 from wayfarer.plans.registry import now, query
+from wayfarer.plans.spatial_queries import CLUSTERS, clustered
+from wayfarer.plans.sql_parts import admitted
 from wayfarer.plans.text_queries import BUILD, dictionary
 
 A1 = "SELECT o_orderkey AS command_id, CASE WHEN o_orderkey%11=0 THEN NULL ELSE o_custkey END AS caller_id, CASE WHEN o_orderkey%7=0 THEN '  ' WHEN o_orderkey%7=1 THEN repeat('x',130) ELSE ' Group ' END AS name, CASE WHEN o_orderkey%5=0 THEN 'club' WHEN o_orderkey%5=1 THEN 'campus_org' ELSE 'friends' END AS type, repeat('d', cast(o_orderkey%1100 as int)) AS description, repeat('u', cast(o_orderkey%2500 as int)) AS image_url, repeat('p', cast(o_orderkey%220 as int)) AS password, o_orderkey%3=0 AS is_private FROM orders"
@@ -14,7 +16,8 @@ query("cmd1_decide_create_group", f"""SELECT command_id, caller_id, CASE WHEN ca
  trim(name) AS name, (type='friends' AND NOT is_private AND password<>'') AS has_join_password FROM ({A1}) c""")(lambda t: cm.decide_create_group(t.sql(A1)))
 A2 = "SELECT attempt_id AS command_id, user_id, CASE WHEN attempt_id%3=0 THEN 'zz' ELSE ' c' || cast(3*(attempt_id%30) as varchar(9)) END AS join_code, attempted_at FROM f_attempts"
 G2 = "SELECT *, 'C' || cast(group_id as varchar(9)) AS join_code FROM f_groups"
-query("cmd2_decide_join_by_code")(lambda t: cm.decide_join_by_code(t.sql(A2), t.sql(G2), t("f_members"), 5, 86400))
+query("cmd2_decide_join_by_code", f"""WITH RECURSIVE {admitted('c', f'SELECT *, attempted_at AS moment FROM ({A2}) a', 'command_id', 5, 86400)}, r AS (SELECT c.*, g.group_id, m.user_id IS NOT NULL AS inside FROM c LEFT JOIN ({G2}) g ON g.is_private AND upper(g.join_code)=upper(trim(c.join_code)) LEFT JOIN f_members m ON m.group_id=g.group_id AND m.user_id=c.user_id)
+ SELECT command_id, user_id, group_id, CASE WHEN NOT admitted THEN 'rate_limited' WHEN group_id IS NULL THEN 'invalid_code' WHEN inside OR coalesce(sum((admitted AND group_id IS NOT NULL)::INT) OVER (PARTITION BY group_id, user_id ORDER BY moment, command_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)>0 THEN 'already_member' ELSE 'success' END AS code FROM r""")(lambda t: cm.decide_join_by_code(t.sql(A2), t.sql(G2), t("f_members"), 5, 86400))
 A3 = "SELECT o_orderkey AS command_id, o_custkey AS user_id, o_orderkey%110 AS group_id, o_orderkey%2=0 AS password_ok FROM orders"
 query("cmd3_decide_join_group", f"""WITH b AS (SELECT command_id, c.user_id, c.group_id, CASE WHEN g.name IS NULL THEN 'not_found' WHEN is_private THEN 'private_group' WHEN type<>'friends' THEN 'wrong_type' WHEN has_join_password AND NOT password_ok THEN 'incorrect_password' WHEN m.user_id IS NOT NULL THEN 'already_member' ELSE 'success' END AS code FROM ({A3}) c LEFT JOIN f_groups g USING (group_id) LEFT JOIN f_members m ON m.group_id=c.group_id AND m.user_id=c.user_id)
  SELECT command_id, CASE WHEN code='success' AND row_number() OVER (PARTITION BY group_id, user_id, code ORDER BY command_id)>1 THEN 'already_member' ELSE code END AS code FROM b""")(lambda t: cm.decide_join_group(t.sql(A3), t("f_groups"), t("f_members")))
@@ -38,14 +41,25 @@ A8 = "SELECT group_id*100000+user_id AS command_id, group_id, user_id FROM f_mem
 query("cmd8_decide_leave", f"""WITH n AS (SELECT group_id, count(*) AS n FROM f_members WHERE role='admin' GROUP BY group_id), r AS (SELECT command_id, c.group_id, m.role, n FROM ({A8}) c LEFT JOIN f_members m ON m.group_id=c.group_id AND m.user_id=c.user_id LEFT JOIN n ON n.group_id=c.group_id)
  SELECT command_id, CASE WHEN role IS NULL THEN 'not_member' WHEN role='admin' AND row_number() OVER (PARTITION BY group_id, role ORDER BY command_id)>=n THEN 'last_admin' ELSE 'success' END AS code FROM r""")(lambda t: cm.decide_leave(t.sql(A8), t("f_members")))
 A9 = "SELECT event_id AS command_id, user_id, CASE WHEN event_id%19=0 THEN user_id WHEN event_id%23=0 THEN 99999999 ELSE (user_id*3+event_id)%1500 END AS friend_id, ts AS attempted_at FROM events"
-query("cmd9_decide_friend_request")(lambda t: cm.decide_friend_request(t.sql(A9), t("f_friends"), t("f_profiles"), 10, 86400))
+query("cmd9_decide_friend_request", f"""WITH RECURSIVE a AS ({A9}), k AS (SELECT user_id, friend_id FROM f_friends UNION SELECT friend_id, user_id FROM f_friends), r AS (SELECT a.*, k.user_id IS NOT NULL AS known, p.user_id IS NOT NULL AS found, row_number() OVER (PARTITION BY least(a.user_id,a.friend_id), greatest(a.user_id,a.friend_id) ORDER BY attempted_at, command_id)=1 AS first_try
+  FROM a LEFT JOIN k ON k.user_id=a.user_id AND k.friend_id=a.friend_id LEFT JOIN f_profiles p ON p.user_id=a.friend_id), q AS (SELECT *, NOT known AND found AND user_id<>friend_id AND first_try AS fresh, attempted_at AS moment FROM r),
+ {admitted('c', 'SELECT * FROM q', 'friend_id, command_id', 10, 86400, 'fresh')}
+ SELECT command_id, CASE WHEN user_id=friend_id THEN 'cannot_add_self' WHEN NOT admitted THEN 'rate_limited' WHEN known THEN 'already_exists' WHEN NOT found THEN 'user_not_found' WHEN NOT fresh THEN 'already_exists' ELSE 'success' END AS code FROM c""")(lambda t: cm.decide_friend_request(t.sql(A9), t("f_friends"), t("f_profiles"), 10, 86400))
 A10 = "SELECT owner_id AS command_id, owner_id, CASE WHEN owner_id%9=0 THEN ' ' ELSE 'B1' END AS building, repeat('r', cast(owner_id%90 as int)) AS room, array_agg(CASE WHEN owner_id%6=0 AND viewer_id%2=0 THEN owner_id ELSE viewer_id + CASE WHEN owner_id%10=1 THEN 1 ELSE 0 END END) AS viewers FROM f_shares GROUP BY owner_id"
 query("cmd10_decide_location_pin", f"""WITH c AS ({A10}), b AS (SELECT user_id AS o, friend_id AS v FROM f_friends WHERE status='accepted' UNION SELECT friend_id, user_id FROM f_friends WHERE status='accepted'), e AS (SELECT command_id, owner_id, unnest(viewers) AS v FROM c), k AS (SELECT e.command_id, bool_and(b.o IS NOT NULL) AS ok, bool_or(e.v=e.owner_id) AS self FROM e LEFT JOIN b ON b.o=e.owner_id AND b.v=e.v GROUP BY e.command_id)
  SELECT command_id, CASE WHEN trim(building)='' THEN 'invalid_building' WHEN length(room)>80 THEN 'invalid_room' WHEN len(viewers)>200 THEN 'too_many_viewers' WHEN self THEN 'invalid_viewer' WHEN NOT ok THEN 'not_friends' ELSE 'success' END AS code FROM c JOIN k USING (command_id)""")(lambda t: cm.decide_location_pin(t.sql(A10), t("f_friends")))
-CL = "SELECT alert_id, floor_id || type || cast(alert_id%9 as varchar(2)) AS cluster_id FROM f_alerts"
-CV = "SELECT min(seq) AS vote_id, c.cluster_id, v.user_id, max(v.vote) AS vote FROM f_votes v JOIN (SELECT alert_id, floor_id || type || cast(alert_id%9 as varchar(2)) AS cluster_id FROM f_alerts) c ON v.alert_id=c.alert_id GROUP BY c.cluster_id, v.user_id"
-query("cmd11_decide_cluster_vote", f"""WITH r AS (SELECT vote_id, c.alert_id, v.user_id, v.vote, expires_at, submitted_by, min(c.alert_id) OVER (PARTITION BY vote_id) AS ld FROM ({CV}) v JOIN ({CL}) c USING (cluster_id) JOIN f_alerts a ON a.alert_id=c.alert_id)
- SELECT vote_id, alert_id, user_id, vote, CASE WHEN alert_id=ld AND vote='confirm' THEN greatest(expires_at, $NOW) + INTERVAL 30 MINUTE END AS new_expiry, CASE WHEN submitted_by<>user_id THEN submitted_by END AS rescore FROM r""")(lambda t: cm.decide_cluster_vote(t.sql(CV), t.sql(CL), t("f_alerts"), now()))
+VOTES11 = "SELECT min(v.seq) AS vote_id, c.cluster_id, v.user_id, max(v.vote) AS vote FROM f_votes v JOIN c ON v.alert_id=c.alert_id GROUP BY c.cluster_id, v.user_id"
+query("cmd11_decide_cluster_vote", f"""{CLUSTERS}, w AS ({VOTES11}) SELECT vote_id, c.alert_id, w.user_id, w.vote, CASE WHEN c.alert_id=c.cluster_id AND w.vote='confirm' THEN greatest(expires_at, $NOW) + INTERVAL 30 MINUTE END AS new_expiry, CASE WHEN submitted_by<>w.user_id THEN submitted_by END AS rescore FROM w JOIN c ON c.cluster_id=w.cluster_id""")(
+    lambda t: cluster_votes(t)
+)
+
+
+def cluster_votes(t):
+    members = clustered(t).select("cluster_id", "alert_id")
+    cast = t("f_votes").join(members, "alert_id").groupBy("cluster_id", "user_id").agg(F.min("seq").alias("vote_id"), F.max("vote").alias("vote"))
+    return cm.decide_cluster_vote(cast, members, t("f_alerts"), now())
+
+
 A12 = "SELECT alert_id AS command_id, submitted_by AS caller_id, type, CASE WHEN alert_id%3=0 THEN '  ' ELSE ' hole ' END AS description, created_at AS made_at FROM f_alerts"
 query("cmd12_decide_alert_submit", f"SELECT command_id, CASE WHEN flagged THEN 'flagged' ELSE 'success' END AS code, caller_id AS submitted_by, nullif(trim(description),'') AS description, made_at + to_minutes(CASE type WHEN 'construction' THEN 4320 WHEN 'elevator_down' THEN 1440 WHEN 'building_closure' THEN 480 WHEN 'crowd' THEN 30 WHEN 'hazard' THEN 30 ELSE 60 END) AS expires_at FROM ({A12}) c LEFT JOIN f_profiles p ON p.user_id=c.caller_id")(
     lambda t: cm.decide_alert_submit(t.sql(A12), t("f_profiles"))
@@ -68,4 +82,4 @@ A16 = "SELECT request_id*2 AS command_id, user_id + CASE WHEN request_id%5=0 THE
 query("cmd16_decide_request_open_cancel", f"SELECT command_id, CASE WHEN action='open' THEN CASE WHEN r.status IS NOT NULL THEN 'already_requested' ELSE 'opened' END WHEN r.status IS NULL THEN 'not_found' WHEN r.status<>'pending' THEN 'not_pending' ELSE 'cancelled' END AS code FROM ({A16}) c LEFT JOIN f_requests r ON r.group_id=c.group_id AND r.user_id=c.user_id")(
     lambda t: cm.decide_request_open_cancel(t.sql(A16), t("f_requests"))
 )
-query("str6_admission_limiter")(lambda t: cm.admit(t("f_attempts"), 5, 86400).select("attempt_id", "user_id", "admitted"))
+query("str6_admission_limiter", f"WITH RECURSIVE {admitted('c', 'SELECT *, attempted_at AS moment FROM f_attempts', 'attempt_id', 5, 86400)} SELECT attempt_id, user_id, admitted FROM c")(lambda t: cm.admit(t("f_attempts"), 5, 86400).select("attempt_id", "user_id", "admitted"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfarer.operators import alerts as al
@@ -9,7 +10,8 @@ from wayfarer.operators import graph as gr
 from wayfarer.operators import routes as ro
 from wayfarer.operators import spatial as sp
 from wayfarer.plans.registry import now, query, r6
-from wayfarer.plans.social_queries import VOTED, voted
+from wayfarer.plans.social_queries import TRUST, VOTED, voted
+from wayfarer.plans.sql_parts import greedy, least_costs
 
 PTS = "SELECT alert_id AS point_id, floor_id, x, y FROM f_alerts"
 SEGS = "SELECT route_id*10+seq AS seg_id, route_id, user_id AS viewer_id, floor_id, x AS x0, y AS y0, x1, y1 FROM (SELECT *, lead(x) OVER (PARTITION BY route_id ORDER BY seq) AS x1, lead(y) OVER (PARTITION BY route_id ORDER BY seq) AS y1 FROM f_waypoints) w WHERE x1 IS NOT NULL"
@@ -17,19 +19,26 @@ DIST = "sqrt(pow({px}-({ax}+f*({bx}-{ax})),2)+pow({py}-({ay}+f*({by}-{ay})),2))"
 FRAC = "coalesce(least(1.0,greatest(0.0,(({px}-{ax})*({bx}-{ax})+({py}-{ay})*({by}-{ay}))/nullif(pow({bx}-{ax},2)+pow({by}-{ay},2),0))),0)"
 S = dict(px="x", py="y", ax="x0", ay="y0", bx="x1", by="y1")
 
+SEEDED = greedy("cl", f"SELECT alert_id AS id, * FROM voted WHERE {TRUST}", "type || floor_id", "created_at", 0.06)
+CLUSTERS = f"WITH RECURSIVE {VOTED}, {SEEDED}, c AS (SELECT v.*, cl.seed_id AS cluster_id FROM voted v JOIN cl ON cl.id=v.alert_id)"
+clustered = lambda t: sp.alert_clusters(al.alert_trust_filter(voted(t)))
 query("agg5_cluster_summary",
-    f"""WITH {VOTED}, c AS (SELECT *, floor_id || type || floor(x*4)::INT::VARCHAR AS cluster_id FROM voted) SELECT cluster_id, type, floor_id, round(avg(x),6) AS x, round(avg(y),6) AS y, sum(confirms)::BIGINT AS confirms, sum(denies)::BIGINT AS denies,
- array_to_string(list_sort(list_distinct(list(submitted_by))), ',') AS submitters, array_to_string(list_sort(list(alert_id)), ',') AS members FROM c GROUP BY cluster_id, type, floor_id""")(
-    lambda t: r6(sp.cluster_summary(voted(t).withColumn("cluster_id", F.concat("floor_id", "type", F.floor(F.col("x") * 4).cast("string")))), "x", "y").drop("created_at", "expires_at").withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("submitters", "members")})
+    f"""{CLUSTERS} SELECT cluster_id, type, floor_id, round(avg(x),6) AS x, round(avg(y),6) AS y, max(created_at) AS created_at, max(expires_at) AS expires_at, sum(confirms)::BIGINT AS confirms, sum(denies)::BIGINT AS denies,
+ array_to_string(list_sort(list_distinct(list(submitted_by))), ',') AS submitters, array_to_string(list_sort(list(alert_id)), ',') AS members, max(CASE WHEN alert_id=cluster_id THEN 'note ' || (alert_id%7)::VARCHAR END) AS description FROM c GROUP BY cluster_id, type, floor_id""")(
+    lambda t: r6(sp.cluster_summary(clustered(t).withColumn("description", F.concat(F.lit("note "), (F.col("alert_id") % 7).cast("string")))), "x", "y").withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("submitters", "members")})
 )
-query("gra10_alert_clusters")(lambda t: sp.alert_clusters(al.alert_trust_filter(voted(t))).select("alert_id", "cluster_id"))
-query("gra9_seeded_radius_groups")(lambda t: sp.seeded_radius_groups(t("f_detections"), ["floor_id"], ["conf"], 0.03, True, "det_id").select("det_id", "seed_id"))
-query("joi30_cluster_viewer_flags")(lambda t: clusters_for_viewers(t))
+query("gra10_alert_clusters", f"{CLUSTERS} SELECT alert_id, cluster_id FROM c")(lambda t: clustered(t).select("alert_id", "cluster_id"))
+DETK = "SELECT det_id AS id, floor_id, conf, x, y FROM f_detections"
+query("gra9_seeded_radius_groups", f"WITH RECURSIVE {greedy('g', DETK, 'floor_id', 'conf', 0.03)} SELECT id AS det_id, seed_id FROM g")(
+    lambda t: sp.seeded_radius_groups(t("f_detections"), ["floor_id"], ["conf"], 0.03, True, "det_id").select("det_id", "seed_id")
+)
+query("joi30_cluster_viewer_flags", f"""{CLUSTERS}, vw AS (SELECT DISTINCT cluster_id, submitted_by + alert_id%2 AS viewer_id FROM c), n AS (SELECT cluster_id, count(*) AS reports FROM c GROUP BY cluster_id)
+ SELECT vw.cluster_id, viewer_id, EXISTS (SELECT 1 FROM c WHERE c.cluster_id=vw.cluster_id AND c.submitted_by=viewer_id) AS own, l.vote, reports FROM vw JOIN n ON n.cluster_id=vw.cluster_id LEFT JOIN last l ON l.alert_id=vw.cluster_id AND l.user_id=viewer_id""")(lambda t: clusters_for_viewers(t))
 
 
 def clusters_for_viewers(t):
-    m = sp.alert_clusters(al.alert_trust_filter(voted(t))).select("cluster_id", "alert_id", "submitted_by")
-    leads = m.groupBy("cluster_id").agg(F.min("alert_id").alias("lead_id"))
+    m = clustered(t).select("cluster_id", "alert_id", "submitted_by")
+    leads = m.select("cluster_id", F.col("cluster_id").alias("lead_id")).distinct()  # a cluster is named by its oldest alert
     viewers = m.select("cluster_id", (F.col("submitted_by") + F.col("alert_id") % 2).alias("viewer_id")).distinct()
     return al.cluster_viewer_flags(m, leads, t("f_votes"), viewers)
 
@@ -66,22 +75,44 @@ from wayfarer.functions.scalars import clean_detected_text  # noqa: E402
 
 cleaned = lambda t: t("f_detections").withColumn("label", clean_detected_text("raw_text"))
 query("fil13_room_label_filter", f"WITH {DET} SELECT det_id, label FROM det WHERE {GOOD}")(lambda t: sp.room_label_filter(cleaned(t)).select("det_id", "label"))
-query("fil14_transport_label_classify", "SELECT det_id, CASE WHEN raw_text='STAIR' THEN 'stairwell' WHEN raw_text='ELEV' THEN 'elevator' END AS kind FROM f_detections")(
-    lambda t: t("f_detections").select("det_id", sp.transport_kind(F.col("raw_text")).alias("kind"))
+SIGN = "SELECT det_id, CASE det_id%14 WHEN 0 THEN ' Stw ' WHEN 1 THEN 's12' WHEN 2 THEN 'E3' WHEN 3 THEN 'LIFT' WHEN 4 THEN 'stairs' WHEN 5 THEN 'Elevat' WHEN 6 THEN 's' WHEN 7 THEN 'e1x' WHEN 8 THEN 'stairwell' WHEN 9 THEN 'ELV' WHEN 10 THEN 'the lift' ELSE raw_text END AS raw_text FROM f_detections"
+query("fil14_transport_label_classify", f"""SELECT det_id, CASE WHEN lower(trim(raw_text)) IN ('stair','stairs','stairwell','stw') OR (left(lower(trim(raw_text)),1)='s' AND try_cast(substr(trim(raw_text),2) AS BIGINT) IS NOT NULL) THEN 'stairwell'
+ WHEN lower(trim(raw_text)) IN ('elev','elevator','elevat','elv','lift') OR (left(lower(trim(raw_text)),1)='e' AND try_cast(substr(trim(raw_text),2) AS BIGINT) IS NOT NULL) THEN 'elevator' END AS kind FROM ({SIGN}) d""")(
+    lambda t: t.sql(SIGN).select("det_id", sp.transport_kind(F.col("raw_text")).alias("kind"))
 )
 query("agg8_best_detection_per_label", f"WITH {DET} SELECT floor_id, label, det_id, round(conf,6) AS conf FROM det WHERE {GOOD} QUALIFY row_number() OVER (PARTITION BY floor_id, label ORDER BY conf DESC, det_id)=1")(
     lambda t: r6(sp.best_detection(sp.room_label_filter(cleaned(t))).select("floor_id", "label", "det_id", "conf"), "conf")
 )
-query("set4_merge_detections")(lambda t: sp.merge_detections(*(cleaned(t).filter(f"det_id % 2 = {i}").select("det_id", "floor_id", "label", "x", "y", "conf") for i in (0, 1))).select("det_id", "floor_id", "label"))
-query("gra22_room_nodes_pipeline")(lambda t: sp.room_nodes(t("f_detections")).select("det_id", "floor_id", "label", "type"))
+HALF = "SELECT det_id, floor_id, label, x, y, conf FROM det WHERE det_id%2={i}"
+SET4 = f"""{DET}, a AS ({HALF.format(i=0)}), b AS ({HALF.format(i=1)}), lft AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.floor_id=b.floor_id AND (a.label=b.label OR sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))<0.015))),
+ {greedy('g', 'SELECT det_id AS id, floor_id, conf, x, y FROM lft', 'floor_id', '-conf', 0.015)}"""
+query("set4_merge_detections", f"WITH RECURSIVE {SET4} SELECT det_id, floor_id, label FROM a UNION ALL SELECT det_id, floor_id, label FROM lft WHERE det_id IN (SELECT seed_id FROM g)")(
+    lambda t: sp.merge_detections(*(cleaned(t).filter(f"det_id % 2 = {i}").select("det_id", "floor_id", "label", "x", "y", "conf") for i in (0, 1))).select("det_id", "floor_id", "label")
+)
+ROOMS = f"""{DET}, best AS (SELECT * FROM det WHERE {GOOD} QUALIFY row_number() OVER (PARTITION BY floor_id, label ORDER BY conf DESC, det_id)=1),
+ {greedy('g', 'SELECT det_id AS id, floor_id, conf, x, y FROM best', 'floor_id', '-conf', 0.015)}, rooms AS (SELECT det_id, floor_id, label, x, y, 'room' AS type FROM best WHERE det_id IN (SELECT seed_id FROM g)),
+ lf AS (SELECT *, CASE raw_text WHEN 'STAIR' THEN 'stairwell' WHEN 'ELEV' THEN 'elevator' END AS type FROM f_detections WHERE raw_text IN ('STAIR','ELEV')),
+ {greedy('h', 'SELECT det_id AS id, floor_id, type, x, y FROM lf', 'floor_id || type', 'id', 0.015)},
+ nodes AS (SELECT * FROM rooms UNION ALL SELECT det_id, floor_id, raw_text, x, y, type FROM lf WHERE det_id IN (SELECT seed_id FROM h) AND NOT EXISTS (SELECT 1 FROM rooms r WHERE r.floor_id=lf.floor_id AND sqrt(pow(r.x-lf.x,2)+pow(r.y-lf.y,2))<0.015))"""
+query("gra22_room_nodes_pipeline", f"WITH RECURSIVE {ROOMS} SELECT det_id, floor_id, label, type FROM nodes")(lambda t: sp.room_nodes(t("f_detections")).select("det_id", "floor_id", "label", "type"))
 query("agg12_bounding_box", "SELECT user_id, max(lat) AS north, min(lat) AS south, max(lon) AS east, min(lon) AS west FROM f_pings GROUP BY user_id")(lambda t: sp.bounding_box(t("f_pings"), "user_id"))
-query("agg13_door_arc_counts")(lambda t: sp.door_arc_counts(t.sql("SELECT seg_id AS arc_id, floor_id, x0 AS x, y0 AS y FROM f_walls")))
-query("agg15_convex_hull")(lambda t: sp.convex_hulls(t("f_nodes").filter("type = 'room'")).select("floor_id", F.size("hull").alias("corners")))
+ARCS = "SELECT l_orderkey*10+l_linenumber AS arc_id, 'f' || cast(l_suppkey%70 as varchar(2)) AS floor_id, cast(l_suppkey*37%97 as double) + 0.5*cast(l_linenumber as double) AS x, cast(l_suppkey*211%91 as double) AS y FROM lineitem WHERE l_linenumber<5"
+query("agg13_door_arc_counts", f"WITH RECURSIVE {greedy('g', f'SELECT arc_id AS id, floor_id, x, y FROM ({ARCS}) a', 'floor_id', 'id', 5)} SELECT seed_id AS center_id, count(*) AS arcs, count(*)<=2 AS is_door FROM g GROUP BY seed_id")(
+    lambda t: sp.door_arc_counts(t.sql(ARCS))
+)
+WRAP = """p AS (SELECT DISTINCT floor_id, x, y FROM f_nodes WHERE type='room'), h0 AS (SELECT floor_id, x, y FROM p QUALIFY row_number() OVER (PARTITION BY floor_id ORDER BY x, y)=1),
+ h AS (SELECT floor_id, x, y, x AS sx, y AS sy, -pi()/2 AS dir, 0 AS n FROM h0 UNION ALL SELECT floor_id, t.x, t.y, sx, sy, dir + t.turn, n+1 FROM (
+  SELECT h.floor_id, h.sx, h.sy, h.dir, h.n, min({'turn': round(fmod(atan2(p.y-h.y, p.x-h.x) - h.dir + 8*pi(), 2*pi()), 9), 'far': -(pow(p.x-h.x,2)+pow(p.y-h.y,2)), 'x': p.x, 'y': p.y}) AS t
+  FROM h JOIN p ON p.floor_id=h.floor_id AND (p.x<>h.x OR p.y<>h.y) WHERE n < 200 AND (n=0 OR h.x<>h.sx OR h.y<>h.sy) GROUP BY ALL) z)"""
+query("agg15_convex_hull", f"WITH RECURSIVE {WRAP} SELECT DISTINCT floor_id, round(x,6) AS x, round(y,6) AS y FROM h")(
+    lambda t: r6(sp.convex_hulls(t("f_nodes").filter("type = 'room'")).select("floor_id", F.explode("hull").alias("p")).select("floor_id", "p.x", "p.y"), "x", "y")
+)
 query("fil11_wall_segment_filter", "SELECT seg_id FROM f_walls WHERE sqrt(pow(x1-x0,2)+pow(y1-y0,2))>=5 AND NOT ((abs(y1-y0)<2 AND abs(x1-x0)>700) OR (abs(x1-x0)<2 AND abs(y1-y0)>700))")(
     lambda t: sp.wall_segments(t("f_walls"), 1000, 1000).select("seg_id")
 )
-query("fil12_annotation_line_outliers", "WITH s AS (SELECT *, sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS len FROM f_walls), m AS (SELECT floor_id, median(len) AS mid FROM s GROUP BY floor_id) SELECT seg_id, round(len,6) AS len FROM s JOIN m USING (floor_id) WHERE (abs(x1-x0)<2 OR abs(y1-y0)<2) AND len>=greatest(150.0, 4*mid)")(
-    lambda t: r6(sp.annotation_outliers(t("f_walls")).select("seg_id", "len"), "len")
+RULED = "SELECT seg_id, floor_id, x0, y0, CASE WHEN seg_id%10=7 THEN x0+4000 ELSE x1 END AS x1, CASE WHEN seg_id%10=7 THEN y0+cast(seg_id%20 as double)/10 ELSE y1 END AS y1 FROM f_walls"
+query("fil12_annotation_line_outliers", f"WITH s AS (SELECT *, sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS len FROM ({RULED}) w), m AS (SELECT floor_id, median(len) AS mid FROM s GROUP BY floor_id) SELECT seg_id, round(len,6) AS len FROM s JOIN m USING (floor_id) WHERE (abs(x1-x0)<2 OR abs(y1-y0)<2) AND len>=greatest(150.0, 4*mid)")(
+    lambda t: r6(sp.annotation_outliers(t.sql(RULED)).select("seg_id", "len"), "len")
 )
 query("sca18_door_signature")(lambda t: door_paths(t))
 
@@ -136,7 +167,7 @@ DST = "SELECT route_id, max(lat) AS dlat, min(lon) AS dlon FROM f_route_points G
 query("sca24_destination_connector", f"WITH l AS (SELECT route_id, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon FROM f_route_points GROUP BY route_id) SELECT l.route_id, round(lat,6) AS lat, round(dlat,6) AS dlat FROM l JOIN ({DST}) d ON l.route_id=d.route_id WHERE sqrt(pow(lat-dlat,2)+pow(lon-dlon,2))>=0.000009")(
     lambda t: r6(ro.destination_connector(t("f_route_points"), t.sql(DST)).select("route_id", "lat", "dlat"), "lat", "dlat")
 )
-LINE = "SELECT floor_id AS route_id, x AS seq, x, cast(floor(y/2) as bigint) AS y FROM (SELECT floor_id, x, CASE WHEN x<20 THEN 2 ELSE x-18 END AS y FROM f_cells WHERE y=5) c"
+LINE = "SELECT floor_id*100+r AS route_id, x AS seq, x, cast(floor(y/2) as bigint) AS y FROM (SELECT floor_id, y AS r, x, CASE WHEN x<20+y%9 THEN y ELSE y+x-18-y%9 END AS y FROM f_cells) c"
 query("win13_collinear_simplify", f"WITH p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM ({LINE}) l WINDOW w AS (PARTITION BY route_id ORDER BY seq)) SELECT route_id, seq, x, y FROM p WHERE px IS NULL OR nx IS NULL OR (x-px)*(ny-y)-(y-py)*(nx-x)<>0")(
     lambda t: ro.collinear_simplify(t.sql(LINE))
 )
@@ -149,7 +180,7 @@ SEGSQL = f"""n AS (SELECT p.*, floor_id, label, type FROM ({NPATH}) p JOIN f_nod
  segs AS (SELECT route_id, 0::BIGINT AS part, f0 AS floor_id, CASE WHEN two THEN 1 ELSE 2 END::BIGINT AS points, 'Walk to the '||kind AS instruction FROM k UNION ALL SELECT route_id, 1, f0, 0, 'Take the '||kind||' to Floor '||f2 FROM k UNION ALL SELECT route_id, 2, f2, 2, 'Walk to room '||l3 FROM k)"""
 query("win12_route_segments", f"WITH {SEGSQL} SELECT * FROM segs")(lambda t: segs(t).withColumn("part", F.col("part").cast("long")))
 query("fil18_segments_on_floor", f"WITH {SEGSQL} SELECT route_id, floor_id, count(*) AS parts FROM segs WHERE points>0 GROUP BY route_id, floor_id")(lambda t: ro.segments_on_floor(segs(t)))
-TRA = "SELECT k.k AS transport_id, 'f' || cast(f.f as varchar(2)) AS floor_id, 0.2+0.3*cast(k.k as double) AS x, 0.35*cast(k.k as double)+0.1 AS y, CASE WHEN k.k%2=0 THEN 'elevator' ELSE 'stairs' END AS kind FROM range(3) AS k(k), range(7) AS f(f) WHERE (k.k+f.f)%4<>0"
+TRA = "SELECT cast(floor(node_id/7) as bigint)%40 AS transport_id, floor_id, max(x) AS x, max(y) AS y, CASE WHEN cast(floor(node_id/7) as bigint)%2=0 THEN 'elevator' ELSE 'stairs' END AS kind FROM f_nodes WHERE node_id%11<4 GROUP BY cast(floor(node_id/7) as bigint)%40, cast(floor(node_id/7) as bigint)%2, floor_id"
 DEG = "deg AS (SELECT n AS node_id, count(*) AS degree FROM (SELECT src AS n FROM f_edges WHERE src%3<>0 UNION ALL SELECT dst FROM f_edges WHERE src%3<>0) e GROUP BY n)"
 RDIST = f"rm AS (SELECT tr.transport_id, tr.floor_id, n.node_id, coalesce(degree,0)>0 AS linked, sqrt(pow(n.x-tr.x,2)+pow(n.y-tr.y,2)) AS d FROM ({TRA}) tr JOIN f_nodes n ON tr.floor_id=n.floor_id AND n.type='room' LEFT JOIN deg ON deg.node_id=n.node_id), ra AS (SELECT *, bool_or(linked) OVER (PARTITION BY floor_id) AS anyl FROM rm)"
 RLINK = "rl AS (SELECT transport_id, floor_id, node_id, d FROM (SELECT *, row_number() OVER (PARTITION BY transport_id, floor_id ORDER BY d, node_id) AS rn FROM ra WHERE linked OR NOT anyl) z WHERE rn<=4 AND d<=0.22)"
@@ -180,8 +211,27 @@ comps = lambda t: gr.connected_components(t("f_nodes"), t("f_edges"))
 query("gra1_connected_components", f"WITH RECURSIVE {CC} SELECT * FROM cc")(comps)
 query("gra2_largest_component", f"WITH RECURSIVE {CC} SELECT node_id FROM cc WHERE component=(SELECT component FROM cc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")(lambda t: gr.largest_component(comps(t)).select("node_id"))
 PAIRS = "SELECT node_id AS pair_id, node_id AS start_id, node_id+7*(1+node_id%4) AS goal_id FROM f_nodes WHERE node_id%35=3"
-query("gra4_shortest_paths")(lambda t: gr.shortest_paths(t.sql(PAIRS), t("f_edges")).select("pair_id", "cost", F.size("path").alias("n_nodes")))
-query("gra5_shortest_paths_penalty")(
-    lambda t: gr.shortest_paths_avoiding(t.sql(PAIRS), t("f_edges"), t("f_nodes").filter("type = 'stairwell'").select("node_id")).select("pair_id", "cost")
+UNDIRECTED = "SELECT a, b, min(w) AS w FROM (SELECT src AS a, dst AS b, weight AS w FROM f_edges UNION ALL SELECT dst, src, weight FROM f_edges) e GROUP BY a, b"
+COSTS = "SELECT p.pair_id, round(d.cost,6) AS cost, round(d.cost,6) AS path_cost FROM ({p}) p LEFT JOIN d ON d.pair_id=p.pair_id AND d.spot=p.goal_id"
+STARTS = f"SELECT pair_id, start_id AS spot FROM ({PAIRS}) p"
+
+
+def with_path_cost(found, arcs):
+    """The cost beside the sum of the weights along the path, so that the path itself is compared."""
+    hop = found.select("pair_id", F.posexplode("path").alias("i", "b")).withColumn("a", F.lag("b").over(Window.partitionBy("pair_id").orderBy("i")))
+    along = hop.join(arcs, ["a", "b"], "left").groupBy("pair_id").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("path_cost"))
+    return r6(found.select("pair_id", "cost").join(along, "pair_id", "left"), "cost", "path_cost")
+
+
+query("gra4_shortest_paths", f"WITH RECURSIVE {least_costs('d', STARTS, UNDIRECTED)} {COSTS.format(p=PAIRS)}")(
+    lambda t: with_path_cost(gr.shortest_paths(t.sql(PAIRS), t("f_edges")), gr.directed(t("f_edges")))
+)
+STAIRS = f"SELECT a, b, w + CASE WHEN n.type='stairwell' THEN 9999.0 ELSE 0 END AS w FROM ({UNDIRECTED}) u JOIN f_nodes n ON n.node_id=u.b"
+query("gra5_shortest_paths_penalty", f"WITH RECURSIVE {least_costs('d', STARTS, STAIRS)} {COSTS.format(p=PAIRS)}")(
+    lambda t: with_path_cost(gr.shortest_paths_avoiding(t.sql(PAIRS), t("f_edges"), t("f_nodes").filter("type = 'stairwell'").select("node_id")), t.sql(STAIRS))
+)
+SHAFT = "SELECT node_id AS id, floor_id, floor_no, type, x, y FROM f_nodes WHERE type IN ('elevator','stairwell')"
+query("gra11_link_shafts", f"""WITH RECURSIVE {greedy('g', SHAFT, 'type', 'id', 0.2, 'floor_id')}, l AS (SELECT n.id AS src, lead(n.id) OVER (PARTITION BY seed_id ORDER BY floor_no, n.id) AS dst, seed_id AS group_id FROM g JOIN ({SHAFT}) n ON n.id=g.id)
+ SELECT src, dst, group_id FROM l WHERE dst IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f_edges e WHERE (e.src=l.src AND e.dst=l.dst) OR (e.src=l.dst AND e.dst=l.src))""")(
+    lambda t: gr.link_shafts(t("f_nodes").filter("type in ('elevator', 'stairwell')"), t("f_edges"), 0.2).select("src", "dst", "group_id")
 )
-query("gra11_link_shafts")(lambda t: gr.link_shafts(t("f_nodes").filter("type in ('elevator', 'stairwell')"), t("f_edges"), 0.2).select("src", "dst", "group_id"))

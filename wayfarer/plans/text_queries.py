@@ -58,8 +58,8 @@ query("fil6_suggest_buildings", "SELECT code, display_name FROM f_buildings WHER
 query("fil7_search_rooms", "SELECT node_id, label FROM f_nodes WHERE type='room' AND contains(lower(label),'3.1') ORDER BY lower(label), label, node_id LIMIT 20")(
     lambda t: places.search_rooms(t("f_nodes"), "3.1").select("node_id", "label")
 )
-PL = "SELECT place_id, name, case when place_id%3=0 then 'Gates Dell wing' else 'Street ' || cast(place_id as varchar(8)) end as address FROM f_places"
-query("fil8_has_indoor_map", f"SELECT place_id, contains(lower(name || ' ' || address), 'gates dell') AS has_indoor_map FROM ({PL}) p")(lambda t: places.has_indoor_map(t.sql(PL)).select("place_id", "has_indoor_map"))
+PL = "SELECT place_id, case when place_id%7=1 then 'GDC' else name end as name, case place_id%7 when 0 then 'Gates Dell wing' when 2 then 'the Gates Computer Science' when 3 then 'MELINDA GATES hall' when 4 then 'Bill and Melinda Gates' when 5 then 'Gates street' else 'Street ' || cast(place_id as varchar(8)) end as address FROM f_places"
+query("fil8_has_indoor_map", f"SELECT place_id, regexp_matches(lower(name || ' ' || address), 'gdc|gates dell|gates computer science|melinda gates') AS has_indoor_map FROM ({PL}) p")(lambda t: places.has_indoor_map(t.sql(PL)).select("place_id", "has_indoor_map"))
 TXT = "SELECT event_id, CASE WHEN event_id%4=0 THEN 'b' || cast(event_id%30 as varchar(4)) WHEN event_id%4=1 THEN 'Hall ' || cast(event_id%30 as varchar(4)) WHEN event_id%4=2 THEN 'B3 west' ELSE 'unknown ' || cast(event_id as varchar(9)) END AS building FROM f_cal"
 query(
     "joi21_canonical_building",
@@ -85,7 +85,7 @@ query(
   WHEN qf<>'' AND starts_with(l, qf||'.') AND l = qf||'.'||qn::VARCHAR||qs THEN 3 WHEN qf<>'' AND starts_with(l, qf||'.') AND (qs='' OR qs=ls) AND abs(ln-qn)<=12 THEN 4 END AS tier FROM p)
  SELECT query_id, node_id, tier FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE WHEN tier=4 THEN abs(ln-qn) ELSE 0 END, CASE WHEN tier=1 THEN l ELSE '' END, CASE WHEN tier=1 THEN label ELSE '' END, node_id)=1""",
 )(lambda t: places.resolve_room(t.sql(ROOMQ), t.sql(SITED)))
-PLQ = "SELECT place_id AS query_id, CASE WHEN place_id%3=0 THEN name ELSE 'supplier' END AS text, lat+0.001 AS lat, lon-0.001 AS lon FROM f_places"
+PLQ = "SELECT place_id AS query_id, CASE place_id%5 WHEN 0 THEN name WHEN 1 THEN 'su' WHEN 2 THEN '7' ELSE 'supplier' END AS text, lat+0.001 AS lat, lon-0.001 AS lon FROM f_places"
 query(
     "joi22_ring_place_search",
     f"""WITH q AS ({PLQ}), h AS (SELECT query_id, place_id, greatest(abs(p.lat-q.lat), abs(p.lon-q.lon)) AS far FROM q JOIN f_places p ON contains(lower(p.name), lower(q.text))),
@@ -103,19 +103,32 @@ query(
  e AS (SELECT *, unnest(range(len(c))) AS seq FROM r) SELECT route_id, seq::INT AS seq, c[seq+1][2] AS lat, c[seq+1][1] AS lon, round(m/1000*0.621371, 6) AS distance_mi, greatest(1, CASE WHEN s>0 THEN floor(s/60+0.5) ELSE floor(m/1000*0.621371/3.1*60+0.5) END)::BIGINT AS duration_min FROM e""",
 )(lambda t: r6(places.parse_route_results(t.sql(ROU)), "distance_mi"))
 
+AUDITED = {
+    "g": "SELECT *, CASE WHEN group_id%4=1 THEN 'C' || cast(group_id%3 as varchar(9)) END AS join_code, repeat('d', cast(group_id%3 as int)*600) AS description, repeat('u', cast(group_id%5 as int)*600) AS image_url, repeat('p', cast(group_id%7 as int)*40) AS join_password FROM f_groups WHERE group_id%9<>0",
+    "m": "SELECT group_id, user_id, CASE WHEN user_id%17=0 THEN 'owner' ELSE role END AS role FROM f_members",
+    "i": "SELECT invite_id, group_id, invited_user_id, CASE WHEN invite_id%11=0 THEN 'open' ELSE status END AS status FROM f_invites",
+    "r": "SELECT request_id, group_id, user_id, CASE WHEN request_id%11=0 THEN 'accepted' ELSE status END AS status FROM f_requests",
+    "e": "SELECT event_id, CASE WHEN event_id%50=0 THEN '' ELSE 't' END AS title, CASE WHEN event_id%60=0 THEN '' ELSE time END AS time, CASE WHEN event_id%70=0 THEN repeat(location, 40) ELSE location END AS location FROM f_cal",
+    "a": "SELECT alert_id, CASE WHEN alert_id%40=0 THEN 'flood' ELSE type END AS type, CASE WHEN alert_id%45=0 THEN 'open' ELSE status END AS status FROM f_alerts WHERE alert_id%13<>0",
+    "v": "SELECT alert_id, user_id, CASE WHEN seq%100=1 THEN 'maybe' ELSE vote END AS vote FROM f_votes",
+}
 query(
     "fil15_constraint_audit",
-    """WITH bad AS (SELECT user_id, CASE WHEN user_id%17=0 THEN 'owner' ELSE role END AS role, group_id FROM f_members)
- SELECT 'groups' AS "table", 'name_length' AS rule, group_id::VARCHAR AS key FROM f_groups WHERE length(name) NOT BETWEEN 1 AND 120
- UNION ALL SELECT 'members', 'role', user_id::VARCHAR FROM bad WHERE role NOT IN ('admin','editor','member')
- UNION ALL SELECT 'members', 'unique', group_id::VARCHAR||':'||user_id::VARCHAR FROM bad GROUP BY group_id, user_id HAVING count(*)>1
- UNION ALL SELECT 'members', 'group', user_id::VARCHAR FROM bad WHERE group_id NOT IN (SELECT group_id FROM f_groups WHERE group_id%9<>0)
- UNION ALL SELECT 'friends', 'user', edge_id::VARCHAR FROM f_friends WHERE user_id NOT IN (SELECT user_id FROM f_profiles)""",
-)(
-    lambda t: audits.constraint_audit(
-        t("f_groups").filter("group_id % 9 <> 0"), t("f_members").withColumn("role", F.when(F.col("user_id") % 17 == 0, "owner").otherwise(F.col("role"))), t("f_friends"), t("f_profiles")
-    )
-)
+    f"""WITH {', '.join(f'{k} AS ({v})' for k, v in AUDITED.items())}, l AS (SELECT 'groups' AS "table", 'name_length' AS rule, group_id::VARCHAR AS key FROM g WHERE length(name) NOT BETWEEN 1 AND 120
+ UNION ALL SELECT 'groups', 'description_length', group_id::VARCHAR FROM g WHERE length(description)>1000 UNION ALL SELECT 'groups', 'image_url_length', group_id::VARCHAR FROM g WHERE length(image_url)>2048
+ UNION ALL SELECT 'groups', 'join_password_length', group_id::VARCHAR FROM g WHERE length(join_password)>200 UNION ALL SELECT 'groups', 'join_code_unique', join_code FROM g WHERE join_code IS NOT NULL GROUP BY join_code HAVING count(*)>1
+ UNION ALL SELECT 'members', 'role', user_id::VARCHAR FROM m WHERE role NOT IN ('admin','editor','member')
+ UNION ALL SELECT 'members', 'unique', group_id::VARCHAR||':'||user_id::VARCHAR FROM m GROUP BY group_id, user_id HAVING count(*)>1 UNION ALL SELECT 'members', 'group', user_id::VARCHAR FROM m WHERE group_id NOT IN (SELECT group_id FROM g)
+ UNION ALL SELECT 'friends', 'user', edge_id::VARCHAR FROM f_friends WHERE user_id NOT IN (SELECT user_id FROM f_profiles)
+ UNION ALL SELECT 'invites', 'status', invite_id::VARCHAR FROM i WHERE status NOT IN ('pending','accepted','declined') UNION ALL SELECT 'invites', 'unique', group_id::VARCHAR||':'||invited_user_id::VARCHAR FROM i GROUP BY group_id, invited_user_id HAVING count(*)>1
+ UNION ALL SELECT 'invites', 'group', invite_id::VARCHAR FROM i WHERE group_id NOT IN (SELECT group_id FROM g)
+ UNION ALL SELECT 'requests', 'status', request_id::VARCHAR FROM r WHERE status NOT IN ('pending','approved','declined') UNION ALL SELECT 'requests', 'unique', group_id::VARCHAR||':'||user_id::VARCHAR FROM r GROUP BY group_id, user_id HAVING count(*)>1
+ UNION ALL SELECT 'requests', 'group', request_id::VARCHAR FROM r WHERE group_id NOT IN (SELECT group_id FROM g)
+ UNION ALL SELECT 'events', 'title_length', event_id::VARCHAR FROM e WHERE length(title) NOT BETWEEN 1 AND 200 UNION ALL SELECT 'events', 'time_length', event_id::VARCHAR FROM e WHERE length(time) NOT BETWEEN 1 AND 20 UNION ALL SELECT 'events', 'location_length', event_id::VARCHAR FROM e WHERE length(location)>300
+ UNION ALL SELECT 'alerts', 'type', alert_id::VARCHAR FROM a WHERE type NOT IN ('building_closure','crowd','elevator_down','construction','hazard','other') UNION ALL SELECT 'alerts', 'status', alert_id::VARCHAR FROM a WHERE status NOT IN ('active','expired','removed')
+ UNION ALL SELECT 'votes', 'vote', alert_id::VARCHAR FROM v WHERE vote NOT IN ('confirm','deny') UNION ALL SELECT 'votes', 'unique', alert_id::VARCHAR||':'||user_id::VARCHAR FROM v GROUP BY alert_id, user_id HAVING count(*)>1
+ UNION ALL SELECT 'votes', 'alert', alert_id::VARCHAR FROM v WHERE alert_id NOT IN (SELECT alert_id FROM a)) SELECT * FROM l""",
+)(lambda t: audits.constraint_audit(*(t.sql(AUDITED[k]) for k in "gm"), t("f_friends"), t("f_profiles"), *(t.sql(AUDITED[k]) for k in "ireav")))
 OBJ = "SELECT o_orderkey AS object_id, o_custkey AS owner_id, cast(o_custkey + case when o_orderkey%7=0 then 1 else 0 end as varchar(9)) || '/pic' || case o_orderkey%4 when 0 then '.PNG' when 1 then '.jpeg' when 2 then '.gif' else '.webp' end AS name, o_orderkey*977%6000000 AS size FROM orders"
 query("fil16_upload_object_audit", f"SELECT object_id, (split_part(name,'/',1)=owner_id::VARCHAR AND lower(split_part(name,'.',2)) IN ('jpeg','jpg','png','webp') AND size BETWEEN 1 AND 5242880) AS allowed FROM ({OBJ}) o")(
     lambda t: audits.upload_object_audit(t.sql(OBJ)).select("object_id", "allowed")
