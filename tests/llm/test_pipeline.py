@@ -88,3 +88,105 @@ def test_toxicity_edges(spark, documents_of):
     model = toxicity.fit(["you idiot", "nice day", "idiot talk", "sunny day"] * 10, [1, 0, 1, 0] * 10)
     scored = toxicity.score(documents_of([(1, "an idiot"), (2, "a day")]), model).collect()
     assert [x.predicted for x in sorted(scored, key=lambda x: x.doc_id)] == [1, 0]
+
+
+def toxicity_twin(texts, labels, epochs=20, rate=0.1):
+    """The classifier in plain Python: features, ratios of smoothed shares, unit length, gradient steps."""
+    import math
+
+    import numpy as np
+
+    m = 2**64
+
+    def grams(text):
+        codes, found = [ord(c) for c in f" {text.lower()} "], set()
+        for n in (3, 4):
+            for i in range(len(codes) - n + 1):
+                h = codes[i]
+                for c in codes[i + 1 : i + n]:
+                    h = (h * 1099511628211 + c) % m
+                h = (h ^ (h >> 32)) * 0x9E3779B97F4A7C15 % m
+                found.add(h >> 46)
+        return sorted(found)
+
+    rows = [grams(t) for t in texts]
+    toxic, other = Counter(), Counter()
+    for x, y in zip(rows, labels):
+        (toxic if y else other).update(x)
+    n1, n0 = sum(labels), len(labels) - sum(labels)
+    ratio = lambda f: math.log((toxic[f] + 1) / (n1 + 2)) - math.log((other[f] + 1) / (n0 + 2))
+    values = []
+    for x in rows:
+        length = math.sqrt(sum(ratio(f) ** 2 for f in x)) or 1.0
+        values.append([ratio(f) / length for f in x])
+    weights, square = Counter(), {}
+    bias, bias_square = math.log(n1 / n0), 1e-6
+    order = np.random.default_rng(0)
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            z = bias + sum(weights[f] * v for f, v in zip(rows[i], values[i]))
+            slope = 1 / (1 + math.exp(-z)) - labels[i]
+            for f, v in zip(rows[i], values[i]):
+                step = slope * v + 1e-6 * weights[f]
+                square[f] = square.get(f, 1e-6) + step * step
+                weights[f] -= rate * step / math.sqrt(square[f])
+            bias_square += slope * slope
+            bias -= rate * slope / math.sqrt(bias_square)
+
+    def score(text):
+        x = grams(text)
+        length = math.sqrt(sum(ratio(f) ** 2 for f in x))
+        z = bias + (sum(weights[f] * ratio(f) for f in x) / length if length else 0.0)
+        return 1 / (1 + math.exp(-z))
+
+    return score
+
+
+def test_toxicity_query_matches_plain_python(spark):
+    """On a small table the training rows are all labelled rows outside the held-out fold, in order of doc_id."""
+    import zlib
+
+    from wayfarer.llm.queries import op10_toxicity
+
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {x.doc_id: x.toxic for x in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    fold = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    train = sorted((d, y, texts[d]) for d, y in labels.items() if y in (0, 1) and d in texts and not fold(d))
+    score = toxicity_twin([t for _, _, t in train], [y for _, y, _ in train])
+    got = op10_toxicity(spark, SF).collect()
+    assert sorted(x.doc_id for x in got) == sorted(texts)
+    for x in got:
+        assert x.held_out == fold(x.doc_id) and abs(x.score - score(texts[x.doc_id])) < 1e-4
+        assert x.predicted == int(x.score >= 0.5)
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, documents_of):
+    docs = documents_of([(i, "you idiot " * 50 if i % 2 else "a nice day " * 50) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    none = toxicity.train(docs, labels, most_bytes=100)
+    assert not none[0].any()
+    some = toxicity.train(docs, labels, most_bytes=6000)
+    assert some[0].any()
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark):
+    names = ["rate", "copy", "n_copies", "score", "row", "id", "lost_id", "component_id", "salt", "h", "a.b"]
+    text = "the same nine words stand in every one here"
+    table = [(1, None), (2, ""), (2, ""), (None, text), (5, text), (5, text), (6, text + " and more"), (7, "x " * 60_000), (8, "\n")]
+    docs = spark.createDataFrame([(d, t, "en", None if d == 8 else "s", 0, *[d] * len(names)) for d, t in table],
+        "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in names))
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, SF)
+            assert out.columns == docs.columns
+            rows = out.collect()
+            assert all(x[c] == x.doc_id for x in rows for c in names)
+            if name == "exact_dedup" and not empty:
+                # of equal texts (null as empty) the largest doc_id stays, once
+                assert Counter(x.doc_id for x in rows) == Counter([2, 5, 6, 7, 8])
+            if name == "ngram_join" and not empty:
+                assert sorted(x.doc_id for x in rows) == [2, 5, 6, 7, 8]
+            now = spark.createDataFrame(rows, docs.schema)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+        assert bool(pieces) == bool(rows)

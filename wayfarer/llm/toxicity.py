@@ -6,7 +6,8 @@ that have it, scales the (binary) features by it, brings each text to unit lengt
 a logistic regression on the result. Scoring is one vectorised pass over the texts.
 
 The classifier is fitted on a bounded sample: ``TRAIN_ROWS`` labelled rows in hash
-order of doc_id. Scoring covers every row and whole texts.
+order of doc_id, of which those are taken whose whole texts fit into ``TRAIN_BYTES``
+together. Scoring covers every row and whole texts.
 
 Defined results: a null text is an empty text; a text without features scores the
 intercept; rows with a null label or doc_id are not trained on. Without rows of both
@@ -16,16 +17,20 @@ score alike. Only doc_id and text are read, so further columns cannot clash.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import text_or_empty
+from wayfarer.llm.common import cut, text_or_empty
 
 BITS = 18
 ORDERS = (3, 4)
 TRAIN_ROWS = 6000
+#: UTF-8 bytes of all training texts together.
+TRAIN_BYTES = 64_000_000
 EPOCHS = 20
 RATE = 0.1
 FOLDS = 5
@@ -76,19 +81,29 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, orders: tuple = O
     return weights, ratio, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
-    """Fit on at most ``rows`` labelled rows outside the held-out fold, in hash order."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES):
+    """Fit on at most ``rows`` labelled rows outside the held-out fold, in hash order, with ``most_bytes`` of text."""
     named = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("label"))
     chosen = (
         named.filter(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~_held_out("label_id"))
         .orderBy(F.md5(F.col("label_id").cast("string")), "label_id", "label")
         .limit(rows)
     )
-    sample = docs.select("doc_id", text_or_empty().alias("text")).join(
-        F.broadcast(chosen), F.col("doc_id") == F.col("label_id")
+    sample = cut(
+        docs.select("doc_id", text_or_empty().alias("text"))
+        .join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+        .select("doc_id", "label", "text", F.md5("text").alias("digest"))
     )
-    got = sorted((r.doc_id, r.label, r.text) for r in sample.select("doc_id", "label", "text").collect())
-    return fit([t for _, _, t in got], [y for _, y, _ in got])
+    sizes = sample.select("doc_id", "label", "digest", F.octet_length("text").alias("size")).distinct().collect()
+    room, fit_in = most_bytes, set()
+    for r in sorted(sizes, key=lambda r: (hashlib.md5(str(r.doc_id).encode()).digest(), r.label, r.digest)):
+        if r.size <= room:
+            room -= r.size
+            fit_in.add((r.doc_id, r.label, r.digest))
+    allowed = docs.sparkSession.createDataFrame(sorted(fit_in), "doc_id long, label int, digest string")
+    got = sample.join(F.broadcast(allowed), ["doc_id", "label", "digest"], "left_semi").select("doc_id", "label", "text").distinct()
+    found = sorted((r.doc_id, r.label, r.text) for r in got.collect())
+    return fit([t for _, _, t in found], [y for _, y, _ in found])
 
 
 def _held_out(column: str):
