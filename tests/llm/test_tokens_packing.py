@@ -99,3 +99,17 @@ def test_query_on_the_given_table(spark):
     assert check_packing(rows, op3_packing(spark, sf).collect(), 4096) > 0.9
     want = {d: len(ids_of(t or "")) for d, t in rows}
     assert {x.doc_id: x.n_tokens for x in op4_token_counts(spark, sf).collect()} == want
+
+
+def test_query_counts_from_a_cache_that_a_second_call_hits(spark, tmp_path):
+    from wayfarer.llm.queries import op4_token_counts
+
+    spark.conf.set("spark.wayfarer.tokenCache", f"{tmp_path}/cache")
+    try:
+        first = sorted(map(tuple, op4_token_counts(spark, "/root/testdata/sf0.001").collect()))
+        stored = spark.read.parquet(f"{tmp_path}/cache").count()
+        second = sorted(map(tuple, op4_token_counts(spark, "/root/testdata/sf0.001").collect()))
+        assert first == second and stored > 0
+        assert spark.read.parquet(f"{tmp_path}/cache").count() == stored
+    finally:
+        spark.conf.unset("spark.wayfarer.tokenCache")

@@ -35,7 +35,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(documents(session(spark), sf_dir))
+    """``spark.wayfarer.tokenCache`` names a cache table to keep from run to run; unset, each run starts one."""
+    cache = spark.conf.get("spark.wayfarer.tokenCache", None)
+    return tokens.count_tokens(documents(session(spark), sf_dir), cache=cache)
+
+
+def near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band join of the fingerprints: verified links between documents and representatives."""
+    return fingerprints.near_duplicates(documents(session(spark), sf_dir))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +80,7 @@ def queries() -> dict:
         "op5_line_dedup": op5_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_fingerprints": op7_fingerprints,
+        "near_duplicate_links": near_duplicate_links,
         "op8_ngram_join": op8_ngram_join,
         "op9_mix_sources": op9_mix_sources,
         "op10_toxicity": op10_toxicity,
