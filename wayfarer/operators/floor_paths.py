@@ -371,25 +371,24 @@ def closest_merges(nodes: DataFrame, components: DataFrame, reps: int = 20) -> D
         for i, c in enumerate(pdf["component"].tolist()):
             parts.setdefault(c, []).append(i)
         groups, out = list(parts.values()), []
-
-        def gap(a, b):
-            d = np.hypot(*(xy[a[:reps], None] - xy[None, b[:reps]]).transpose(2, 0, 1))
+        between = lambda a, b: np.hypot(*(xy[a][:, None] - xy[b][None, :]).transpose(2, 0, 1))
+        heads = [g[:reps] for g in groups]
+        starts = np.cumsum([0, *map(len, heads)])[:-1]
+        every = np.concatenate(heads).astype(int)
+        gaps = np.array([np.minimum.reduceat(between(h, every).min(axis=0), starts) for h in heads])
+        np.fill_diagonal(gaps, np.inf)
+        turn = np.arange(len(groups))  # the place of each component in the list
+        for _ in range(len(groups) - 1):
+            ties = np.argwhere(gaps == gaps.min())
+            i, j = min(((p, q) for p, q in ties.tolist() if turn[p] < turn[q]), key=lambda p: (turn[p[0]], turn[p[1]]))
+            d = between(heads[i], heads[j])
             at = int(d.argmin())
-            return float(d.flat[at]), a[at // d.shape[1]], b[at % d.shape[1]]
-
-        gaps = {(i, j): gap(a, b) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j}
-        alive, held = list(range(len(groups))), groups
-        while len(alive) > 1:
-            # of equal gaps the pair that comes first in the order of the list
-            place = {g: k for k, g in enumerate(alive)}
-            i, j = min(gaps, key=lambda p: (gaps[p][0], place[p[0]], place[p[1]]))
-            out.append((ids[gaps[i, j][1]], ids[gaps[i, j][2]], pdf["floor_id"].iloc[0]))
-            held.append(held[i] + held[j])
-            alive = [g for g in alive if g not in (i, j)]
-            gaps = {p: v for p, v in gaps.items() if i not in p and j not in p}
-            new = len(held) - 1
-            gaps |= {(g, new): gap(held[g], held[new]) for g in alive}
-            alive.append(new)
+            out.append((ids[heads[i][at // d.shape[1]]], ids[heads[j][at % d.shape[1]]], pdf["floor_id"].iloc[0]))
+            groups[i], groups[j] = groups[i] + groups[j], []
+            heads[i], heads[j], turn[i] = groups[i][:reps], [], turn.max() + 1
+            row = np.array([between(heads[i], h).min() if h else np.inf for h in heads])
+            gaps[j], gaps[:, j], gaps[i], gaps[:, i] = np.inf, np.inf, row, row
+            gaps[i, i] = np.inf
         return pd.DataFrame(out, columns=["src", "dst", "floor_id"])
 
     return rows.groupBy("floor_id").applyInPandas(each, f"src {kind}, dst {kind}, floor_id {floor}")

@@ -3,50 +3,52 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of the session; a temporary one only where none is set."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local session may have none."""
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not named and sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return (named or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder, so that loops keep a short lineage and survive lost executors."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    # constraints of unions over checkpoints name columns that the checkpoint cannot map
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+    """Write a table in the shared folder and read it back: lineage ends, and lost executors cost nothing.
+
+    Its size is that of its files. A checkpoint would keep the plan's estimate, the product of
+    the sizes of all joins so far, whose digits double from round to round.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node reaches over edges (a, b), by label exchange with pointer jumps."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    now = cut(nodes.select("node", F.col("node").alias("component")))
-    while True:
-        heard = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("low"))
-        step = now.join(heard, F.col("node") == F.col("a"), "left").select(
-            "node", F.least("component", F.coalesce("low", "component")).alias("component"), F.col("component").alias("old")
-        )
-        jump = step.select(F.col("node").alias("at"), F.col("component").alias("far"))
-        new = cut(
-            step.join(jump, F.col("component") == F.col("at"), "left").select(
-                "node", F.least("component", F.coalesce("far", "component")).alias("component"), "old"
-            )
-        )
-        if new.filter("component < old").isEmpty():
-            return new.select("node", "component")
-        now = new.select("node", "component")
+    """(node, component): the smallest node that each node reaches over edges (a, b).
+
+    A round hooks every component to the smallest one that touches it, shortens the chains of
+    hooks by pointer jumps and contracts the edges to those between components. Components that
+    touch a smaller one vanish, so rounds are few whatever the paths' lengths.
+    """
+    oriented = lambda df: df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, open_ = nodes.select("node", F.col("node").alias("component")), cut(oriented(edges))
+    while not open_.isEmpty():
+        hooks = cut(open_.groupBy("a").agg(F.min("b").alias("to")))
+        while True:
+            on = hooks.select(F.col("a").alias("to"), F.col("to").alias("far"))
+            longer = cut(hooks.join(on, "to", "left").select("a", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")))
+            hooks = longer.select("a", "to")
+            if longer.filter("moved").isEmpty():
+                break
+        root = lambda df, c: df.join(hooks.select(F.col("a").alias(c), F.col("to").alias("root")), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        now = cut(root(now, "component").select("node", "component"))
+        open_ = cut(oriented(root(root(open_, "a"), "b")))
+    return now

@@ -164,11 +164,9 @@ def read_back(t):
     """The document written as JSON and read again by the reader."""
     from wayfarer.operators.iterate import ensure_checkpoint_dir
 
-    spark = t.spark
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/building-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(t.spark)}/building-{uuid.uuid4().hex}"
     io.write_building_graph(*DOC(t), path)
-    found = io.read_building_graph(spark, f"{path}/*")
+    found = io.read_building_graph(t.spark, f"{path}/*")
     nodes = found["nodes"].select(F.lit("node").alias("part"), F.col("node_id").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "floor_id", F.round("x", 5).alias("value"))
     return nodes.union(found["edges"].select(F.lit("edge"), F.col("src").cast("long"), F.col("dst").cast("long"), F.lit(None), "weight"))
 

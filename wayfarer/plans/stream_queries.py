@@ -52,8 +52,7 @@ query("str9_route_alert_notice", f"""WITH s AS ({SEGS}), p AS (SELECT a.alert_id
 
 def folder_of(t, name):
     """A new folder below the session's shared one."""
-    ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def steps_of_stream(t):
