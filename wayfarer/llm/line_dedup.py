@@ -2,9 +2,9 @@
 
 A text is split at line feeds. A hash rolls over the hashes of ``WINDOW`` consecutive
 lines; a line ends a chunk where the rolled hash is divisible by ``DIVISOR`` and the
-chunk has ``LEAST`` lines, or where it has ``MOST``. Fewer lines than ``LEAST`` at the end
-of a text join the chunk before. Boundaries depend on nearby lines alone, so they return
-to the same places soon after lines were inserted or removed above.
+chunk has ``LEAST`` lines. Fewer lines than ``LEAST`` at the end of a text join the chunk
+before. No chunk is cut by its length, so boundaries depend on nearby lines alone and
+return to the same places soon after lines were inserted or removed above.
 
 Every line of a text of at least ``LEAST`` lines is in a chunk, so a full copy loses all
 its lines. Repeated passages are not extended beyond their chunks: where a passage's first
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, DIVISOR, MOST, LEAST = 2, 4, 32, 2
+WINDOW, DIVISOR, LEAST = 2, 4, 2
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -44,9 +44,6 @@ def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
     rolled = (rolled ^ (rolled >> np.uint64(31))) * _MIX
     ends, start = [], 0
     for end in [*(np.flatnonzero((rolled >> np.uint64(16)) % np.uint64(DIVISOR) == 0) + 1).tolist(), len(lines)]:
-        while end - start > MOST:
-            ends.append((start, start + MOST))
-            start += MOST
         if end - start >= LEAST:
             ends.append((start, end))
             start = end
