@@ -52,6 +52,21 @@ def test_matches_brute_force(documents_of, seed, options):
     assert result(suffix_dedup.drop_repeated_bytes(documents_of(rows).withColumnRenamed("lang", "n"), **options)) == brute(rows)
 
 
+@pytest.mark.parametrize("batch", [3, 40])
+def test_a_crowded_anchor_is_decided_by_arrays_too(spark, documents_of, batch):
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(260))
+    edge = lambda: "".join(r.choice("xyzé") for _ in range(r.choice([0, 1, 2, 90])))
+    rows = [(i, edge() + passage[r.randint(0, 40) : 260 - r.randint(0, 40)] + edge()) for i in range(150)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = [result(suffix_dedup.drop_repeated_bytes(documents_of(rows), crowd=c)) for c in (0, 5, 10**9)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == [brute(rows)] * 3
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(1, 4), max_size=120))
 def test_suffix_array_is_sorted(values):

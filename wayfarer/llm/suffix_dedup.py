@@ -15,8 +15,10 @@ from text order, capped at ``width``: a window is repeated when the prefix that
 shares with a neighbour in the array has ``width`` bytes. Bytes themselves are compared.
 
 An anchor with more than ``CROWD`` different contents (the edges of a passage in very
-many documents) is not sent to one shard: its windows are dealt by 128-bit hashes,
-each to its own group, so that no task holds the crowd.
+many documents) is not sent to one shard: each of its windows travels as a text of its
+own, dealt by 128-bit hashes. A window alone under its hash has no equal; of the others
+two of each text go to a shard array, and further copies, compared with them byte by
+byte, share their lot. So no task holds the crowd, and the array decides at any size.
 
 Defined results: a null text is empty; texts under ``width`` bytes keep everything;
 rows with a null doc_id keep everything; rows that repeat a doc_id lose the windows
@@ -40,8 +42,10 @@ WIDTH = 200
 GRAM = 32
 #: Bytes of text per shard array; one longer run makes a shard of its own.
 SHARD = 1_500_000
-#: Different contents of an anchor that still go to one shard.
+#: Different contents of an anchor that still go to one shard; beyond, windows are dealt one by one.
 CROWD = 2000
+#: Windows in one Arrow batch.
+WINDOWS = 20_000
 
 _P, _M, _Q = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), 0x94D049BB133111EB
 
@@ -231,7 +235,7 @@ def repeated_windows(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]
     return [np.flatnonzero(twice[a : a + max(0, len(t) - width + 1)]) for a, t in zip(starts.tolist(), texts)]
 
 
-#: kind 0: text of a run; 1: window of a crowded anchor, n 0 once it is settled; 2: settled windows.
+#: kind 0: text of a run, a its anchor; 1: text of a window of a crowded anchor, a and b its hashes; 2: settled windows.
 _PIECE_SCHEMA = "kind int, a long, b long, doc_id long, at int, n int, piece binary"
 _PIECE_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 _PIECE_NAMES = ["kind", "a", "b", "doc_id", "at", "n", "piece"]
@@ -242,23 +246,32 @@ def _pieces(kind, a, b, doc, at, n, piece=None):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE_TYPES)], names=_PIECE_NAMES)
 
 
-def _crowd_rows(windows):
-    """Windows of crowded anchors: those met twice in the batch are settled as stretches, one of each hash travels."""
-    a, b, doc, at = (np.concatenate([w[i] for w in windows]) for i in range(4))
+def _crowd_rows(windows, texts, width):
+    """Windows of crowded anchors: two of each hash in the batch travel; further ones with equal bytes are settled."""
+    a, b, doc, at, text = (np.concatenate([w[i] for w in windows]) for i in range(5))
     order = np.lexsort((at, doc, b, a))
-    a, b, doc, at = a[order], b[order], doc[order], at[order]
-    first = repeats.group_starts(a, b)
-    group = np.cumsum(first) - 1
-    twice = np.bincount(group)[group] > 1
-    yield _pieces(1, a[first], b[first], doc[first], at[first], (~twice[first]).astype(int))
-    done, at_done, n_done = repeats.merged(doc[twice], at[twice])
-    yield _pieces(2, done, at_done, done, at_done, n_done)
+    a, b, doc, at, text = (x[order] for x in (a, b, doc, at, text))
+    first = np.flatnonzero(repeats.group_starts(a, b))
+    size = np.diff(np.append(first, len(a)))
+    lead = np.repeat(first, size)
+
+    def piece(k):
+        return texts[text[k]][at[k] : at[k] + width]
+
+    done = np.zeros(len(a), bool)
+    for k in np.flatnonzero(np.arange(len(a)) > lead + 1).tolist():
+        done[k] = piece(k) == piece(lead[k])
+    travel = np.flatnonzero(~done)
+    for part in np.split(travel, range(WINDOWS, len(travel), WINDOWS)):
+        yield _pieces(1, a[part], b[part], doc[part], at[part], np.ones(len(part), int), [piece(k) for k in part.tolist()])
+    settled, at_settled, n_settled = repeats.merged(doc[done], at[done])
+    yield _pieces(2, settled, at_settled, settled, at_settled, n_settled)
 
 
 def _piece_batches(batches, width):
-    """Texts of partial runs by anchor; for crowded anchors their windows by hash."""
+    """Texts of partial runs by anchor; for crowded anchors texts of their windows by hash."""
     for batch in batches:
-        rows, windows = ([], [], [], []), []
+        rows, windows, crowd = ([], [], [], []), [], []
         lists = batch.column("spans").flatten()
         anchor = lists.field("anchor").to_numpy(zero_copy_only=False)
         crowded = lists.field("crowded").to_numpy(zero_copy_only=False)
@@ -276,14 +289,16 @@ def _piece_batches(batches, width):
                     continue
                 if hashes is None:
                     raw = np.frombuffer(data, np.uint8)
+                    crowd.append(data)
                     hashes = [window_hashes(raw, width, f).view(np.int64) for f in (_P, _Q)]
-                windows.append((hashes[0][i : i + j], hashes[1][i : i + j], np.full(j, doc), np.arange(i, i + j)))
+                text_no = np.full(j, len(crowd) - 1)
+                windows.append((hashes[0][i : i + j], hashes[1][i : i + j], np.full(j, doc), np.arange(i, i + j), text_no))
             place += len(at)
         if rows[0]:
             a, doc, at, piece = rows
             yield _pieces(0, a, np.zeros(len(a), int), doc, at, np.zeros(len(a), int), piece)
         if windows:
-            yield from _crowd_rows(windows)
+            yield from _crowd_rows(windows, crowd, width)
 
 
 def _span_batch(doc, at, n):
@@ -292,9 +307,23 @@ def _span_batch(doc, at, n):
     )
 
 
+def _crowded(batch, held):
+    """Windows of crowded anchors that are not alone under their hash, and the last row, which the next batch may meet."""
+    if held is not None:
+        batch = pa.concat_batches([held, batch])
+    a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+    again = ~repeats.group_starts(a, b)
+    met = again | np.append(again[1:], False)
+    if held is not None:  # handed out before, when it had met its like
+        met[0] &= bool(again[1:2].any()) and held.column("n")[0].as_py() > 0
+    now = batch.take(pa.array(np.flatnonzero(met)))
+    last = batch.slice(len(a) - 1)
+    return now, last.set_column(5, last.schema.field("n"), pa.array([0 if again[-1] else 1], pa.int32()))
+
+
 def _shard_batches(batches, width, shard):
-    """Repeated windows of a stream sorted by (kind, a, b): shard arrays, then equal window hashes."""
-    texts, size, key, held = [], 0, None, None
+    """Repeated windows of a stream sorted by (kind, a, b), by shard arrays: first texts of runs, then of windows."""
+    texts, size, key, held, seen = [], 0, None, None, {}
 
     def sorted_out():
         found = ([], [], [])
@@ -307,27 +336,31 @@ def _shard_batches(batches, width, shard):
 
     for batch in batches:
         kind = batch.column("kind").to_numpy(zero_copy_only=False)
-        plain = batch.slice(0, int(np.searchsorted(kind, 1)))
-        for anchor, doc, at, piece in zip(*(plain.column(c).to_pylist() for c in ("a", "doc_id", "at", "piece"))):
-            if size >= shard and anchor != key:
-                yield sorted_out()
-                texts, size = [], 0
-            texts.append((doc, at, piece))
-            size += len(piece)
-            key = anchor
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "doc_id", "at", "n")]
-        a, b, doc, at, n = (c[kind == 1] for c in columns)
-        if len(a):
-            if held is not None:
-                a, b, doc, at, n = (np.append(x, y) for x, y in zip(held, (a, b, doc, at, n)))
-            again = ~repeats.group_starts(a, b)
-            pick = (again | np.append(again[1:], False)) & (n > 0)
-            if pick.any():
-                yield _span_batch(doc[pick], at[pick], n[pick])
-            held = tuple(x[-1:] for x in (a, b, doc, at, np.where(pick, 0, n)))
-        done = kind == 2
-        if done.any():
-            yield _span_batch(*(c[done] for c in columns[2:]))
+        runs, windows = np.searchsorted(kind, [1, 2]).tolist()
+        parts = [batch.slice(0, runs)]
+        if windows > runs:
+            now, held = _crowded(batch.slice(runs, windows - runs), held)
+            parts.append(now)
+        copies = []
+        for part in parts:
+            for k, a, b, doc, at, _, piece in zip(*(part.column(c).to_pylist() for c in _PIECE_NAMES)):
+                if (k, a, b) != key:
+                    if size >= shard:
+                        yield sorted_out()
+                        texts, size = [], 0
+                    key, seen = (k, a, b), {}
+                if k == 1:
+                    seen[piece] = seen.get(piece, 0) + 1
+                    if seen[piece] > 2:
+                        copies.append((doc, at))
+                        continue
+                texts.append((doc, at, piece))
+                size += len(piece)
+        if copies:
+            doc, at = zip(*copies)
+            yield _span_batch(doc, at, [1] * len(doc))
+        if windows < len(kind):
+            yield _span_batch(*(batch.column(c).slice(windows) for c in ("doc_id", "at", "n")))
     if texts:
         yield sorted_out()
 
