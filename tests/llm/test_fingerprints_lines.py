@@ -38,6 +38,12 @@ def test_next_documents(documents_of):
     assert sorted(x.doc_id for x in again) == sorted([d for d, _ in rows[:4]] * 2)
 
 
+def test_next_documents_of_large_ids(documents_of):
+    r = random.Random(6)
+    rows = [(2**62 + i + 3 * r.randint(0, 2) * 10**15, words(r, 12)) for i in range(1, 120)] + [(-(2**62) - 1, words(r, 9))]
+    check_next(rows, fingerprints.fingerprints_with_next(documents_of(rows)).collect())
+
+
 def test_query_on_the_given_table(spark):
     from wayfarer.llm.queries import op7_fingerprints
 

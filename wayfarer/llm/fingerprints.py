@@ -133,18 +133,16 @@ def fingerprints_with_next(docs: DataFrame, perms: int = PERMS, width: int = WOR
     order_id = F.coalesce("doc_id", F.lit(-(2**63)))
     steps = [i / ranges for i in range(1, ranges)]
     bounds = sorted({int(x) for x in texts.select(order_id.alias("o")).approxQuantile("o", steps, 0.1 / ranges)}) if steps else []
-    lowest = texts.agg(F.min(order_id)).first()[0]
-    bounds = [b for b in bounds if lowest is not None and b > lowest]
     part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= order_id)) if bounds else F.lit(0)
+    # quantiles are doubles and only cut; the document that opens a range is looked up, one row per range
+    opening = texts.groupBy(part.alias("part")).agg(F.min(order_id).alias("low")).sort("part").collect()
+    before = [F.lit(x.part) for x in opening[-1:] + opening[:-1]]
+    closes = F.element_at(F.map_from_arrays(F.array(*[F.lit(x.low) for x in opening]), F.array(*before)), order_id) if opening else F.lit(0)
     rows = texts.select(part.alias("part"), F.lit(False).alias("guard"), "doc_id", "text")
-    # one document per range opens it; the first of all closes the last
-    opens = texts.filter(order_id.isin([*bounds, lowest])) if lowest is not None else texts.limit(0)
-    opening = opens.groupBy("doc_id").agg(F.min("text").alias("text"))
-    guards = opening.select(
-        F.when(order_id == F.lit(lowest), F.lit(len(bounds))).otherwise(part - 1).alias("part"),
-        F.lit(True).alias("guard"),
-        "doc_id",
-        "text",
+    # one document per range opens it and closes the range before; the first of all closes the last
+    opens = texts.filter(order_id.isin([x.low for x in opening])) if opening else texts.limit(0)
+    guards = opens.groupBy("doc_id").agg(F.min("text").alias("text")).select(
+        closes.cast("int").alias("part"), F.lit(True).alias("guard"), "doc_id", "text"
     )
     schema = (
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -152,7 +150,7 @@ def fingerprints_with_next(docs: DataFrame, perms: int = PERMS, width: int = WOR
     )
     return (
         rows.unionByName(guards)
-        .repartition(ranges, "part")
+        .repartitionById(ranges, "part")
         .sortWithinPartitions("part", "guard", F.col("doc_id").asc_nulls_first(), "text")
         .mapInArrow(lambda b: _next_batches(b, perms, width), schema)
     )
