@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfarer.llm import (
+    best_fit,
     exact_dedup,
     fingerprints,
     line_dedup,
@@ -71,6 +72,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(session(spark), sf_dir), labels)
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(documents(session(spark), sf_dir))
+
+
 def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -84,6 +89,7 @@ def queries() -> dict:
         "op8_ngram_join": op8_ngram_join,
         "op9_mix_sources": op9_mix_sources,
         "op10_toxicity": op10_toxicity,
+        "op13_best_fit_packing": op13_best_fit_packing,
     }
 
 
