@@ -13,6 +13,7 @@ from wayfarer.llm import (
     mixing,
     ngram_join,
     packing,
+    periodic,
     recompression,
     suffix_dedup,
     tokens,
@@ -72,6 +73,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(session(spark), sf_dir), labels)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(documents(session(spark), sf_dir), periodic.planted_period)
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(documents(session(spark), sf_dir))
 
@@ -89,6 +94,7 @@ def queries() -> dict:
         "op8_ngram_join": op8_ngram_join,
         "op9_mix_sources": op9_mix_sources,
         "op10_toxicity": op10_toxicity,
+        "op12_periodic_runs": op12_periodic_runs,
         "op13_best_fit_packing": op13_best_fit_packing,
     }
 
