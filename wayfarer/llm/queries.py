@@ -14,6 +14,7 @@ from wayfarer.llm import (
     ngram_join,
     packing,
     periodic,
+    prefix_trie,
     recompression,
     suffix_dedup,
     tokens,
@@ -73,6 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(session(spark), sf_dir), labels)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(documents(session(spark), sf_dir), periodic.planted_period)
 
@@ -94,13 +99,14 @@ def queries() -> dict:
         "op8_ngram_join": op8_ngram_join,
         "op9_mix_sources": op9_mix_sources,
         "op10_toxicity": op10_toxicity,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_best_fit_packing": op13_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": OP6_SQL, "op9_mix_sources": OP9_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op9_mix_sources": OP9_SQL, "op11_prefix_trie": OP11_SQL}
 
 
 OP6_SQL = """
@@ -129,3 +135,37 @@ SELECT doc_id, text, lang, source, n_chars, n_copies, copy,
        ('0x' || substr(md5('19:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR), 1, 13))::BIGINT AS shuffle_key
 FROM e
 """
+
+#: crc32 goes bit by bit over the decimal id; a node's subtree are the nodes whose smallest member passes through it.
+OP11_SQL = """
+WITH RECURSIVE own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS i, digest, chars
+  FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+               sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+        FROM conversations WHERE conv_id IS NOT NULL)),
+n AS (SELECT conv_id, max(i) AS n_own FROM own GROUP BY conv_id),
+crc AS (SELECT conv_id, conv_id::VARCHAR AS s, 0 AS k, 4294967295::BIGINT AS c FROM n
+  UNION ALL
+  SELECT conv_id, s, k + 1, xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)
+  FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr(s, k // 8 + 1, 1))::BIGINT) ELSE c END AS x FROM crc WHERE k < 8 * length(s))),
+h AS (SELECT conv_id, (4294967295 - c) % 6 AS h FROM crc WHERE k = 8 * length(s)),
+z AS (SELECT n.conv_id, n.conv_id - n.conv_id % 100 AS base, h, least(h, coalesce(b.n_own, 0)) AS taken,
+             least(h, coalesce(b.n_own, 0)) + greatest(0, n.n_own - h) AS size
+      FROM n JOIN h USING (conv_id) LEFT JOIN n b ON b.conv_id = n.conv_id - n.conv_id % 100),
+t AS (SELECT z.conv_id, i AS depth, digest, chars, size FROM z JOIN own ON own.conv_id = z.base WHERE i <= taken
+  UNION ALL SELECT z.conv_id, taken + i - h, digest, chars, size FROM z JOIN own USING (conv_id) WHERE i > h),
+m AS (SELECT conv_id, 0 AS depth, '' AS name, 0 AS chars, size FROM z
+  UNION ALL
+  SELECT conv_id, depth, sha256(string_agg(digest, ',') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING)), chars, size FROM t),
+v AS (SELECT depth, name, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+      FROM m GROUP BY depth, name),
+p AS (SELECT v.*, a.conv_id AS parent_conv_id
+      FROM v LEFT JOIN m ON m.conv_id = v.conv_id AND m.depth = v.depth - 1 LEFT JOIN v a ON a.depth = m.depth AND a.name = m.name),
+k AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM p WHERE depth > 0 GROUP BY ALL),
+u AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (conv_id, depth)),
+s AS (SELECT m.depth, m.name, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * u.chars)::BIGINT AS saved_tokens
+      FROM u JOIN m ON m.conv_id = u.conv_id AND m.depth <= u.depth GROUP BY m.depth, m.name)
+SELECT p.conv_id, p.depth::BIGINT AS depth, parent_conv_id, p.n_convs, n_children, n_leaves, saved_tokens, p.ends_sha256
+FROM p JOIN u USING (depth, name) JOIN s USING (depth, name)
+"""
