@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["social_queries", "text_queries", "spatial_queries", "raster_queries", "command_queries", "stream_queries"]
+MODULES = ["social_queries", "text_queries", "spatial_queries", "raster_queries", "command_queries", "stream_queries", "live_queries"]
 
 
 def load():

@@ -56,10 +56,13 @@ def folder_of(t, name):
 
 
 def steps_of_stream(t):
-    """The samples as files, read as a stream with a watermark; the step machine keeps its state between triggers."""
+    """The samples as files of no order, read in several triggers; a last sample moves the clock past the others."""
     folder = folder_of(t, "samples")
-    t.sql(SAMPLES).write.json(f"{folder}/in")
-    samples = io.device_stream(t.spark, f"{folder}/in", "user_id long, event_id long, ts timestamp, ax double, ay double, az double")
+    t.sql(SAMPLES).repartition(6, F.col("event_id") % 6).write.json(f"{folder}/in")
+    last = t.spark.sql("select -1L as user_id, -1L as event_id, timestamp '2034-01-01' as ts, 0d as ax, 0d as ay, 0d as az")
+    last.write.mode("append").json(f"{folder}/in")
+    schema = "user_id long, event_id long, ts timestamp, ax double, ay double, az double"
+    samples = io.device_stream(t.spark, f"{folder}/in", schema, delay="3650 days", per_trigger=3)
     run = de.step_detection(samples).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return t.spark.read.schema("user_id long, event_id long, ts timestamp_ntz").parquet(f"{folder}/out").select("user_id", "event_id")

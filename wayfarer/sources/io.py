@@ -91,6 +91,8 @@ def change_stream(spark: SparkSession, path: str, schema: str, format_: str = "j
     return spark.readStream.schema(schema).format(format_).load(path)
 
 
-def device_stream(spark: SparkSession, path: str, schema: str, ts: str = "ts", delay: str = "10 minutes", format_: str = "json") -> DataFrame:
-    """A file stream of fixes or samples with an event-time watermark."""
-    return spark.readStream.schema(schema).format(format_).load(path).withWatermark(ts, delay)
+def device_stream(spark: SparkSession, path: str, schema: str, ts: str = "ts", delay: str = "10 minutes", format_: str = "json", per_trigger: int | None = None) -> DataFrame:
+    """A file stream of fixes or samples with an event-time watermark; at most ``per_trigger`` files at a time."""
+    reader = spark.readStream.schema(schema).format(format_)
+    reader = reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader
+    return reader.load(path).withWatermark(ts, delay)

@@ -1,7 +1,7 @@
 """Streams of device samples, votes, alerts and routes, keyed by user, alert or floor.
 
-Each state machine is a plain function over one key's ordered rows, wrapped once for
-``applyInPandasWithState``; the batch form runs the same function over whole tables.
+Each state machine is a plain function over one key's ordered rows. A batch streams sorted rows
+through it; a stream lets rows wait for the watermark (``ordered``) and then runs the same function.
 """
 
 from __future__ import annotations
@@ -17,17 +17,22 @@ from wayfarer.functions.scalars import walk_minutes
 from wayfarer.operators import alerts as al
 from wayfarer.operators import routes as ro
 from wayfarer.operators import spatial as sp
+from wayfarer.streaming.ordered import Machine, ordered_stream
 
 STEP_G, STEP_GAP_MS = 1.18, 280
 ALPHA = 0.5
 CALIBRATION, STEP_M, BACK_DEG, FORWARD_DEG = 8, 0.75, 40.0, 90.0
 ARRIVED_M, REROUTE_M, PREVIEW_M = 25.0, 30.0, 100.0
 
-Machine = Callable[[tuple, pd.DataFrame], tuple[tuple, list[tuple]]]
+#: How long the state of a quiet key is kept.
+DAY_MS = 86_400_000
 
 
-def stateful(rows: DataFrame, machine: Machine, start: tuple, state_schema: str, out_schema: str, key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Run a machine per key: over all rows in time order in a batch, with kept state in a stream."""
+def stateful(rows: DataFrame, machine: Machine, start: tuple, state_schema: str, out_schema: str, key: str = "user_id", ts: str = "ts", lifetime_ms: int = DAY_MS) -> DataFrame:
+    """Run a machine per key: over all rows in time order in a batch, with kept state in a stream.
+
+    A stream needs a watermark on ``ts``; a key without rows for its lifetime is forgotten.
+    """
     from pyspark.sql.types import StructType
 
     names = StructType.fromDDL(out_schema).fieldNames() if hasattr(StructType, "fromDDL") else [c.strip().split(" ")[0] for c in out_schema.split(",")]
@@ -49,14 +54,7 @@ def stateful(rows: DataFrame, machine: Machine, start: tuple, state_schema: str,
         ids = [c for c in rows.columns if c.endswith("_id") and c != key]
         return rows.repartition(key).sortWithinPartitions(key, ts, *ids).mapInPandas(batch, out_schema)
 
-    def stream(_, pdfs, state):
-        # the batches of one trigger have no order among each other
-        pdf = pd.concat(list(pdfs)).sort_values(ts, kind="stable")
-        now, out = machine(tuple(state.get) if state.exists else start, pdf)
-        state.update(now)
-        yield frame(out)
-
-    return rows.groupBy(key).applyInPandasWithState(stream, out_schema, state_schema, "append", "NoTimeout")
+    return ordered_stream(rows, machine, start, state_schema, out_schema, key, ts, lifetime_ms)
 
 
 def _steps(state, pdf):
