@@ -24,7 +24,7 @@ def finish(writer, folder):
 
 
 # dead reckoning: each path is walked in thirty steps, six at each heading
-TURNS = """SELECT user_id*1000000007 + cast(floor((n-1)/5) as bigint) AS route_id, user_id, event_id*6+j AS event_id, (n-1)%5*6+j+1 AS n, heading_raw + 3*j AS heading
+TURNS = """SELECT user_id*1000000007 + cast(floor((n-1)/5) as bigint) AS route_id, user_id, event_id*6+j AS event_id, (n-1)%5*6+j+1 AS n, heading_raw + 3.0137*j + 0.0731*j*j AS heading
  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM f_accel) a, range(6) AS k(j)"""
 DEGREES = "CASE WHEN abs({x1}-({x0}))*100>=1e-6 OR abs({y1}-({y0}))*80>=1e-6 THEN fmod(degrees(atan2(({y1}-({y0}))*80, ({x1}-({x0}))*100))+360, 360) END"
 APART = "abs(fmod(fmod({a}-({b}), 360)+540, 360)-180)"

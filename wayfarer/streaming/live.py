@@ -52,26 +52,48 @@ def change_feed(spark: SparkSession, path: str, per_trigger: int | None = None)
 
 
 class FloorClock(StatefulProcessor):
-    """Passes a floor's changes on and sets a timer at each alert's expiry; a fired timer is a change of kind ``clock``."""
+    """Passes a floor's changes on; when alerts expire, one row of kind ``clock`` for the floor.
+
+    The floor's expiries wait in its state and one timer stands at the first of them.
+    """
 
     def __init__(self, names: list[str]):
         self.names = names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.ends = handle.getListState("ends", "at long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wait_until(self, end: int) -> None:
+        if self.timer.exists():
+            old = self.timer.get()[0]
+            if old <= end:
+                return
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(end)
+        self.timer.update((end,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
             ends = pdf.loc[(pdf["kind"] == "alert") & pdf["expires_at"].notna(), "expires_at"]
-            for end in set(_millis(ends).tolist()) if len(ends) else ():
-                if end > mark:
-                    self.handle.registerTimer(end)
+            ends = sorted({e for e in _millis(ends).tolist() if e > mark}) if len(ends) else []
+            if ends:
+                self.ends.appendList([(e,) for e in ends])
+                self._wait_until(ends[0])
             yield pdf[self.names]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        row = dict.fromkeys(self.names) | {"kind": "clock", "floor_id": key[0]}
-        row["seen_at"] = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        mark = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        rest = sorted({e for (e,) in self.ends.get() if e > mark})
+        if rest:
+            self.ends.put([(e,) for e in rest])
+            self._wait_until(rest[0])
+        else:
+            self.ends.clear()
+        row = dict.fromkeys(self.names) | {"kind": "clock", "floor_id": key[0], "seen_at": pd.Timestamp(mark, unit="ms")}
         out = pd.DataFrame([row])
         for c in ("created_at", "expires_at", "voted_at"):
             out[c] = pd.to_datetime(out[c])
@@ -158,7 +180,10 @@ def settled_routes(routes: DataFrame, settle_ms: int = SETTLE_MS) -> DataFrame:
 
 
 class Settling(StatefulProcessor):
-    """Holds a viewer's routes until the watermark is past their settling time; a replaced one is dropped."""
+    """Holds a viewer's routes until the watermark is past their settling time; a replaced one is dropped.
+
+    One timer a viewer stands at the end of the first waiting route's settling time.
+    """
 
     def __init__(self, fields: str, names: list[str], settle_ms: int):
         self.fields, self.names, self.settle_ms = fields, names, settle_ms
@@ -166,30 +191,42 @@ class Settling(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", self.fields)
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wait_until(self, end: int) -> None:
+        if self.timer.exists():
+            old = self.timer.get()[0]
+            if old <= end:
+                return
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(end)
+        self.timer.update((end,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
-            pdf = pdf[_millis(pdf["changed_at"]) >= mark]
+            at = _millis(pdf["changed_at"])
+            pdf, at = pdf[at >= mark], at[at >= mark]
             if len(pdf):
                 self.held.appendList([(int(r), pd.Timestamp(t).to_pydatetime()) for r, t in zip(pdf["route_id"], pdf["changed_at"])])
-            for end in set((_millis(pdf["changed_at"]) + self.settle_ms).tolist()):
-                self.handle.registerTimer(end)
+                self._wait_until(int(at.min()) + self.settle_ms)
         yield pd.DataFrame(columns=self.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = sorted(((t, r) for r, t in self.held.get()), key=lambda h: (h[0], h[1])) if self.held.exists() else []
-        ms = [int(pd.Timestamp(t).value // 1_000_000) for t, _ in held]
+        self.timer.clear()
+        held = sorted(((t, r) for r, t in self.held.get()), key=lambda h: (h[0], h[1]))
+        ends = [int(pd.Timestamp(t).value // 1_000_000) + self.settle_ms for t, _ in held]
         out, stay = [], []
         for i, (t, r) in enumerate(held):
-            if ms[i] + self.settle_ms > mark:
+            if ends[i] > mark:
                 stay.append((r, t))
-            elif i + 1 == len(held) or ms[i + 1] - ms[i] >= self.settle_ms:
+            elif i + 1 == len(held) or ends[i + 1] - ends[i] >= self.settle_ms:
                 out.append((key[0], r, t))
         if stay:
             self.held.put(stay)
-        elif held:
+            self._wait_until(ends[-len(stay)])
+        else:
             self.held.clear()
         yield pd.DataFrame(out, columns=self.names)
 
