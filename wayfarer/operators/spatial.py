@@ -197,28 +197,55 @@ def snap_to_passable(points: DataFrame, cells: DataFrame, cap: int = 200, key: s
     return rest.withColumns({"sx": F.coalesce("sx", "x"), "sy": F.coalesce("sy", "y")})
 
 
-def _segment_buckets(segments: DataFrame, size: float) -> DataFrame:
-    """A row per bucket that the segment's box, widened by ``size``, covers."""
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - size) / size), F.floor((F.greatest(a, b) + size) / size))
-    return segments.withColumn("bx", F.explode(span("x0", "x1"))).withColumn("by", F.explode(span("y0", "y1")))
+def _segment_buckets(segments: DataFrame, radius: float, size: float) -> DataFrame:
+    """A row per bucket of width ``size`` that holds points within the radius of the segment, and few others.
+
+    Over a column of buckets such points lie at most ``radius * sqrt(1 + slope^2)`` above or below the
+    segment's line, and nowhere further than the radius from its ends.
+    """
+    span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
+    low_x, high_x, low_y, high_y = F.least("x0", "x1") - radius, F.greatest("x0", "x1") + radius, F.least("y0", "y1") - radius, F.greatest("y0", "y1") + radius
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    slope = F.when(F.abs(dx) > 1e-9 * (F.abs(dy) + size), dy / dx)  # null for a segment that stands upright
+    line = lambda x: F.col("y0") + slope * (x - F.col("x0"))
+    left, right = line(F.col("bx") * size), line((F.col("bx") + 1) * size)
+    reach = radius * F.sqrt(1 + slope * slope) * (1 + 1e-9)
+    rows = segments.withColumn("bx", F.explode(span(low_x, high_x)))
+    ya, yb = F.greatest(low_y, F.least(left, right) - reach), F.least(high_y, F.greatest(left, right) + reach)
+    rows = rows.withColumns({"ya": F.coalesce(F.when(slope.isNotNull(), ya), low_y), "yb": F.coalesce(F.when(slope.isNotNull(), yb), high_y)})
+    return rows.filter("ya <= yb").withColumn("by", F.explode(span(F.col("ya"), F.col("yb")))).drop("ya", "yb")
 
 
 def within_of_segments(points: DataFrame, segments: DataFrame, radius: float, key: str = "floor_id", strict: bool = True) -> DataFrame:
     """(point_id, seg_id, dist): segments of the same floor within the radius of a point."""
     p = points.select("point_id", key, "x", "y", _bucket("x", radius).alias("bx"), _bucket("y", radius).alias("by"))
-    s = _segment_buckets(segments.select("seg_id", key, "x0", "y0", "x1", "y1"), radius)
+    s = _segment_buckets(segments.select("seg_id", key, "x0", "y0", "x1", "y1"), radius, radius)
     dist = point_segment_distance("x", "y", "x0", "y0", "x1", "y1")
     out = p.join(s, [key, "bx", "by"]).select("point_id", "seg_id", dist.alias("dist"))
     return out.filter(F.col("dist") < radius if strict else F.col("dist") <= radius)
 
 
 def alerts_on_route(alerts: DataFrame, segments: DataFrame, radius: float = 0.04) -> DataFrame:
-    """(route_id, alert_id): alerts near a route's segment on their floor, without the route owner's own."""
+    """(route_id, alert_id): alerts near a route's segment on their floor, without the route owner's own.
+
+    An alert lies in one bucket. Where a route has one segment in that bucket it meets the alert once; only
+    pairs from the few buckets with several segments of a route are made distinct.
+    """
     p = alerts.select("alert_id", "submitted_by", "floor_id", "x", "y", _bucket("x", radius).alias("bx"), _bucket("y", radius).alias("by"))
-    s = _segment_buckets(segments.select("route_id", "viewer_id", "floor_id", "x0", "y0", "x1", "y1"), radius)
-    dist = point_segment_distance("x", "y", "x0", "y0", "x1", "y1")
-    near = p.join(s, ["floor_id", "bx", "by"]).filter("viewer_id is null or viewer_id <> submitted_by").filter(dist < radius)
-    return near.select("route_id", "alert_id").distinct()
+    s = _segment_buckets(segments.select("route_id", "viewer_id", "floor_id", "x0", "y0", "x1", "y1"), radius, radius)
+    keys, line = ["route_id", "floor_id", "bx", "by"], ["viewer_id", "x0", "y0", "x1", "y1"]
+    held = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in line])
+    several = s.join(held.filter("n > 1").select(keys), keys, "left_semi")
+
+    def near(rows):
+        x, y = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
+        dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        t = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(x * dx + y * dy, dx * dx + dy * dy))), F.lit(0.0))
+        x, y = x - t * dx, y - t * dy
+        met = p.join(rows, ["floor_id", "bx", "by"]).filter("viewer_id is null or viewer_id <> submitted_by")
+        return met.filter(F.sqrt(x * x + y * y) < radius).select("route_id", "alert_id")
+
+    return near(held.filter("n = 1")).unionByName(near(several).distinct())
 
 
 def near_wall_filter(points: DataFrame, segments: DataFrame, radius: float = 5.0) -> DataFrame:
