@@ -7,6 +7,7 @@ the floor's cells once.
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -41,6 +42,11 @@ class Raster:
             self.dist[at] = cells["dist"].fillna(0).to_numpy(float)
         self.open = self.free.tobytes()
 
+    @functools.cached_property
+    def prices(self) -> list[float]:
+        """What entering each cell costs on a weighted way; made once for all ways on this raster."""
+        return (1 + 8 / (self.dist + 1)).tolist()
+
     def cell(self, i: int) -> tuple[int, int]:
         return i % self.w + self.x0, i // self.w + self.y0
 
@@ -63,7 +69,7 @@ class Raster:
         """(cost, cells) of a cheapest 4-connected way; entering a cell costs 1, weighted 1 + 8 / (dist + 1)."""
         w, n, open_ = self.w, self.w * self.h, self.open
         gx, gy = goal % w, goal // w
-        price = (1 + 8 / (self.dist + 1)).tolist() if weighted else None
+        price = self.prices if weighted else None
         cost, before, done = {start: 0.0}, {start: -1}, set()
         heap = [(abs(start % w - gx) + abs(start // w - gy), start)]
         while heap:

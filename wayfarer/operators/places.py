@@ -118,6 +118,7 @@ def resolve_room(queries: DataFrame, nodes: DataFrame, site: str = "site") -> Da
     return found.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("query_id", "node_id", "tier")
 
 
+#: Half the width of the search boxes, in degrees.
 RINGS = (0.02, 0.06, 0.15)
 
 
@@ -150,6 +151,31 @@ def ring_place_search(queries: DataFrame, places: DataFrame, limit: int = 10) ->
     )
 
 
+def local_buildings(queries: DataFrame, buildings: DataFrame, entrances: DataFrame) -> DataFrame:
+    """(query_id, code, lat, lon): the building that the text names as a whole, or else by its first word, if its entrance is known.
+
+    ``queries`` (query_id, text), ``entrances`` (code, lat, lon).
+    """
+    keys = building_keys(buildings).select("key", "code")
+    text = F.lower(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    q = queries.select("query_id", text.alias("key"), F.regexp_extract(text, r"^\S*", 0).alias("first"))
+    whole = q.join(keys, "key", "left").withColumnRenamed("code", "whole")
+    both = whole.join(keys.select(F.col("key").alias("first"), F.col("code").alias("head")), "first", "left")
+    return both.select("query_id", F.coalesce("whole", "head").alias("code")).join(entrances, "code").select("query_id", "code", "lat", "lon")
+
+
+def place_search(queries: DataFrame, places: DataFrame, buildings: DataFrame, entrances: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, code, place_id, ring): a known building alone (ring 0); for any other text the places in rings around the point.
+
+    A text that names a building without a known entrance is expanded before the rings are searched.
+    """
+    local = local_buildings(queries, buildings, entrances).select("query_id", "code", F.lit(None).cast(places.schema["place_id"].dataType).alias("place_id"), F.lit(0).alias("ring"))
+    rest = queries.join(local.select("query_id"), "query_id", "left_anti")
+    rest = canonical_building(rest, buildings, "text").select("query_id", F.col("expanded").alias("text"), "lat", "lon")
+    found = ring_place_search(rest, places, limit).select("query_id", F.lit(None).cast("string").alias("code"), "place_id", "ring")
+    return local.unionByName(found)
+
+
 def parse_place_results(rows: DataFrame) -> DataFrame:
     """Place rows from geocoder rows (place_id, display_name, lat, lon as text)."""
     parts = F.transform(F.split("display_name", ","), lambda p: F.trim(p))

@@ -53,10 +53,12 @@ query("joi28_mask_exterior_hull")(lambda t: ra.mask_exterior_hull(few(t), few(t)
 LN = "SELECT floor_id*10000+y*100+x AS line_id, floor_id, cast(x as bigint) AS x0, cast(y as bigint) AS y0, cast(x + (x*5+y*3)%11 - 5 as bigint) AS x1, cast(y + (x*3+y*7)%9 - 4 as bigint) AS y1 FROM f_cells WHERE x BETWEEN 6 AND 40 AND y BETWEEN 5 AND 41"
 STEP = "(a0 + sign(a1-a0)*floor((abs(a1-a0)*2*k+n)/(2*greatest(n,1))))"
 AXIS = lambda c, k: STEP.replace("a0", f"{c}0").replace("a1", f"{c}1").replace("*k+", f"*({k})+")
-query("sca22_bresenham_clear", f"""WITH l AS (SELECT *, greatest(abs(x1-x0), abs(y1-y0)) AS n FROM ({LN}) z), s AS (SELECT *, unnest(range(n+1)) AS k FROM l), c AS (SELECT line_id, floor_id, k, {AXIS('x','k')} AS x, {AXIS('y','k')} AS y, {AXIS('x','k-1')} AS bx, {AXIS('y','k-1')} AS by_ FROM s),
- w AS (SELECT floor_id, x, y FROM f_cells WHERE passable=0), bad AS (SELECT line_id FROM c JOIN w ON w.floor_id=c.floor_id AND w.x=c.x AND w.y=c.y
- UNION SELECT line_id FROM c JOIN w a ON a.floor_id=c.floor_id AND a.x=c.x AND a.y=c.by_ JOIN w b ON b.floor_id=c.floor_id AND b.x=c.bx AND b.y=c.y WHERE k>0 AND c.x<>bx AND c.y<>by_)
- SELECT line_id, line_id NOT IN (SELECT line_id FROM bad) AS clear FROM l""")(lambda t: ra.lines_clear(t.sql(LN), t("f_cells")))
+WHOLE = lambda c, k: f"cast({AXIS(c, k)} AS BIGINT)"
+query("sca22_bresenham_clear", f"""WITH l AS (SELECT *, greatest(abs(x1-x0), abs(y1-y0)) AS n FROM ({LN}) z), s AS (SELECT *, unnest(range(n+1)) AS k FROM l), w AS MATERIALIZED (SELECT floor_id::BIGINT AS floor_id, x::BIGINT AS x, y::BIGINT AS y FROM f_cells WHERE passable=0),
+ c AS MATERIALIZED (SELECT line_id, floor_id::BIGINT AS floor_id, k, {WHOLE('x','k')} AS x, {WHOLE('y','k')} AS y, {WHOLE('x','k-1')} AS bx, {WHOLE('y','k-1')} AS by_ FROM s),
+ d AS MATERIALIZED (SELECT line_id, floor_id, x, y, bx, by_ FROM c WHERE k>0 AND x<>bx AND y<>by_), d1 AS MATERIALIZED (SELECT d.* FROM d JOIN w ON w.floor_id=d.floor_id AND w.x=d.x AND w.y=d.by_),
+ bad AS (SELECT line_id FROM c JOIN w ON w.floor_id=c.floor_id AND w.x=c.x AND w.y=c.y UNION SELECT line_id FROM d1 JOIN w ON w.floor_id=d1.floor_id AND w.x=d1.bx AND w.y=d1.y)
+ SELECT l.line_id, bad.line_id IS NULL AS clear FROM l LEFT JOIN bad ON bad.line_id=l.line_id""")(lambda t: ra.lines_clear(t.sql(LN), t("f_cells")))
 SRC = "SELECT floor_id, x, y, row_number() OVER (PARTITION BY floor_id ORDER BY y, x) AS source_id FROM f_cells WHERE passable=1 AND x%12=5 AND y%12=7"
 regions = lambda t: fp.multi_source_regions(t("f_cells"), t.sql(SRC))
 GROWN = f"""src AS ({SRC}), free AS (SELECT floor_id, x, y FROM f_cells WHERE passable=1), dirs AS (SELECT * FROM (VALUES (1,0),(-1,0),(0,1),(0,-1)) v(i,j)),

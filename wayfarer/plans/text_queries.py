@@ -92,6 +92,17 @@ query(
  r AS (SELECT *, CASE WHEN far<=0.02 THEN 1 WHEN far<=0.06 THEN 2 WHEN far<=0.15 THEN 3 ELSE 4 END AS ring FROM h), u AS (SELECT *, CASE WHEN sum((ring<=1)::INT) OVER w>=3 THEN 1 WHEN sum((ring<=2)::INT) OVER w>=3 THEN 2 WHEN sum((ring<=3)::INT) OVER w>=1 THEN 3 ELSE 4 END AS u FROM r WINDOW w AS (PARTITION BY query_id))
  SELECT query_id, place_id, u AS ring FROM u WHERE ring<=u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY far, place_id)<=10""",
 )(lambda t: places.ring_place_search(t.sql(PLQ), t("f_places")))
+#: Codes, codes with a room, aliases, names of places and words; two of three buildings have a known entrance.
+ANYQ = "SELECT place_id AS query_id, CASE place_id%6 WHEN 0 THEN ' b' || cast(place_id%30 as varchar(4)) WHEN 1 THEN 'B' || cast(place_id%25 as varchar(4)) || ' 2.204' WHEN 2 THEN 'Hall ' || cast(place_id%25 as varchar(4)) || ' ' WHEN 3 THEN name WHEN 4 THEN 'supplier' ELSE ' ' END AS text, lat+0.001 AS lat, lon-0.001 AS lon FROM f_places"
+ENTR = "SELECT code, 30.28 + ord*0.001 AS lat, -97.74 - ord*0.001 AS lon FROM f_buildings WHERE ord%3<>0"
+query(
+    "joi22_place_search_local_first",
+    f"""WITH {BUILD}, en AS ({ENTR}), q AS (SELECT *, lower(trim(text)) AS key, string_split(lower(trim(text)),' ')[1] AS head FROM ({ANYQ}) z), b AS (SELECT q.*, coalesce(a.code, h.code) AS code, CASE WHEN a.hint IS NOT NULL THEN a.hint WHEN contains(q.key,' ') AND h.hint IS NOT NULL THEN h.hint ELSE trim(q.text) END AS said FROM q LEFT JOIN bk a ON a.key=q.key LEFT JOIN bk h ON h.key=q.head),
+ loc AS (SELECT query_id, b.code FROM b JOIN en ON en.code=b.code), o AS (SELECT * FROM b WHERE query_id NOT IN (SELECT query_id FROM loc) AND said<>''),
+ h AS (SELECT query_id, place_id, greatest(abs(p.lat-o.lat), abs(p.lon-o.lon)) AS far FROM o JOIN f_places p ON contains(lower(p.name), lower(o.said))),
+ r AS (SELECT *, CASE WHEN far<=0.02 THEN 1 WHEN far<=0.06 THEN 2 WHEN far<=0.15 THEN 3 ELSE 4 END AS ring FROM h), u AS (SELECT *, CASE WHEN sum((ring<=1)::INT) OVER w>=3 THEN 1 WHEN sum((ring<=2)::INT) OVER w>=3 THEN 2 WHEN sum((ring<=3)::INT) OVER w>=1 THEN 3 ELSE 4 END AS u FROM r WINDOW w AS (PARTITION BY query_id))
+ SELECT query_id, code, NULL AS place_id, 0 AS ring FROM loc UNION ALL (SELECT query_id, NULL, place_id, u FROM u WHERE ring<=u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY far, place_id)<=10)""",
+)(lambda t: places.place_search(t.sql(ANYQ), t("f_places"), dictionary(t), t.sql(ENTR)))
 GEO = "SELECT s_suppkey AS place_id, s_name || ', ' || cast(s_suppkey as varchar(9)) || ' Main St , Town,State, Zip' AS display_name, cast(30 + s_suppkey*0.001 as varchar(20)) AS lat, cast(-97 - s_suppkey*0.001 as varchar(20)) AS lon FROM supplier"
 query("src8_parse_place_results", f"SELECT place_id::VARCHAR AS place_id, trim(split_part(display_name,',',1)) AS name, trim(split_part(display_name,',',2)) || ', ' || trim(split_part(display_name,',',3)) || ', ' || trim(split_part(display_name,',',4)) AS address, lat::DOUBLE AS lat, lon::DOUBLE AS lon FROM ({GEO}) g")(
     lambda t: places.parse_place_results(t.sql(GEO))
