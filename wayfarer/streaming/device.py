@@ -24,6 +24,8 @@ ALPHA = 0.5
 CALIBRATION, STEP_M, BACK_DEG, FORWARD_DEG = 8, 0.75, 40.0, 90.0
 ARRIVED_M, REROUTE_M, PREVIEW_M = 25.0, 30.0, 100.0
 
+#: Marks a column with a watermark.
+WATERMARK = "spark.watermarkDelayMs"
 #: How long the state of a quiet key is kept.
 DAY_MS = 86_400_000
 
@@ -31,7 +33,8 @@ DAY_MS = 86_400_000
 def stateful(rows: DataFrame, machine: Machine, start: tuple, state_schema: str, out_schema: str, key: str = "user_id", ts: str = "ts", lifetime_ms: int = DAY_MS) -> DataFrame:
     """Run a machine per key: over all rows in time order in a batch, with kept state in a stream.
 
-    A stream needs a watermark on ``ts``; a key without rows for its lifetime is forgotten.
+    With a watermark on ``ts`` the rows of a stream wait for it, and a key without rows for its lifetime
+    is forgotten; without one, each trigger's rows are taken as they come.
     """
     from pyspark.sql.types import StructType
 
@@ -54,7 +57,17 @@ def stateful(rows: DataFrame, machine: Machine, start: tuple, state_schema: str,
         ids = [c for c in rows.columns if c.endswith("_id") and c != key]
         return rows.repartition(key).sortWithinPartitions(key, ts, *ids).mapInPandas(batch, out_schema)
 
-    return ordered_stream(rows, machine, start, state_schema, out_schema, key, ts, lifetime_ms)
+    if WATERMARK in rows.schema[ts].metadata:
+        return ordered_stream(rows, machine, start, state_schema, out_schema, key, ts, lifetime_ms)
+
+    # without a watermark nothing tells when a time is complete: each trigger's rows go in order, later ones follow
+    def stream(_, pdfs, state):
+        pdf = pd.concat(list(pdfs)).sort_values(ts, kind="stable")  # the batches of one trigger have no order
+        now, out = machine(tuple(state.get) if state.exists else start, pdf)
+        state.update(now)
+        yield frame(out)
+
+    return rows.groupBy(key).applyInPandasWithState(stream, out_schema, state_schema, "append", "NoTimeout")
 
 
 def _steps(state, pdf):
