@@ -95,6 +95,46 @@ def test_routes_follow_cells_and_rides_stay(spark):
     assert all(sees(grid, p, q) or abs(p[0] - q[0]) + abs(p[1] - q[1]) == 1 for p, q in zip(path, path[1:]))
 
 
+def stepped(grid, a, b):
+    """All cells of the line between two cells, by its error term."""
+    (x, y), (x1, y1) = a, b
+    dx, dy = abs(x1 - x), -abs(y1 - y)
+    error, cells = dx + dy, [(x, y)]
+    while (x, y) != (x1, y1):
+        e2 = 2 * error
+        if e2 > dy:
+            error, x = error + dy, x + (1 if x1 > x else -1)
+        if e2 < dx:
+            error, y = error + dx, y + (1 if y1 > y else -1)
+        cells.append((x, y))
+    return all(grid.get(c) for c in cells)
+
+
+def test_route_paths_are_thinned_by_halving(spark):
+    grids = {f: floor(s, walls=0.15) for f, s in (("a", 21), ("b", 22), ("c", 23))}
+    ends = [((1, 1), (20, 15)), ((20, 2), (2, 14)), ((3, 12), (18, 3)), ((5, 5), (6, 5))]
+    pairs = spark.createDataFrame([(10 * i + k, f, *a, *b) for k, f in enumerate(grids) for i, (a, b) in enumerate(ends)], "pair_id long, floor_id string, x0 long, y0 long, x1 long, y1 long")
+    read = lambda **how: {x.pair_id: (x.floor_id, x.cost, [(p.x, p.y) for p in x.path]) for x in fp.grid_shortest_paths(pairs, cells_of(spark, grids), **how).collect()}
+    thin, differs = read(simplify="halving"), 0
+    for pair, (f, cost, path) in read().items():
+        if cost is None:
+            continue
+        want, i = [path[0]], 0
+        while i < len(path) - 1:
+            lo, hi = i + 1, len(path) - 1
+            while lo < hi:
+                mid = -(-(lo + hi) // 2)
+                if stepped(grids[f], path[i], path[mid]):
+                    lo = mid
+                else:
+                    hi = mid - 1
+            want.append(path[lo])
+            i = lo
+        assert thin[pair][2] == want
+        differs += len(want) < len(path)
+    assert differs
+
+
 def test_centred_paths_follow_the_sequential_rule(spark):
     grid = floor(5, walls=0.1)
     dist = {c: min((math.hypot(c[0] - x, c[1] - y) for (x, y), p in grid.items() if not p)) for c in grid}

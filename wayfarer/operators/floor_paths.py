@@ -106,6 +106,33 @@ class Raster:
         slant = (x[1:] != x[:-1]) & (y[1:] != y[:-1])
         return bool((self.free[y[:-1] * self.w + x[1:]] | self.free[y[1:] * self.w + x[:-1]])[slant].all())
 
+    def crosses_no_wall(self, a: int, b: int) -> bool:
+        """No wall cell on the line that steps by its error term; unlike ``sees`` it may pass between two walls."""
+        x, y, x1, y1 = a % self.w, a // self.w, b % self.w, b // self.w
+        dx, dy, sx, sy = abs(x1 - x), abs(y1 - y), 1 if x < x1 else -1, 1 if y < y1 else -1
+        error = dx - dy
+        while self.open[y * self.w + x]:
+            if (x, y) == (x1, y1):
+                return True
+            twice = 2 * error
+            if twice > -dy:
+                error, x = error - dy, x + sx
+            if twice < dx:
+                error, y = error + dx, y + sy
+        return False
+
+    def halved(self, path: list[int]) -> list[int]:
+        """The client's thinning: from each kept cell the next is found by halving the rest, as if sight ended only once."""
+        kept, i = path[:1], 0
+        while i < len(path) - 1:
+            low, high = i + 1, len(path) - 1
+            while low < high:
+                half = (low + high + 1) // 2
+                low, high = (half, high) if self.crosses_no_wall(path[i], path[half]) else (low, half - 1)
+            kept.append(path[low])
+            i = low
+        return kept
+
     def jumps(self, path: list[int]) -> list[int]:
         """Places of the cells that stay: each jumps to the farthest later one in sight, or else to the next."""
         kept, i = [0][: len(path)], 0
@@ -157,15 +184,18 @@ def _by_floor(asks: DataFrame, cells: DataFrame, of, schema: str) -> DataFrame:
     return rows.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(each, schema)
 
 
-def grid_shortest_paths(pairs: DataFrame, cells: DataFrame, weighted: bool = False, snap: int = 200, simplify: bool = False) -> DataFrame:
+def grid_shortest_paths(pairs: DataFrame, cells: DataFrame, weighted: bool = False, snap: int = 200, simplify: bool | str = False) -> DataFrame:
     """(pair_id, floor_id, cost, path): 4-connected ways between cells (pair_id, floor_id, x0, y0, x1, y1).
 
     Ends are snapped to passable cells. Where there is no way, or no raster, the cost is null
     and the path is the straight line between the given cells. Equal costs keep any one way.
+    ``simplify`` keeps the cells that jump as far as they see; as "halving" those of the client's search.
     """
     kind = pairs.schema["pair_id"].dataType.simpleString()
     floor = pairs.schema["floor_id"].dataType.simpleString()
 
+    thin = {False: lambda raster, path: path, "halving": Raster.halved}.get(simplify, Raster.simplified)
+
     def of(rows, raster):
         out = []
         for pair, f, x0, y0, x1, y1 in rows[["pair_id", "floor_id", "x0", "y0", "x1", "y1"]].itertuples(index=False):
@@ -174,15 +204,17 @@ def grid_shortest_paths(pairs: DataFrame, cells: DataFrame, weighted: bool = Fal
             if found is None:
                 out.append((pair, f, None, [{"x": int(x0), "y": int(y0)}, {"x": int(x1), "y": int(y1)}]))
             else:
-                out.append((pair, f, found[0], raster.points(raster.simplified(found[1]) if simplify else found[1])))
+                out.append((pair, f, found[0], raster.points(thin(raster, found[1]))))
         return out
 
     return _by_floor(pairs.select("pair_id", "floor_id", "x0", "y0", "x1", "y1"), cells, of, f"pair_id {kind}, floor_id {floor}, cost double, path {POINTS}")
 
 
-def route_cell_paths(segments: DataFrame, cells: DataFrame, weighted: bool = False) -> DataFrame:
+def route_cell_paths(segments: DataFrame, cells: DataFrame, weighted: bool = False, simplify: bool | str = True) -> DataFrame:
     """Segments (route_id, part, floor_id, waypoints in cells) with the simplified cell path between their ends.
 
+    ``simplify="halving"`` thins as the client does, whose sight passes between two walls that touch at a corner.
+
     Segments with fewer than two waypoints, or on a floor without cells, stay as they are.
     """
     key = F.struct("route_id", "part")
@@ -190,7 +222,7 @@ def route_cell_paths(segments: DataFrame, cells: DataFrame, weighted: bool = Fal
     long_ = segments.filter(F.size("waypoints") >= 2).join(floors, "floor_id", "left_semi")
     end = lambda i, c: F.try_element_at("waypoints", F.lit(i))[c].cast("long")
     pairs = long_.select(F.to_json(key).alias("pair_id"), "floor_id", end(1, "x").alias("x0"), end(1, "y").alias("y0"), end(-1, "x").alias("x1"), end(-1, "y").alias("y1"))
-    found = grid_shortest_paths(pairs, cells, weighted, simplify=True).select("pair_id", "path")
+    found = grid_shortest_paths(pairs, cells, weighted, simplify=simplify).select("pair_id", "path")
     now = segments.withColumn("pair_id", F.to_json(key)).join(found, "pair_id", "left")
     return now.withColumn("waypoints", F.coalesce("path", F.col("waypoints").cast(POINTS))).select(segments.columns)
 

@@ -24,11 +24,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends, and lost executors cost nothing.
 
     Its size is that of its files. A checkpoint would keep the plan's estimate, the product of
-    the sizes of all joins so far, whose digits double from round to round.
+    the sizes of all joins so far, whose digits double from round to round. ``drop`` deletes it.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables written by ``cut`` that nothing will read again; any other DataFrame is left alone."""
+    for table in tables:
+        path = getattr(table, "cut_path", None)
+        if path:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,15 +51,20 @@ def min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     oriented = lambda df: df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, open_ = nodes.select("node", F.col("node").alias("component")), cut(oriented(edges))
+    held = None  # the table behind ``now``
     while not open_.isEmpty():
-        hooks = cut(open_.groupBy("a").agg(F.min("b").alias("to")))
+        table = hooks = cut(open_.groupBy("a").agg(F.min("b").alias("to")))
         while True:
             on = hooks.select(F.col("a").alias("to"), F.col("to").alias("far"))
             longer = cut(hooks.join(on, "to", "left").select("a", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")))
-            hooks = longer.select("a", "to")
+            drop(table)
+            table, hooks = longer, longer.select("a", "to")
             if longer.filter("moved").isEmpty():
                 break
         root = lambda df, c: df.join(hooks.select(F.col("a").alias(c), F.col("to").alias("root")), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
         now = cut(root(now, "component").select("node", "component"))
-        open_ = cut(oriented(root(root(open_, "a"), "b")))
+        rest = cut(oriented(root(root(open_, "a"), "b")))
+        drop(held, table, open_)
+        held, open_ = now, rest
+    drop(open_)
     return now

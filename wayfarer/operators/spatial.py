@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from wayfarer.functions.scalars import point_segment_distance
-from wayfarer.operators.iterate import cut
+from wayfarer.operators.iterate import cut, drop
 
 
 def _bucket(column, size: float) -> Column:
@@ -138,7 +138,9 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, k: int = 1, itself:
         done = (inside >= F.least(F.lit(k), F.col("n"))) | (F.col("width") >= F.col("far"))
         hit = cut(top.withColumn("done", done).filter("done").select("point_id", "target_id", "dist", "place"))
         found = hit if found is None else found.unionByName(hit)
+        searched = open_
         open_ = cut(open_.join(wide.filter("width < far"), key, "left_semi").join(hit.select("point_id").distinct(), "point_id", "left_anti"))
+        drop(searched)
         if open_.isEmpty():
             return found
         step += 1

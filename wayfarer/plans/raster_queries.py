@@ -101,7 +101,7 @@ def cell_routes(t):
     point = lambda x, y: F.struct(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"))
     walks = p.select(F.col("pair_id").alias("route_id"), F.lit(0).alias("part"), F.col("floor_id") + F.when(F.col("pair_id") % 7 == 0, 1).otherwise(0), F.array(point("x0", "y0"), point("x1", "y1")).alias("waypoints")).toDF("route_id", "part", "floor_id", "waypoints")
     rides = p.select("pair_id", F.lit(1), "floor_id", F.array().cast(fp.POINTS)).toDF("route_id", "part", "floor_id", "waypoints")
-    return as_text(fp.route_cell_paths(walks.unionByName(rides), t.sql(FAR)), "waypoints")
+    return as_text(fp.route_cell_paths(walks.unionByName(rides), t.sql(FAR), simplify="halving"), "waypoints")
 
 
 query("gra7_route_cell_paths")(cell_routes)
