@@ -251,6 +251,42 @@ def test_isolated_nodes_and_components(spark):
     assert bridges == {p: round((steps(*p) + 1) / 3, 6) for p in merges if steps(*p) is not None}
 
 
+def plain_merges(points, reps):
+    """Merge the closest two of a list of components, earlier ones first on ties, until one is left."""
+    parts, out = {}, []
+    for node, x, y, c in sorted(points):
+        parts.setdefault(c, []).append((node, x, y))
+    parts = list(parts.values())
+    while len(parts) > 1:
+        best = None
+        for i, a in enumerate(parts):
+            for j in range(i + 1, len(parts)):
+                for p in a[:reps]:
+                    for q in parts[j][:reps]:
+                        d = math.hypot(p[1] - q[1], p[2] - q[2])
+                        if best is None or d < best[0]:
+                            best = (d, i, j, p[0], q[0])
+        _, i, j, p, q = best
+        out.append((p, q))
+        parts = [g for k, g in enumerate(parts) if k not in (i, j)] + [parts[i] + parts[j]]
+    return out
+
+
+def test_components_merge_in_the_plain_order(spark):
+    r, rows = random.Random(17), []
+    for f in range(200):
+        place = (lambda: float(r.randrange(5))) if f % 2 else r.random  # every second floor has many equal distances
+        rows += [(1000 * f + k, f"f{f}", place(), place(), 1000 * f + r.randrange(1 + f % 9)) for k in range(1 + f % 23)]
+    nodes = spark.createDataFrame([x[:4] for x in rows], "node_id long, floor_id string, x double, y double")
+    parts = spark.createDataFrame([(x[0], x[4]) for x in rows], "node_id long, component long")
+    got = {}
+    for m in fp.closest_merges(nodes, parts, 2).collect():
+        got.setdefault(m.floor_id, []).append((m.src, m.dst))
+    for f in range(200):
+        own = [(n, x, y, c) for n, floor_id, x, y, c in rows if floor_id == f"f{f}"]
+        assert got.get(f"f{f}", []) == plain_merges(own, 2)
+
+
 def test_building_graph_joins_all_rooms(spark):
     grid = {(x, y): int(0 < x < 29 and 0 < y < 29 and (x % 10 > 0 or y % 10 == 5) and (y % 10 > 0 or x % 10 == 5)) for x in range(30) for y in range(30)}
     rooms = [(f * 10 + k, f"f{f}", f + 1, f"{f + 1}.{100 + k}", (5 + 10 * (k % 3)) / 30, (5 + 10 * (k // 3)) / 30, 0.9) for f in (0, 1) for k in range(9) if k != 4]

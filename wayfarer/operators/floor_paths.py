@@ -397,7 +397,8 @@ def closest_merges(nodes: DataFrame, components: DataFrame, reps: int = 20) -> D
     """(src, dst, floor_id): the closest two components of a floor are merged over and over; each merge names its pair.
 
     Distances are between the first ``reps`` nodes of each component; a merged one lists the
-    nodes of the earlier component first and comes last. Nodes are ordered by id.
+    nodes of the earlier component first and comes last. Nodes are ordered by id. A component holds
+    its nearest other one only; a merge looks anew for those whose nearest has gone.
     """
     rows = nodes.select("node_id", "floor_id", "x", "y").join(components, "node_id")
     floor, kind = (rows.schema[c].dataType.simpleString() for c in ("floor_id", "node_id"))
@@ -410,23 +411,39 @@ def closest_merges(nodes: DataFrame, components: DataFrame, reps: int = 20) -> D
             parts.setdefault(c, []).append(i)
         groups, out = list(parts.values()), []
         between = lambda a, b: np.hypot(*(xy[a][:, None] - xy[b][None, :]).transpose(2, 0, 1))
-        heads = [g[:reps] for g in groups]
-        starts = np.cumsum([0, *map(len, heads)])[:-1]
-        every = np.concatenate(heads).astype(int)
-        gaps = np.array([np.minimum.reduceat(between(h, every).min(axis=0), starts) for h in heads])
-        np.fill_diagonal(gaps, np.inf)
-        turn = np.arange(len(groups))  # the place of each component in the list
-        for _ in range(len(groups) - 1):
-            ties = np.argwhere(gaps == gaps.min())
-            i, j = min(((p, q) for p, q in ties.tolist() if turn[p] < turn[q]), key=lambda p: (turn[p[0]], turn[p[1]]))
+        heads = {k: g[:reps] for k, g in enumerate(groups)}  # the place of each component in the list, and its first nodes
+
+        def closest(k: int) -> tuple:
+            """The nearest other component, the earlier one on ties: (gap, earlier, later)."""
+            others = [o for o in heads if o != k]
+            starts = np.cumsum([0, *(len(heads[o]) for o in others)])[:-1]
+            every = np.concatenate([heads[o] for o in others]).astype(int)
+            gaps = np.minimum.reduceat(between(heads[k], every).min(axis=0), starts)
+            o = others[int(gaps.argmin())]
+            return float(gaps.min()), min(k, o), max(k, o)
+
+        members = dict(enumerate(groups))
+        found = {k: closest(k) for k in heads} if len(heads) > 1 else {}
+        for new in range(len(groups), 2 * len(groups) - 1):
+            _, i, j = min(found.values())
             d = between(heads[i], heads[j])
             at = int(d.argmin())
             out.append((ids[heads[i][at // d.shape[1]]], ids[heads[j][at % d.shape[1]]], pdf["floor_id"].iloc[0]))
-            groups[i], groups[j] = groups[i] + groups[j], []
-            heads[i], heads[j], turn[i] = groups[i][:reps], [], turn.max() + 1
-            row = np.array([between(heads[i], h).min() if h else np.inf for h in heads])
-            gaps[j], gaps[:, j], gaps[i], gaps[:, i] = np.inf, np.inf, row, row
-            gaps[i, i] = np.inf
+            members[new] = members.pop(i) + members.pop(j)
+            for k in (i, j):
+                del heads[k], found[k]
+            heads[new] = members[new][:reps]
+            if len(heads) == 1:
+                break
+            found[new] = closest(new)
+            every = np.concatenate([heads[k] for k in found if k != new]).astype(int)
+            starts = np.cumsum([0, *(len(heads[k]) for k in found if k != new)])[:-1]
+            gaps = np.minimum.reduceat(between(heads[new], every).min(axis=0), starts)
+            for k, gap in zip([k for k in found if k != new], gaps.tolist()):
+                if found[k][1] in (i, j) or found[k][2] in (i, j):  # what was nearest is gone
+                    found[k] = closest(k)
+                elif gap < found[k][0]:
+                    found[k] = (gap, k, new)
         return pd.DataFrame(out, columns=["src", "dst", "floor_id"])
 
     return rows.groupBy("floor_id").applyInPandas(each, f"src {kind}, dst {kind}, floor_id {floor}")
