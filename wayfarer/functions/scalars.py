@@ -68,6 +68,7 @@ def parse_clock_time(text) -> Column:
     return F.when(half == "PM", F.when(h == 12, 12).otherwise(h + 12)).otherwise(F.when(h == 12, 0).otherwise(h)) * 60 + m
 
 
+#: How texts name a room, and how a room number trails a building.
 _DASH = "[-–]"
 _KEYWORD = rf"(?i)(?:^|\s|{_DASH})\s*(?:room|rm|ste|suite|#)\s*([\w.\-]+)"
 _TRAIL = r"(?i)^(.+?)\s+(\d+(?:\.\d+)?[a-z]?|[a-z]?\d+\.\d+[a-z]?)\s*$"

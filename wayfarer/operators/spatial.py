@@ -323,6 +323,10 @@ def door_arc_counts(arcs: DataFrame, radius: float = 5.0) -> DataFrame:
     return groups.groupBy(F.col("seed_id").alias("center_id")).agg(F.count(F.lit(1)).alias("arcs")).withColumn("is_door", F.col("arcs") <= 2)
 
 
+#: A door's radius in points, and the share of it by which its leaf may miss.
+DOOR_RADIUS, DOOR_SLACK = (4, 70), 0.25
+
+
 def door_signature(items: DataFrame, segments: DataFrame, radius: float = 5.0) -> DataFrame:
     """(path_id, cx, cy, r) of vector paths that are doors: one quarter arc, a leaf line to its end, near a wall.
 
@@ -333,13 +337,13 @@ def door_signature(items: DataFrame, segments: DataFrame, radius: float = 5.0) -
     at = lambda i: F.element_at("points", i)
     arcs = items.filter("kind = 'curve' and size(points) = 4").withColumn("arc", quarter_arc(at(1), at(2), at(3), at(4))).filter("arc is not null")
     one = arcs.groupBy("path_id", "floor_id").agg(F.count(F.lit(1)).alias("n"), F.first("arc").alias("arc"), F.first("points").alias("points"))
-    one = one.filter("n = 1 and arc.r between 4 and 70")
+    one = one.filter((F.col("n") == 1) & F.col("arc.r").between(*DOOR_RADIUS))
     lines = items.filter("kind = 'line' and size(points) = 2").select("path_id", at(1).alias("p"), at(2).alias("q"))
     gap = lambda a, bx, by: F.hypot(a.x - bx, a.y - by)
     c, r, first, last = F.col("arc"), F.col("arc.r"), F.element_at("points", 1), F.element_at("points", 4)
-    ends = lambda a, b: (gap(a, c.cx, c.cy) <= 0.25 * r) & F.least(gap(b, first.x, first.y), gap(b, last.x, last.y)).between(0, 0.25 * r)
+    ends = lambda a, b: (gap(a, c.cx, c.cy) <= DOOR_SLACK * r) & F.least(gap(b, first.x, first.y), gap(b, last.x, last.y)).between(0, DOOR_SLACK * r)
     length = F.hypot(F.col("p").x - F.col("q").x, F.col("p").y - F.col("q").y)
-    leaf = length.between(0.75 * r, 1.25 * r) & (ends(F.col("p"), F.col("q")) | ends(F.col("q"), F.col("p")))
+    leaf = length.between((1 - DOOR_SLACK) * r, (1 + DOOR_SLACK) * r) & (ends(F.col("p"), F.col("q")) | ends(F.col("q"), F.col("p")))
     doors = one.join(lines, "path_id").filter(leaf).select("path_id", "floor_id", "arc").distinct()
     points = doors.select(F.col("path_id").alias("point_id"), "floor_id", F.col("arc.cx").alias("x"), F.col("arc.cy").alias("y"), F.col("arc.r").alias("r"))
     return near_wall_filter(points, segments, radius).select(F.col("point_id").alias("path_id"), F.col("x").alias("cx"), F.col("y").alias("cy"), "r")
