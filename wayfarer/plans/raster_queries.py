@@ -139,7 +139,20 @@ query("gra24_rdp_simplify", f"""WITH RECURSIVE p AS ({WAY}), r AS (SELECT path_i
   SELECT r.path_id, r.i, r.j, min({{'d': -{SPAN}, 's': p.seq}}).s AS k FROM r JOIN p a ON a.path_id=r.path_id AND a.seq=r.i JOIN p b ON b.path_id=r.path_id AND b.seq=r.j JOIN p ON p.path_id=r.path_id AND p.seq>r.i AND p.seq<r.j GROUP BY r.path_id, r.i, r.j HAVING max({SPAN}) > 0.1) z, (VALUES (0),(1)) v(side))
  SELECT DISTINCT path_id, seq FROM (SELECT path_id, i AS seq FROM r UNION ALL SELECT path_id, j FROM r) q""")(lambda t: ra.rdp_simplify(t.sql(WAY), 0.1).select("path_id", "seq"))
 query("src2_decode_grid_cells", "SELECT floor_id::VARCHAR AS floor_id, x, y, passable FROM f_cells")(lambda t: io.decode_grid_cells(io.encode_grid_cells(t("f_cells"))).drop("dist"))
-query("src3_write_grid_cells")(lambda t: io.encode_grid_cells(t("f_cells")).select("floorId", "width", "height", "data"))
+query("src3_write_grid_cells", """WITH s AS (SELECT floor_id, max(x)+1 AS width, max(y)+1 AS height FROM f_cells GROUP BY floor_id), b AS (SELECT c.floor_id, (y*width+x)//8 AS place, sum(passable*pow(2, 7-(y*width+x)%8))::INT AS v FROM f_cells c JOIN s ON s.floor_id=c.floor_id GROUP BY 1, 2)
+ SELECT b.floor_id::VARCHAR AS "floorId", width, height, base64(unhex(string_agg(printf('%02x', v), '' ORDER BY place))) AS data FROM b JOIN s ON s.floor_id=b.floor_id GROUP BY b.floor_id, width, height""")(lambda t: io.encode_grid_cells(t("f_cells")).select("floorId", "width", "height", "data"))
+
+
+def read_back(t):
+    """Grids written as files, one folder per floor, read with the documents' schema and decoded."""
+    from wayfarer.operators.iterate import ensure_checkpoint_dir
+
+    folder = f"{ensure_checkpoint_dir(t.spark)}/grids-{uuid.uuid4().hex}"
+    io.write_grid_cells(t("f_cells"), folder)
+    return io.decode_grid_cells(t.spark.read.schema(io.GRID_SCHEMA).json(folder)).drop("dist")
+
+
+query("src3_written_grids_read_back", "SELECT floor_id::VARCHAR AS floor_id, x, y, passable FROM f_cells")(read_back)
 DOC = lambda t: (
     t.sql("SELECT DISTINCT 'b' AS building_id, floor_id, floor_id AS name, floor_no FROM f_nodes"),
     t("f_nodes").withColumn("building_id", F.lit("b")),

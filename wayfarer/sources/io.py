@@ -64,14 +64,14 @@ def decode_grid_cells(grids: DataFrame) -> DataFrame:
 
 
 def encode_grid_cells(cells: DataFrame) -> DataFrame:
-    """Inverse of ``decode_grid_cells``: one document row per floor, row-major, padded to whole bytes."""
+    """Inverse of ``decode_grid_cells``: one document row per floor, row-major, padded to whole bytes, without line breaks."""
     size = cells.groupBy("floor_id").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"))
     i = F.col("y") * F.col("width") + F.col("x")
     placed = cells.join(size, "floor_id").withColumn("i", i)
     value = F.sum(F.col("passable") * F.pow(F.lit(2), 7 - F.col("i") % 8)).cast("int")
     packed = placed.groupBy("floor_id", "width", "height", F.floor(F.col("i") / 8).alias("at")).agg(value.alias("v"))
     digits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda b: F.lpad(F.hex(b.v), 2, "0")), "")
-    return packed.groupBy("floor_id", "width", "height").agg(F.base64(F.unhex(digits)).alias("data")).select(
+    return packed.groupBy("floor_id", "width", "height").agg(F.regexp_replace(F.base64(F.unhex(digits)), "[\r\n]", "").alias("data")).select(
         F.col("floor_id").cast("string").alias("floorId"), "width", "height", "data", F.lit(None).cast("string").alias("distanceData")
     )
 
