@@ -210,7 +210,7 @@ CC = f"""r AS (SELECT node_id AS node, node_id AS seen FROM {FEW} UNION SELECT r
 comps = lambda t: gr.connected_components(t("f_nodes"), t("f_edges"))
 query("gra1_connected_components", f"WITH RECURSIVE {CC} SELECT * FROM cc")(comps)
 query("gra2_largest_component", f"WITH RECURSIVE {CC} SELECT node_id FROM cc WHERE component=(SELECT component FROM cc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")(lambda t: gr.largest_component(comps(t)).select("node_id"))
-PAIRS = "SELECT node_id AS pair_id, node_id AS start_id, node_id+7*(1+node_id%4) AS goal_id FROM f_nodes WHERE node_id%35=3"
+PAIRS = "SELECT node_id AS pair_id, node_id AS start_id, node_id+7*(1+node_id%4) AS goal_id FROM f_nodes WHERE node_id%50=0"
 UNDIRECTED = "SELECT a, b, min(w) AS w FROM (SELECT src AS a, dst AS b, weight AS w FROM f_edges UNION ALL SELECT dst, src, weight FROM f_edges) e GROUP BY a, b"
 COSTS = "SELECT p.pair_id, round(d.cost,6) AS cost, round(d.cost,6) AS path_cost FROM ({p}) p LEFT JOIN d ON d.pair_id=p.pair_id AND d.spot=p.goal_id"
 STARTS = f"SELECT pair_id, start_id AS spot FROM ({PAIRS}) p"
