@@ -103,7 +103,7 @@ query("agg13_door_arc_counts", f"WITH RECURSIVE {greedy('g', f'SELECT arc_id AS
 WRAP = """p AS (SELECT DISTINCT floor_id, x, y FROM f_nodes WHERE type='room'), h0 AS (SELECT floor_id, x, y FROM p QUALIFY row_number() OVER (PARTITION BY floor_id ORDER BY x, y)=1),
  h AS (SELECT floor_id, x, y, x AS sx, y AS sy, -pi()/2 AS dir, 0 AS n FROM h0 UNION ALL SELECT floor_id, t.x, t.y, sx, sy, dir + t.turn, n+1 FROM (
   SELECT h.floor_id, h.sx, h.sy, h.dir, h.n, min({'turn': round(fmod(atan2(p.y-h.y, p.x-h.x) - h.dir + 8*pi(), 2*pi()), 9), 'far': -(pow(p.x-h.x,2)+pow(p.y-h.y,2)), 'x': p.x, 'y': p.y}) AS t
-  FROM h JOIN p ON p.floor_id=h.floor_id AND (p.x<>h.x OR p.y<>h.y) WHERE n < 200 AND (n=0 OR h.x<>h.sx OR h.y<>h.sy) GROUP BY ALL) z)"""
+  FROM h JOIN p ON p.floor_id=h.floor_id AND (p.x<>h.x OR p.y<>h.y) WHERE n < (SELECT count(*) FROM p) AND (n=0 OR h.x<>h.sx OR h.y<>h.sy) GROUP BY ALL) z)"""
 query("agg15_convex_hull", f"WITH RECURSIVE {WRAP} SELECT DISTINCT floor_id, round(x,6) AS x, round(y,6) AS y FROM h")(
     lambda t: r6(sp.convex_hulls(t("f_nodes").filter("type = 'room'")).select("floor_id", F.explode("hull").alias("p")).select("floor_id", "p.x", "p.y"), "x", "y")
 )
