@@ -20,15 +20,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return (named or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+#: MB of rows above which a written table is never broadcast.
+MOST_BROADCAST_MB = 4
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends, and lost executors cost nothing.
 
     Its size is that of its files. A checkpoint would keep the plan's estimate, the product of
-    the sizes of all joins so far, whose digits double from round to round. ``drop`` deletes it.
+    the sizes of all joins so far, whose digits double from round to round. Files of few different
+    values are far smaller than their rows, so a table of many rows asks for joins that shuffle.
+    ``drop`` deletes it.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
+    if table.count() * 16 * len(df.columns) > MOST_BROADCAST_MB * 1_000_000:
+        table = table.hint("merge")
     table.cut_path = path
     return table
 

@@ -62,24 +62,22 @@ def distance_to_wall(cells: DataFrame) -> DataFrame:
     """``dist``: exact distance to the nearest wall of the floor; ``dist255``: scaled to the floor's largest, cut to whole numbers.
 
     The first pass finds the nearest wall in the column; the second looks along the row no
-    farther than that distance, since no farther column can be nearer.
+    farther than that distance, since no farther column can be nearer. A row of the page is held as an
+    array, so no cell is copied or joined.
     """
     col = Window.partitionBy("floor_id", "x").orderBy("y")
     up = F.last(F.when(F.col("passable") == 0, F.col("y")), True).over(col.rowsBetween(Window.unboundedPreceding, 0))
     down = F.first(F.when(F.col("passable") == 0, F.col("y")), True).over(col.rowsBetween(0, Window.unboundedFollowing))
-    g = F.least(F.col("y") - up, down - F.col("y"))
-    row_size = F.count(F.lit(1)).over(Window.partitionBy("floor_id", "y"))
-    first = cut(cells.withColumn("g", g).withColumn("row_size", row_size))
-    reach = F.coalesce("g", F.col("row_size")).cast("int")
-    free = first.filter("passable = 1").select("floor_id", "x", "y", F.explode(F.sequence(-reach, reach)).alias("dx"))
-    other = first.select("floor_id", F.col("x").alias("ox"), "y", F.col("g").alias("og"))
-    best = (
-        free.withColumn("ox", F.col("x") + F.col("dx"))
-        .join(other, ["floor_id", "ox", "y"])
-        .groupBy("floor_id", "x", "y")
-        .agg(F.min(F.col("dx") * F.col("dx") + F.col("og") * F.col("og")).alias("d2"))
-    )
-    out = first.join(best, ["floor_id", "x", "y"], "left").withColumn("dist", F.when(F.col("passable") == 0, 0.0).otherwise(F.sqrt("d2")))
+    first = cells.withColumn("g", F.least(F.col("y") - up, down - F.col("y")))
+    rows = first.groupBy("floor_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "passable", "g"))).alias("row"))
+
+    def of(c, i):
+        reach = F.coalesce(c.g, F.size("row")).cast("int")
+        near = F.slice("row", F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1)
+        d2 = F.array_min(F.transform(near, lambda o: (o.x - c.x) * (o.x - c.x) + o.g * o.g))
+        return F.struct(c.x.alias("x"), c.passable.alias("passable"), F.when(c.passable == 0, 0.0).otherwise(F.sqrt(d2)).alias("dist"))
+
+    out = rows.select("floor_id", "y", F.inline(F.transform("row", of)))
     top = F.max("dist").over(Window.partitionBy("floor_id"))
     return out.withColumn("dist255", F.when(top > 0, F.floor(F.col("dist") / top * 255)).otherwise(0).cast("int")).select(
         "floor_id", "x", "y", "passable", "dist", "dist255"

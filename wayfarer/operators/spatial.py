@@ -203,7 +203,8 @@ def _segment_buckets(segments: DataFrame, radius: float, size: float) -> DataFra
     """A row per bucket of width ``size`` that holds points within the radius of the segment, and few others.
 
     Over a column of buckets such points lie at most ``radius * sqrt(1 + slope^2)`` above or below the
-    segment's line, and nowhere further than the radius from its ends.
+    segment's line, and nowhere further than the radius from its ends. The rows ask for joins that shuffle:
+    Spark takes them for as few as the segments and would broadcast them.
     """
     span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
     low_x, high_x, low_y, high_y = F.least("x0", "x1") - radius, F.greatest("x0", "x1") + radius, F.least("y0", "y1") - radius, F.greatest("y0", "y1") + radius
@@ -215,7 +216,7 @@ def _segment_buckets(segments: DataFrame, radius: float, size: float) -> DataFra
     rows = segments.withColumn("bx", F.explode(span(low_x, high_x)))
     ya, yb = F.greatest(low_y, F.least(left, right) - reach), F.least(high_y, F.greatest(left, right) + reach)
     rows = rows.withColumns({"ya": F.coalesce(F.when(slope.isNotNull(), ya), low_y), "yb": F.coalesce(F.when(slope.isNotNull(), yb), high_y)})
-    return rows.filter("ya <= yb").withColumn("by", F.explode(span(F.col("ya"), F.col("yb")))).drop("ya", "yb")
+    return rows.filter("ya <= yb").withColumn("by", F.explode(span(F.col("ya"), F.col("yb")))).drop("ya", "yb").hint("merge")
 
 
 def within_of_segments(points: DataFrame, segments: DataFrame, radius: float, key: str = "floor_id", strict: bool = True) -> DataFrame:
