@@ -41,3 +41,31 @@ def test_a_written_table_of_many_equal_rows_is_not_broadcast(spark):
     other = spark.range(300_000).select((F.col("id") % 5).alias("k"), F.rand().alias("w"))
     assert "Broadcast" not in plan(table.join(other, "k"))
     assert "Broadcast" in plan(small.join(other, "k"))
+
+
+def test_alerts_on_routes_are_counted_without_pairs(spark):
+    rng = random.Random(8)
+    spots = [(rng.random(), rng.random()) for _ in range(25)]
+    alerts = [(i, rng.choice([1, 2, 3, None]), rng.choice("ab"), *rng.choice(spots), rng.randrange(5)) for i in range(300)]
+    point = lambda: (rng.random(), rng.random())
+    segments = [(i // 4, rng.choice([1, 2, None]) if i % 4 == 0 else None, rng.choice("ab"), *point(), *point()) for i in range(60)]
+    segments = [(r, segments[i - i % 4][1], f, x, y, *((x, y) if i % 7 == 0 else (x1, y1))) for i, (r, _, f, x, y, x1, y1) in enumerate(segments)]
+    a = spark.createDataFrame(alerts, "alert_id long, submitted_by long, floor_id string, x double, y double, code long")
+    s = spark.createDataFrame(segments, "route_id long, viewer_id long, floor_id string, x0 double, y0 double, x1 double, y1 double")
+
+    def gap(x, y, x0, y0, x1, y1):
+        dx, dy = x1 - x0, y1 - y0
+        t = min(1.0, max(0.0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return math.dist((x, y), (x0 + t * dx, y0 + t * dy))
+
+    want = {(r, i): c for r, v, f, *line in segments for i, by, g, x, y, c in alerts if f == g and gap(x, y, *line) < 0.1 and (v is None or (by is not None and by != v))}
+    pairs = sp.alerts_on_route(a, s, 0.1)
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+    assert "keys=[route_id#" not in plan(pairs).replace(" ", "") or "alert_id" not in "".join(x for x in plan(pairs).split("\n") if "keys=" in x)  # no pair is made distinct
+    counts = sp.alert_counts_on_route(a, s, 0.1, F.col("code"))
+    sums: dict = {}
+    for (r, _), c in want.items():
+        n, total = sums.get(r, (0, 0))
+        sums[r] = (n + 1, total + c)
+    assert {r.route_id: (r.n, r.code) for r in counts.collect()} == sums
+    assert "alert_id" not in plan(counts)

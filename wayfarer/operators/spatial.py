@@ -228,27 +228,69 @@ def within_of_segments(points: DataFrame, segments: DataFrame, radius: float, ke
     return out.filter(F.col("dist") < radius if strict else F.col("dist") <= radius)
 
 
+def _met_by_routes(points: DataFrame, segments: DataFrame, radius: float, size: float, allowed=None) -> DataFrame:
+    """``points`` (floor_id, x, y, ...) with route_id and viewer_id, once for each route with a segment within the radius.
+
+    A point lies in one bucket, and a route has one row per bucket with its segments there, so no pair has to be made
+    distinct. A route's segments are brought together before they are dealt into buckets. ``allowed`` is a condition
+    on viewer_id and the point's columns.
+    """
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    long_ = F.col("len") > 0
+    own = segments.select("route_id", "viewer_id", "floor_id", "x0", "y0", "x1", "y1").repartition("route_id").withColumn("len", F.sqrt(dx * dx + dy * dy))
+    own = own.withColumns({"ux": F.when(long_, dx / F.col("len")).otherwise(1.0), "uy": F.when(long_, dy / F.col("len")).otherwise(0.0)})
+    s = _segment_buckets(own, radius, size)
+    keys, line = ["route_id", "floor_id", "bx", "by"], ["viewer_id", "x0", "y0", "ux", "uy", "len"]
+    one = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in line]).filter("n = 1").drop("n")
+    several = s.groupBy(*keys).agg(F.collect_list(F.struct(*line)).alias("lines")).filter(F.size("lines") > 1)
+    p = points.withColumns({"bx": _bucket("x", size), "by": _bucket("y", size)})
+    allowed = allowed or (lambda viewer: F.lit(True))
+
+    def near(c):
+        """Along the segment's direction and across it; short, so that the join's generated code is compiled."""
+        x, y = F.col("x") - c["x0"], F.col("y") - c["y0"]
+        along, across = x * c["ux"] + y * c["uy"], x * c["uy"] - y * c["ux"]
+        beyond = F.greatest(F.abs(along - c["len"] / 2) - c["len"] / 2, F.lit(0.0))
+        inside = (F.abs(across) < radius) & (F.pow(across, F.lit(2.0)) + F.pow(beyond, F.lit(2.0)) < radius * radius)
+        return inside & allowed(c["viewer_id"])
+
+    met = lambda rows: p.join(rows.hint("merge"), ["floor_id", "bx", "by"])
+    first = met(one).filter(near({c: F.col(c) for c in line}))
+    hit = F.filter("lines", near)
+    rest = met(several).withColumn("viewer_id", F.get(hit, 0).viewer_id).withColumn("hits", F.size(hit)).filter("hits > 0")
+    columns = ["route_id", "viewer_id", *points.columns]
+    return first.select(columns).unionByName(rest.select(columns))
+
+
 def alerts_on_route(alerts: DataFrame, segments: DataFrame, radius: float = 0.04) -> DataFrame:
-    """(route_id, alert_id): alerts near a route's segment on their floor, without the route owner's own.
+    """(route_id, alert_id): alerts near a route's segment on their floor, without the route owner's own."""
+    points = alerts.select("alert_id", "submitted_by", "floor_id", "x", "y")
+    others = lambda viewer: viewer.isNull() | (viewer != F.col("submitted_by"))
+    return _met_by_routes(points, segments, radius, radius, others).select("route_id", "alert_id")
+
 
-    An alert lies in one bucket. Where a route has one segment in that bucket it meets the alert once; only
-    pairs from the few buckets with several segments of a route are made distinct.
+def alert_counts_on_route(alerts: DataFrame, segments: DataFrame, radius: float = 0.04, code=None) -> DataFrame:
+    """(route_id, n, code): how many alerts ``alerts_on_route`` finds for a route, and the sum of a number of theirs.
+
+    Alerts at one place meet a route together, and the viewer's own ones there are taken off after, so the pairs of
+    routes and alerts are never made. A route belongs to one viewer.
     """
-    p = alerts.select("alert_id", "submitted_by", "floor_id", "x", "y", _bucket("x", radius).alias("bx"), _bucket("y", radius).alias("by"))
-    s = _segment_buckets(segments.select("route_id", "viewer_id", "floor_id", "x0", "y0", "x1", "y1"), radius, radius)
-    keys, line = ["route_id", "floor_id", "bx", "by"], ["viewer_id", "x0", "y0", "x1", "y1"]
-    held = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in line])
-    several = s.join(held.filter("n > 1").select(keys), keys, "left_semi")
-
-    def near(rows):
-        x, y = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
-        dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-        t = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(x * dx + y * dy, dx * dx + dy * dy))), F.lit(0.0))
-        x, y = x - t * dx, y - t * dy
-        met = p.join(rows, ["floor_id", "bx", "by"]).filter("viewer_id is null or viewer_id <> submitted_by")
-        return met.filter(F.sqrt(x * x + y * y) < radius).select("route_id", "alert_id")
-
-    return near(held.filter("n = 1")).unionByName(near(several).distinct())
+    rows = alerts.select("submitted_by", "floor_id", "x", "y", (F.lit(0) if code is None else code).cast("long").alias("code"))
+    known = F.col("submitted_by").isNotNull()
+    spots = rows.groupBy("floor_id", "x", "y").agg(
+        F.count(F.lit(1)).alias("every"), F.sum("code").alias("every_code"), F.count_if(known).alias("known"), F.coalesce(F.sum(F.when(known, F.col("code"))), F.lit(0)).alias("known_code")
+    )
+    size = 3 * radius
+    free = F.col("viewer_id").isNull()
+    found = _met_by_routes(spots, segments, radius, size)
+    found = found.select("route_id", F.when(free, F.col("every")).otherwise(F.col("known")).alias("n"), F.when(free, F.col("every_code")).otherwise(F.col("known_code")).alias("code"))
+
+    # a viewer's own alerts on the own routes: the same meeting within floor and viewer
+    both = lambda viewer: F.struct(F.col("floor_id"), viewer.alias("viewer"))
+    mine = rows.filter(known).withColumn("floor_id", both(F.col("submitted_by"))).drop("submitted_by")
+    walked = segments.filter("viewer_id is not null").withColumn("floor_id", both(F.col("viewer_id").cast(rows.schema["submitted_by"].dataType)))
+    own = _met_by_routes(mine, walked, radius, size).select("route_id", F.lit(-1).cast("long").alias("n"), (-F.col("code")).alias("code"))
+    return found.unionByName(own).groupBy("route_id").agg(F.sum("n").alias("n"), F.sum("code").alias("code")).filter("n > 0")
 
 
 def near_wall_filter(points: DataFrame, segments: DataFrame, radius: float = 5.0) -> DataFrame:

@@ -241,6 +241,5 @@ def route_alert_notice(routes: DataFrame, alerts: DataFrame, settle_ms: int = 60
     ``routes`` (seg_id, route_id, viewer_id, floor_id, x0, y0, x1, y1, changed_at, seen_at).
     """
     settled = routes.filter(F.unix_micros(F.col("seen_at").cast("timestamp")) - F.unix_micros(F.col("changed_at").cast("timestamp")) >= settle_ms * 1000)
-    found = sp.alerts_on_route(alerts, settled)
-    n = found.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"))
+    n = sp.alert_counts_on_route(alerts, settled)
     return n.select("route_id", F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " alert").otherwise(" alerts"), F.lit(" on your route")).alias("title"))

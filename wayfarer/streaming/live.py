@@ -248,10 +248,10 @@ def settled_route_stream(routes: DataFrame, settle_ms: int = SETTLE_MS) -> DataF
 
 def route_notices(segments: DataFrame, alerts: DataFrame) -> DataFrame:
     """(route_id, title): one title per route for others' alerts on it: the alert's label if there is one."""
-    shown = F.create_map(*[F.lit(x) for pair in ALERT_LABELS.items() for x in pair])
-    found = sp.alerts_on_route(alerts, segments).join(alerts.select("alert_id", "type"), "alert_id")
-    per = found.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"), F.min("type").alias("type"))
-    one = F.concat(F.coalesce(shown[F.col("type")], F.lit(ALERT_LABELS["other"])), F.lit(" on your route"))
+    kinds = list(ALERT_LABELS)
+    place = F.create_map(*[F.lit(x) for pair in zip(kinds, range(len(kinds))) for x in pair])
+    per = sp.alert_counts_on_route(alerts, segments, code=F.coalesce(place[F.col("type")], F.lit(kinds.index("other"))))
+    one = F.concat(F.get(F.array(*[F.lit(label) for label in ALERT_LABELS.values()]), F.col("code").cast("int")), F.lit(" on your route"))
     return per.select("route_id", F.when(F.col("n") == 1, one).otherwise("Alerts on your route").alias("title"))
 
 
