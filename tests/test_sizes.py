@@ -61,11 +61,37 @@ def test_alerts_on_routes_are_counted_without_pairs(spark):
     want = {(r, i): c for r, v, f, *line in segments for i, by, g, x, y, c in alerts if f == g and gap(x, y, *line) < 0.1 and (v is None or (by is not None and by != v))}
     pairs = sp.alerts_on_route(a, s, 0.1)
     assert sorted(map(tuple, pairs.collect())) == sorted(want)
-    assert "keys=[route_id#" not in plan(pairs).replace(" ", "") or "alert_id" not in "".join(x for x in plan(pairs).split("\n") if "keys=" in x)  # no pair is made distinct
+    made = lambda df: [x for x in plan(df).split("\n") if ("Exchange" in x or "Aggregate" in x) and "route_id" in x and "alert_id" in x]
+    assert not made(pairs)
     counts = sp.alert_counts_on_route(a, s, 0.1, F.col("code"))
     sums: dict = {}
     for (r, _), c in want.items():
         n, total = sums.get(r, (0, 0))
         sums[r] = (n + 1, total + c)
     assert {r.route_id: (r.n, r.code) for r in counts.collect()} == sums
-    assert "alert_id" not in plan(counts)
+    assert not made(counts)
+
+
+def test_place_search_meets_few_names(spark, monkeypatch):
+    """Texts in every name, in few and in none: the rows of a brute force, from few pairs of text and name."""
+    from wayfarer.operators import places as pl
+
+    monkeypatch.setattr(pl, "FEW_NAMES", 5)
+    rng = random.Random(3)
+    place = [(i, f"Hall {i:04d}", rng.random() * 0.4, rng.random() * 0.4) for i in range(400)]
+    asks = [(i, rng.choice(["hall", " HA", "7", f"hall {i:04d}", "0011", "nothing", " "]), rng.random() * 0.4, rng.random() * 0.4) for i in range(80)]
+    asks.append((900, "hall", 9.0, 9.0))
+    found = pl.ring_place_search(
+        spark.createDataFrame(asks, "query_id long, text string, lat double, lon double"), spark.createDataFrame(place, "place_id long, name string, lat double, lon double")
+    )
+    want = set()
+    for q, text, lat, lon in asks:
+        text = text.strip().lower()
+        hits = sorted((max(abs(a - lat), abs(b - lon)), i) for i, name, a, b in place if text and text in name.lower())
+        n = [sum(d <= r for d, _ in hits) for r in pl.RINGS]
+        use = 1 if n[0] >= 3 else 2 if n[1] >= 3 else 3 if n[2] >= 1 else 4
+        want |= {(q, i, use) for d, i in hits[:10] if use == 4 or d <= pl.RINGS[use - 1]}
+    assert {tuple(r) for r in found.collect()} == want
+    common = spark.createDataFrame([(i, f"hall {i}", "hal", a, b) for i, _, a, b in place], "place_id long, low string, gram string, lat double, lon double")
+    q = spark.createDataFrame([(i, "hall", "hal", a, b) for i, _, a, b in place], "query_id long, text string, gram string, qlat double, qlon double")
+    assert pl._nearest_names(q, common, 10).count() < 400 * 40
