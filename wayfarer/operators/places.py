@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.functions.scalars import MILES_PER_KM, WALK_MPH, half_up, location_building, location_room, normalize_room
+from wayfarer.operators.iterate import cut
 
 #: The words that tell a place with an indoor map.
 INDOOR_WORDS = ("gdc", "gates dell", "gates computer science", "melinda gates", "bill and melinda gates")
@@ -120,24 +121,70 @@ def resolve_room(queries: DataFrame, nodes: DataFrame, site: str = "site") -> Da
 
 #: Half the width of the search boxes, in degrees.
 RINGS = (0.02, 0.06, 0.15)
+#: Names with a text's rarest piece up to which all of them are read.
+FEW_NAMES = 500
+
+
+def _hits(asks: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
+    far = F.greatest(F.abs(F.col("lat") - F.col("qlat")), F.abs(F.col("lon") - F.col("qlon")))
+    return asks.join(named, keys).filter(F.contains("low", F.col("text"))).select("query_id", "place_id", far.alias("far"))
+
+
+def _nearest_names(asks: DataFrame, named: DataFrame, k: int) -> DataFrame:
+    """(query_id, place_id, far): at least the k nearest places whose name has the text, or all if fewer.
+
+    ``asks`` (query_id, text, gram, qlat, qlon), ``named`` (place_id, low, gram, lat, lon). Texts and names meet by a piece
+    of the text in boxes that hold k places on average; texts with fewer hits inside go on in boxes four times as wide.
+    """
+    spread = named.agg(F.countDistinct("place_id").alias("n"), F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon"), F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("lost")).first()
+    asked = asks.agg(F.min("qlat"), F.max("qlat"), F.min("qlon"), F.max("qlon")).first()
+    span = max(spread[1] or 0.0, spread[2] or 0.0)
+    width = span * (k / max(spread.n, 1)) ** 0.5
+    wide = span if None in asked else max(span, asked[1] - asked[0], asked[3] - asked[2])
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    found, open_ = None, asks
+    while width > 0 and width < wide and not spread.lost and not open_.isEmpty():
+        box = lambda c: F.floor(F.col(c) / width)
+        a = open_.withColumn("o", F.explode(offsets)).withColumns({"bx": box("qlat") + F.col("o.i"), "by": box("qlon") + F.col("o.j")}).drop("o").hint("merge")
+        met = _hits(a, named.withColumns({"bx": box("lat"), "by": box("lon")}), ["gram", "bx", "by"])
+        own = Window.partitionBy("query_id")
+        top = met.withColumn("rn", F.row_number().over(own.orderBy("far", "place_id"))).filter(F.col("rn") <= k)
+        hit = top.withColumn("inside", F.count_if(F.col("far") < width).over(own)).filter(F.col("inside") >= k)
+        hit = cut(hit.select("query_id", "place_id", "far"))
+        found = hit if found is None else found.unionByName(hit)
+        open_ = cut(open_.join(hit.select("query_id").distinct(), "query_id", "left_anti"))
+        width *= 4
+    rest = _hits(open_, named, ["gram"])
+    return rest if found is None else found.unionByName(rest)
 
 
 def ring_place_search(queries: DataFrame, places: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, place_id, ring): places around a point whose name contains the text.
 
     The smallest box with three hits counts; else the largest with one; else all hits (ring 4).
-    Queries and names meet by the text's first three letters, or all of a shorter text; a blank text finds nothing.
+    A text meets the names by its piece of three letters (or all of a shorter text) that fewest names have; where many
+    have it, the nearest names are searched in boxes, as they alone decide the ring. A blank text finds nothing.
     """
-    named = places.withColumn("low", F.lower("name"))
-    p = named.select("place_id", "name", "lat", "lon", F.explode(_grams("low")).alias("gram"))
-    q = queries.filter(F.trim("text") != "").withColumn("gram", F.substring(F.lower(F.trim("text")), 1, 3)).select("query_id", "text", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "gram")
-    hits = q.join(p, "gram").filter(F.contains(F.lower("name"), F.lower(F.trim("text"))))
-    far = F.greatest(F.abs(F.col("lat") - F.col("qlat")), F.abs(F.col("lon") - F.col("qlon")))
+    names = places.select("place_id", F.lower("name").alias("low"), "lat", "lon")
+    p = cut(names.withColumn("gram", F.explode(_grams("low"))))
+    sizes = p.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    q = queries.filter(F.trim("text") != "").select("query_id", F.lower(F.trim("text")).alias("text"), F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
+    size = F.least(F.length("text"), F.lit(3))
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - size + 1), lambda i: F.substr(F.col("text"), i, size)))
+    rarity = q.select("query_id", F.explode(pieces).alias("gram")).join(sizes, "gram", "left")
+    rarest = rarity.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("b")).select("query_id", "b.*")
+    asks = cut(q.join(rarest.filter("n > 0"), "query_id"))
+    few, many = asks.filter(F.col("n") <= FEW_NAMES).drop("n"), asks.filter(F.col("n") > FEW_NAMES).drop("n")
+    hits = _hits(few, p, ["gram"])
+    if not many.isEmpty():
+        common = cut(p.join(many.select("gram").distinct(), "gram", "left_semi"))
+        hits = hits.unionByName(_nearest_names(many, common, max(limit, 3)))
+    far = F.col("far")
     ring = F.lit(4)
     for i, r in reversed(list(enumerate(RINGS, start=1))):
         ring = F.when(far <= r, i).otherwise(ring)
     own = Window.partitionBy("query_id")
-    counted = hits.withColumn("far", far).withColumn("ring", ring)
+    counted = hits.withColumn("ring", ring)
     for i in (1, 2, 3):
         counted = counted.withColumn(f"n{i}", F.count_if(F.col("ring") <= i).over(own))
     use = F.when(F.col("n1") >= 3, 1).when(F.col("n2") >= 3, 2).when(F.col("n3") >= 1, 3).otherwise(4)
