@@ -261,6 +261,7 @@ def lines_clear(lines: DataFrame, cells: DataFrame, corners: bool = True) -> Dat
 def rdp_simplify(paths: DataFrame, epsilon: float, cells: DataFrame | None = None) -> DataFrame:
     """Points (path_id, seq, x, y) of each polyline that offsets above epsilon from its spans' lines need, all polylines together.
 
+    Offsets count to nine places; of equal ones the first point splits the span.
     With ``cells`` (floor_id too) a span is only drawn straight where its line of cells is clear;
     a blocked span is split at its middle point.
     """
@@ -276,7 +277,7 @@ def rdp_simplify(paths: DataFrame, epsilon: float, cells: DataFrame | None = Non
         inner = spans.join(rows.select("path_id", "at", "x", "y"), "path_id").filter("at > i and at < j")
         dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
         area = F.abs(dx * (F.col("y0") - F.col("y")) - (F.col("x0") - F.col("x")) * dy)
-        off = inner.withColumn("d", F.when(F.hypot(dx, dy) < 1e-10, 0.0).otherwise(area / F.hypot(dx, dy)))
+        off = inner.withColumn("d", F.when(F.hypot(dx, dy) < 1e-10, 0.0).otherwise(F.round(area / F.hypot(dx, dy), 9)))
         far = off.groupBy("path_id", "i", "j").agg(F.max(F.struct("d", (-F.col("at")).alias("s"))).alias("m"))
         split = far.filter(F.col("m.d") > epsilon).select("path_id", "i", "j", (-F.col("m.s")).alias("k"))
         if cells is not None:
