@@ -22,9 +22,11 @@ STEPS = f"""WITH RECURSIVE m AS (SELECT *, sqrt(ax*ax+ay*ay+az*az) > 1.18 AS hi
 query("str1_step_detection", STEPS)(lambda t: de.step_detection(t.sql(SAMPLES)).select("user_id", "event_id"))
 NEXT = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM f_accel"
 query("str2_heading_smoothing", f"""WITH RECURSIVE f AS ({NEXT}), h AS (SELECT user_id, event_id, n, fmod(heading_raw,360) AS heading FROM f WHERE n=1
- UNION ALL SELECT f.user_id, f.event_id, f.n, fmod(degrees(atan2(0.5*sin(radians(heading))+0.5*sin(radians(heading_raw)), 0.5*cos(radians(heading))+0.5*cos(radians(heading_raw))))+360, 360) FROM h JOIN f ON f.user_id=h.user_id AND f.n=h.n+1)
- SELECT user_id, event_id, round(heading,6) AS heading FROM h""")(lambda t: de.heading_smoothing(t("f_accel")).select("user_id", "event_id", F.round("heading", 6).alias("heading")))
-TURN = "abs(fmod(fmod(heading_raw - degrees(atan2(east,north)) - bearing, 360)+360+540, 360)-180)"
+ UNION ALL SELECT user_id, event_id, n, CASE WHEN abs(s)<1e-9 AND abs(c)<1e-9 THEN heading ELSE fmod(degrees(atan2(s, c))+360, 360) END
+  FROM (SELECT f.user_id, f.event_id, f.n, heading, 0.5*sin(radians(heading))+0.5*sin(radians(heading_raw)) AS s, 0.5*cos(radians(heading))+0.5*cos(radians(heading_raw)) AS c FROM h JOIN f ON f.user_id=h.user_id AND f.n=h.n+1) z)
+ SELECT user_id, event_id, fmod(round(round(heading,9),6),360) AS heading FROM h""")(lambda t: de.heading_smoothing(t("f_accel")).select("user_id", "event_id", (F.round(F.round("heading", 9), 6) % 360).alias("heading")))
+OFFSET = "CASE WHEN abs(east)<1e-9 AND abs(north)<1e-9 THEN 0.0 ELSE degrees(atan2(east,north)) END"
+TURN = f"round(abs(fmod(fmod(heading_raw - {OFFSET} - bearing, 360)+360+540, 360)-180), 6)"
 query("str3_dead_reckoning", f"""WITH RECURSIVE f AS (SELECT *, cast(event_id*7%360 as double) AS bearing FROM ({NEXT}) z), r AS (SELECT user_id, event_id, n, sin(radians(heading_raw-bearing)) AS east, cos(radians(heading_raw-bearing)) AS north, 0.0::DOUBLE AS dist, 'calibrating' AS move FROM f WHERE n=1
  UNION ALL SELECT user_id, event_id, n, CASE WHEN n<=8 THEN east+sin(radians(heading_raw-bearing)) ELSE east END, CASE WHEN n<=8 THEN north+cos(radians(heading_raw-bearing)) ELSE north END,
   CASE WHEN n<=8 THEN dist WHEN turn>140 THEN greatest(dist-0.75,0) WHEN turn<=90 THEN least(dist+0.75,25) ELSE dist END, CASE WHEN n<=8 THEN 'calibrating' WHEN turn>140 THEN 'back' WHEN turn<=90 THEN 'forward' ELSE 'stay' END

@@ -22,6 +22,8 @@ from wayfarer.streaming.ordered import Machine, ordered_stream
 STEP_G, STEP_GAP_MS = 1.18, 280
 ALPHA = 0.5
 CALIBRATION, STEP_M, BACK_DEG, FORWARD_DEG = 8, 0.75, 40.0, 90.0
+#: Sums of directions shorter than this are rounding errors and point nowhere.
+NOTHING = 1e-9
 ARRIVED_M, REROUTE_M, PREVIEW_M = 25.0, 30.0, 100.0
 
 #: Marks a column with a watermark.
@@ -98,13 +100,14 @@ def _headings(state, pdf):
             a, b = math.radians(held), math.radians(raw)
             s = (1 - ALPHA) * math.sin(a) + ALPHA * math.sin(b)
             c = (1 - ALPHA) * math.cos(a) + ALPHA * math.cos(b)
-            held = math.degrees(math.atan2(s, c)) % 360
+            if max(abs(s), abs(c)) >= NOTHING:
+                held = math.degrees(math.atan2(s, c)) % 360
         out.append((user, event, held))
     return (held,), out
 
 
 def heading_smoothing(samples: DataFrame) -> DataFrame:
-    """(user_id, event_id, heading): circular exponential mean with weight 0.5."""
+    """(user_id, event_id, heading): circular exponential mean with weight 0.5; an opposite heading changes nothing."""
     return stateful(samples, _headings, (float("nan"),), "held double", "user_id long, event_id long, heading double")
 
 
@@ -117,8 +120,8 @@ def _reckon(state, pdf):
             n, east, north = n + 1, east + math.sin(turn), north + math.cos(turn)
             out.append((user, event, d, "calibrating"))
             continue
-        offset = math.degrees(math.atan2(east, north))
-        away = abs(((heading - offset - bearing) % 360 + 540) % 360 - 180)
+        offset = math.degrees(math.atan2(east, north)) if max(abs(east), abs(north)) >= NOTHING else 0.0
+        away = round(abs(((heading - offset - bearing) % 360 + 540) % 360 - 180), 6)
         move = -1 if away > 180 - BACK_DEG else 1 if away <= FORWARD_DEG else 0
         d = min(max(d + move * STEP_M, 0.0), total)
         out.append((user, event, d, {1: "forward", 0: "stay", -1: "back"}[move]))
@@ -128,7 +131,8 @@ def _reckon(state, pdf):
 def dead_reckoning(steps: DataFrame) -> DataFrame:
     """(user_id, event_id, dist, move) from steps with heading, path bearing and path length.
 
-    Eight steps give the circular mean of heading against path; then each step moves 0.75 m.
+    Eight steps give the circular mean of heading against path, 0 where they cancel; then each step moves 0.75 m.
+    Angles are compared to six places, so that rounding errors decide nothing.
     """
     return stateful(steps, _reckon, (0, 0.0, 0.0, 0.0), "n int, east double, north double, d double", "user_id long, event_id long, dist double, move string")
 
