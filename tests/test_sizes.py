@@ -95,3 +95,12 @@ def test_place_search_meets_few_names(spark, monkeypatch):
     common = spark.createDataFrame([(i, f"hall {i}", "hal", a, b) for i, _, a, b in place], "place_id long, low string, gram string, lat double, lon double")
     q = spark.createDataFrame([(i, "hall", "hal", a, b) for i, _, a, b in place], "query_id long, text string, gram string, qlat double, qlon double")
     assert pl._nearest_names(q, common, 10).count() < 400 * 40
+
+
+def test_shortest_paths_start_from_every_start_they_had(spark):
+    from wayfarer.plans import spatial_queries as sq
+    from wayfarer.plans.fixtures import Fixtures
+
+    t = Fixtures(spark, "/root/testdata/sf0.001")
+    want = {r.node_id for r in t("f_nodes").collect() if r.node_id % 50 == 0 or r.node_id % 35 == 3}
+    assert {r.start_id for r in t.sql(sq.PAIRS4).collect()} == want
