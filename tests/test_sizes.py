@@ -104,3 +104,11 @@ def test_shortest_paths_start_from_every_start_they_had(spark):
     t = Fixtures(spark, "/root/testdata/sf0.001")
     want = {r.node_id for r in t("f_nodes").collect() if r.node_id % 50 == 0 or r.node_id % 35 == 3}
     assert {r.start_id for r in t.sql(sq.PAIRS4).collect()} == want
+
+
+def test_building_documents_stay_small(spark):
+    from wayfarer.plans import raster_queries as rq
+    from wayfarer.plans.fixtures import Fixtures
+
+    t = Fixtures(spark, "/root/testdata/sf0.1")
+    assert len(rq.read_back(t).inputFiles()) >= t("f_nodes").count() / 5000
