@@ -23,6 +23,10 @@ def finish(writer, folder):
     run.awaitTermination()
 
 
+#: Files that one trigger of the feeds of votes and alerts takes.
+FILES = 32
+
+
 # dead reckoning: each path is walked in thirty steps, six at each heading
 TURNS = """SELECT user_id*1000000007 + cast(floor((n-1)/5) as bigint) AS route_id, user_id, event_id*6+j AS event_id, (n-1)%5*6+j+1 AS n, heading_raw + 3.0137*j + 0.0731*j*j AS heading
  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM f_accel) a, range(6) AS k(j)"""
@@ -144,12 +148,12 @@ def view_of_stream(t):
     for day in ("2024-01-05", "2024-01-10", None):
         when = F.lit(day).cast("timestamp") if day else None
         now = feed if when is None else feed.filter(F.col("seen_at") < when)
-        now.coalesce(1).write.mode("append").json(f"{folder}/in")
+        now.repartition(FILES, "alert_id").write.mode("append").json(f"{folder}/in")
         feed = feed if when is None else feed.filter(F.col("seen_at") >= when)
     clock = t.spark.sql(f"select 'clock' as kind, timestamp '{NOW}' as seen_at, 'clock' as floor_id")
     clock.write.mode("append").json(f"{folder}/in")
     kept = live.LiveAlerts(t.spark, f"{folder}/kept", lambda: t("f_profiles"))
-    finish(kept.writer(live.change_feed(t.spark, f"{folder}/in", 1)), folder)
+    finish(kept.writer(live.change_feed(t.spark, f"{folder}/in", FILES)), folder)
     return kept.view.read().select("alert_id", "cluster_id")
 
 

@@ -20,6 +20,8 @@ VOTE_FIELDS = "alert_id long, user_id long, vote string, voted_at timestamp, seq
 #: A row of the feed is a changed alert or a vote on an alert of ``floor_id``; ``seen_at`` is when the feed brought it.
 CHANGE_FIELDS = f"kind string, seen_at timestamp, {ALERT_FIELDS}, user_id long, vote string, voted_at timestamp, seq long"
 SETTLE_MS = 600
+#: Keys among which the clock of a floor deals its alerts.
+SLOTS = 64
 #: How alert types are shown.
 ALERT_LABELS = {
     "crowd": "Crowd",
@@ -52,9 +54,10 @@ def change_feed(spark: SparkSession, path: str, per_trigger: int | None = None)
 
 
 class FloorClock(StatefulProcessor):
-    """Passes a floor's changes on; when alerts expire, one row of kind ``clock`` for the floor.
+    """Passes a floor's changes on; when alerts expire, a row of kind ``clock`` for the floor.
 
-    The floor's expiries wait in its state and one timer stands at the first of them.
+    A key is a floor and a slot of its alerts, so that no task takes a floor whole. The expiries wait in its
+    state and one timer stands at the first of them.
     """
 
     def __init__(self, names: list[str]):
@@ -106,7 +109,8 @@ class FloorClock(StatefulProcessor):
 def touched_floors(changes: DataFrame) -> DataFrame:
     """The feed's rows, and a row of kind ``clock`` for a floor on which an alert has expired."""
     use_rocksdb(changes.sparkSession)
-    return changes.groupBy("floor_id").transformWithStateInPandas(FloorClock(changes.columns), changes.schema, "Append", "EventTime")
+    keyed = changes.withColumn("slot", F.pmod(F.xxhash64("alert_id"), F.lit(SLOTS)))
+    return keyed.groupBy("floor_id", "slot").transformWithStateInPandas(FloorClock(changes.columns), changes.schema, "Append", "EventTime")
 
 
 class LiveAlerts:
