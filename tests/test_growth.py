@@ -42,3 +42,34 @@ def test_a_floor_passes_the_clock_in_several_tasks(spark, tmp_path):
 
 def test_the_live_views_feed_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert len(fed(spark, monkeypatch, tmp_path, lq.view_of_stream)) > 3 + 4
+
+
+def test_texts_and_rooms_that_a_site_repeats_meet_once(spark):
+    r = random.Random(4)
+    label = lambda: f"{r.randrange(1, 4)}.{r.randrange(100, 140)}{r.choice(['', '', 'A', 'b'])}"
+    rooms = [(i, r.randrange(2), "room" if r.random() < 0.9 else "hallway", label()) for i in range(400)]
+    texts = [(i, r.randrange(2), r.choice(["Room {}", "{}", "# 2 . 1", "10", "3.1", f"2.0{r.randrange(100, 140)}", " "]).format(label())) for i in range(300)]
+    found = pl.resolve_room(spark.createDataFrame(texts, "query_id long, site int, text string"), spark.createDataFrame(rooms, "node_id long, site int, type string, label string"))
+    assert "Window" not in plan(found)  # which ordered every pair of a text and a room
+    numbers = lambda x: re.fullmatch(r"(\d+)\.(\d+)([a-z]?)", x)
+    plain = lambda x: re.sub("[^a-z0-9]", "", x)
+    want = set()
+    for query, site, text in texts:
+        q = re.sub(r"\s*\.\s*", ".", re.sub(r"^(room|rm|ste|suite|#)\s*", "", text.strip(), flags=re.I).strip()).lower()
+        hits = []
+        for node, own, kind, name in rooms:
+            low, mine, its = name.lower(), numbers(q), numbers(name.lower())
+            if own != site or kind != "room" or not q:
+                continue
+            gap = abs(int(mine[2]) - int(its[2])) if mine and its and mine[1] == its[1] else None
+            if q in low:
+                hits.append((1, 0, low, name, node))
+            elif plain(q) == plain(low) and len(plain(q)) >= 2:
+                hits.append((2, 0, "", "", node))
+            elif gap is not None and low == f"{mine[1]}.{int(mine[2])}{mine[3]}":
+                hits.append((3, 0, "", "", node))
+            elif gap is not None and gap <= 12 and mine[3] in ("", its[3]):
+                hits.append((4, gap, "", "", node))
+        if hits:
+            want.add((query, min(hits)[-1], min(hits)[0]))
+    assert {tuple(x) for x in found.collect()} == want and {t for *_, t in want} >= {1, 3, 4}

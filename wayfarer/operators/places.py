@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,20 +93,28 @@ def resolve_room(queries: DataFrame, nodes: DataFrame, site: str = "site") -> Da
     Tiers: 1 label contains the text; 2 equal letters and digits; 3 the same floor and number;
     4 the nearest number on that floor within 12, with the same suffix if one is given. Each tier
     is a join on equal values: the text's first letters, the compact text, the label, and the
-    floor with the number's dozen and its neighbours.
+    floor with the number's dozen and its neighbours. Texts and labels that a site has several times
+    meet once, a label as its smallest node; a text of up to three letters takes its piece's first label.
     """
     pattern = r"^(\d+)\.(\d+)([a-z]?)$"
     part = lambda c, i: F.regexp_extract(c, pattern, i)
     compact = lambda c: F.regexp_replace(c, "[^a-z0-9]", "")
-    q = queries.withColumn("q", F.lower(normalize_room("text"))).filter("q <> ''").select("query_id", site, "q")
+    asked = queries.withColumn("q", F.lower(normalize_room("text"))).filter("q <> ''").select("query_id", site, "q")
+    q = cut(asked.select(site, "q").distinct())
     q = q.withColumns({"q_floor": part("q", 1).try_cast("long").cast("string"), "q_no": part("q", 2).try_cast("long"), "q_end": part("q", 3)})
-    rooms = nodes.filter("type = 'room'").select(site, "node_id", "label", F.lower("label").alias("l"))
+    rooms = nodes.filter("type = 'room'").groupBy(site, "label").agg(F.min("node_id").alias("node_id")).filter("label is not null")
+    rooms = cut(rooms.withColumn("l", F.lower("label")))
     rooms = rooms.withColumns({"l_floor": part("l", 1), "l_no": part("l", 2).try_cast("long"), "l_end": part("l", 3)})
-    none = F.lit(0).cast("long").alias("gap")
-    hit = lambda df, tier, gap=none: df.select("query_id", "node_id", "label", "l", F.lit(tier).alias("tier"), gap)
+    # as the rows of a text are ordered: of tier 1 by label, of the others by gap, then by id
+    none, blank = F.lit(0).cast("long"), F.lit("")
+    hit = lambda df, tier, gap=none, l=blank, label=blank: df.select(
+        site, "q", F.struct(F.lit(tier).alias("tier"), gap.alias("gap"), l.alias("l"), label.alias("label"), "node_id").alias("hit")
+    )
 
-    head = q.withColumn("gram", F.substring("q", 1, 3))
-    one = head.join(rooms.withColumn("gram", F.explode(_grams("l"))), [site, "gram"]).filter(F.contains("l", F.col("q")))
+    pieces = rooms.withColumn("gram", F.explode(_grams("l")))
+    first = pieces.groupBy(site, "gram").agg(F.min(F.struct("l", "label", "node_id")).alias("b")).select(site, F.col("gram").alias("q"), "b.*")
+    short = q.filter(F.length("q") <= 3).join(first, [site, "q"])
+    long = q.filter(F.length("q") > 3).withColumn("gram", F.substring("q", 1, 3)).join(pieces, [site, "gram"]).filter(F.contains("l", F.col("q")))
     two = q.withColumn("key", compact("q")).filter(F.length("key") >= 2).join(rooms.withColumn("key", compact("l")), [site, "key"])
     three = q.withColumn("l", F.concat("q_floor", F.lit("."), F.col("q_no").cast("string"), "q_end")).join(rooms, [site, "l"])
     dozens = F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.floor(F.col("q_no") / 13) + i)
@@ -112,11 +122,10 @@ def resolve_room(queries: DataFrame, nodes: DataFrame, site: str = "site") -> Da
     four = floor_q.join(rooms.withColumn("dozen", F.floor(F.col("l_no") / 13)), [site, "l_floor", "dozen"])
     gap = F.abs(F.col("l_no") - F.col("q_no"))
     four = four.filter((gap <= 12) & ((F.col("q_end") == "") | (F.col("q_end") == F.col("l_end"))))
-    found = hit(one, 1).unionByName(hit(two, 2)).unionByName(hit(three, 3)).unionByName(hit(four, 4, gap.alias("gap")))
-    order = Window.partitionBy("query_id").orderBy(
-        "tier", "gap", F.when(F.col("tier") == 1, F.col("l")).otherwise(""), F.when(F.col("tier") == 1, F.col("label")).otherwise(""), "node_id"
-    )
-    return found.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("query_id", "node_id", "tier")
+    named = [hit(df, 1, none, F.col("l"), F.col("label")) for df in (short, long)]
+    found = reduce(DataFrame.unionByName, [*named, hit(two, 2), hit(three, 3), hit(four, 4, gap)])
+    best = found.groupBy(site, "q").agg(F.min("hit").alias("hit"))
+    return asked.join(best, [site, "q"]).select("query_id", "hit.node_id", "hit.tier")
 
 
 #: Half the width of the search boxes, in degrees.
