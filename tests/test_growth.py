@@ -73,3 +73,7 @@ def test_texts_and_rooms_that_a_site_repeats_meet_once(spark):
         if hits:
             want.add((query, min(hits)[-1], min(hits)[0]))
     assert {tuple(x) for x in found.collect()} == want and {t for *_, t in want} >= {1, 3, 4}
+
+
+def test_the_feed_of_votes_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    assert len(fed(spark, monkeypatch, tmp_path, lq.tallies_of_stream)) > 4

@@ -127,8 +127,8 @@ query("src7_location_fixes", THIN)(fixes_of_stream)
 # votes: four triggers, each with votes of all times
 def tallies_of_stream(t):
     folder = folder_of(t, "votes")
-    t("f_votes").withColumn("voted_at", F.col("voted_at").cast("timestamp")).repartition(4, F.col("seq") % 4).write.json(f"{folder}/in")
-    votes = t.spark.readStream.schema(live.VOTE_FIELDS).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
+    t("f_votes").withColumn("voted_at", F.col("voted_at").cast("timestamp")).repartition(4 * FILES, "seq").write.json(f"{folder}/in")
+    votes = t.spark.readStream.schema(live.VOTE_FIELDS).option("maxFilesPerTrigger", FILES).json(f"{folder}/in")
     kept = live.VoteTallies(t.spark, f"{folder}/kept", buckets=8)
     finish(kept.writer(votes), folder)
     return kept.tallies.read()
