@@ -6,13 +6,16 @@ import datetime as dt
 import os
 import random
 import re
+import types
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wayfarer.operators import places as pl
 from wayfarer.plans import live_queries as lq
 from wayfarer.plans.fixtures import Fixtures
-from wayfarer.streaming import live
+from wayfarer.streaming import live, ordered
 
 
 def plan(df) -> str:
@@ -77,3 +80,72 @@ def test_texts_and_rooms_that_a_site_repeats_meet_once(spark):
 
 def test_the_feed_of_votes_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert len(fed(spark, monkeypatch, tmp_path, lq.tallies_of_stream)) > 4
+
+
+class Kept:
+    """A state variable that counts its calls and values."""
+
+    calls = values = 0
+
+    def __init__(self):
+        self.held = []
+
+    def _call(self, n=0):
+        Kept.calls, Kept.values = Kept.calls + 1, Kept.values + n
+
+    def get(self):
+        self._call()
+        return iter(self.held) if isinstance(self, KeptList) else self.held[0] if self.held else None
+
+    def exists(self):
+        self._call()
+        return bool(self.held)
+
+    def clear(self):
+        self._call()
+        self.held = []
+
+    def update(self, value):
+        self._call(1)
+        self.held = [value]
+
+
+class KeptList(Kept):
+    def appendValue(self, value):
+        self._call(1)
+        self.held.append(value)
+
+    def appendList(self, values):
+        self._call(len(values))
+        self.held += values
+
+    put = appendList
+
+
+class Handle:
+    getValueState = lambda self, name, schema: Kept()
+    getListState = lambda self, name, schema: KeptList()
+
+    def registerTimer(self, at):
+        Kept.calls += 1
+
+    deleteTimer = registerTimer
+
+
+def test_waiting_rows_are_one_value_a_trigger(spark):
+    rows = pd.DataFrame({"user_id": 1, "event_id": range(60), "ts": pd.date_range("2024-01-01", periods=60, freq="150ms"), "v": range(60)})
+    machine = lambda state, pdf: ((state[0] + int(pdf["v"].sum()),), [(int(e), state[0]) for e in pdf["event_id"]])
+    key = ordered.InOrder(machine, (0,), StructType.fromDDL("n long"), list(rows.columns), ["event_id", "n"], ["ts", "event_id"], 86_400_000)
+    key.init(Handle())
+    at = lambda mark: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)
+    first = int(rows["ts"].iloc[0].value // 1_000_000)
+    Kept.calls = Kept.values = 0
+    for part in (rows[40:], rows[:40].sample(frac=1, random_state=3)):
+        assert not sum(len(x) for x in key.handleInputRows((1,), iter([part]), at(0)))
+    assert Kept.values <= 4 and Kept.calls <= 9
+    out = pd.concat(list(key.handleExpiredTimer((1,), at(first + 150 * 50), None)))
+    assert out["event_id"].tolist() == list(range(50)) and set(out["n"]) == {0}
+    out = pd.concat(list(key.handleExpiredTimer((1,), at(first + 150 * 90), None)))
+    assert out["event_id"].tolist() == list(range(50, 60)) and set(out["n"]) == {sum(range(50))}
+    list(key.handleExpiredTimer((1,), at(first + 10**9), None))
+    assert not key.machine_state.held and not key.clock.held

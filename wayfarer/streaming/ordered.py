@@ -9,8 +9,10 @@ has no row for longer than its lifetime is forgotten: its next row meets the mac
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,78 +37,84 @@ def _millis(times: pd.Series) -> pd.Series:
     return pd.to_datetime(times).astype("datetime64[us]").astype("int64") // 1000
 
 
-def _plain(v):
-    """A value as the state store takes it."""
-    if isinstance(v, pd.Timestamp):
-        return v.to_pydatetime()
-    return v.tolist() if hasattr(v, "tolist") else None if v is pd.NaT else v
+def _packed(pdf: pd.DataFrame) -> bytes:
+    """Rows as one value of the state: their columns, pickled."""
+    return pickle.dumps([pdf[c].to_numpy() for c in pdf.columns], pickle.HIGHEST_PROTOCOL)
+
+
+def _unpacked(packs: list[bytes], names: list[str]) -> pd.DataFrame:
+    columns = zip(*map(pickle.loads, packs))
+    return pd.DataFrame({c: np.concatenate(parts) if len(parts) > 1 else parts[0] for c, parts in zip(names, columns)})
 
 
 class InOrder(StatefulProcessor):
-    """Holds a key's rows until the watermark is past them; then runs the machine over them in time order."""
+    """Holds a key's rows until the watermark is past them; then runs the machine over them in time order.
+
+    A trigger's rows of a key are one value of the state, and each call reads and writes a key's clock once.
+    """
 
-    def __init__(self, machine: Machine, start: tuple, state: StructType, rows: StructType, out: list[str], order: list[str], lifetime_ms: int):
-        self.machine, self.start, self.state_type, self.row_type = machine, start, state, rows
+    def __init__(self, machine: Machine, start: tuple, state: StructType, rows: list[str], out: list[str], order: list[str], lifetime_ms: int):
+        self.machine, self.start, self.state_type, self.rows = machine, start, state, rows
         self.out, self.order, self.lifetime_ms = out, order, lifetime_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.machine_state = handle.getValueState("machine", self.state_type)
-        self.waiting = handle.getListState("waiting", self.row_type)
-        self.clock = handle.getValueState("clock", "timer long, last long")
-
-    def _wait_until(self, timer: int, last: int) -> None:
-        """One timer a key: at the first waiting row's time, or at the end of the lifetime."""
-        if self.clock.exists():
-            old = self.clock.get()[0]
-            if old != timer:
-                self.handle.deleteTimer(old)
-        self.handle.registerTimer(timer)
-        self.clock.update((timer, last))
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.clock = handle.getValueState("clock", "timer long, last long, waits boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        timer, last = self.clock.get() if self.clock.exists() else (NEVER, NEVER)
-        if not self.waiting.exists():
-            timer = NEVER
+        old, last, waits = self.clock.get() or (NEVER, NEVER, False)
+        packs, timer = [], old if waits else NEVER
         for pdf in rows:
-            at = _millis(pdf[self.order[0]])
-            pdf, at = pdf[at >= mark], at[at >= mark]
-            if not len(pdf):
-                continue
-            values = pdf[self.row_type.names].itertuples(index=False, name=None)
-            self.waiting.appendList([tuple(map(_plain, r)) for r in values])
-            timer = min(timer, int(at.min()))
-        if timer != NEVER:
-            self._wait_until(timer, last)
-        yield pd.DataFrame(columns=self.out)
+            at = _millis(pdf[self.order[0]]).to_numpy()
+            if at.min() < mark:
+                pdf, at = pdf[at >= mark], at[at >= mark]
+            if len(at):
+                packs.append((_packed(pdf[self.rows]),))
+                timer = min(timer, int(at.min()))
+        if packs:
+            self.waiting.appendList(packs)
+            if timer != old:
+                if old != NEVER:
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(timer)
+            if timer != old or not waits:
+                self.clock.update((timer, last, True))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.row_type.names)
-        last = self.clock.get()[1]
-        self.clock.clear()
-        if not len(held):  # the lifetime is over
+        _, last, waits = self.clock.get()
+        if not waits:  # the lifetime is over
+            self.clock.clear()
             self.machine_state.clear()
-            yield pd.DataFrame(columns=self.out)
             return
+        held = _unpacked([r for (r,) in self.waiting.get()], self.rows)
         at = _millis(held[self.order[0]])
-        ready, rest = held[at < mark].sort_values(self.order, kind="stable"), held[at >= mark]
+        whole = at.max() < mark
+        ready = (held if whole else held[at < mark]).sort_values(self.order, kind="stable")
         if len(ready):
-            times = _millis(ready[self.order[0]])
-            gap = times.diff().fillna(0 if last == NEVER else times - last)
-            for stretch, part in ready.groupby((gap > self.lifetime_ms).cumsum()):
-                fresh = stretch > 0 or not self.machine_state.exists()
-                state, out = self.machine(self.start if fresh else tuple(self.machine_state.get()), part)
-                self.machine_state.update(state)
-                yield pd.DataFrame(out, columns=self.out)
-            last = int(times.iloc[-1])
-        if len(rest):
-            self.waiting.put([tuple(map(_plain, r)) for r in rest.itertuples(index=False, name=None)])
-            self._wait_until(int(at[at >= mark].min()), last)
+            times = _millis(ready[self.order[0]]).to_numpy()
+            gaps = np.diff(times, prepend=times[0] if last == NEVER else last) > self.lifetime_ms
+            ends = [0, *(np.flatnonzero(gaps[1:]) + 1), len(ready)]
+            state = None if gaps[0] else self.machine_state.get()
+            for i, j in zip(ends, ends[1:]):
+                state, out = self.machine(self.start if i or state is None else tuple(state), ready.iloc[i:j])
+                if out:
+                    yield pd.DataFrame(out, columns=self.out)
+            self.machine_state.update(state)
+            last = int(times[-1])
+        self.waiting.clear()
+        if whole:
+            timer = last + self.lifetime_ms
         else:
-            self.waiting.clear()
-            self._wait_until(last + self.lifetime_ms, last)
+            rest = at >= mark
+            self.waiting.appendValue((_packed(held[rest]),))
+            timer = int(at[rest].min())
+        self.handle.registerTimer(timer)
+        self.clock.update((timer, last, not whole))
 
     def close(self) -> None:
         pass
@@ -118,7 +126,6 @@ def ordered_stream(
     """The machine's output for a stream with a watermark on ``ts``, in the order (ts, ids) that a batch has."""
     use_rocksdb(rows.sparkSession)
     ids = [c for c in rows.columns if c.endswith("_id") and c != key]
-    plain = StructType.fromDDL(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
     out = StructType.fromDDL(out_schema)
-    machine_of = InOrder(machine, start, StructType.fromDDL(state_schema), plain, out.names, [ts, *ids], lifetime_ms)
+    machine_of = InOrder(machine, start, StructType.fromDDL(state_schema), rows.columns, out.names, [ts, *ids], lifetime_ms)
     return rows.groupBy(key).transformWithStateInPandas(machine_of, out, "Append", "EventTime")
