@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wayfarer.operators import floor_paths as fp
 from wayfarer.operators import places as pl
 from wayfarer.plans import live_queries as lq
 from wayfarer.plans.fixtures import Fixtures
@@ -149,3 +150,14 @@ def test_waiting_rows_are_one_value_a_trigger(spark):
     assert out["event_id"].tolist() == list(range(50, 60)) and set(out["n"]) == {sum(range(50))}
     list(key.handleExpiredTimer((1,), at(first + 10**9), None))
     assert not key.machine_state.held and not key.clock.held
+
+
+def test_short_lines_are_looked_at_without_arrays(monkeypatch):
+    r = random.Random(6)
+    cells = pd.DataFrame([(x, y, int(r.random() < 0.8)) for x in range(40) for y in range(30)], columns=["x", "y", "passable"])
+    raster, pairs = fp.Raster(cells), [(r.randrange(1200), r.randrange(1200)) for _ in range(3000)]
+    monkeypatch.setattr(fp, "NEAR", 3)  # the rest of a line as arrays
+    want = [raster.sees(*p) for p in pairs]
+    monkeypatch.setattr(fp, "NEAR", 48)
+    monkeypatch.setattr(fp.np, "arange", None)
+    assert [raster.sees(*p) for p in pairs] == want and 50 < sum(want) < 2950
