@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wayfarer.operators import floor_paths as fp
+from wayfarer.operators import graph as gr
 from wayfarer.operators import places as pl
 from wayfarer.plans import live_queries as lq
 from wayfarer.plans.fixtures import Fixtures
@@ -161,3 +162,10 @@ def test_short_lines_are_looked_at_without_arrays(monkeypatch):
     monkeypatch.setattr(fp, "NEAR", 48)
     monkeypatch.setattr(fp.np, "arange", None)
     assert [raster.sees(*p) for p in pairs] == want and 50 < sum(want) < 2950
+
+
+def test_known_nodes_are_not_broadcast(spark, monkeypatch):
+    t, seen = Fixtures(spark, "/root/testdata/sf0.001"), []
+    monkeypatch.setattr(gr, "min_labels", lambda nodes, edges: seen.append(plan(edges)) or nodes.withColumn("component", F.col("node")))
+    gr.connected_components(t("f_nodes"), t("f_edges"))
+    assert "BroadcastHashJoin" not in seen[0] and "BroadcastExchange" not in seen[0]

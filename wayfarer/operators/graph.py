@@ -42,7 +42,7 @@ def graph_meta_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, component) over same-floor edges between known nodes."""
-    known = nodes.select(F.col("node_id").alias("node"))
+    known = nodes.select(F.col("node_id").alias("node")).hint("merge")  # ids of small files are many rows
     flat = edges.filter("not inter_floor").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     flat = flat.join(known, F.col("a") == F.col("node"), "left_semi").join(known, F.col("b") == F.col("node"), "left_semi")
     return min_labels(known, flat).select(F.col("node").alias("node_id"), "component")
