@@ -16,6 +16,7 @@ from wayfarer.operators import floor_paths as fp
 from wayfarer.operators import graph as gr
 from wayfarer.operators import places as pl
 from wayfarer.plans import live_queries as lq
+from wayfarer.plans import spatial_queries as sq
 from wayfarer.plans.fixtures import Fixtures
 from wayfarer.streaming import live, ordered
 
@@ -169,3 +170,11 @@ def test_known_nodes_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(gr, "min_labels", lambda nodes, edges: seen.append(plan(edges)) or nodes.withColumn("component", F.col("node")))
     gr.connected_components(t("f_nodes"), t("f_edges"))
     assert "BroadcastHashJoin" not in seen[0] and "BroadcastExchange" not in seen[0]
+
+
+def test_penalties_are_not_broadcast(spark, monkeypatch):
+    t, seen = Fixtures(spark, "/root/testdata/sf0.001"), []
+    assert "Broadcast" not in plan(sq.stairs(t)).replace("BroadcastNestedLoopJoin", "")
+    monkeypatch.setattr(gr, "least_ways", lambda pairs, arcs: seen.append(arcs) or pairs.select("pair_id"))
+    gr.shortest_paths_avoiding(t.sql(sq.PAIRS), t("f_edges"), t("f_nodes").select("node_id"))
+    assert "BroadcastHashJoin" not in plan(seen[0])

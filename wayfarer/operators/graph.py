@@ -177,7 +177,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def shortest_paths_avoiding(pairs: DataFrame, edges: DataFrame, avoid: DataFrame, penalty: float = 9999.0) -> DataFrame:
     """Shortest paths with a penalty on entering the nodes of ``avoid``."""
-    marked = avoid.select(F.col("node_id").alias("b"), F.lit(penalty).alias("extra"))
+    marked = avoid.select(F.col("node_id").alias("b"), F.lit(penalty).alias("extra")).hint("merge")  # grows with the nodes
     arcs = directed(edges).join(marked, "b", "left").select("a", "b", (F.col("w") + F.coalesce("extra", F.lit(0.0))).alias("w"))
     return pairs.select("pair_id").join(least_ways(pairs, arcs), "pair_id", "left")
 

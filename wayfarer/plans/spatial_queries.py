@@ -229,8 +229,9 @@ query("gra4_shortest_paths", f"WITH RECURSIVE {least_costs('d', f'SELECT pair_id
     lambda t: with_path_cost(gr.shortest_paths(t.sql(PAIRS4), t("f_edges")), gr.directed(t("f_edges")))
 )
 STAIRS = f"SELECT a, b, w + CASE WHEN n.type='stairwell' THEN 9999.0 ELSE 0 END AS w FROM ({UNDIRECTED}) u JOIN f_nodes n ON n.node_id=u.b"
+stairs = lambda t: t.sql(STAIRS.replace("SELECT", "SELECT /*+ MERGE(n) */", 1))  # all nodes are too many to broadcast
 query("gra5_shortest_paths_penalty", f"WITH RECURSIVE {least_costs('d', STARTS, STAIRS)} {COSTS.format(p=PAIRS)}")(
-    lambda t: with_path_cost(gr.shortest_paths_avoiding(t.sql(PAIRS), t("f_edges"), t("f_nodes").filter("type = 'stairwell'").select("node_id")), t.sql(STAIRS))
+    lambda t: with_path_cost(gr.shortest_paths_avoiding(t.sql(PAIRS), t("f_edges"), t("f_nodes").filter("type = 'stairwell'").select("node_id")), stairs(t))
 )
 SHAFT = "SELECT node_id AS id, floor_id, floor_no, type, x, y FROM f_nodes WHERE type IN ('elevator','stairwell')"
 query("gra11_link_shafts", f"""WITH RECURSIVE {greedy('g', SHAFT, 'type', 'id', 0.2, 'floor_id')}, l AS (SELECT n.id AS src, lead(n.id) OVER (PARTITION BY seed_id ORDER BY floor_no, n.id) AS dst, seed_id AS group_id FROM g JOIN ({SHAFT}) n ON n.id=g.id)
