@@ -243,3 +243,17 @@ def test_line_query_on_the_given_table(spark):
     want = [(d, n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in brute_lines(rows)]
     got = sorted(((x.doc_id, x.n_lines, x.n_removed, x.kept_sha256) for x in op5_line_dedup(spark, sf).collect()), key=str)
     assert got == want
+
+
+def test_only_texts_that_share_a_bucket_are_dealt_and_once(documents_of, monkeypatch):
+    r = random.Random(12)
+    base = words(r, 300)
+    rows = [(i, words(r, 300)) for i in range(40)] + [(100 + i, f"{base} end{i}") for i in range(4)]
+    seen, verified = [], fingerprints._verified
+    monkeypatch.setattr(fingerprints, "_verified", lambda pairs, docs, *a: seen.append((docs, verified(pairs, docs, *a))) or seen[-1][1])
+    got = {(x.doc_id, x.near_id) for x in fingerprints.near_duplicates(documents_of(rows)).collect()}
+    assert {d for p in got for d in p} == {100, 101, 102, 103}
+    for docs, found in seen:
+        assert {x.doc_id for x in docs.collect()} == {100, 101, 102, 103}
+        exchanged = [n for n in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "text" in n and "Scan parquet" in n]
+        assert not exchanged  # the given table is not read again

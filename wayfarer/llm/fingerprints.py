@@ -28,6 +28,7 @@ gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -57,7 +58,7 @@ def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
     n = max(1, len(h) - width + 1)
     s = np.full(n, min(width, len(h)), np.uint64)
     for j in range(min(width, len(h))):
@@ -66,6 +67,7 @@ def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
     return np.unique(s * _MIX)
 
 
+@functools.lru_cache
 def permutations(perms: int = PERMS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and offsets of the universal hash family."""
     r = np.random.default_rng(seed)
@@ -79,10 +81,14 @@ def signature(sets: np.ndarray, perms: int = PERMS) -> np.ndarray | None:
     a, b = permutations(perms)
     x = (sets >> np.uint64(32)) ^ (sets & np.uint64(0xFFFFFFFF))
     out = np.full(perms, np.iinfo(np.uint64).max, np.uint64)
+    held = np.empty((perms, min(512, len(x))), np.uint64)
     for at in range(0, len(x), 512):  # a block fits the processor's cache
-        part = x[None, at : at + 512] * a[:, None] + b[:, None]
-        np.minimum(out, (part >> np.uint64(32)).min(axis=1), out=out)
-    return out.astype(np.uint32)
+        part = x[None, at : at + 512]
+        values = held[:, : part.shape[1]]
+        np.multiply(part, a[:, None], out=values)
+        np.add(values, b[:, None], out=values)
+        np.minimum(out, values.min(axis=1), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)  # the least value has the least upper half
 
 
 def as_text(sign: np.ndarray | None, perms: int = PERMS) -> str:
@@ -183,10 +189,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, width: int) -
     def jaccard(x, y):
         import pandas as pd
 
-        out = []
+        out, last, t = [], None, None
         for a, b in zip(x, y):
-            s, t = shingles(a, width), shingles(b, width)
-            both = len(np.intersect1d(s, t, assume_unique=True))
+            if last is None or b != last:  # rows come in order of near_id
+                last, t = b, shingles(b, width)
+            s = shingles(a, width)
+            whole = np.concatenate((s, t))
+            whole.sort(kind="stable")  # merges the two sorted sets
+            both = int(np.count_nonzero(whole[1:] == whole[:-1]))
             out.append(both / max(1, len(s) + len(t) - both))
         return pd.Series(out)
 
@@ -245,7 +255,10 @@ def near_duplicates(
 
     fits = F.least("n_shingles", "o_n_shingles") >= threshold * F.greatest("n_shingles", "o_n_shingles") - 1e-9
     both = (F.greatest("doc_id", "o_doc_id").alias("doc_id"), F.least("doc_id", "o_doc_id").alias("near_id"))
+    # only these texts meet, dealt and sorted once for all rounds
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = cut(texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id"))
     tested = links = None
     unsettled = rows
     for turn in range(ROUNDS + 1):
