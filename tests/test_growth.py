@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wayfarer.operators import audits as au
 from wayfarer.operators import floor_paths as fp
 from wayfarer.operators import graph as gr
 from wayfarer.operators import places as pl
@@ -178,3 +179,13 @@ def test_penalties_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(gr, "least_ways", lambda pairs, arcs: seen.append(arcs) or pairs.select("pair_id"))
     gr.shortest_paths_avoiding(t.sql(sq.PAIRS), t("f_edges"), t("f_nodes").select("node_id"))
     assert "BroadcastHashJoin" not in plan(seen[0])
+
+
+def test_a_task_compares_few_keys_of_an_audit(spark, monkeypatch):
+    monkeypatch.setattr(au, "TASK_ROWS", 50, raising=False)
+    votes = spark.range(600).select((F.col("id") % 590).alias("alert_id"), F.lit(1).alias("user_id"))
+    twice = au._repeated(votes, "votes", "unique", "alert_id", "user_id")
+    lost = au._orphans(votes, "votes", "alert", "alert_id", "alert_id", spark.range(3, 700).withColumnRenamed("id", "alert_id").hint("merge"), "alert_id")
+    assert (twice.rdd.getNumPartitions(), lost.rdd.getNumPartitions()) == (13, 14)
+    assert sorted(int(x[2].split(":")[0]) for x in twice.collect()) == list(range(10))
+    assert sorted(int(x[2]) for x in lost.collect()) == [0, 0, 1, 1, 2, 2]

@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfarer.operators.iterate import cut
+
+#: Rows of a table whose keys one task compares.
+TASK_ROWS = 250_000
 #: The allowed values and lengths of the stored columns.
 GROUP_TYPES = ("friends", "campus_org")
 ROLES = ("admin", "editor", "member")
@@ -24,14 +28,22 @@ def _broken(df: DataFrame, table: str, rule: str, key: str, bad) -> DataFrame:
     return df.filter(bad).select(F.lit(table).alias("table"), F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
 
 
+def _tasks(*tables: DataFrame) -> int:
+    """So many tasks that each compares about TASK_ROWS rows of the largest table."""
+    return 1 + max(t.count() for t in tables) // TASK_ROWS
+
+
 def _repeated(df: DataFrame, table: str, rule: str, *columns) -> DataFrame:
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in columns])
-    return df.groupBy(*columns).count().filter("count > 1").select(F.lit(table), F.lit(rule), key)
+    dealt = df.select(*columns).repartition(_tasks(df), *columns)
+    return dealt.groupBy(*columns).count().filter("count > 1").select(F.lit(table), F.lit(rule), key)
 
 
 def _orphans(df: DataFrame, table: str, rule: str, key: str, column: str, parents: DataFrame, parent: str) -> DataFrame:
-    ids = parents.select(F.col(parent).alias(column)).distinct()
-    return df.filter(F.col(column).isNotNull()).join(ids, column, "left_anti").select(F.lit(table), F.lit(rule), F.col(key).cast("string"))
+    tasks = _tasks(df, parents)
+    ids = parents.select(F.col(parent).alias(column)).repartition(tasks, column)
+    rows = df.filter(F.col(column).isNotNull()).select(*{key: 0, column: 0}).repartition(tasks, column)
+    return rows.join(ids, column, "left_anti").select(F.lit(table), F.lit(rule), F.col(key).cast("string"))
 
 
 def constraint_audit(
@@ -45,7 +57,12 @@ def constraint_audit(
     alerts: DataFrame | None = None,
     votes: DataFrame | None = None,
 ) -> DataFrame:
-    """(table, rule, key) of the rows that break a declared rule; rules of absent tables and columns are left out."""
+    """(table, rule, key) of the rows that break a declared rule; rules of absent tables and columns are left out.
+
+    Tables of which several rules need all rows are written once in the shared folder; keys meet in as many
+    tasks as the rows ask for.
+    """
+    members, friends, invites, requests = (None if df is None else cut(df) for df in (members, friends, invites, requests))
     pairs = friends.select(F.least("user_id", "friend_id").alias("a"), F.greatest("user_id", "friend_id").alias("b"))
     most = lambda df, table, key, limits: [
         _broken(df, table, f"{c}_length", key, F.length(c) > n) for c, n in limits.items() if c in df.columns
