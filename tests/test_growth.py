@@ -16,6 +16,7 @@ from wayfarer.operators import audits as au
 from wayfarer.operators import floor_paths as fp
 from wayfarer.operators import graph as gr
 from wayfarer.operators import places as pl
+from wayfarer.operators import raster as ra
 from wayfarer.plans import live_queries as lq
 from wayfarer.plans import spatial_queries as sq
 from wayfarer.plans.fixtures import Fixtures
@@ -183,9 +184,27 @@ def test_penalties_are_not_broadcast(spark, monkeypatch):
 
 def test_a_task_compares_few_keys_of_an_audit(spark, monkeypatch):
     monkeypatch.setattr(au, "TASK_ROWS", 50, raising=False)
-    votes = spark.range(600).select((F.col("id") % 590).alias("alert_id"), F.lit(1).alias("user_id"))
+    votes = spark.range(600).select((F.col("id") % 590).alias("alert_id"), (F.col("id") % 590 % 7).alias("user_id"))
     twice = au._repeated(votes, "votes", "unique", "alert_id", "user_id")
     lost = au._orphans(votes, "votes", "alert", "alert_id", "alert_id", spark.range(3, 700).withColumnRenamed("id", "alert_id").hint("merge"), "alert_id")
     assert (twice.rdd.getNumPartitions(), lost.rdd.getNumPartitions()) == (13, 14)
     assert sorted(int(x[2].split(":")[0]) for x in twice.collect()) == list(range(10))
     assert sorted(int(x[2]) for x in lost.collect()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_lines_of_one_file_are_walked_by_several_tasks_and_once(spark):
+    r = random.Random(8)
+    cells = spark.createDataFrame([(1, x, y, int(r.random() < 0.9)) for x in range(30) for y in range(30)], "floor_id long, x long, y long, passable int")
+    lines = [(i, 1, *(r.randrange(30) for _ in range(4))) for i in range(200)]
+    found = ra.lines_clear(spark.createDataFrame(lines, "line_id long, floor_id long, x0 long, y0 long, x1 long, y1 long").coalesce(1), cells)
+    steps = plan(found)
+    assert steps.count("explode(sequence") == 1  # the cells of a line are counted out once
+    assert "Exchange hashpartitioning(line_id" in steps[steps.index("explode(sequence") :].split("Generate")[0]
+    wall, want = {(c.x, c.y) for c in cells.collect() if not c.passable}, {}
+    for i, _, x0, y0, x1, y1 in lines:
+        n = max(abs(x1 - x0), abs(y1 - y0))
+        on = lambda a, b, k: a + ((b > a) - (b < a)) * ((abs(b - a) * 2 * k + n) // (2 * max(n, 1)))
+        way = [(on(x0, x1, k), on(y0, y1, k)) for k in range(n + 1)]
+        corner = any(p[0] != q[0] and p[1] != q[1] and (q[0], p[1]) in wall and (p[0], q[1]) in wall for p, q in zip(way, way[1:]))
+        want[i] = not corner and not wall & set(way)
+    assert {x.line_id: x.clear for x in found.collect()} == want and 20 < sum(want.values()) < 180

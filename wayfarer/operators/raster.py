@@ -233,25 +233,29 @@ def region_boundary_edges(regions: DataFrame, scale: float = 3.0, cells: DataFra
     return best.select("floor_id", "a", "b", "m.*", (F.col("m.steps") / scale).alias("weight"))
 
 
-def line_cells(x0, y0, x1, y1) -> Column:
-    """Array of (x, y, dx, dy): the cells of a straight line, with the step that led to each."""
-    dx, dy = F.abs(x1 - x0), F.abs(y1 - y0)
-    n = F.greatest(dx, dy)
-    at = lambda a, b, k: F.when(n == 0, a).otherwise(a + F.signum(b - a) * F.floor((F.abs(b - a) * 2 * k + n) / (2 * F.greatest(n, F.lit(1))))).cast("long")
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long")), lambda k: F.struct(at(x0, x1, k).alias("x"), at(y0, y1, k).alias("y"), at(x0, x1, k - 1).alias("bx"), at(y0, y1, k - 1).alias("by"), k.alias("k")))
-    return cells
+def _on_line(a, b, k, n) -> Column:
+    """The coordinate, between ``a`` and ``b``, of a straight line's cell ``k`` of ``n``."""
+    step = F.signum(b - a) * F.floor((F.abs(b - a) * 2 * k + n) / (2 * F.greatest(n, F.lit(1))))
+    return F.when(n == 0, a).otherwise(a + step).cast("long")
 
 
 def lines_clear(lines: DataFrame, cells: DataFrame, corners: bool = True) -> DataFrame:
-    """(line_id, clear): no wall on the line; with ``corners`` no diagonal step between two walls either."""
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    walk = lines.select("line_id", "floor_id", F.explode(line_cells(x0, y0, x1, y1)).alias("c")).select("line_id", "floor_id", "c.*")
-    spots = walk.select("line_id", "floor_id", "x", "y", F.lit(0).alias("kind"), "k")
-    diagonal = walk.filter((F.col("k") > 0) & (F.col("x") != F.col("bx")) & (F.col("y") != F.col("by")))
+    """(line_id, clear): no wall on the line; with ``corners`` no diagonal step between two walls either.
+
+    Lines are dealt among tasks before their cells are counted out, however few files they come from.
+    """
+    n, k = F.col("n"), F.col("k")
+    dealt = lines.select("line_id", "floor_id", "x0", "y0", "x1", "y1").repartition("line_id")
+    steps = dealt.withColumn("n", F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))).cast("long"))
+    steps = steps.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n)))
+    at = lambda c, i: _on_line(F.col(f"{c}0"), F.col(f"{c}1"), i, n)
+    walk = steps.select("line_id", "floor_id", "k", at("x", k).alias("x"), at("y", k).alias("y"), at("x", k - 1).alias("bx"), at("y", k - 1).alias("by"))
+    spot = lambda x, y, kind: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(kind).alias("kind"))
+    own = F.array(spot("x", "y", 0))
     if corners:
-        spots = spots.union(diagonal.select("line_id", "floor_id", F.col("x"), F.col("by"), F.lit(1), "k")).union(
-            diagonal.select("line_id", "floor_id", F.col("bx"), F.col("y"), F.lit(1), "k")
-        )
+        diagonal = (k > 0) & (F.col("x") != F.col("bx")) & (F.col("y") != F.col("by"))
+        own = F.when(diagonal, F.array(spot("x", "y", 0), spot("x", "by", 1), spot("bx", "y", 1))).otherwise(own)
+    spots = walk.select("line_id", "floor_id", "k", F.explode(own).alias("c")).select("line_id", "floor_id", "c.*", "k")
     walls = cells.filter("passable = 0").select("floor_id", "x", "y")
     hits = spots.join(walls, ["floor_id", "x", "y"], "left_semi").groupBy("line_id", "k", "kind").count()
     bad = hits.filter("kind = 0 or count = 2").select("line_id").distinct().withColumn("bad", F.lit(True))
