@@ -17,6 +17,7 @@ from wayfarer.operators import floor_paths as fp
 from wayfarer.operators import graph as gr
 from wayfarer.operators import places as pl
 from wayfarer.operators import raster as ra
+from wayfarer.operators import social as so
 from wayfarer.plans import live_queries as lq
 from wayfarer.plans import spatial_queries as sq
 from wayfarer.plans.fixtures import Fixtures
@@ -208,3 +209,16 @@ def test_lines_of_one_file_are_walked_by_several_tasks_and_once(spark):
         corner = any(p[0] != q[0] and p[1] != q[1] and (q[0], p[1]) in wall and (p[0], q[1]) in wall for p, q in zip(way, way[1:]))
         want[i] = not corner and not wall & set(way)
     assert {x.line_id: x.clear for x in found.collect()} == want and 20 < sum(want.values()) < 180
+
+
+def test_a_task_compares_few_pairs_of_people(spark, monkeypatch):
+    monkeypatch.setattr(so, "TASK_PAIRS", 100, raising=False)
+    members = spark.createDataFrame([(g, u) for g in range(3) for u in range(10 * g, 10 * g + 20)], "group_id long, user_id long")
+    friends = spark.createDataFrame([(1, 50, "accepted"), (2, 51, "pending"), (3, 52, "declined")], "user_id long, friend_id long, status string")
+    shares = spark.createDataFrame([(4, 53)], "owner_id long, viewer_id long")
+    found = so.visible_profiles(spark.range(60).withColumnRenamed("id", "user_id"), members, friends, shares)
+    assert found.rdd.getNumPartitions() == 1 + (3 * 400 + 60 + 3 * 3 + 2) // 100
+    want = {(a, b) for g in range(3) for a in range(10 * g, 10 * g + 20) for b in range(10 * g, 10 * g + 20)} | {(u, u) for u in range(60)}
+    want |= {(1, 50), (50, 1), (51, 2), (4, 53), (53, 4)}
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.functions.scalars import _c
+from wayfarer.operators.iterate import cut
 
+#: Pairs of people among which one task looks for equal ones.
+TASK_PAIRS = 1_000_000
 ROLE_ORDER = ("admin", "editor", "member")
 
 
@@ -144,22 +149,26 @@ def friends_on_campus(friends: DataFrame, shares: DataFrame, profiles: DataFrame
 
 
 def visible_profiles(profiles: DataFrame, members: DataFrame, friends: DataFrame, shares: DataFrame) -> DataFrame:
-    """(viewer_id, profile_id): self, shared group, friends, requester to recipient, location-share counterparts."""
+    """(viewer_id, profile_id): self, shared group, friends, requester to recipient, location-share counterparts.
+
+    Pairs are dealt among as many tasks as their number asks for before equal ones meet.
+    """
     pair = lambda df, a, b: df.select(F.col(a).alias("viewer_id"), F.col(b).alias("profile_id"))
-    seats = members.select("group_id", "user_id")
-    together = pair(seats.join(seats.withColumnRenamed("user_id", "other_id"), "group_id"), "user_id", "other_id").distinct()
+    seats = cut(members.select("group_id", "user_id"))
+    friends, shares = cut(friends.select("user_id", "friend_id", "status")), cut(shares.select("owner_id", "viewer_id"))
     pending = friends.filter("status = 'pending'")
     parts = [
+        pair(seats.join(seats.withColumnRenamed("user_id", "other_id"), "group_id"), "user_id", "other_id"),
         pair(profiles.select("user_id", F.col("user_id").alias("me")), "user_id", "me"),
         pair(both_directions(friends), "viewer_id", "friend_id"),
         pair(pending, "friend_id", "user_id"),
         pair(shares, "owner_id", "viewer_id"),
         pair(shares, "viewer_id", "owner_id"),
     ]
-    out = together
-    for p in parts:
-        out = out.union(p)
-    return out.distinct()
+    sizes = seats.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    together = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()[0]
+    most = together + profiles.count() + 3 * friends.count() + 2 * shares.count()
+    return reduce(DataFrame.union, parts).repartition(1 + most // TASK_PAIRS, "viewer_id", "profile_id").distinct()
 
 
 def visible_groups(groups: DataFrame, members: DataFrame, invites: DataFrame) -> DataFrame:
