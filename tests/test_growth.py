@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from wayfarer.operators import audits as au
 from wayfarer.operators import floor_paths as fp
 from wayfarer.operators import graph as gr
+from wayfarer.operators import iterate
 from wayfarer.operators import places as pl
 from wayfarer.operators import raster as ra
 from wayfarer.operators import social as so
@@ -222,3 +223,16 @@ def test_a_task_compares_few_pairs_of_people(spark, monkeypatch):
     want |= {(1, 50), (50, 1), (51, 2), (4, 53), (53, 4)}
     got = [tuple(x) for x in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_paths_and_components_are_not_broadcast(spark, monkeypatch):
+    t, seen = Fixtures(spark, "/root/testdata/sf0.001"), []
+    pairs = spark.range(50).select(F.col("id").alias("pair_id"), F.col("id").alias("start_id"), (F.col("id") + 7).alias("goal_id"))
+    kept = gr.cut
+    monkeypatch.setattr(iterate, "MOST_BROADCAST_MB", 0)  # written tables count as large
+    monkeypatch.setattr(gr, "cut", lambda df: seen.append(plan(df)) or kept(df))
+    found = gr.shortest_paths(pairs, t("f_edges"))
+    monkeypatch.setattr(sq, "cut", lambda df: seen.append(plan(df)) or kept(df))
+    costs = sq.with_path_cost(found, gr.directed(t("f_edges")))
+    assert len(seen) >= 4 and not [p for p in [*seen, plan(costs)] if "BroadcastHashJoin" in p]
+    assert all(x.cost == x.path_cost for x in costs.collect())

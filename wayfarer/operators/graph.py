@@ -141,17 +141,18 @@ def least_ways(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
 
     Pairs of different components leave first. The arcs of a component of at most ``MOST_ARCS``
     meet its pairs in groups of ``SHARE``; pairs of larger ones go by rounds of all pairs together.
+    Joins of tables that grow with nodes or pairs are sorted, so that none is sent to the driver.
     """
     arcs = cut(arcs)
     labels = cut(min_labels(arcs.select(F.col("a").alias("node")).distinct(), arcs.select("a", "b")))
-    sizes = arcs.join(labels, F.col("a") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("arcs"))
-    at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    sizes = arcs.join(labels, F.col("a") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("arcs")).hint("merge")
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")).hint("merge")
     asks = pairs.select("pair_id", "start_id", "goal_id").join(at("start_id"), "start_id").join(at("goal_id"), "goal_id")
     asks = cut(asks.filter("c_start_id = c_goal_id").withColumn("component", F.col("c_start_id")).join(sizes, "component"))
     pair, node = pairs.schema["pair_id"].dataType.simpleString(), pairs.schema["start_id"].dataType.simpleString()
 
     small = asks.filter(F.col("arcs") <= MOST_ARCS)
-    groups = small.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("groups"))
+    groups = small.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("groups")).hint("merge")
     rows = small.join(groups, "component").withColumn("group", F.pmod(F.xxhash64("start_id"), "groups").cast("int"))
     held = arcs.join(labels, F.col("a") == F.col("node")).join(groups, "component").withColumn(
         "group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
@@ -163,7 +164,7 @@ def least_ways(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
         .applyInPandas(each, f"pair_id {pair}, cost double, path array<{node}>")
     )
     same = pairs.filter("start_id = goal_id").select("pair_id", F.lit(0.0).alias("cost"), F.array("start_id").alias("path"))
-    found = found.join(same.select("pair_id"), "pair_id", "left_anti").unionByName(same)
+    found = found.join(same.select("pair_id").hint("merge"), "pair_id", "left_anti").unionByName(same)
     large = asks.filter(F.col("arcs") > MOST_ARCS)
     if not large.isEmpty():
         found = found.unionByName(walk_back(large, relax(large, arcs)))
@@ -172,14 +173,14 @@ def least_ways(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(pair_id, cost, path) of least weight over undirected edges; nulls where there is no way."""
-    return pairs.select("pair_id").join(least_ways(pairs, directed(edges)), "pair_id", "left")
+    return pairs.select("pair_id").join(least_ways(pairs, directed(edges)).hint("merge"), "pair_id", "left")
 
 
 def shortest_paths_avoiding(pairs: DataFrame, edges: DataFrame, avoid: DataFrame, penalty: float = 9999.0) -> DataFrame:
     """Shortest paths with a penalty on entering the nodes of ``avoid``."""
     marked = avoid.select(F.col("node_id").alias("b"), F.lit(penalty).alias("extra")).hint("merge")  # grows with the nodes
     arcs = directed(edges).join(marked, "b", "left").select("a", "b", (F.col("w") + F.coalesce("extra", F.lit(0.0))).alias("w"))
-    return pairs.select("pair_id").join(least_ways(pairs, arcs), "pair_id", "left")
+    return pairs.select("pair_id").join(least_ways(pairs, arcs).hint("merge"), "pair_id", "left")
 
 
 def link_shafts(nodes: DataFrame, edges: DataFrame, radius: float = 0.035, weight: float = 50.0) -> DataFrame:

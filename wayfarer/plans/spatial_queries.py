@@ -9,6 +9,7 @@ from wayfarer.operators import alerts as al
 from wayfarer.operators import graph as gr
 from wayfarer.operators import routes as ro
 from wayfarer.operators import spatial as sp
+from wayfarer.operators.iterate import cut
 from wayfarer.plans.registry import now, query, r6
 from wayfarer.plans.social_queries import TRUST, VOTED, voted
 from wayfarer.plans.sql_parts import greedy, least_costs
@@ -218,9 +219,10 @@ STARTS = f"SELECT pair_id, start_id AS spot FROM ({PAIRS}) p"
 
 def with_path_cost(found, arcs):
     """The cost beside the sum of the weights along the path, so that the path itself is compared."""
+    found = cut(found)  # the search runs once
     hop = found.select("pair_id", F.posexplode("path").alias("i", "b")).withColumn("a", F.lag("b").over(Window.partitionBy("pair_id").orderBy("i")))
-    along = hop.join(arcs, ["a", "b"], "left").groupBy("pair_id").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("path_cost"))
-    return r6(found.select("pair_id", "cost").join(along, "pair_id", "left"), "cost", "path_cost")
+    along = hop.join(arcs.hint("merge"), ["a", "b"], "left").groupBy("pair_id").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("path_cost"))
+    return r6(found.select("pair_id", "cost").join(along.hint("merge"), "pair_id", "left"), "cost", "path_cost")
 
 
 #: The ids divisible by 50, and the starts that this query had before.
