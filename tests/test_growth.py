@@ -236,3 +236,56 @@ def test_paths_and_components_are_not_broadcast(spark, monkeypatch):
     costs = sq.with_path_cost(found, gr.directed(t("f_edges")))
     assert len(seen) >= 3 and not [p for p in [*seen, plan(costs)] if "BroadcastHashJoin" in p]
     assert all(x.cost == x.path_cost for x in costs.collect())
+
+
+def test_cells_are_made_by_many_tasks(spark):
+    cells = Fixtures(spark, "/root/testdata/sf0.01")("f_cells")
+    assert cells.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def corridor(cells: dict, nodes: list, k: int) -> set:
+    """The corridor of one floor {(x, y): passable}, cell by cell."""
+    r = k // 2
+
+    def box(now, op):
+        for i, j in ((1, 0), (0, 1)):
+            now = {(x, y): op(now[x + i * d, y + j * d] for d in range(-r, r + 1) if (x + i * d, y + j * d) in now) for x, y in now}
+        return now
+
+    def parts(now):
+        left, out = {c for c, v in now.items() if v == 1}, []
+        while left:
+            part, todo = set(), [left.pop()]
+            while todo:
+                x, y = todo.pop()
+                part.add((x, y))
+                near = {(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            out.append(part)
+        return out
+
+    first = lambda part: min((y, x) for x, y in part)
+    best = max(parts(box(box(cells, min), max)), key=lambda p: (sum(n in p for n in nodes), len(p), [-v for v in first(p)]), default=set())
+    grown = box({c: int(c not in best) for c in cells}, min)
+    back = parts({c: int(v == 1 and grown[c] == 0) for c, v in cells.items()})
+    return max(back, key=lambda p: (len(p), [-v for v in first(p)]), default=set())
+
+
+def test_the_corridor_handles_words_instead_of_cells(spark, monkeypatch):
+    r = random.Random(11)
+    # longer than a word with holes and cells left of zero; rooms whose doors are sealed; no nodes
+    floors = {
+        "a": {(x, y): int(r.random() < 0.9) for x in range(-70, 90) for y in range(24) if r.random() < 0.95},
+        "b": {(x, y): int(x % 9 != 0 and y % 9 != 0 or (x % 9 == 0 and y % 9 == 4 and r.random() < 0.5)) for x in range(140) for y in range(30)},
+        "c": {(x, y): int(r.random() < 0.8) for x in range(130) for y in range(9)},
+    }
+    nodes = {f: r.sample(sorted(cells), 40) if f != "c" else [] for f, cells in floors.items()}
+    table = spark.createDataFrame([(f, x, y, p) for f, cells in floors.items() for (x, y), p in cells.items()], "floor_id string, x int, y int, passable int")
+    spots = spark.createDataFrame([(f, x, y) for f, held in nodes.items() for x, y in held], "floor_id string, x int, y int")
+    written = []
+    monkeypatch.setattr(ra, "cut", lambda df: written.append(iterate.cut(df)) or written[-1])
+    got = {tuple(x) for x in ra.corridor_network(table, spots, 3).collect()}
+    assert got == {(f, x, y) for f, cells in floors.items() for x, y in corridor(cells, nodes[f], 3)}
+    assert {f for f, *_ in got} == set(floors)
+    assert max(t.count() for t in written) < sum(map(len, floors.values())) / 3  # cells themselves, before

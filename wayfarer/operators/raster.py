@@ -84,24 +84,108 @@ def distance_to_wall(cells: DataFrame) -> DataFrame:
     )
 
 
+#: Cells of a row that one number holds, a bit each.
+BITS = 64
+
+
+def _shift(name: str, value, by) -> Column:
+    return F.call_function(name, value, F.lit(by).cast("int"))
+
+
+def cell_words(cells: DataFrame) -> DataFrame:
+    """(floor_id, y, block, own, free, wall): 64 neighbouring cells of a row as the bits of three numbers.
+
+    ``own`` marks cells with a row, ``free`` those with passable 1, ``wall`` those with 0. Cells combine
+    before they are shuffled, and what follows handles a row for 64 of them.
+    """
+    bit = _shift("shiftleft", F.lit(1).cast("long"), F.col("x").cast("long").bitwiseAND(BITS - 1))
+    held = lambda v: F.bit_or(F.when(F.col("passable") == v, bit).otherwise(0))
+    block = F.shiftright(F.col("x").cast("long"), 6).alias("block")
+    return cells.groupBy("floor_id", "y", block).agg(F.bit_or(bit).alias("own"), held(1).alias("free"), held(0).alias("wall"))
+
+
+def _beside(words: DataFrame, names, along: str, r: int) -> DataFrame:
+    """The named words with the cells within ``r`` of theirs along x or y, as far as these have rows."""
+    own = F.col("own")
+    if along == "y":
+        near = Window.partitionBy("floor_id", "block").orderBy("y").rangeBetween(-r, r)
+        return words.withColumns({n: F.bit_or(n).over(near).bitwiseAND(own) for n in names})
+    row, far = Window.partitionBy("floor_id", "y").orderBy("block"), r // BITS + 1
+    other = lambda n, q: F.coalesce(F.bit_or(n).over(row.rangeBetween(q, q)), F.lit(0).cast("long")) if q else F.col(n)
+    wide = words.withColumns({f"{n}_{q + far}": other(n, q) for n in names for q in range(-far, far + 1)})
+
+    def spread(n):
+        at = lambda q: F.col(f"{n}_{q + far}")
+        out = at(0)
+        for q, t in (divmod(s, BITS) for s in range(1, r + 1)):
+            out = out.bitwiseOR(F.shiftleft(at(-q), t)).bitwiseOR(F.shiftrightunsigned(at(q), t))
+            if t:
+                out = out.bitwiseOR(F.shiftrightunsigned(at(-q - 1), BITS - t)).bitwiseOR(F.shiftleft(at(q + 1), BITS - t))
+        return out.bitwiseAND(own)
+
+    return wide.withColumns({n: spread(n) for n in names}).select(words.columns)
+
+
+def word_morphology(words: DataFrame, k: int, op: str, iterations: int = 1) -> DataFrame:
+    """``box_morphology`` of the cells behind words."""
+    if op in ("open", "close"):
+        one, two = ("erode", "dilate") if op == "open" else ("dilate", "erode")
+        return word_morphology(word_morphology(words, k, one, iterations), k, two, iterations)
+    first, then = ("wall", "free") if op == "dilate" else ("free", "wall")
+    for along in ("x", "y") * iterations if k // 2 else ():
+        words = _beside(words, (first, then), along, k // 2)
+        words = words.withColumn(then, F.col(then).bitwiseAND(F.bitwise_not(F.col(first))))
+    return words
+
+
+def _runs(words: DataFrame, name: str) -> DataFrame:
+    """(floor_id, y, block, x0, x1): runs of cells in the words of one name; a run ends with its word."""
+    edge = lambda before: F.col(name).bitwiseAND(F.bitwise_not(before))
+    bits = lambda c: F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.getbit(c, i) == 1)
+    sides = words.filter(F.col(name) != 0).select(
+        "floor_id", "y", "block", edge(F.shiftleft(name, 1)).alias("l"), edge(F.shiftrightunsigned(name, 1)).alias("r")
+    )
+    x = lambda i: F.col("block") * BITS + i
+    both = F.zip_with(bits(F.col("l")), bits(F.col("r")), lambda a, b: F.struct(x(a).alias("x0"), x(b).alias("x1")))
+    return sides.select("floor_id", "y", "block", F.inline(both))
+
+
+def _run_words(runs: DataFrame, name: str) -> DataFrame:
+    """(floor_id, y, block, the named word) of runs."""
+    bits = _shift("shiftrightunsigned", F.lit(-1).cast("long"), BITS - 1 - (F.col("x1") - F.col("x0")))
+    word = _shift("shiftleft", bits, F.col("x0").bitwiseAND(BITS - 1))
+    return runs.groupBy("floor_id", "y", "block").agg(F.bit_or(word).alias(name))
+
+
+def _labelled_runs(words: DataFrame, name: str, connectivity: int = 8) -> DataFrame:
+    """Runs with ``place``, the first cell's ``y * 2**20 + x``, and ``part``, a number that the runs of a component share."""
+    runs = _runs(words, name).withColumn("place", F.col("y").cast("long") * 2**20 + F.col("x0"))
+    runs = cut(runs.withColumn("run", F.monotonically_increasing_id()))
+    slack = 1 if connectivity == 8 else 0
+    block = lambda c: F.shiftright(c, 6)
+    spot = lambda y, b, reach: F.struct(y.alias("y"), b.alias("block"), F.lit(reach).alias("reach"))
+    under = F.transform(F.sequence(block(F.col("x0") - slack), block(F.col("x1") + slack)), lambda b: spot(F.col("y") - 1, b, slack))
+    left = F.filter(F.array(spot(F.col("y") + 0, F.col("block") - 1, 1)), lambda _: F.col("x0").bitwiseAND(BITS - 1) == 0)
+    ends = runs.select("floor_id", F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("b"), F.inline(F.concat(under, left)))
+    touch = runs.join(ends, ["floor_id", "y", "block"]).filter((F.col("b0") <= F.col("x1") + F.col("reach")) & (F.col("b1") >= F.col("x0") - F.col("reach")))
+    labels = min_labels(runs.select(F.col("run").alias("node")), touch.select(F.col("run").alias("a"), "b"))
+    return runs.join(labels, F.col("run") == F.col("node")).select("floor_id", "y", "block", "x0", "x1", "place", F.col("component").alias("part"))
+
+
+def _run_cells(runs: DataFrame, cells: DataFrame, *more: str) -> DataFrame:
+    """The cells of runs, x as in ``cells``."""
+    x = F.col("x").cast(cells.schema["x"].dataType).alias("x")
+    return runs.select("floor_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), *more).select("floor_id", x, "y", *more)
+
+
 def cell_components(cells: DataFrame, value: int = 1, connectivity: int = 8) -> DataFrame:
     """(floor_id, x, y, component) of cells of one value: runs of rows, joined where they touch, then labelled.
 
     A component is named by its smallest ``y * 2**20 + x`` within the floor.
     """
-    w = Window.partitionBy("floor_id", "y").orderBy("x")
-    own = cells.filter(F.col("passable") == value).withColumn("isle", F.col("x") - F.row_number().over(w))
-    key = F.concat_ws(":", "floor_id", F.lpad((F.col("y") * 2**20 + F.col("x0")).cast("string"), 15, "0"))
-    runs = own.groupBy("floor_id", "y", "isle").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("run", key)
-    runs = cut(runs)
-    slack = 1 if connectivity == 8 else 0
-    below = runs.select("floor_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("b"))
-    touch = runs.join(below, ["floor_id", "y"]).filter((F.col("b0") <= F.col("x1") + slack) & (F.col("b1") >= F.col("x0") - slack))
-    labels = min_labels(runs.select(F.col("run").alias("node")), touch.select(F.col("run").alias("a"), "b"))
-    named = runs.join(labels, F.col("run") == F.col("node")).select(
-        "floor_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.split_part("component", F.lit(":"), F.lit(2)).cast("long").alias("component")
-    )
-    return named.select("floor_id", "x", "y", "component")
+    runs = cut(_labelled_runs(cell_words(cells.filter(F.col("passable") == value)), "own", connectivity))
+    named = runs.groupBy("part").agg(F.min("place").alias("component"))
+    return _run_cells(runs.join(named, "part"), cells, "component")
 
 
 def component_stats(labelled: DataFrame) -> DataFrame:
@@ -139,15 +223,39 @@ def with_cells_passable(cells: DataFrame, marked: DataFrame, keep: bool = True)
     return cells.join(m, ["floor_id", "x", "y"], "left").withColumn("passable", F.when(hit, F.col("passable")).otherwise(0)).drop("m")
 
 
+def _node_votes(runs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(floor_id, part): what ``corridor_component_vote`` chooses among labelled runs."""
+    whole = F.col("x").cast("long")
+    at = nodes.filter(F.col("x") == whole).groupBy("floor_id", "y", whole.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    at = at.withColumn("block", F.shiftright("x", 6))
+    held = runs.join(at, ["floor_id", "y", "block"]).filter(F.col("x").between(F.col("x0"), F.col("x1")))
+    votes = held.groupBy("part").agg(F.sum("n").alias("votes"), F.sum(F.col("n") - 1).alias("again"))
+    tally = _sizes(runs).join(votes, "part", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    order = Window.partitionBy("floor_id").orderBy(F.desc(zero("votes")), F.desc(F.col("area") + zero("again")), "place")
+    return tally.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("floor_id", "part")
+
+
+def _sizes(runs: DataFrame) -> DataFrame:
+    """(floor_id, part, area, place) of labelled runs."""
+    return runs.groupBy("floor_id", "part").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min("place").alias("place"))
+
+
 def corridor_network(cells: DataFrame, nodes: DataFrame, k: int = 19) -> DataFrame:
-    """Cells of the corridor: doors sealed, the component of most nodes, grown back and kept where passable."""
-    sealed = cut(box_morphology(cells, k, "close"))
-    labelled = cut(cell_components(sealed, 1))
-    best = labelled.join(corridor_component_vote(labelled, nodes), ["floor_id", "component"], "left_semi")
-    marked = cells.join(best.select("floor_id", "x", "y", F.lit(0).alias("m")), ["floor_id", "x", "y"], "left")
-    grown = box_morphology(marked.select("floor_id", "x", "y", F.coalesce("m", F.lit(1)).alias("passable")), k, "dilate")
-    back = cut(with_cells_passable(cells, grown.filter("passable = 0")))
-    return main_component(cell_components(back, 1)).select("floor_id", "x", "y")
+    """Cells of the corridor: doors sealed, the component of most nodes, grown back and kept where passable.
+
+    Cells are read once, into words; only the corridor's own become rows again.
+    """
+    words = cut(cell_words(cells))
+    runs = cut(_labelled_runs(word_morphology(words, k, "close"), "free"))
+    best = runs.join(_node_votes(runs, nodes), ["floor_id", "part"], "left_semi")
+    marked = words.join(_run_words(best, "m"), ["floor_id", "y", "block"], "left").withColumn("m", F.coalesce("m", F.lit(0).cast("long")))
+    for along in "xy" if k // 2 else "":
+        marked = _beside(marked, ("m",), along, k // 2)
+    back = cut(_labelled_runs(marked.withColumn("free", F.col("free").bitwiseAND(F.col("m"))), "free"))
+    order = Window.partitionBy("floor_id").orderBy(F.desc("area"), "place")
+    most = _sizes(back).withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("floor_id", "part")
+    return _run_cells(back.join(most, ["floor_id", "part"], "left_semi"), cells)
 
 
 def exterior_cells(cells: DataFrame, seal: int = 25, seal_rounds: int = 4, grow: int = 15, grow_rounds: int = 2, least: float = 20.0) -> DataFrame:
