@@ -289,3 +289,28 @@ def test_the_corridor_handles_words_instead_of_cells(spark, monkeypatch):
     assert got == {(f, x, y) for f, cells in floors.items() for x, y in corridor(cells, nodes[f], 3)}
     assert {f for f, *_ in got} == set(floors)
     assert max(t.count() for t in written) < sum(map(len, floors.values())) / 3  # cells themselves, before
+
+
+def test_the_outside_handles_words_instead_of_cells(spark, monkeypatch):
+    r = random.Random(5)
+    cells = {(x, y): int(r.random() < 0.9) for x in range(140) for y in range(26)}
+
+    def box(now):
+        for i, j in ((1, 0), (0, 1)):
+            now = {(x, y): min(now.get((x + i * d, y + j * d), 1) for d in (-1, 0, 1)) for x, y in now}
+        return now
+
+    sealed, out = box(cells), set()
+    todo = [c for c, v in sealed.items() if v and (c[0] in (0, 139) or c[1] in (0, 25))]
+    while todo:
+        x, y = todo.pop()
+        out.add((x, y))
+        todo += [n for n in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)) if sealed.get(n) and n not in out]
+    grown = {c for c, v in box({c: int(c not in out) for c in cells}).items() if not v}
+    free = {(x, y) for x, y in grown if all(cells.get((x + i, y + j), 1) for i in (-1, 0, 1) for j in (-1, 0, 1))}  # farther than 1.5 cells from walls
+    table = spark.createDataFrame([("f", x, y, p) for (x, y), p in cells.items()], "floor_id string, x int, y int, passable int")
+    written = []
+    monkeypatch.setattr(ra, "cut", lambda df: written.append(iterate.cut(df)) or written[-1])
+    got = {(x, y) for _, x, y in ra.exterior_cells(table, 3, 1, 3, 1, 1.5).collect()}
+    assert got == out | free and out
+    assert max(t.count() for t in written) < len(cells) / 3  # cells themselves, before

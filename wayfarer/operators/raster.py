@@ -241,6 +241,14 @@ def _sizes(runs: DataFrame) -> DataFrame:
     return runs.groupBy("floor_id", "part").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min("place").alias("place"))
 
 
+def _marked(words: DataFrame, runs: DataFrame, k: int, iterations: int = 1) -> DataFrame:
+    """Words with ``m``, the cells of runs grown by a box as ``box_morphology`` dilates."""
+    out = words.join(_run_words(runs, "m"), ["floor_id", "y", "block"], "left").withColumn("m", F.coalesce("m", F.lit(0).cast("long")))
+    for along in ("x", "y") * iterations if k // 2 else ():
+        out = _beside(out, ("m",), along, k // 2)
+    return out
+
+
 def corridor_network(cells: DataFrame, nodes: DataFrame, k: int = 19) -> DataFrame:
     """Cells of the corridor: doors sealed, the component of most nodes, grown back and kept where passable.
 
@@ -249,9 +257,7 @@ def corridor_network(cells: DataFrame, nodes: DataFrame, k: int = 19) -> DataFra
     words = cut(cell_words(cells))
     runs = cut(_labelled_runs(word_morphology(words, k, "close"), "free"))
     best = runs.join(_node_votes(runs, nodes), ["floor_id", "part"], "left_semi")
-    marked = words.join(_run_words(best, "m"), ["floor_id", "y", "block"], "left").withColumn("m", F.coalesce("m", F.lit(0).cast("long")))
-    for along in "xy" if k // 2 else "":
-        marked = _beside(marked, ("m",), along, k // 2)
+    marked = _marked(words, best, k)
     back = cut(_labelled_runs(marked.withColumn("free", F.col("free").bitwiseAND(F.col("m"))), "free"))
     order = Window.partitionBy("floor_id").orderBy(F.desc("area"), "place")
     most = _sizes(back).withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("floor_id", "part")
@@ -260,15 +266,14 @@ def corridor_network(cells: DataFrame, nodes: DataFrame, k: int = 19) -> DataFra
 
 def exterior_cells(cells: DataFrame, seal: int = 25, seal_rounds: int = 4, grow: int = 15, grow_rounds: int = 2, least: float = 20.0) -> DataFrame:
     """Passable cells outside: reachable from the border once gaps are sealed, then grown where walls are far."""
-    sealed = cut(box_morphology(cells, seal, "dilate", seal_rounds))
-    labelled = cut(cell_components(sealed, 1, 4))
-    ends = cells.groupBy("floor_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    border = labelled.join(ends, "floor_id").filter("x = x0 or x = x1 or y = y0 or y = y1").select("floor_id", "component").distinct()
-    out = labelled.join(border, ["floor_id", "component"], "left_semi").select("floor_id", "x", "y", F.lit(0).alias("m"))
-    marked = cells.join(out, ["floor_id", "x", "y"], "left").select("floor_id", "x", "y", F.coalesce("m", F.lit(1)).alias("passable"))
-    grown = box_morphology(marked, grow, "dilate", grow_rounds).filter("passable = 0").select("floor_id", "x", "y")
+    words = cut(cell_words(cells))
+    runs = cut(_labelled_runs(word_morphology(words, seal, "dilate", seal_rounds), "free", 4))
+    ends = cells.groupBy("floor_id").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("x", "y")])
+    border = runs.join(ends, "floor_id").filter("x0 = low_x or x1 = high_x or y = low_y or y = high_y").select("part").distinct()
+    outside = cut(runs.join(border, "part", "left_semi"))
+    grown = _marked(words, outside, grow, grow_rounds)
     far = distance_to_wall(cells).filter(F.col("dist") > least).select("floor_id", "x", "y")
-    return out.select("floor_id", "x", "y").union(grown.join(far, ["floor_id", "x", "y"], "left_semi")).distinct()
+    return _run_cells(outside, cells).union(_run_cells(_runs(grown, "m"), cells).join(far, ["floor_id", "x", "y"], "left_semi")).distinct()
 
 
 def corridor_skeleton(cells: DataFrame, low: float = 8, high: float = 55, least_cells: int = 30, aspect: float = 1.5, small: int = 300) -> DataFrame:
