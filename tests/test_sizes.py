@@ -72,6 +72,61 @@ def test_alerts_on_routes_are_counted_without_pairs(spark):
     assert not made(counts)
 
 
+def records_shuffled(node) -> int:
+    """Records that the exchanges of a plan that has run wrote."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return records_shuffled(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return records_shuffled(node.plan())
+    own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(records_shuffled(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def gap(x, y, x0, y0, x1, y1):
+    dx, dy = x1 - x0, y1 - y0
+    t = min(1.0, max(0.0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+    return math.dist((x, y), (x0 + t * dx, y0 + t * dy))
+
+
+def test_alerts_on_routes_shuffle_few_rows_of_a_segment(spark):
+    rng = random.Random(12)
+    point = lambda: (rng.random(), rng.random())
+    alerts = [(i, rng.randrange(50), rng.choice("ab"), *point()) for i in range(2000)]
+    segments = [(i // 4, i // 4 % 50, rng.choice("ab"), *point(), *point()) for i in range(1000)]
+    a = spark.createDataFrame(alerts, "alert_id long, submitted_by long, floor_id string, x double, y double")
+    s = spark.createDataFrame(segments, "route_id long, viewer_id long, floor_id string, x0 double, y0 double, x1 double, y1 double")
+    pairs = sp.alerts_on_route(a, s, 0.04)
+    want = {(r, i) for r, v, f, *line in segments for i, by, g, x, y in alerts if f == g and by != v and gap(x, y, *line) < 0.04}
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+    # buckets as wide as the radius would make about 50 rows of such a segment
+    assert 0 < records_shuffled(pairs._jdf.queryExecution().executedPlan()) < 3 * len(alerts) + 8 * len(segments)
+
+
+def test_alerts_on_routes_of_several_viewers_and_small_batches(spark):
+    """Ids that are texts, routes of several viewers or none, unknown submitters and places, segments without length."""
+    rng = random.Random(21)
+    spots = [(rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(30)]
+    alerts = [(f"a{i}", rng.choice(["u1", "u2", "u3", None]), rng.choice("ab"), *rng.choice(spots)) for i in range(400)]
+    alerts += [("lost", "u1", None, 0.0, 0.0), ("nowhere", "u1", "a", None, 0.0)]
+    segments = []
+    for i in range(120):
+        x0, y0 = rng.choice(spots)
+        segments.append((f"r{i % 9}", rng.choice(["u1", "u2", None] if i % 9 > 4 else [["u1", "u2", "u3", None, "u4"][i % 9]]), rng.choice("ab"), x0, y0, *((x0, y0) if i % 6 == 0 else (rng.uniform(-1, 1), rng.uniform(-1, 1)))))
+    a = spark.createDataFrame(alerts, "alert_id string, submitted_by string, floor_id string, x double, y double")
+    s = spark.createDataFrame(segments, "route_id string, viewer_id string, floor_id string, x0 double, y0 double, x1 double, y1 double")
+    want = {(r, i) for r, v, f, *line in segments for i, by, g, x, y in alerts if f == g and x is not None and gap(x, y, *line) < 0.1 and (v is None or (by is not None and by != v))}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for rows in ("10000", "7"):
+            spark.conf.set(name, rows)
+            assert sorted(map(tuple, sp.alerts_on_route(a, s, 0.1).collect())) == sorted(want)
+    finally:
+        spark.conf.set(name, before)
+    assert sp.alerts_on_route(a.filter("false"), s).isEmpty() and sp.alerts_on_route(a, s.filter("false")).isEmpty()
+
+
 def test_place_search_meets_few_names(spark, monkeypatch):
     """Texts in every name, in few and in none: the rows of a brute force, from few pairs of text and name."""
     from wayfarer.operators import places as pl

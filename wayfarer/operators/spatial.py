@@ -210,13 +210,14 @@ def _segment_buckets(segments: DataFrame, radius: float, size: float) -> DataFra
     low_x, high_x, low_y, high_y = F.least("x0", "x1") - radius, F.greatest("x0", "x1") + radius, F.least("y0", "y1") - radius, F.greatest("y0", "y1") + radius
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     slope = F.when(F.abs(dx) > 1e-9 * (F.abs(dy) + size), dy / dx)  # null for a segment that stands upright
+    rows = segments.withColumn("slope", slope).withColumn("reach", radius * F.sqrt(1 + F.col("slope") * F.col("slope")) * (1 + 1e-9))
+    rows = rows.withColumn("bx", F.explode(span(low_x, high_x)))
+    slope, reach = F.col("slope"), F.col("reach")  # known before the rows are made, so that the code over buckets is short
     line = lambda x: F.col("y0") + slope * (x - F.col("x0"))
     left, right = line(F.col("bx") * size), line((F.col("bx") + 1) * size)
-    reach = radius * F.sqrt(1 + slope * slope) * (1 + 1e-9)
-    rows = segments.withColumn("bx", F.explode(span(low_x, high_x)))
     ya, yb = F.greatest(low_y, F.least(left, right) - reach), F.least(high_y, F.greatest(left, right) + reach)
     rows = rows.withColumns({"ya": F.coalesce(F.when(slope.isNotNull(), ya), low_y), "yb": F.coalesce(F.when(slope.isNotNull(), yb), high_y)})
-    return rows.filter("ya <= yb").withColumn("by", F.explode(span(F.col("ya"), F.col("yb")))).drop("ya", "yb").hint("merge")
+    return rows.filter("ya <= yb").withColumn("by", F.explode(span(F.col("ya"), F.col("yb")))).drop("ya", "yb", "slope", "reach").hint("merge")
 
 
 def within_of_segments(points: DataFrame, segments: DataFrame, radius: float, key: str = "floor_id", strict: bool = True) -> DataFrame:
@@ -228,12 +229,11 @@ def within_of_segments(points: DataFrame, segments: DataFrame, radius: float, ke
     return out.filter(F.col("dist") < radius if strict else F.col("dist") <= radius)
 
 
-def _met_by_routes(points: DataFrame, segments: DataFrame, radius: float, size: float, allowed=None) -> DataFrame:
+def _met_by_routes(points: DataFrame, segments: DataFrame, radius: float, size: float) -> DataFrame:
     """``points`` (floor_id, x, y, ...) with route_id and viewer_id, once for each route with a segment within the radius.
 
     A point lies in one bucket, and a route has one row per bucket with its segments there, so no pair has to be made
-    distinct. A route's segments are brought together before they are dealt into buckets. ``allowed`` is a condition
-    on viewer_id and the point's columns.
+    distinct. A route's segments are brought together before they are dealt into buckets.
     """
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     long_ = F.col("len") > 0
@@ -244,15 +244,13 @@ def _met_by_routes(points: DataFrame, segments: DataFrame, radius: float, size:
     one = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in line]).filter("n = 1").drop("n")
     several = s.groupBy(*keys).agg(F.collect_list(F.struct(*line)).alias("lines")).filter(F.size("lines") > 1)
     p = points.withColumns({"bx": _bucket("x", size), "by": _bucket("y", size)})
-    allowed = allowed or (lambda viewer: F.lit(True))
 
     def near(c):
         """Along the segment's direction and across it; short, so that the join's generated code is compiled."""
         x, y = F.col("x") - c["x0"], F.col("y") - c["y0"]
         along, across = x * c["ux"] + y * c["uy"], x * c["uy"] - y * c["ux"]
         beyond = F.greatest(F.abs(along - c["len"] / 2) - c["len"] / 2, F.lit(0.0))
-        inside = (F.abs(across) < radius) & (F.pow(across, F.lit(2.0)) + F.pow(beyond, F.lit(2.0)) < radius * radius)
-        return inside & allowed(c["viewer_id"])
+        return (F.abs(across) < radius) & (F.pow(across, F.lit(2.0)) + F.pow(beyond, F.lit(2.0)) < radius * radius)
 
     met = lambda rows: p.join(rows.hint("merge"), ["floor_id", "bx", "by"])
     first = met(one).filter(near({c: F.col(c) for c in line}))
@@ -262,11 +260,138 @@ def _met_by_routes(points: DataFrame, segments: DataFrame, radius: float, size:
     return first.select(columns).unionByName(rest.select(columns))
 
 
+#: A bucket's width in radii, its shares, and how many tests or pairs are made at once.
+WIDE_BUCKET, SHARES, AT_ONCE = 8, 2, 1 << 17
+
+
+def _pairs_of_bucket(radius: float):
+    """A function that gives arrays (route ids, alert ids) of a bucket's places and segments; made here, so that Spark ships it by value."""
+
+    def pairs(spots: list, rows: dict):
+        """``spots`` (x, y, alert ids, submitters, whether these are known); ``rows`` are columns of segments in order of route.
+
+        An alert belongs to a route, once, if a segment within the radius has no viewer (``free``) or one that is not the
+        known submitter.
+        """
+        import numpy as np
+
+        x0, y0, dx, dy = rows["x0"], rows["y0"], rows["x1"] - rows["x0"], rows["y1"] - rows["y0"]
+        square = dx * dx + dy * dy
+        square[square == 0] = np.inf  # a segment without length is its first point
+        new = np.append(True, rows["route_id"][1:] != rows["route_id"][:-1])
+        route, viewer, free = np.cumsum(new), rows["viewer_id"], rows["free"]
+        mixed = bool((~new[1:] & ((viewer[1:] != viewer[:-1]) | (free[1:] != free[:-1]))).any())
+        some = max(1, AT_ONCE // len(x0))
+        for begin in range(0, len(spots), some):
+            part = spots[begin : begin + some]
+            px, py = (np.array([spot[i] for spot in part])[:, None] for i in (0, 1))
+            along = np.clip(((px - x0) * dx + (py - y0) * dy) / square, 0.0, 1.0)
+            near = np.sqrt((px - (x0 + along * dx)) ** 2 + (py - (y0 + along * dy)) ** 2) < radius
+            for (_, _, ids, by, known), hits in zip(part, near):
+                at = np.flatnonzero(hits)
+                if not len(at):
+                    continue
+                first = np.append(True, route[at[1:]] != route[at[:-1]])
+                at = at if mixed else at[first]
+                routes, step = rows["route_id"][at[first] if mixed else at], max(1, AT_ONCE // len(at))
+                for low in range(0, len(ids), step):
+                    alerts = ids[low : low + step]
+                    seen = free[at][:, None] | (known[low : low + step] & (by[low : low + step] != viewer[at][:, None]))
+                    if mixed:  # a route's segments have several viewers: one that may see the alert is enough
+                        seen = np.logical_or.reduceat(seen, np.flatnonzero(first))
+                    yield np.repeat(routes, seen.sum(axis=1)), np.tile(alerts, len(routes))[seen.ravel()]  # in runs, which files keep short
+
+    return pairs
+
+
 def alerts_on_route(alerts: DataFrame, segments: DataFrame, radius: float = 0.04) -> DataFrame:
-    """(route_id, alert_id): alerts near a route's segment on their floor, without the route owner's own."""
-    points = alerts.select("alert_id", "submitted_by", "floor_id", "x", "y")
-    others = lambda viewer: viewer.isNull() | (viewer != F.col("submitted_by"))
-    return _met_by_routes(points, segments, radius, radius, others).select("route_id", "alert_id")
+    """(route_id, alert_id): alerts near a route's segment on their floor, without the route owner's own.
+
+    Alerts and segments are dealt by wide buckets, a segment to those that it crosses, and a bucket's routes among shares
+    that hold all of its alerts. Spark sorts a share's rows, its alerts before its segments, and a task reads them as a
+    stream: it holds the alerts by place and the segments of a batch. A point lies in one bucket and a route in one
+    share, so no pair has to be made distinct; pairs are never shuffled, they leave the task as batches of the result.
+    """
+    size, place = WIDE_BUCKET * radius, ["floor_id", "bx", "by", "share"]
+    schema = StructType([segments.schema["route_id"], alerts.schema["alert_id"]])
+    empty = lambda df, *names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
+    points = alerts.filter("floor_id is not null and x is not null and y is not null").select(
+        "floor_id", _bucket("x", size).alias("bx"), _bucket("y", size).alias("by"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), *empty(segments, "route_id", "viewer_id"),
+        F.col("x").alias("x0"), F.col("y").alias("y0"), F.lit(None).cast("double").alias("x1"), F.lit(None).cast("double").alias("y1"), "alert_id", "submitted_by", F.lit(False).alias("segment"),
+    )
+    lines = _segment_buckets(segments.filter("floor_id is not null").select("route_id", "viewer_id", "floor_id", "x0", "y0", "x1", "y1"), radius, size)
+    lines = lines.select(
+        "floor_id", "bx", "by", F.pmod(F.hash("route_id"), F.lit(SHARES)).alias("share"), "route_id", "viewer_id", "x0", "y0", "x1", "y1", *empty(alerts, "alert_id", "submitted_by"), F.lit(True).alias("segment")
+    )
+
+    pairs_of = _pairs_of_bucket(radius)
+
+    def of(batches):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        def plain(column):
+            """Values as an array; Python's own where some are null."""
+            return np.array(column.to_pylist() + [None], dtype=object)[:-1] if column.null_count else column.to_numpy(zero_copy_only=False)
+
+        def by_place(held):
+            """(x, y, alert ids, submitters, known) of each place."""
+            held = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            x, y = plain(held.column("x0")), plain(held.column("y0"))
+            order = np.lexsort((y, x))
+            x, y, ids, by, known = x[order], y[order], plain(held.column("alert_id"))[order], plain(held.column("submitted_by"))[order], plain(held.column("submitted_by").is_valid())[order]
+            ends = [*(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), len(x)]
+            return [(x[a], y[a], ids[a:b], by[a:b], known[a:b]) for a, b in zip([0, *ends], ends)]
+
+        def pairs(spots, segments):
+            rows = {c: plain(segments.column(c)) for c in ("route_id", "viewer_id", "x0", "y0", "x1", "y1")}
+            return pairs_of(spots, rows | {"free": plain(segments.column("viewer_id").is_null())})
+
+        def runs():
+            """Pairs of all buckets; the segments of a batch's last route wait for the next batch."""
+            now, held, spots, rest = None, [], None, None
+            for batch in batches:
+                kinds[:] = [batch.schema.field(c).type for c in schema.names]
+                change = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+                for c in (*place, "segment"):
+                    column = batch.column(c)
+                    change |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+                ends = [*(np.flatnonzero(change) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+                for a, b in zip([0, *ends], ends):
+                    run = batch.slice(a, b - a)
+                    key = tuple(run.column(c)[0].as_py() for c in place)
+                    if key != now:
+                        if rest is not None:
+                            yield from pairs(spots, rest)
+                        now, held, spots, rest = key, [], None, None
+                    if not run.column("segment")[0].as_py():
+                        held.append(run)
+                        continue
+                    if not held:
+                        continue
+                    spots = spots or by_place(held)
+                    rows = run if rest is None else pa.Table.from_batches([rest, run]).combine_chunks().to_batches()[0]
+                    route = plain(rows.column("route_id"))
+                    whole = np.flatnonzero(route[1:] != route[:-1])
+                    upto = int(whole[-1]) + 1 if len(whole) else 0
+                    rest = rows.slice(upto)
+                    if upto:
+                        yield from pairs(spots, rows.slice(0, upto))
+            if rest is not None:
+                yield from pairs(spots, rest)
+
+        kinds, made, n = [], [], 0
+        joined = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*made), kinds)], names=schema.names)
+        for found in runs():
+            made.append(found)
+            n += len(found[0])
+            if n >= AT_ONCE:
+                yield joined()
+                made, n = [], 0
+        if n:
+            yield joined()
+
+    return points.unionByName(lines).repartition(*place).sortWithinPartitions(*place, "segment", "route_id").mapInArrow(of, schema)
 
 
 def alert_counts_on_route(alerts: DataFrame, segments: DataFrame, radius: float = 0.04, code=None) -> DataFrame:
