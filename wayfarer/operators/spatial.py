@@ -260,8 +260,8 @@ def _met_by_routes(points: DataFrame, segments: DataFrame, radius: float, size:
     return first.select(columns).unionByName(rest.select(columns))
 
 
-#: A bucket's width in radii, its shares, and how many tests or pairs are made at once.
-WIDE_BUCKET, SHARES, AT_ONCE = 8, 2, 1 << 17
+#: A bucket's width in radii, its shares, and how many tests (which stay in a core's cache) and pairs are made at once.
+WIDE_BUCKET, SHARES, TESTS, AT_ONCE = 8, 2, 1 << 14, 1 << 17
 
 
 def _pairs_of_bucket(radius: float):
@@ -281,7 +281,7 @@ def _pairs_of_bucket(radius: float):
         new = np.append(True, rows["route_id"][1:] != rows["route_id"][:-1])
         route, viewer, free = np.cumsum(new), rows["viewer_id"], rows["free"]
         mixed = bool((~new[1:] & ((viewer[1:] != viewer[:-1]) | (free[1:] != free[:-1]))).any())
-        some = max(1, AT_ONCE // len(x0))
+        some = max(1, TESTS // len(x0))
         for begin in range(0, len(spots), some):
             part = spots[begin : begin + some]
             px, py = (np.array([spot[i] for spot in part])[:, None] for i in (0, 1))
@@ -299,7 +299,8 @@ def _pairs_of_bucket(radius: float):
                     seen = free[at][:, None] | (known[low : low + step] & (by[low : low + step] != viewer[at][:, None]))
                     if mixed:  # a route's segments have several viewers: one that may see the alert is enough
                         seen = np.logical_or.reduceat(seen, np.flatnonzero(first))
-                    yield np.repeat(routes, seen.sum(axis=1)), np.tile(alerts, len(routes))[seen.ravel()]  # in runs, which files keep short
+                    seen, found = seen.ravel(), (np.repeat(routes, len(alerts)), np.tile(alerts, len(routes)))  # in runs, which files keep short
+                    yield found if seen.all() else (found[0][seen], found[1][seen])
 
     return pairs
 
